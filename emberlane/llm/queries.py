@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import chat, decontaminate, langid, linededup, packing, quality, simhash, urls
+from emberlane.llm import bytededup, chat, decontaminate, langid, linededup, packing, quality, simhash, urls, worddedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"), held_out())
 
 
+def op4_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytededup.dedup_bytes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = worddedup.dedup_words(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -66,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_preference_format, op2_line_dedup, op3_language_id, op6_url_filter, op7_simhash, op8_decontaminate, op9_quality_rules, op10_packing)
+    for f in (op1_preference_format, op2_line_dedup, op3_language_id, op4_byte_dedup, op5_word_dedup, op6_url_filter, op7_simhash, op8_decontaminate, op9_quality_rules, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}

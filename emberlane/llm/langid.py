@@ -128,7 +128,7 @@ def _training(docs: DataFrame, learn: Column, per_lang: int, max_bytes: int) ->
     if not count:
         return [], []
     order = F.xxhash64(F.col("doc_id"))
-    span = {k: int(((1 << 64) - 1) * min(1.0, per_lang / n)) - (1 << 63) for k, n in count.items()}
+    span = {k: min((1 << 64) - 1, (1 << 64) * per_lang // n) - (1 << 63) for k, n in count.items()}
     cut = None
     for lang, top in span.items():
         cut = F.when(F.col("lang") == lang, order <= F.lit(top)) if cut is None else cut.when(F.col("lang") == lang, order <= F.lit(top))

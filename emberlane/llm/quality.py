@@ -100,7 +100,7 @@ def _trusted(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     return docs.join(good, F.col("_id") == F.col("_lid"), "left").drop("_lid")
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 14) -> list[float]:
+def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16) -> list[float]:
     """Log ratios of the smoothed target and raw multinomials, one per bucket, counted over all rows."""
     slim = _trusted(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), labels, id_col)
     cells = F.concat(F.transform("_w1", lambda h: F.pmod(h, F.lit(buckets))), F.transform("_w2", lambda h: F.pmod(h, F.lit(buckets))))
@@ -124,8 +124,8 @@ def score_quality(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    buckets: int = 1 << 14,
-    threshold: float = -1.0,
+    buckets: int = 1 << 16,
+    threshold: float = -0.17,
     min_words: int = 20,
     max_repeat_percent: int = 30,
 ) -> DataFrame:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.scratch import BROADCAST_IDS
+from emberlane.llm.scratch import BROADCAST_IDS, where_once
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -147,4 +147,4 @@ def score_quality(
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that :func:`score_quality` keeps, with their own columns."""
-    return score_quality(docs, labels, **options).where("kept").select("row.*")
+    return where_once(score_quality(docs, labels, **options).select("row", "kept"), F.col("kept")).select("row.*")

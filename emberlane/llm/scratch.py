@@ -65,3 +65,12 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     gone = materialize(ids.toDF("_gone").distinct(), "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return docs.join(side, docs[id_col].eqNullSafe(side["_gone"]), "left_anti")
+
+
+def where_once(df: DataFrame, condition) -> DataFrame:
+    """``df.where(condition)`` that is evaluated on computed columns.
+
+    A plain filter would be pushed below the projections and have their expressions copied into it, which
+    for arrays used inside lambda functions means once per element. A row number keeps it above them.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")

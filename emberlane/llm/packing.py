@@ -7,8 +7,7 @@ level. When a partition ends, or ``max_open`` windows stand open, the open windo
 pieces are cut so that all but one window are full. The last window of a partition is cut into windows
 whose lengths are powers of two, which need no padding.
 
-Tokens. Ids of a text are those of its words between ASCII white space, so each worker encodes a word
-once and keeps it (at most ``CACHE_WORDS`` words). Words are split where the tokenizer splits anyway.
+Tokens. Each worker encodes a piece of text once (:mod:`emberlane.llm.tokens`).
 
 Edge cases. Null text is empty and gives the end id alone. Null ids, repeated rows and equal texts are
 packed like any others. An empty table gives no rows. Texts of any length stream through; only the open
@@ -25,32 +24,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-CACHE_WORDS = 400_000
-_ENCODERS: dict[int, "WordEncoder"] = {}
-
-
-class WordEncoder:
-    """Ids of texts by way of a cache of words."""
+from emberlane.llm.tokens import PieceEncoder
 
-    def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.encode().split() for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in words]
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_ENCODERS: dict[int, PieceEncoder] = {}
 
 
 class Packer:
@@ -141,13 +118,15 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_i
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value)
-        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, WordEncoder(shared.value))
+        encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, PieceEncoder(shared.value))
         packer = Packer(capacity, TaskContext.get().partitionId() << 40, max_open)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for part in chunks(texts):
-                for doc, tokens in zip(ids[part.start : part.stop], encoder.encode([x or "" for x in texts[part.start : part.stop].to_pylist()])):
-                    packer.add(doc, np.concatenate([tokens, tail]))
+                tokens, sizes = encoder.encode(texts[part.start : part.stop])
+                upto = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                for doc, s, e in zip(ids[part.start : part.stop], upto[:-1], upto[1:]):
+                    packer.add(doc, np.concatenate([tokens[s:e], tail]))
                 if len(packer.rows) > 20_000:
                     yield _rows(packer)
         packer.pour(True)

@@ -1,0 +1,15 @@
+"""All named queries of the library."""
+
+from __future__ import annotations
+
+
+def all_queries() -> dict:
+    from emberlane.plans import catalog
+
+    return dict(catalog.QUERIES)
+
+
+def all_oracles() -> dict:
+    from emberlane.plans import catalog
+
+    return dict(catalog.ORACLES)

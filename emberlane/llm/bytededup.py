@@ -34,15 +34,14 @@ SCHEMA = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, k
 
 
 def _symbols(text: Text) -> tuple[np.ndarray, np.ndarray, None]:
-    return wordhash._BYTE[text.data], text.at, None
+    return text.data, text.at, None
 
 
 def _encode(text: Text, _, items: Items, first: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, bytes]:
     at = first[which]
     anchor, low, high = items.anchor[at], items.low[at], items.high[at]
-    data = text.data.tobytes() if len(at) > 200_000 else None
     end = high + WIDTH
-    body = data or text.data
+    body = memoryview(text.data)
     rights = [bytes(body[a:e]) for a, e in zip(anchor.tolist(), end.tolist())]
     order = sorted(range(len(rights)), key=rights.__getitem__)
     rights = [rights[i] for i in order]
@@ -209,6 +208,6 @@ def _finish(text: Text, _, at: np.ndarray, covered: np.ndarray, null: np.ndarray
 CODEC = Codec(WIDTH, SEED, _symbols, _encode, _answer)
 
 
-def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """``doc_id, n_bytes, spans`` (removed byte ranges, maximal) and ``kept`` of every row."""
     return seedextend.repeated_windows(docs, CODEC, _finish, SCHEMA, id_col=id_col, text_col=text_col, block_bytes=block_bytes)

@@ -131,20 +131,22 @@ class Items:
 
 
 def find_items(symbols: np.ndarray, at: np.ndarray, width: int, seed: int) -> Items:
-    """All items of a block; ``symbols`` are 64-bit hashes, ``at`` the first symbol of each document."""
+    """All items of a block; ``symbols`` are 64-bit hashes (or bytes), ``at`` the first symbol of each document."""
     parts: list[tuple] = []
     total = len(symbols)
-    end = np.repeat(at[1:], np.diff(at))
     span = width - seed + 1  # seeds in a window
     pow_, inv = wordhash._POW, wordhash._INV
     for base in range(0, max(0, total - width + 1), _CHUNK):
         n = min(_CHUNK, total - width + 1 - base)  # windows that start here
         m = n + width - 1
-        ok = end[base : base + n] - np.arange(base, base + n) >= width
+        near = np.arange(np.searchsorted(at, base, side="right") - 1, np.searchsorted(at, base + n))
+        end = np.repeat(at[near + 1], np.minimum(at[near + 1], base + n) - np.maximum(at[near], base))
+        ok = end - np.arange(base, base + n) >= width
         if not ok.any():
             continue
         sums = np.zeros(m + 1, dtype=np.uint64)
-        np.cumsum(symbols[base : base + m] * pow_[:m], out=sums[1:])
+        part = symbols[base : base + m]
+        np.cumsum((wordhash._BYTE[part] if part.dtype == np.uint8 else part) * pow_[:m], out=sums[1:])
         seeds = wordhash.mix((sums[seed:] - sums[:-seed]) * inv[: m - seed + 1])
         key = (seeds >> _BITS << _BITS) | np.arange(m - seed + 1, dtype=np.uint64)
         reach = 1
@@ -221,7 +223,7 @@ def survivors(items: Items, ids: np.ndarray, elsewhere: np.ndarray) -> Shared:
 class Codec:
     """How symbols are read from a block and how items travel.
 
-    ``symbols(text)`` gives symbol hashes, the first symbol of each document, and what ``encode`` needs.
+    ``symbols(text)`` gives symbol hashes (or bytes), the first symbol of each document, and what ``encode`` needs.
     ``encode(text, parts, items)`` turns items into bytes; ``answer(pieces)`` gets the decoded pieces of a
     target, a list of ``(bytes, ids)``, and returns for each piece and item a mask of the windows (bit
     ``anchor - window``) that have an equal in a smaller document.

@@ -9,7 +9,9 @@ from emberlane.llm.scratch import discard, materialize
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``node, component`` of every node in ``links`` (columns ``a``, ``b``): the smallest node reachable.
+    """``node, component`` of the nodes in ``links`` (columns ``a``, ``b``): the smallest node reachable.
+
+    A component's smallest node has no row of its own.
 
     Each round is two aggregations and two joins back on the node, both of which Spark can split for a
     node with very many links, and is written to the shared folder. The rounds are logarithmic in the

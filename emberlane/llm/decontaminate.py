@@ -120,14 +120,17 @@ class Block:
         for t, i, d in diagonals:
             item = self.hash[self.at[i] : self.at[i + 1]]
             lo, hi = max(d, int(first[t])), min(d + len(item), int(first[t + 1]))
-            differ = np.concatenate([[0], np.cumsum(h[lo:hi] != item[lo - d : hi - d])])
+            equal = h[lo:hi] == item[lo - d : hi - d]
+            differ = np.concatenate([[0], np.cumsum(~equal)])
             if len(item) < WINDOW:
                 if hi - lo == len(item) and not differ[-1]:
                     out.append((t, i, lo, hi))
                 continue
             good = np.flatnonzero(differ[WINDOW:] - differ[:-WINDOW] <= SUBSTITUTIONS)
             if len(good):
-                out += [(t, i, lo + int(g[0]), lo + int(g[-1]) + WINDOW) for g in np.split(good, np.flatnonzero(np.diff(good) > WINDOW) + 1)]
+                for g in np.split(good, np.flatnonzero(np.diff(good) > WINDOW) + 1):
+                    at = np.flatnonzero(equal[g[0] : g[-1] + WINDOW]) + g[0]  # without what differs at either end
+                    out.append((t, i, lo + int(at[0]), lo + int(at[-1]) + 1))
         return sorted(out)
 
 

@@ -8,7 +8,7 @@ as trusted (target). A document's score is the mean over its n-grams of
 
 Edge cases. Null text counts as empty: no word, score 0, ``base_failed``. A null document id is never
 trusted but is scored. Repeated rows each get a row. An empty table gives no rows. Without any trusted
-document both multinomials are uniform in the target, and the fixed rules still decide. Other columns,
+document nothing is expected in the target, all ratios are zero, and the fixed rules decide. Other columns,
 whatever their names, are carried in a struct and never clash.
 """
 
@@ -100,8 +100,12 @@ def _trusted(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     return docs.join(good, F.col("_id") == F.col("_lid"), "left").drop("_lid")
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16) -> list[float]:
-    """Log ratios of the smoothed target and raw multinomials, one per bucket, counted over all rows."""
+def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, prior: float = 20.0) -> list[float]:
+    """Log ratios of the target and raw multinomials, one per bucket, counted over all rows.
+
+    ``prior`` is added to the count of a cell in the target and to the one that the raw corpus lets expect
+    there, so a cell says little until it has been seen often; in a small corpus new words count for nothing.
+    """
     slim = _trusted(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), labels, id_col)
     cells = F.concat(F.transform("_w1", lambda h: F.pmod(h, F.lit(buckets))), F.transform("_w2", lambda h: F.pmod(h, F.lit(buckets))))
     counts = (
@@ -110,12 +114,11 @@ def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
         .groupBy("cell")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("_target").alias("target"))
     )
-    raw, target = [1.0] * buckets, [1.0] * buckets
+    raw, target = [0] * buckets, [0] * buckets
     for cell, n, m in counts.collect():  # one row a bucket at most
-        raw[cell] += n
-        target[cell] += m
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
+        raw[cell], target[cell] = n, m
+    share = sum(target) / max(1, sum(raw))
+    return [math.log((t + prior) / (r * share + prior)) for t, r in zip(target, raw)]
 
 
 def score_quality(
@@ -125,12 +128,13 @@ def score_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int = 1 << 16,
-    threshold: float = -0.17,
+    prior: float = 20.0,
+    threshold: float = -0.1,
     min_words: int = 20,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
     """One row per input row: ``row`` (a struct of its columns), the signals, ``score`` and ``kept``."""
-    weights = fit_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets)
+    weights = fit_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, prior=prior)
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # folded to one literal, bounded by buckets
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("_text"))
     df = with_base_signals(with_ngrams(df, "_text"))

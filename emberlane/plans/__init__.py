@@ -4,12 +4,12 @@ from __future__ import annotations
 
 
 def all_queries() -> dict:
-    from emberlane.plans import catalog
+    from emberlane.plans import catalog, more  # noqa: F401  (more adds to the catalog)
 
     return dict(catalog.QUERIES)
 
 
 def all_oracles() -> dict:
-    from emberlane.plans import catalog
+    from emberlane.plans import catalog, more  # noqa: F401  (more adds to the catalog)
 
     return dict(catalog.ORACLES)

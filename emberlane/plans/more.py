@@ -101,3 +101,38 @@ add("init_query", "actions", lambda d: d.groupBy("session_id").agg(F.array_appen
 add("tools_sequence_text", "actions", lambda d: d.where("action_type = 'tool_call'").groupBy("session_id").agg(F.array_sort(F.collect_list("step")).alias("s")).select("session_id", F.array_join(F.transform("s", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". step "), x.cast("string"))), "\n").alias("t")), "SELECT session_id, string_agg(n || '. step ' || step, chr(10) ORDER BY step) AS t FROM (SELECT session_id, step, row_number() OVER (PARTITION BY session_id ORDER BY step) AS n FROM actions WHERE action_type = 'tool_call') GROUP BY session_id")
 add("dos_attack", "results", lambda d: d.where("injection_task = 0").select("suite", "user_task", (~F.col("utility")).alias("security")), "SELECT suite, user_task, NOT utility AS security FROM results WHERE injection_task = 0")
 add("parse_objectives", "events", lambda d: d.select("event_id", (F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)) > 5).alias("ok")), "SELECT event_id, coalesce(json_extract_string(props, '$.k')::INT, 0) > 5 AS ok FROM events")
+
+# ---- sources, learned scores, obfuscation, the rest --------------------------------------------------
+
+
+def _lines(d):
+    from emberlane.sources.tables import parse_json_lines
+
+    lines = d.select(F.when(F.col("step") == 2, "{broken").when(F.col("step") == 3, " ").otherwise(F.to_json(F.struct("action", "label", F.col("session_id").cast("string").alias("session_id"), F.col("step").cast("int").alias("step_index")))).alias("value"))
+    return parse_json_lines(lines).select("session_id", "step_index", F.md5("action").alias("action"))
+
+
+add("scan_jsonl", "actions", _lines, "SELECT session_id::VARCHAR AS session_id, step::INT AS step_index, md5(action) AS action FROM actions WHERE step NOT IN (2, 3)")
+
+
+def _scored(d):
+    from emberlane.operators.scoring import fit_text_classifier, ml_score
+
+    rows = d.withColumn("y", (F.col("label") == "malicious").cast("double"))
+    return ml_score(rows, fit_text_classifier(rows, "action", "y", 512, 5)).select("session_id", "step", "y", F.round("ml_score", 6).alias("ml_score"))
+
+
+add("ml_score", "actions", _scored)
+add("lstm_score", "actions", lambda d: __import__("emberlane.operators.scoring", fromlist=["plug_in"]).plug_in(d, "action", lambda xs: [min(1.0, len(x) / 1000) for x in xs]).select("session_id", "step", F.round("plugin_score", 6).alias("score")), "SELECT session_id, step, round(least(1.0, length(action) / 1000.0::DOUBLE), 6) AS score FROM actions")
+add("obf_base64", "actions", _sel(F.concat(F.lit("b64decode('"), F.regexp_replace(F.base64(F.regexp_extract("action", '"([^"]*)"', 1).cast("binary")), r"\s", ""), F.lit("')")).alias("out")), f"SELECT {ID}, 'b64decode(''' || base64(encode(regexp_extract(action, '\"([^\"]*)\"', 1))) || ''')' AS out FROM actions")
+add("obf_zero_width", "actions", _sel(F.md5(F.array_join(F.transform(F.filter(F.split("action", ""), lambda c: c != ""), lambda c, i: F.when(i % 4 == 0, F.concat(c, F.lit("\u200b"))).otherwise(c)), "")).alias("out")))
+add("obf_varnames", "actions", _sel(F.md5(F.regexp_replace("action", r"(?<![A-Za-z])password(?![A-Za-z])", "x1")).alias("out")))
+add("obf_concat", "actions", _sel(F.regexp_replace(F.regexp_extract("action", '"([^"]{6,})"', 1), r"^(.{3})(.*)$", "'$1' + '$2'").alias("out")), rf"SELECT {ID}, regexp_replace(regexp_extract(action, '\"([^\"]{{6,}})\"', 1), '^(.{{3}})(.*)$', '''\1'' + ''\2''') AS out FROM actions")
+add("extract_tool_calls", "actions", lambda d: d.where("action_type = 'tool_call'").groupBy("session_id").agg(F.count(F.lit(1)).alias("calls")).where("calls >= 2"), "SELECT session_id, count(*) AS calls FROM actions WHERE action_type = 'tool_call' GROUP BY session_id HAVING count(*) >= 2")
+add("error_report", "predictions", lambda d: d.where("blocked AND truth = 0").groupBy("layer", "model").agg(F.count(F.lit(1)).alias("false_positives")), "SELECT layer, model, count(*) AS false_positives FROM predictions WHERE blocked AND truth = 0 GROUP BY ALL")
+add("calibrate_thresholds", "predictions", lambda d: d.groupBy("attack_kind").agg(F.round(F.max(F.when(F.col("truth") == 0, F.col("score"))) + 0.01, 8).alias("block"), F.min(F.when(F.col("truth") == 1, F.col("score"))).alias("review")), "SELECT attack_kind, round(max(score) FILTER (truth = 0) + 0.01, 8) AS block, min(score) FILTER (truth = 1) AS review FROM predictions GROUP BY attack_kind")
+add("adaptive_threshold_ema", "predictions", lambda d: d.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("doc_id", "score"))).alias("s")).select("model", F.round(F.aggregate("s", F.lit(0.72), lambda acc, x: acc * 0.98 + x["score"] * 0.02), 8).alias("threshold")))
+add("fpr_budget", "predictions", lambda d: d.withColumn("spent", F.sum((F.col("blocked") & (F.col("truth") == 0)).cast("int")).over(Window.partitionBy("model").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).select("doc_id", "spent", (F.col("spent") > 5).alias("over")), "SELECT doc_id, spent, spent > 5 AS over FROM (SELECT doc_id, sum((blocked AND truth = 0)::INT) OVER (PARTITION BY model ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM predictions)")
+add("session_context", "actions", lambda d: d.withColumn("seen", F.collect_set("template").over(sessions.by_session().rowsBetween(Window.unboundedPreceding, 0))).select("session_id", "step", F.size("seen").cast("bigint").alias("stages")), "SELECT session_id, step, count(DISTINCT template) OVER (PARTITION BY session_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS stages FROM actions")
+add("scan_session_report", "actions", lambda d: sessions.session_scan(d).groupBy("session_id").agg(F.max("triggers").alias("most"), F.bool_or(F.col("decision") == "BLOCK").alias("blocked")))
+add("top_features", "actions", lambda d: d.select("label", F.explode(F.array_distinct(F.split(F.lower("action"), r"\W+"))).alias("w")).where("w <> ''").groupBy("w").agg((F.count_if(F.col("label") == "malicious") - F.count_if(F.col("label") == "benign")).alias("weight")).orderBy(F.desc("weight"), "w").limit(20))

@@ -15,11 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = ACTION_SCHEMA) -> DataFrame:
-    """JSON lines; blank and broken lines are skipped."""
+def parse_json_lines(lines: DataFrame, schema: T.StructType = ACTION_SCHEMA) -> DataFrame:
+    """Records of a table of lines (``value``); blank and broken lines are skipped."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return rows.where(F.col("r._bad").isNull()).select("r.*").drop("_bad")
+
+
+def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = ACTION_SCHEMA) -> DataFrame:
+    return parse_json_lines(spark.read.text(path), schema)
 
 
 def sink_jsonl(df: DataFrame, path: str) -> None:

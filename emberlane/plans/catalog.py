@@ -31,12 +31,12 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-A = F.col("action")
 ID = "session_id, step"
 
 
-def _sel(*cols):
-    return lambda df: df.select("session_id", "step", *cols)
+def _sel(cols):
+    """A projection of each step; ``cols`` makes the columns when the query is built, as that takes a session."""
+    return lambda df: df.select("session_id", "step", *cols())
 
 
 def _rx(column: str, patterns, flags: str = "i") -> str:
@@ -53,18 +53,18 @@ def _strip_inline(p: str) -> str:
 
 # ---- scans and projections ---------------------------------------------------------------------------
 add("scan_parquet", "documents", lambda d: d.select("doc_id", "lang", "source", "n_chars"), "SELECT doc_id, lang, source, n_chars FROM documents")
-add("normalize_homoglyphs", "actions", _sel(text.normalize_homoglyphs(A).alias("out")), f"SELECT {ID}, translate(action, '{''.join(text.HOMOGLYPHS)}', '{''.join(text.HOMOGLYPHS.values())}') AS out FROM actions")
-add("normalize_whitespace", "actions", _sel(text.normalize_whitespace(A).alias("out")), rf"SELECT {ID}, trim(regexp_replace(action, '\s+', ' ', 'g')) AS out FROM actions")
+add("normalize_homoglyphs", "actions", _sel(lambda: [text.normalize_homoglyphs(F.col("action")).alias("out")]), f"SELECT {ID}, translate(action, '{''.join(text.HOMOGLYPHS)}', '{''.join(text.HOMOGLYPHS.values())}') AS out FROM actions")
+add("normalize_whitespace", "actions", _sel(lambda: [text.normalize_whitespace(F.col("action")).alias("out")]), rf"SELECT {ID}, trim(regexp_replace(action, '\s+', ' ', 'g')) AS out FROM actions")
 add("remove_zero_width", "documents", lambda d: d.select("doc_id", F.length(text.remove_zero_width(F.col("text"))).alias("n")), "SELECT doc_id, length(regexp_replace(text, '[­​‌‍﻿⁠᠎  ‪-‮]', '', 'g')) AS n FROM documents")
 _LEET_SQL = f"CASE WHEN regexp_matches(action, {_quote(chr(94) + r's*(?:' .replace('s*', chr(92) + 's*') + '|'.join(text.SHELL_COMMANDS) + ')' + chr(92) + 'b')}, 'i') THEN action ELSE translate(action, '{''.join(text.LEET)}', '{''.join(text.LEET.values())}') END"
-add("normalize_leet", "actions", _sel(text.normalize_leet(A).alias("out")), f"SELECT {ID}, {_LEET_SQL} AS out FROM actions")
+add("normalize_leet", "actions", _sel(lambda: [text.normalize_leet(F.col("action")).alias("out")]), f"SELECT {ID}, {_LEET_SQL} AS out FROM actions")
 _PLACE_SQL = "text"
 for _p, _t in text.PLACEHOLDERS:
     _PLACE_SQL = f"regexp_replace({_PLACE_SQL}, {_quote(_p)}, '{_t}', 'g')"
-add("placeholder_normalize", "actions", _sel(text.placeholder_normalize(A).alias("out")), f"SELECT {ID}, {_PLACE_SQL.replace('(text', '(action')} AS out FROM actions")
+add("placeholder_normalize", "actions", _sel(lambda: [text.placeholder_normalize(F.col("action")).alias("out")]), f"SELECT {ID}, {_PLACE_SQL.replace('(text', '(action')} AS out FROM actions")
 add("template_normalize", "documents", lambda d: d.select("doc_id", F.md5(text.template_normalize(F.col("text"))).alias("out")), "SELECT doc_id, md5(regexp_replace(lower(text), '[^a-z ]', '', 'g')) AS out FROM documents")
-add("ml_preprocess", "actions", _sel(text.ml_preprocess(A).alias("out")), rf"""SELECT {ID}, trim(regexp_replace(regexp_replace(regexp_replace(action, '(\w+)\((.*?)\)', '\1 \2', 'g'), '[="'',]', ' ', 'g'), '\s+', ' ', 'g')) AS out FROM actions""")
-add("pre_normalise", "actions", _sel(text.pre_normalise(A).alias("out")), f"SELECT {ID}, translate(action, '{''.join(text.LEET)}', '{''.join(text.LEET.values())}') AS out FROM actions")
+add("ml_preprocess", "actions", _sel(lambda: [text.ml_preprocess(F.col("action")).alias("out")]), rf"""SELECT {ID}, trim(regexp_replace(regexp_replace(regexp_replace(action, '(\w+)\((.*?)\)', '\1 \2', 'g'), '[="'',]', ' ', 'g'), '\s+', ' ', 'g')) AS out FROM actions""")
+add("pre_normalise", "actions", _sel(lambda: [text.pre_normalise(F.col("action")).alias("out")]), f"SELECT {ID}, translate(action, '{''.join(text.LEET)}', '{''.join(text.LEET.values())}') AS out FROM actions")
 _NORMAL = f"translate(action, '{''.join(text.LEET)}', '{''.join(text.LEET.values())}')"
 _FIRED = _sql_array([(n + "/" + d, f"regexp_matches({'action' if n.startswith('rce_') else 'normal'}, {_quote(p)}, 'is')") for n, d, p in rules.SCAN_RULES])
 _SCAN_SQL = f"""SELECT {ID}, CASE WHEN len(block) > 0 THEN 'BLOCK' WHEN len(fired) > 0 THEN 'MONITOR' ELSE 'ALLOW' END AS decision,
@@ -73,46 +73,46 @@ FROM (SELECT *, list_filter(fired, lambda x: x LIKE '%/BLOCK') AS block FROM (
  SELECT *, CASE WHEN (contains(lower(action), 'curl ') OR contains(lower(action), 'wget ')) AND (contains(lower(action), '| bash') OR contains(lower(action), '| sh')) THEN ['rce_fetch_pipe_shell/BLOCK']
   WHEN list_contains(f, 'override_instructions/BLOCK') THEN list_filter(f, lambda x: x <> 'override_instructions_fuzzy/BLOCK') ELSE f END AS fired FROM (
  SELECT *, list_concat(CASE WHEN regexp_matches(action, {_quote(rules.LEET_RULE)}, 'is') THEN ['override_instructions_obfuscated/BLOCK'] ELSE [] END, {_FIRED}) AS f FROM (SELECT *, {_NORMAL} AS normal FROM actions))))"""
-add("rule_scan", "actions", lambda d: d.withColumn("normal", text.pre_normalise(A)).withColumn("s", rules.rule_scan(A, F.col("normal"))).select("session_id", "step", "s.decision", "s.rule_fired", F.size("s.rules").cast("bigint").alias("n_rules")), _SCAN_SQL)
-add("leet_rule", "actions", _sel(rules.matches(A, rules.LEET_RULE, "is").alias("hit")), f"SELECT {ID}, regexp_matches(action, {_quote(rules.LEET_RULE)}, 'is') AS hit FROM actions")
-add("fetch_pipe_shell", "actions", _sel(rules.fetch_pipe_shell(A).alias("hit")), f"SELECT {ID}, (contains(lower(action), 'curl ') OR contains(lower(action), 'wget ')) AND (contains(lower(action), '| bash') OR contains(lower(action), '| sh')) AS hit FROM actions")
+add("rule_scan", "actions", lambda d: d.withColumn("normal", text.pre_normalise(F.col("action"))).withColumn("s", rules.rule_scan(F.col("action"), F.col("normal"))).select("session_id", "step", "s.decision", "s.rule_fired", F.size("s.rules").cast("bigint").alias("n_rules")), _SCAN_SQL)
+add("leet_rule", "actions", _sel(lambda: [rules.matches(F.col("action"), rules.LEET_RULE, "is").alias("hit")]), f"SELECT {ID}, regexp_matches(action, {_quote(rules.LEET_RULE)}, 'is') AS hit FROM actions")
+add("fetch_pipe_shell", "actions", _sel(lambda: [rules.fetch_pipe_shell(F.col("action")).alias("hit")]), f"SELECT {ID}, (contains(lower(action), 'curl ') OR contains(lower(action), 'wget ')) AND (contains(lower(action), '| bash') OR contains(lower(action), '| sh')) AS hit FROM actions")
 _FLAGS_SQL = _sql_array([(f, "(" + " OR ".join(f"regexp_matches(action, {_quote(_strip_inline(p))}, '{'is' if p.startswith('(?s)') else 'i'}')" for p in ps) + ")") for f, ps in rules.FLAGS.items()])
-add("extract_flags", "actions", _sel(F.array_join(rules.extract_flags(A), ",").alias("flags")), f"SELECT {ID}, array_to_string({_FLAGS_SQL}, ',') AS flags FROM actions")
+add("extract_flags", "actions", _sel(lambda: [F.array_join(rules.extract_flags(F.col("action")), ",").alias("flags")]), f"SELECT {ID}, array_to_string({_FLAGS_SQL}, ',') AS flags FROM actions")
 _TOOLS = {n: s for s, names in rules.FUNCTION_RISK.items() for n in names.split()}
 add("function_risk", "actions", lambda d: d.select("session_id", "step", F.regexp_extract("action", r"^([A-Za-z_]\w*)\(", 1).alias("tool")).where("tool <> ''").select("*", rules.function_risk(F.col("tool")).alias("severity")),
     rf"SELECT *, CASE {' '.join(f'WHEN tool = {_quote(n)} THEN {s}' for n, s in _TOOLS.items())} END AS severity FROM (SELECT {ID}, regexp_extract(action, '^([A-Za-z_]\w*)\(', 1) AS tool FROM actions) WHERE tool <> ''")
 _NOLOOK = {c: tuple(p for p in ps if "(?<" not in p and "(?!" not in p) for c, ps in rules.CAPABILITIES.items()}
 _REQ_SQL = f"list_sort({_sql_array([(c, _rx('action', ps, 'im')) for c, ps in _NOLOOK.items()])})"
-add("required_capabilities", "actions", _sel(F.array_join(rules.required_capabilities(A), ",").alias("caps")), f"SELECT {ID}, array_to_string({_REQ_SQL}, ',') AS caps FROM actions")
+add("required_capabilities", "actions", _sel(lambda: [F.array_join(rules.required_capabilities(F.col("action")), ",").alias("caps")]), f"SELECT {ID}, array_to_string({_REQ_SQL}, ',') AS caps FROM actions")
 _MISSING_SQL = f"list_filter(req, lambda x: NOT list_contains([{', '.join(map(_quote, rules.GRANTED))}], x))"
-add("permission_gate", "actions", lambda d: d.withColumn("g", rules.permission_gate(rules.required_capabilities(A))).select("session_id", "step", F.array_join("g.missing", ",").alias("missing"), "g.severity", "g.confidence", "g.critical"),
+add("permission_gate", "actions", lambda d: d.withColumn("g", rules.permission_gate(rules.required_capabilities(F.col("action")))).select("session_id", "step", F.array_join("g.missing", ",").alias("missing"), "g.severity", "g.confidence", "g.critical"),
     f"""SELECT {ID}, array_to_string(missing, ',') AS missing, severity, CASE severity WHEN 92 THEN 0.93 WHEN 90 THEN 0.95 WHEN 60 THEN 0.85 WHEN 40 THEN 0.80 END::DOUBLE AS confidence, coalesce(severity >= 90, false) AS critical FROM (
  SELECT *, CASE WHEN len(missing) = 0 THEN NULL WHEN list_has_all(req, ['secrets.read', 'network.external', 'policy.override']) THEN 92 WHEN list_has_any(missing, ['secrets.read', 'database.access', 'shell.recon']) THEN 90 WHEN len(missing) >= 2 THEN 60 ELSE 40 END AS severity FROM (
  SELECT *, {_MISSING_SQL} AS missing FROM (SELECT *, {_REQ_SQL} AS req FROM actions)))""")
-add("missing_perms", "actions", _sel(F.size(F.array_except(rules.required_capabilities(A), F.array(*map(F.lit, rules.GRANTED)))).cast("bigint").alias("n")), f"SELECT {ID}, len({_MISSING_SQL}) AS n FROM (SELECT *, {_REQ_SQL} AS req FROM actions)")
+add("missing_perms", "actions", _sel(lambda: [F.size(F.array_except(rules.required_capabilities(F.col("action")), F.array(*map(F.lit, rules.GRANTED)))).cast("bigint").alias("n")]), f"SELECT {ID}, len({_MISSING_SQL}) AS n FROM (SELECT *, {_REQ_SQL} AS req FROM actions)")
 _PAIRS_SQL = "list_reverse_sort(list_filter([" + ", ".join(f"CASE WHEN list_has_all(req, ['{a}', '{b}']) THEN {s} END" for (a, b), s in rules.HIGH_RISK_COMBOS) + "], lambda x: x IS NOT NULL))"
-add("high_risk_combos", "actions", _sel(F.array_join(rules.high_risk_combos(rules.required_capabilities(A)).cast("array<string>"), ",").alias("severities")), f"SELECT {ID}, array_to_string({_PAIRS_SQL}, ',') AS severities FROM (SELECT *, {_REQ_SQL} AS req FROM actions)")
-add("infer_action_type", "actions", _sel(F.when(A.rlike(r"^[A-Za-z_]\w*\("), "tool_call").otherwise("prompt").alias("kind")), rf"SELECT {ID}, CASE WHEN regexp_matches(action, '^[A-Za-z_]\w*\(') THEN 'tool_call' ELSE 'prompt' END AS kind FROM actions")
-add("extract_tool_resource", "actions", _sel(F.regexp_extract("action", r"^([A-Za-z_]\w*)\(", 1).alias("tool"), F.left(F.regexp_extract("action", r"""=\s*["']?([^"',)]+)""", 1), F.lit(120)).alias("resource")),
+add("high_risk_combos", "actions", _sel(lambda: [F.array_join(rules.high_risk_combos(rules.required_capabilities(F.col("action"))).cast("array<string>"), ",").alias("severities")]), f"SELECT {ID}, array_to_string({_PAIRS_SQL}, ',') AS severities FROM (SELECT *, {_REQ_SQL} AS req FROM actions)")
+add("infer_action_type", "actions", _sel(lambda: [F.when(F.col("action").rlike(r"^[A-Za-z_]\w*\("), "tool_call").otherwise("prompt").alias("kind")]), rf"SELECT {ID}, CASE WHEN regexp_matches(action, '^[A-Za-z_]\w*\(') THEN 'tool_call' ELSE 'prompt' END AS kind FROM actions")
+add("extract_tool_resource", "actions", _sel(lambda: [F.regexp_extract("action", r"^([A-Za-z_]\w*)\(", 1).alias("tool"), F.left(F.regexp_extract("action", r"""=\s*["']?([^"',)]+)""", 1), F.lit(120)).alias("resource")]),
     rf"""SELECT {ID}, regexp_extract(action, '^([A-Za-z_]\w*)\(', 1) AS tool, left(regexp_extract(action, '=\s*["'']?([^"'',)]+)', 1), 120) AS resource FROM actions""")
-add("decision_to_tier", "actions", lambda d: d.withColumn("normal", text.pre_normalise(A)).select("session_id", "step", rules.rule_scan(A, F.col("normal"))["decision"].alias("d")).select("session_id", "step", F.when(F.col("d") == "BLOCK", "QUARANTINE").when(F.col("d") == "MONITOR", "REVIEW").otherwise("ALLOW").alias("tier")),
+add("decision_to_tier", "actions", lambda d: d.withColumn("normal", text.pre_normalise(F.col("action"))).select("session_id", "step", rules.rule_scan(F.col("action"), F.col("normal"))["decision"].alias("d")).select("session_id", "step", F.when(F.col("d") == "BLOCK", "QUARANTINE").when(F.col("d") == "MONITOR", "REVIEW").otherwise("ALLOW").alias("tier")),
     f"SELECT {ID}, CASE decision WHEN 'BLOCK' THEN 'QUARANTINE' WHEN 'MONITOR' THEN 'REVIEW' ELSE 'ALLOW' END AS tier FROM ({_SCAN_SQL})")
-add("keyword_match", "actions", _sel(F.exists(F.array(*map(F.lit, ("password", "ignore all", "rm -rf"))), lambda k: F.lower(A).contains(k)).alias("hit")), f"SELECT {ID}, contains(lower(action), 'password') OR contains(lower(action), 'ignore all') OR contains(lower(action), 'rm -rf') AS hit FROM actions")
+add("keyword_match", "actions", _sel(lambda: [F.exists(F.array(*map(F.lit, ("password", "ignore all", "rm -rf"))), lambda k: F.lower(F.col("action")).contains(k)).alias("hit")]), f"SELECT {ID}, contains(lower(action), 'password') OR contains(lower(action), 'ignore all') OR contains(lower(action), 'rm -rf') AS hit FROM actions")
 add("standardize_url", "pages", lambda d: d.select("page_id", F.regexp_replace(F.regexp_replace("url", "^https://", ""), "^http://", "").alias("url")), "SELECT page_id, regexp_replace(regexp_replace(url, '^https://', ''), '^http://', '') AS url FROM pages")
 add("redact", "documents", lambda d: d.select("doc_id", rules.redact(F.col("text")).alias("t")).select("doc_id", F.md5("t").alias("redacted"), F.regexp_count("t", F.lit(r"\[REDACTED_")).alias("n")))
 add("luhn", "documents", lambda d: d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({rules.CARD})"), F.lit(1))).alias("card")).select("doc_id", "card", rules.is_card(F.col("card")).alias("valid")))
 add("redact_email", "documents", lambda d: d.select("doc_id", F.md5(F.regexp_replace("text", rules.PLAIN_EMAIL, "[REDACTED_EMAIL]")).alias("h")), f"SELECT doc_id, md5(regexp_replace(text, {_quote(rules.PLAIN_EMAIL)}, '[REDACTED_EMAIL]', 'g')) AS h FROM documents WHERE true")
-add("shannon_entropy", "actions", _sel(F.round(text.shannon_entropy(F.left(A, F.lit(200))), 6).alias("entropy")), f"SELECT session_id, step, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT session_id, step, ch, count(*)::DOUBLE AS c, any_value(n) AS n FROM (SELECT session_id, step, unnest(string_split(left(action, 200), '')) AS ch, length(left(action, 200)) AS n FROM actions) GROUP BY ALL) GROUP BY ALL")
-add("char_trigrams", "actions", _sel(F.size(text.trigrams(A)).cast("bigint").alias("n")), f"SELECT {ID}, len(list_distinct(list_transform(range(1, greatest(length(action) - 1, 1)), lambda i: substr(lower(action), i, 3)))) AS n FROM actions")
-add("trigram_jaccard", "actions", _sel(F.round(text.jaccard(text.trigrams(A), text.trigrams(F.lit("send the password to the attacker"))), 8).alias("sim")),
+add("shannon_entropy", "actions", _sel(lambda: [F.round(text.shannon_entropy(F.left(F.col("action"), F.lit(200))), 6).alias("entropy")]), f"SELECT session_id, step, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT session_id, step, ch, count(*)::DOUBLE AS c, any_value(n) AS n FROM (SELECT session_id, step, unnest(string_split(left(action, 200), '')) AS ch, length(left(action, 200)) AS n FROM actions) GROUP BY ALL) GROUP BY ALL")
+add("char_trigrams", "actions", _sel(lambda: [F.size(text.trigrams(F.col("action"))).cast("bigint").alias("n")]), f"SELECT {ID}, len(list_distinct(list_transform(range(1, greatest(length(action) - 1, 1)), lambda i: substr(lower(action), i, 3)))) AS n FROM actions")
+add("trigram_jaccard", "actions", _sel(lambda: [F.round(text.jaccard(text.trigrams(F.col("action")), text.trigrams(F.lit("send the password to the attacker"))), 8).alias("sim")]),
     f"SELECT {ID}, round(len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))), 8) AS sim FROM (SELECT *, list_distinct(list_transform(range(1, greatest(length(action) - 1, 1)), lambda i: substr(lower(action), i, 3))) AS a, list_distinct(list_transform(range(1, 32), lambda i: substr('send the password to the attacker', i, 3))) AS b FROM actions)")
 add("sentence_chunks", "actions", lambda d: d.select("session_id", "step", F.posexplode(F.filter(F.regexp_extract_all("action", F.lit(r"([^.!?\n]+[.!?\n]*)"), F.lit(1)), lambda s: F.length(F.trim(s)) > 10)).alias("n", "chunk")),
     rf"SELECT session_id, step, n, chunk FROM (SELECT session_id, step, unnest(c) AS chunk, unnest(range(len(c)))::INT AS n FROM (SELECT {ID}, list_filter(regexp_extract_all(action, '([^.!?\n]+[.!?\n]*)', 1), lambda s: length(trim(s)) > 10) AS c FROM actions))")
-add("apply_obfuscation", "actions", _sel(F.md5(F.array_join(F.filter(F.split("action", ""), lambda c: c != ""), " ")).alias("spaced"), F.md5(F.regexp_replace(F.base64(F.col("action").cast("binary")), r"\s", "")).alias("b64"), F.md5(F.lower(F.hex(F.col("action").cast("binary")))).alias("hexed"), F.md5(F.reverse("action")).alias("reversed")),
+add("apply_obfuscation", "actions", _sel(lambda: [F.md5(F.array_join(F.filter(F.split("action", ""), lambda c: c != ""), " ")).alias("spaced"), F.md5(F.regexp_replace(F.base64(F.col("action").cast("binary")), r"\s", "")).alias("b64"), F.md5(F.lower(F.hex(F.col("action").cast("binary")))).alias("hexed"), F.md5(F.reverse("action")).alias("reversed")]),
     f"SELECT {ID}, md5(array_to_string(string_split(action, ''), ' ')) AS spaced, md5(base64(encode(action))) AS b64, md5(lower(hex(encode(action)))) AS hexed, md5(reverse(action)) AS reversed FROM actions")
-add("obf_leet", "actions", _sel(F.translate("action", "aeiost", "431057").alias("out")), f"SELECT {ID}, translate(action, 'aeiost', '431057') AS out FROM actions")
-add("map_labels", "actions", _sel(F.when(F.lower("label").isin("malicious", "injection", "1"), 1).otherwise(0).alias("y")), f"SELECT {ID}, CASE WHEN lower(label) IN ('malicious', 'injection', '1') THEN 1 ELSE 0 END AS y FROM actions")
-add("classify_error", "actions", _sel(F.array_join(F.array_compact(F.array(*[F.when(rules.matches(A, p), F.lit(n)) for n, p in (("shell", r"\b(?:curl|rm|cat|find)\b"), ("persona", r"\byou are\b"), ("override", r"\bignore\b"), ("exfil", r"\b(?:send|forward)\b"))])), ",").alias("tags")),
+add("obf_leet", "actions", _sel(lambda: [F.translate("action", "aeiost", "431057").alias("out")]), f"SELECT {ID}, translate(action, 'aeiost', '431057') AS out FROM actions")
+add("map_labels", "actions", _sel(lambda: [F.when(F.lower("label").isin("malicious", "injection", "1"), 1).otherwise(0).alias("y")]), f"SELECT {ID}, CASE WHEN lower(label) IN ('malicious', 'injection', '1') THEN 1 ELSE 0 END AS y FROM actions")
+add("classify_error", "actions", _sel(lambda: [F.array_join(F.array_compact(F.array(*[F.when(rules.matches(F.col("action"), p), F.lit(n)) for n, p in (("shell", r"\b(?:curl|rm|cat|find)\b"), ("persona", r"\byou are\b"), ("override", r"\bignore\b"), ("exfil", r"\b(?:send|forward)\b"))])), ",").alias("tags")]),
     f"SELECT {ID}, array_to_string({_sql_array([(n, _rx('action', (p,))) for n, p in (('shell', chr(92) + 'b(?:curl|rm|cat|find)' + chr(92) + 'b'), ('persona', chr(92) + 'byou are' + chr(92) + 'b'), ('override', chr(92) + 'bignore' + chr(92) + 'b'), ('exfil', chr(92) + 'b(?:send|forward)' + chr(92) + 'b'))])}, ',') AS tags FROM actions")
 add("semantic_anchor", "embeddings", lambda d: d.select("vec_id", F.round(text.cosine(F.col("embedding"), F.array(*[F.lit(float(i % 7) - 3) for i in range(64)])), 6).alias("sim")), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: (i % 7)::DOUBLE - 3)), 6) AS sim FROM embeddings")
 add("ensemble_proba", "predictions", lambda d: d.select("doc_id", F.round(0.4 * F.col("score") + 0.6 * (1 - F.col("score")), 10).alias("p")), "SELECT doc_id, round(0.4 * score + 0.6 * (1 - score), 10) AS p FROM predictions")
@@ -143,7 +143,7 @@ for _key, _how, _word in (("anti_join", "left_anti", "NOT EXISTS"), ("semi_join"
     add(_key, "actions", lambda d, how=_how: d.select("session_id", "step").join(d.where("template = 't0'").select("session_id").distinct(), "session_id", how), f"SELECT session_id, step FROM actions a WHERE {_word} (SELECT 1 FROM actions b WHERE b.session_id = a.session_id AND b.template = 't0')")
 add("dedup_cross_dataset", "actions", lambda d: curation.cross_dataset_overlap(d, "action", "source_dataset"),
     'WITH k AS (SELECT DISTINCT source_dataset AS s, md5(action) AS h FROM actions), n AS (SELECT s, count(*) AS n FROM k GROUP BY s) SELECT a.s AS "left", b.s AS "right", count(*) AS shared, round(count(*) / least(any_value(na.n), any_value(nb.n)), 8) AS overlap FROM k a JOIN k b ON a.h = b.h AND a.s < b.s JOIN n na ON na.s = a.s JOIN n nb ON nb.s = b.s GROUP BY a.s, b.s'.replace("WITH k AS", "SELECT * FROM (WITH k AS") + ")")
-add("action_chain", "actions", lambda d: sessions.action_chain(d, rules.matches(A, r"\bwhoami\b"), rules.matches(A, r"\bsend"), 180, "recon_exfil"),
+add("action_chain", "actions", lambda d: sessions.action_chain(d, rules.matches(F.col("action"), r"\bwhoami\b"), rules.matches(F.col("action"), r"\bsend"), 180, "recon_exfil"),
     r"SELECT a.session_id, 'recon_exfil' AS rule, a.step AS pre_step, arg_min(b.step, b.ts) AS post_step FROM actions a JOIN actions b ON a.session_id = b.session_id AND b.ts > a.ts AND b.ts <= a.ts + 180 WHERE regexp_matches(a.action, '\bwhoami\b', 'i') AND regexp_matches(b.action, '\bsend', 'i') GROUP BY a.session_id, a.step")
 add("taint_overlap", "actions", sessions.taint_overlap)
 add("rule_broadcast_join", "predictions", lambda d: d.join(F.broadcast(d.sparkSession.createDataFrame([("Tier0", 3), ("Tier0.5", 2), ("V61", 1)], "layer string, weight int")), "layer", "left").select("doc_id", "layer", "weight"), "SELECT doc_id, layer, weight FROM predictions LEFT JOIN (VALUES ('Tier0', 3), ('Tier0.5', 2), ('V61', 1)) v(layer, weight) USING (layer)")
@@ -166,14 +166,20 @@ add("router_latency", "predictions", lambda d: metrics.latency_stats(d, "latency
 add("fp_fn_breakdown", "predictions", lambda d: d.where("blocked <> (truth = 1)").groupBy("layer", "attack_kind", F.col("blocked").alias("is_fp")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "layer", "attack_kind", "is_fp").limit(5), "SELECT layer, attack_kind, blocked AS is_fp, count(*) AS n FROM predictions WHERE blocked <> (truth = 1) GROUP BY ALL ORDER BY n DESC, layer, attack_kind, is_fp LIMIT 5")
 add("dataset_stats", "actions", lambda d: d.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("label") == "malicious").alias("malicious"), F.count_if(F.col("label") == "benign").alias("benign"), F.countDistinct("session_id").alias("sessions")), "SELECT count(*) AS total, count(*) FILTER (label = 'malicious') AS malicious, count(*) FILTER (label = 'benign') AS benign, count(DISTINCT session_id) AS sessions FROM actions")
 add("suite_utility", "results", lambda d: d.groupBy("suite").agg(F.round(F.avg(F.col("utility").cast("int")), 8).alias("utility")), "SELECT suite, round(avg(utility::INT), 8) AS utility FROM results GROUP BY suite")
-_MEANS = [F.round(F.avg(F.col(c).cast("int")), 8).alias(c) for c in ("utility", "security")]
-add("results_table", "results", lambda d: d.groupBy("model", "defense", "suite", "user_task", "injection_task").agg(*_MEANS), "SELECT model, defense, suite, user_task, injection_task, round(avg(utility::INT), 8) AS utility, round(avg(security::INT), 8) AS security FROM results GROUP BY ALL")
+
+
+def _means():
+    return [F.round(F.avg(F.col(c).cast("int")), 8).alias(c) for c in ("utility", "security")]
+
+
+
+add("results_table", "results", lambda d: d.groupBy("model", "defense", "suite", "user_task", "injection_task").agg(*_means()), "SELECT model, defense, suite, user_task, injection_task, round(avg(utility::INT), 8) AS utility, round(avg(security::INT), 8) AS security FROM results GROUP BY ALL")
 add("asr_by_group", "results", lambda d: d.groupingSets([["model"], ["suite"], ["model", "suite"]], "model", "suite").agg(F.round(F.avg(F.col("security").cast("int")), 8).alias("asr")), "SELECT model, suite, round(avg(security::INT), 8) AS asr FROM results GROUP BY GROUPING SETS ((model), (suite), (model, suite))")
 add("max_attack", "results", lambda d: d.groupBy("suite", "user_task", "injection_task").agg(F.bool_or("security").alias("security"), F.bool_and("utility").alias("utility")), "SELECT suite, user_task, injection_task, bool_or(security) AS security, bool_and(utility) AS utility FROM results GROUP BY ALL")
 add("proportion_ci", "results", lambda d: metrics.proportion_ci(d, "security", ["model"]), "SELECT model, n, round(m, 8) AS mean, round(greatest(0, m - h), 8) AS low, round(least(1, m + h), 8) AS high FROM (SELECT *, 1.959964::DOUBLE * sqrt(m * (1 - m) / n) AS h FROM (SELECT model, avg(security::INT) AS m, count(*) AS n FROM results GROUP BY model))")
 add("wilson_ci", "results", lambda d: metrics.wilson_ci(d, "security", ["suite"]), "SELECT suite, n, round((p + z2 / (2 * n)) / (1 + z2 / n) - h, 8) AS low, round((p + z2 / (2 * n)) / (1 + z2 / n) + h, 8) AS high FROM (SELECT *, 1.959964::DOUBLE * sqrt(p * (1 - p) / n + z2 / (4.0 * n * n)) / (1 + z2 / n) AS h FROM (SELECT suite, avg(security::INT) AS p, count(*) AS n, 1.959964::DOUBLE * 1.959964 AS z2 FROM results GROUP BY suite))")
 add("asr_position_bins", "results", lambda d: d.groupBy(F.least(F.floor(F.col("position") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("security").cast("int")), 8).alias("asr")), "SELECT least(floor(position * 10)::BIGINT, 9) AS bin, count(*) AS n, round(avg(security::INT), 8) AS asr FROM results GROUP BY 1")
-_BYM = lambda d: d.groupBy("model", "suite").agg(*_MEANS)
+_BYM = lambda d: d.groupBy("model", "suite").agg(*_means())
 _BYM_SQL = "(SELECT model, suite, round(avg(utility::INT), 8) AS utility, round(avg(security::INT), 8) AS security FROM results GROUP BY ALL)"
 for _key, _y in (("pareto_front", "security"), ("pareto_back", "inv")):
     add(_key, "results", lambda d, y=_y: metrics.pareto_front(_BYM(d).withColumn("inv", F.round(1 - F.col("security"), 8)), "utility", y).select("utility", y).distinct(), f"SELECT DISTINCT utility, {_y} FROM (SELECT *, max({_y}) OVER (ORDER BY utility DESC, {_y} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT *, round(1 - security, 8) AS inv FROM {_BYM_SQL})) WHERE best IS NULL OR {_y} > best")
@@ -202,13 +208,13 @@ add("user_goal", "actions", lambda d: sessions.user_goal(d).select("session_id",
 _LAST = "last_value(CASE WHEN list_contains(flags, '{0}') THEN step END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _ACTIVE = _sql_array([(f, f"step - {_LAST.format(f)} <= 20") for f in rules.FLAGS])
 _STATE_SQL = f"SELECT session_id, step, flags, {_ACTIVE} AS active FROM (SELECT *, {_FLAGS_SQL} AS flags FROM actions)"
-add("flag_state", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(A))).select("session_id", "step", F.array_join("active_flags", ",").alias("active")), f"SELECT session_id, step, array_to_string(active, ',') AS active FROM ({_STATE_SQL})")
+add("flag_state", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(F.col("action")))).select("session_id", "step", F.array_join("active_flags", ",").alias("active")), f"SELECT session_id, step, array_to_string(active, ',') AS active FROM ({_STATE_SQL})")
 _COMBO = "list_max(list_filter([" + ", ".join(f"CASE WHEN list_has_all(active, [{', '.join(map(_quote, fl))}]) AND list_has_any(flags, [{', '.join(map(_quote, fl))}]) THEN {{'risk': {r}::DOUBLE, 'o': {-i}, 'combo': {_quote(t)}}} END" for i, (fl, r, t, _) in enumerate(rules.COMBOS)) + "], lambda x: x IS NOT NULL))"
-add("combo_check", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(A))).select("session_id", "step", rules.combo_check(F.col("active_flags"), F.col("flags")).alias("h")).select("session_id", "step", "h.risk", "h.combo"), f"SELECT session_id, step, h.risk AS risk, h.combo AS combo FROM (SELECT session_id, step, {_COMBO} AS h FROM ({_STATE_SQL}))")
+add("combo_check", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(F.col("action")))).select("session_id", "step", rules.combo_check(F.col("active_flags"), F.col("flags")).alias("h")).select("session_id", "step", "h.risk", "h.combo"), f"SELECT session_id, step, h.risk AS risk, h.combo AS combo FROM (SELECT session_id, step, {_COMBO} AS h FROM ({_STATE_SQL}))")
 add("session_scan", "actions", lambda d: sessions.session_scan(d).select("session_id", "step", "combo", "triggers", "decision", "risk"))
 add("session_report", "actions", lambda d: sessions.session_scan(d).groupBy("session_id").agg(F.count(F.lit(1)).alias("actions"), F.count_if(F.col("decision") == "BLOCK").alias("blocks"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))), ",").alias("flags")))
 add("tier05_funnel", "actions", lambda d: sessions.session_scan(d).groupBy("session_id").agg(F.max(F.size("flags") > 0).alias("f"), F.max(F.col("combo").isNotNull()).alias("c"), F.max(F.col("decision") == "BLOCK").alias("b")).agg(F.count_if("f").alias("any_flag"), F.count_if("c").alias("any_combo"), F.count_if("b").alias("blocked")))
-add("cumulative_risk", "actions", lambda d: sessions.cumulative_risk(d.withColumn("risk", F.size(rules.extract_flags(A)) * 0.5)).select("session_id", "step", F.round("cumulative", 6).alias("cumulative"), "quarantined"),
+add("cumulative_risk", "actions", lambda d: sessions.cumulative_risk(d.withColumn("risk", F.size(rules.extract_flags(F.col("action"))) * 0.5)).select("session_id", "step", F.round("cumulative", 6).alias("cumulative"), "quarantined"),
     f"SELECT session_id, step, round(cumulative, 6) AS cumulative, max(cumulative >= 8.0) OVER w AS quarantined FROM (SELECT *, sum(CASE WHEN risk >= 0.5 THEN risk * exp(0.1::DOUBLE * h) ELSE 0 END) OVER w * exp(-0.1::DOUBLE * h) AS cumulative FROM (SELECT *, len({_FLAGS_SQL}) * 0.5::DOUBLE AS risk, (ts - min(ts) OVER (PARTITION BY session_id)) / 3600.0::DOUBLE AS h FROM actions) WINDOW w AS (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WINDOW w AS (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 add("lstm_features", "actions", sessions.sequence_features,
     r"""SELECT session_id, step, coalesce(ts - lag(ts) OVER w, 0) AS iat, length(action) AS payload, least(row_number() OVER w, 10) AS depth, count(DISTINCT CASE WHEN tool <> '' THEN tool END) OVER (PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS distinct_tools, row_number() OVER (PARTITION BY session_id, resource ORDER BY step) AS resource_freq FROM (SELECT *, regexp_extract(action, '^([A-Za-z_]\w*)\(', 1) AS tool, left(regexp_extract(action, '=\s*["'']?([^"'',)]+)', 1), 120) AS resource FROM actions) WINDOW w AS (PARTITION BY session_id ORDER BY step)""")
@@ -237,7 +243,7 @@ add("keep_all_plus_sample", "predictions", lambda d: d.where("attack_kind = 'mul
 add("union_layers", "actions", lambda d: d.select("session_id", "label").unionByName(d.where("label = 'malicious'").select("session_id"), allowMissingColumns=True).groupBy("label").agg(F.count(F.lit(1)).alias("n")), "SELECT label, count(*) AS n FROM (SELECT label FROM actions UNION ALL SELECT NULL FROM actions WHERE label = 'malicious') GROUP BY label")
 add("overlap_intersect", "actions", lambda d: d.where("source_dataset = 'src0'").select(F.md5("action").alias("h")).intersect(d.where("source_dataset = 'src1'").select(F.md5("action"))).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM (SELECT md5(action) FROM actions WHERE source_dataset = 'src0' INTERSECT SELECT md5(action) FROM actions WHERE source_dataset = 'src1')")
 add("concat_types", "results", lambda d: d.where("security").select("suite", F.lit("targeted").alias("kind")).unionAll(d.where("NOT security").select("suite", F.lit("untargeted"))).groupBy("suite", "kind").agg(F.count(F.lit(1)).alias("n")), "SELECT suite, CASE WHEN security THEN 'targeted' ELSE 'untargeted' END AS kind, count(*) AS n FROM results GROUP BY ALL")
-add("subset_test", "actions", _sel((F.size(F.array_except(F.array(F.lit("exfil_verb"), F.lit("sensitive_data_mention")), rules.extract_flags(A))) == 0).alias("hit")), f"SELECT {ID}, list_has_all({_FLAGS_SQL}, ['exfil_verb', 'sensitive_data_mention']) AS hit FROM actions")
+add("subset_test", "actions", _sel(lambda: [(F.size(F.array_except(F.array(F.lit("exfil_verb"), F.lit("sensitive_data_mention")), rules.extract_flags(F.col("action")))) == 0).alias("hit")]), f"SELECT {ID}, list_has_all({_FLAGS_SQL}, ['exfil_verb', 'sensitive_data_mention']) AS hit FROM actions")
 
 # ---- curation ----------------------------------------------------------------------------------------
 add("dedup_exact", "documents", lambda d: curation.dedup_exact(d.select("doc_id", "text"), "text", ["doc_id"]).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY sha256(lower(trim(text)))")

@@ -34,7 +34,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "calendar": (
         "events",
-        "SELECT event_id AS id, event_type AS title, props AS description, user_id, ts AS start_time, CAST(value * 60 AS BIGINT) AS seconds, CASE WHEN event_id % 7 = 0 THEN 'canceled' ELSE 'confirmed' END AS status FROM events",
+        "SELECT event_id AS id, event_type AS title, props AS description, user_id, ts AS start_time, CAST(floor(value * 60) AS BIGINT) AS seconds, CASE WHEN event_id % 7 = 0 THEN 'canceled' ELSE 'confirmed' END AS status FROM events",
     ),
     "files": (
         "documents",

@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
     gone = materialize(gone, "deleted")
     discard(*levels)
-    out = df.join(gone, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
+    # always a merge join, as at scale: a plan that broadcasts while the table is small would say nothing about it
+    out = df.join(gone.hint("merge"), F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
     out = out.withColumn("raw", _lines(F.col("text")))
     worded = F.filter(F.sequence(F.lit(0), F.size("raw") - 1), lambda i: F.get("raw", i).rlike(HAS_WORD))
     out = out.withColumn("worded", worded)

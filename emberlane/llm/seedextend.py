@@ -164,7 +164,8 @@ def find_items(symbols: np.ndarray, at: np.ndarray, width: int, seed: int) -> It
         high = np.flatnonzero(stop & ok)
         a = where[low]
         whole = (sums[high + width] - sums[low]) * inv[low]
-        parts.append((a + base, low + base, high + base, seeds[a] >> np.uint64(64 - HASH_BITS), wordhash.mix(whole + (a - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
+        # anchors have small hashes, so they are hashed anew: targets are ranges of an even spread
+        parts.append((a + base, low + base, high + base, wordhash.mix(seeds[a] + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - HASH_BITS), wordhash.mix(whole + (a - low).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (high - low).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))))
     if not parts:
         none = np.zeros(0, np.int64)
         return Items(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)

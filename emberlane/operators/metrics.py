@@ -102,21 +102,32 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def family_vote(signals: DataFrame) -> DataFrame:
-    """Score and tier per action: the strongest critical signal and a tenth of the others' mean, else the mean of the families' maxima."""
-    s = F.col("severity").cast("double")
+    """Score and tier per action.
+
+    Score: the strongest critical signal and a tenth of the others' sum, else the mean of the families' maxima above
+    zero, a fifth of it if the judge is sure of a harmless action. Tier: critical signals of two families, or of one
+    with support from the others, quarantine; else score and highest severity decide.
+    """
+    w = F.col("severity") * F.col("confidence")
     crit = F.col("is_critical")
     out = signals.groupBy("action_id").agg(
-        F.max(F.when(crit, s)).alias("top"),
-        F.avg(F.when(~crit, s)).alias("others"),
-        F.max(F.when(F.col("family") == "structural", s * F.col("confidence"))).alias("a"),
-        F.max(F.when(F.col("family") == "behavioural", s * F.col("confidence"))).alias("b"),
-        F.count_if(s * F.col("confidence") >= 30).alias("strong"),
+        F.max(F.when(crit, w)).alias("top"),
+        F.coalesce(F.sum(F.when(~crit, w)), F.lit(0.0)).alias("others"),
+        F.max(F.when(F.col("family") == "structural", w)).alias("a"),
+        F.max(F.when(F.col("family") != "structural", w)).alias("b"),
+        F.bool_or((F.col("name") == "v61_llm_judge") & (F.col("severity") <= 20) & (F.col("confidence") >= 0.8)).alias("harmless"),
+        F.countDistinct(F.when(crit, F.col("family"))).alias("sources"),
+        F.max("severity").alias("worst"),
     )
     some = F.filter(F.array("a", "b"), lambda v: v > 0)
     mean = F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda acc, v: acc + v) / F.size(some)).otherwise(F.lit(0.0))
-    score = F.when(F.col("top").isNotNull(), F.least(F.lit(100.0), F.col("top") + 0.1 * F.coalesce("others", F.lit(0.0)))).otherwise(mean)
-    out = out.select("action_id", F.round(score, 6).alias("score"), "strong", F.col("top").isNotNull().alias("critical"))
-    tier = F.when((F.col("score") >= 70) & (F.col("critical") | (F.col("strong") >= 2)), "QUARANTINE").when(F.col("score") >= 40, "REVIEW").when(F.col("score") >= 15, "MONITOR").otherwise("ALLOW")
+    score = F.when(F.col("top").isNotNull(), F.col("top") + 0.1 * F.col("others")).otherwise(mean * F.when(F.col("harmless"), 0.2).otherwise(1.0))
+    out = out.withColumn("score", F.round(F.least(F.lit(100.0), score), 6))
+    sure = (F.col("sources") >= 2) | ((F.col("sources") == 1) & (F.col("others") >= 20)) | (F.col("score") >= 90)
+    tier = (
+        F.when(sure, "QUARANTINE").when((F.col("score") >= 82) & (F.col("worst") > 85), "DENY")
+        .when((F.col("score") >= 68) | (F.col("worst") > 75), "REVIEW").when(F.col("score") >= 40, "MONITOR").otherwise("ALLOW")
+    )
     return out.select("action_id", "score", tier.alias("tier"))
 
 

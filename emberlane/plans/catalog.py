@@ -189,12 +189,11 @@ add("f1_sweep", "predictions", metrics.f1_sweep, f"SELECT arg_max(score, (f1, sc
 add("semantic_calibrate", "predictions", lambda d: d.where("truth = 0").agg(F.round(F.max("score") + 0.01, 8).alias("threshold")), "SELECT round(max(score) + 0.01, 8) AS threshold FROM predictions WHERE truth = 0")
 add("quality_gate", "predictions", lambda d: d.agg((F.count_if(F.expr("blocked AND truth = 0")) / F.count_if(F.expr("truth = 0")) <= 0.05).alias("fpr_ok")), "SELECT count(*) FILTER (blocked AND truth = 0) / count(*) FILTER (truth = 0) <= 0.05 AS fpr_ok FROM predictions")
 add("weighted_brier", "predictions", lambda d: d.agg(F.round(F.sum(F.when(F.col("truth") == 1, 2.0).otherwise(1.0) * F.pow(F.col("score") - F.col("truth"), 2)) / F.sum(F.when(F.col("truth") == 1, 2.0).otherwise(1.0)), 8).alias("brier")), "SELECT round(sum((CASE WHEN truth = 1 THEN 2.0 ELSE 1.0 END)::DOUBLE * (score - truth) ^ 2) / sum((CASE WHEN truth = 1 THEN 2.0 ELSE 1.0 END)::DOUBLE), 8) AS brier FROM predictions")
-add("vote_family", "signals", metrics.family_vote,
-    """SELECT action_id, round(score, 6) AS score, CASE WHEN round(score, 6) >= 70 AND (top IS NOT NULL OR strong >= 2) THEN 'QUARANTINE' WHEN round(score, 6) >= 40 THEN 'REVIEW' WHEN round(score, 6) >= 15 THEN 'MONITOR' ELSE 'ALLOW' END AS tier FROM (
- SELECT *, CASE WHEN top IS NOT NULL THEN least(100, top + 0.1::DOUBLE * coalesce(others, 0)) WHEN a > 0 AND b > 0 THEN (a + b) / 2 WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 0 END AS score FROM (
- SELECT action_id, max(severity::DOUBLE) FILTER (is_critical) AS top, avg(severity::DOUBLE) FILTER (NOT is_critical) AS others, max(severity * confidence) FILTER (family = 'structural') AS a, max(severity * confidence) FILTER (family = 'behavioural') AS b, count(*) FILTER (severity * confidence >= 30) AS strong FROM signals GROUP BY action_id))""")
+_VOTE = """(SELECT *, round(least(100, CASE WHEN top IS NOT NULL THEN top + 0.1::DOUBLE * others WHEN a > 0 AND b > 0 THEN (a + b) / 2 WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 0 END), 6) AS score FROM (
+ SELECT action_id, max(severity * confidence) FILTER (is_critical) AS top, coalesce(sum(severity * confidence) FILTER (NOT is_critical), 0) AS others, max(severity * confidence) FILTER (family = 'structural') AS a, max(severity * confidence) FILTER (family <> 'structural') AS b, count(DISTINCT family) FILTER (is_critical) AS sources, max(severity) AS worst FROM signals GROUP BY action_id))"""
+add("vote_family", "signals", metrics.family_vote, f"SELECT action_id, score, CASE WHEN sources >= 2 OR (sources = 1 AND others >= 20) OR score >= 90 THEN 'QUARANTINE' WHEN score >= 82 AND worst > 85 THEN 'DENY' WHEN score >= 68 OR worst > 75 THEN 'REVIEW' WHEN score >= 40 THEN 'MONITOR' ELSE 'ALLOW' END AS tier FROM {_VOTE}")
 add("vote_weighted_mean", "signals", metrics.weighted_vote, "SELECT action_id, round(CASE WHEN gate THEN 100 WHEN den > 0 THEN num / den ELSE 0 END, 6) AS score, gate FROM (SELECT action_id, sum(severity * confidence) AS num, sum(confidence) AS den, bool_or(is_critical AND confidence >= 0.9) AS gate FROM signals GROUP BY action_id)")
-add("weighted_score", "signals", lambda d: metrics.family_vote(d).select("action_id", "score"), f"SELECT action_id, score FROM ({{}})".format(ORACLES["vote_family"].split(") SELECT action_id, round(score, 6)", 1)[0][:0] + "SELECT action_id, round(CASE WHEN top IS NOT NULL THEN least(100, top + 0.1::DOUBLE * coalesce(others, 0)) WHEN a > 0 AND b > 0 THEN (a + b) / 2 WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 0 END, 6) AS score FROM (SELECT action_id, max(severity::DOUBLE) FILTER (is_critical) AS top, avg(severity::DOUBLE) FILTER (NOT is_critical) AS others, max(severity * confidence) FILTER (family = 'structural') AS a, max(severity * confidence) FILTER (family = 'behavioural') AS b FROM signals GROUP BY action_id)"))
+add("weighted_score", "signals", lambda d: metrics.family_vote(d).select("action_id", "score"), f"SELECT action_id, score FROM {_VOTE}")
 add("explain", "signals", lambda d: d.groupBy("action_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("severity")).alias("s"), "name"))), lambda x: F.concat(x["name"], F.lit("="), (-x["s"]).cast("string"))), "; ").alias("why")), "SELECT action_id, string_agg(name || '=' || severity, '; ' ORDER BY severity DESC, name) AS why FROM signals GROUP BY action_id")
 add("max_tier", "signals", lambda d: d.groupBy("action_id").agg(F.max_by("name", F.struct("severity", "n")).alias("top")), "SELECT action_id, arg_max(name, (severity, n)) AS top FROM signals GROUP BY action_id")
 add("token_stats", "actions", lambda d: d.groupBy("source_dataset").agg(F.round(F.avg(F.size(F.split("action", " "))), 8).alias("mean"), F.max(F.size(F.split("action", " "))).cast("bigint").alias("max")), "SELECT source_dataset, round(avg(len(string_split(action, ' '))), 8) AS mean, max(len(string_split(action, ' '))) AS max FROM actions GROUP BY 1")

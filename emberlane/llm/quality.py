@@ -3,12 +3,14 @@
 Method. Words and word pairs of a text are hashed into ``buckets`` cells. Two multinomials over the
 cells are counted, one over every document (raw corpus) and one over the documents that a label marks
 as trusted (target). A document's score is the mean over its n-grams of
-``log(p_target / p_raw)``; a document is kept if no fixed rule fails and the score reaches
-``threshold``. Nothing is random, so every document gets the same verdict in every run.
+``log(p_target / p_raw)``. A mean hides a few insults among hundreds of neutral words, so words typical of
+texts labelled toxic are found as well (:func:`toxic_words`). A document is kept if no fixed rule fails, the
+score reaches ``threshold`` and it has fewer than ``max_toxic_words`` of those. Nothing is random, so every document gets the same verdict in every run.
 
 Edge cases. Null text counts as empty: no word, score 0, ``base_failed``. A null document id is never
 trusted but is scored. Repeated rows each get a row. An empty table gives no rows. Without any trusted
-document nothing is expected in the target, all ratios are zero, and the fixed rules decide. Other columns,
+document nothing is expected in the target, all ratios are zero, and the fixed rules decide; without any
+that is labelled toxic, or with too few to tell, no word counts as toxic. Other columns,
 whatever their names, are carried in a struct and never clash.
 """
 
@@ -20,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.scratch import BROADCAST_IDS, where_once
+from emberlane.llm.scratch import BROADCAST_IDS, materialize, where_once
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -121,6 +123,41 @@ def fit_weights(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     return [math.log((t + prior) / (r * share + prior)) for t, r in zip(target, raw)]
 
 
+def _plain_words(text: str) -> Column:
+    """Hashes of the distinct lower-cased words, without punctuation."""
+    words = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " ")
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+
+
+def toxic_words(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.02, lift: float = 8.0) -> list[int]:
+    """Hashes of the words that are typical of documents labelled toxic.
+
+    Such a word is in at least ``share`` of them, ``lift`` times as often as in trusted documents, and so
+    often that less than one word of their whole vocabulary would be expected to by chance (Chernoff's
+    bound). All are shares of documents, so a larger table only adds certainty. ``share`` bounds the list.
+    """
+    toxic, good = F.coalesce("toxic", F.lit(0)) == 1, F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    kind = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(toxic.cast("int")).alias("_toxic"), F.min(good.cast("int")).alias("_good"))
+    kind = kind.where("_toxic + _good = 1")
+    if kind.count() <= BROADCAST_IDS:
+        kind = F.broadcast(kind)
+    slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(kind, F.col("_id") == F.col("_lid"))
+    counted = slim.select("_toxic", "_good", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), _plain_words("_text"))).alias("word"))
+    counted = materialize(counted.groupBy("word").agg(F.sum("_toxic").alias("bad"), F.sum("_good").alias("good")).where("bad > 0"), "toxic")
+    total = counted.where("word is null").first()  # each document has one null: the numbers of documents
+    if total is None or not total["good"]:
+        return []
+    n_bad, n_good, vocabulary = total["bad"], total["good"], counted.count()
+    p, out = n_bad / (n_bad + n_good), []
+    likely = (F.col("bad") >= share * n_bad) & (F.col("bad") / n_bad >= lift * F.col("good") / n_good)
+    for word, bad, other in counted.where(F.col("word").isNotNull() & likely).collect():
+        n, q = bad + other, bad / (bad + other)
+        gain = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if other else 0.0)
+        if n * gain >= math.log(vocabulary):
+            out.append(word)
+    return sorted(out)
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -132,8 +169,10 @@ def score_quality(
     threshold: float = -0.1,
     min_words: int = 20,
     max_repeat_percent: int = 30,
+    max_toxic_words: int = 2,
 ) -> DataFrame:
     """One row per input row: ``row`` (a struct of its columns), the signals, ``score`` and ``kept``."""
+    toxic = F.from_json(F.lit(json.dumps(toxic_words(docs, labels, id_col=id_col, text_col=text_col))), "array<bigint>")
     weights = fit_weights(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, prior=prior)
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")  # folded to one literal, bounded by buckets
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("_text"))
@@ -145,8 +184,9 @@ def score_quality(
     grams = F.size("_w1") + F.size("_w2")
     df = df.withColumn("score", F.when(grams > 0, (total("_w1") + total("_w2")) / grams).otherwise(F.lit(0.0)))
     df = df.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    return df.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    df = df.withColumn("n_toxic_words", F.size(F.array_intersect(_plain_words("_t"), toxic)).cast("bigint"))
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("n_toxic_words") < max_toxic_words))
+    return df.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "n_toxic_words", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

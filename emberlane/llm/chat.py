@@ -9,7 +9,9 @@ Edge cases. A null role is ``user``, a null text is empty; markers inside a text
 space, so that no text can open a turn. Turns of equal number are ordered by role and text, and repeated
 rows are turns of their own; a null turn number comes first. If a side is missing it is an empty
 conversation (``status`` is ``unpaired``); if both are equal, the prompt is all there is
-(``identical``). Rows with a null pair id form one pair of their own. No rows give no rows.
+(``identical``). Without a pair id there is no conversation: each distinct turn is unpaired by itself, so
+such rows never gather in one group. Texts and conversations of any length are rendered whole. No rows give
+no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,13 +40,8 @@ def _render(segments: str | Column) -> Column:
     return F.array_join(F.transform(segments, lambda s: s["text"]), "")
 
 
-def format_preferences(turns: DataFrame, pair: Column, rejected: Column) -> DataFrame:
-    """One row per pair from a table of turns (``turn``, ``role``, ``text``).
-
-    ``pair`` and ``rejected`` are columns of ``turns``: the pair's id and whether the row belongs to
-    the rejected side. Returns ``pair_id, status, n_prefix_turns, prompt, chosen, rejected`` where the
-    last two are ``array<struct<text, loss>>``.
-    """
+def _sides(turns: DataFrame, pair: Column, rejected: Column) -> DataFrame:
+    """``pair_id`` and the turns of both sides, in order (``_c``, ``_d``)."""
     rows = turns.select(
         pair.alias("pair_id"),
         F.coalesce(rejected, F.lit(False)).alias("_r"),
@@ -54,23 +51,58 @@ def format_preferences(turns: DataFrame, pair: Column, rejected: Column) -> Data
             F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         ).alias("_turn"),
     )
-    sides = rows.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(~F.col("_r"), F.col("_turn")))).alias("_c"), F.sort_array(F.collect_list(F.when(F.col("_r"), F.col("_turn")))).alias("_d"))
+    alone = F.when(F.col("pair_id").isNull(), F.xxhash64("_turn", "_r"))
+    side = lambda c, name: F.sort_array(F.collect_list(F.when(c, F.col("_turn")))).alias(name)
+    return rows.groupBy("pair_id", alone.alias("_alone")).agg(side(~F.col("_r"), "_c"), side(F.col("_r"), "_d")).drop("_alone")
+
+
+def _from(turns: Column, start: Column) -> Column:
+    return F.slice(turns, start + 1, F.greatest(F.size(turns) - start, F.lit(0)))
+
+
+def _formatted(sides: DataFrame) -> DataFrame:
     same = F.zip_with("_c", "_d", lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     at = F.array_position(same, False)
     df = sides.withColumn("_k", F.when(at == 0, F.size("_c")).otherwise((at - 1).cast("int")))
-
-    def rest(side: str) -> Column:
-        return _segments(F.slice(side, F.col("_k") + 1, F.greatest(F.size(side) - F.col("_k"), F.lit(0))))
-
-    df = df.select(
+    return df.select(
         "pair_id",
         F.when((F.size("_c") == 0) | (F.size("_d") == 0), "unpaired").when((F.col("_k") == F.size("_c")) & (F.col("_k") == F.size("_d")), "identical").otherwise("pair").alias("status"),
         F.col("_k").cast("bigint").alias("n_prefix_turns"),
         _render(_segments(F.slice("_c", F.lit(1), F.col("_k")))).alias("prompt"),
-        rest("_c").alias("chosen"),
-        rest("_d").alias("rejected"),
+        _segments(_from(F.col("_c"), F.col("_k"))).alias("chosen"),
+        _segments(_from(F.col("_d"), F.col("_k"))).alias("rejected"),
     )
-    return df
+
+
+def format_preferences(turns: DataFrame, pair: Column, rejected: Column) -> DataFrame:
+    """One row per pair from a table of turns (``turn``, ``role``, ``text``).
+
+    ``pair`` and ``rejected`` are columns of ``turns``: the pair's id and whether the row belongs to
+    the rejected side. Returns ``pair_id, status, n_prefix_turns, prompt, chosen, rejected`` where the
+    last two are ``array<struct<text, loss>>``.
+    """
+    return _formatted(_sides(turns, pair, rejected))
+
+
+def format_swapped(conversations: DataFrame) -> DataFrame:
+    """A pair for each conversation (``conv_id``, ``turn``, ``role``, ``text``) of a table that has no rejected sides.
+
+    Conversations 2p and 2p + 1 are neighbours. Chosen is a conversation as it is; rejected is the same up to its last
+    assistant turn (all of it, if there is none), and then what its neighbour says from its own last assistant turn on.
+    Neighbours meet once, in one aggregation. ``pair_id`` is the conversation's id; the format is that of :func:`format_preferences`.
+    """
+    sides = _sides(conversations, F.expr("conv_id div 2"), F.col("conv_id") % 2 != 0)
+
+    def answer(turns: str) -> Column:
+        at = F.array_max(F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", i)))
+        return F.coalesce(at, F.size(turns))
+
+    def pair(mine: str, other: str, odd: int) -> Column:
+        turned = F.concat(F.slice(mine, F.lit(1), answer(mine)), _from(F.col(other), answer(other)))
+        return F.struct((F.col("pair_id") * 2 + odd).alias("pair_id"), F.col(mine).alias("_c"), turned.alias("_d"))
+
+    both = sides.select(F.explode(F.array(pair("_c", "_d", 0), pair("_d", "_c", 1))).alias("p")).select("p.*")
+    return _formatted(both.where(F.size("_c") > 0))
 
 
 def digests(pairs: DataFrame) -> DataFrame:

@@ -8,12 +8,15 @@ without gaps. An overlap is a stretch of ``WINDOW`` tokens (or the whole item, i
 stretch, whichever tokens differ, so none is missed; items shorter than that are compared whole and
 exactly by a seed of their own length.
 
-The benchmark is a list of questions; it goes to the workers in blocks of at most ``BLOCK_TOKENS``
-tokens, one pass over the documents for each block, all in one stage without a shuffle.
-
-Edge cases. Null texts have no tokens and overlap nothing, nor do items under ``SHORTEST`` tokens
-(too short to tell a copy from chance). Null ids stay null. Repeated rows each get a row; repeated items
-are all named. Empty tables on either side work. Other columns are not read.
+A benchmark of at most ``BLOCK_TOKENS`` tokens is broadcast, and the join is a lookup where the documents
+are, in one stage without a shuffle. A larger one stays a table: its seeds are joined with those seeds of the
+documents that a bitmap of fixed size lets through, and only documents with a hit meet the items hit.
+
+Edge cases. Null texts have no tokens and overlap nothing. Items under ``shortest`` tokens (by default
+``SHORTEST``, as fewer can't tell a copy from chance) overlap nothing; ``shortest=1`` compares every item.
+Very long texts are read whole. Equal hits on an item are one span, whatever their order. Null ids stay null.
+Repeated rows each get a row; repeated items are all named. Empty tables on either side work. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.llm.packing import chunks
-from emberlane.llm.scratch import without_ids
+from emberlane.llm.scratch import materialize, side_of, text_key, without_rows
 from emberlane.llm.wordhash import buffers, hash_spans, mix, words
 
 WINDOW, SUBSTITUTIONS, SHORTEST = 13, 3, 8
@@ -74,28 +77,33 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(out)
 
 
+def all_masks(shortest: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The masks with their salts: those of windows, and one for each length of an item that is compared whole."""
+    out = [(salt, tuple(i for i, c in enumerate(m) if c == "1")) for salt, m in enumerate(MASKS)]
+    return out + [(100 + n, tuple(range(n))) for n in range(max(1, shortest), WINDOW)]
+
+
 class Block:
     """Part of the benchmark: its tokens and its seeds in sorted order."""
 
-    def __init__(self, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str], shortest: int):
         self.hash, _, _, self.at = tokens(pa.array(texts, pa.string()))
         self.ids = ids
         n = np.diff(self.at)
         item = np.repeat(np.arange(len(ids)), n)
         pos = np.arange(len(self.hash)) - np.repeat(self.at[:-1], n)
-        self.masks = [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS]
-        short = sorted({int(x) for x in n if SHORTEST <= x < WINDOW})
-        self.masks += [tuple(range(x)) for x in short]
+        lengths = set(n.tolist())
+        self.masks = [m for m in all_masks(shortest) if m[0] < len(MASKS) or len(m[1]) in lengths]
         keys, at, items = [], [], []
-        for salt, m in enumerate(self.masks):
+        for salt, m in self.masks:
             k = seeds(self.hash, m, salt)
             i = np.arange(len(k))
-            ok = (item[i] == item[i + m[-1]]) & (n[item[i]] >= SHORTEST)
+            ok = (item[i] == item[i + m[-1]]) & (n[item[i]] >= WINDOW)
             if salt >= len(MASKS):
-                ok &= n[item[i]] == len(m)
+                ok = (item[i] == item[i + m[-1]]) & (n[item[i]] == len(m))
             keys.append(k[ok])
-            at.append(pos[i[ok]])
-            items.append(item[i[ok]])
+            at.append(pos[i[ok]].astype(np.int32))
+            items.append(item[i[ok]].astype(np.int32))
         self.key, self.pos, self.item = (np.concatenate(x) for x in (keys, at, items))
         order = np.argsort(self.key, kind="stable")
         self.key, self.pos, self.item = self.key[order], self.pos[order], self.item[order]
@@ -104,88 +112,179 @@ class Block:
 
     def overlaps(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first token, end token) of every overlap; tokens count from the buffer's first."""
-        diagonals: set[tuple[int, int, int]] = set()
-        for salt, m in enumerate(self.masks):
-            k = seeds(h, m, salt)
-            at = np.flatnonzero(self.bloom[(k >> np.uint64(64 - _BLOOM)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.key, k[at], "left"), np.searchsorted(self.key, k[at], "right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-            if not len(at):
-                continue
-            text = np.searchsorted(first, at, side="right") - 1
-            inside = at + m[-1] < first[text + 1]
-            for p, t, a, b in zip(at[inside].tolist(), text[inside].tolist(), lo[inside].tolist(), hi[inside].tolist()):
-                diagonals.update((t, i, p - q) for i, q in zip(self.item[a:b].tolist(), self.pos[a:b].tolist()))
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for p, lo, hi, text in self._hits(h, first):
+            by_key = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (text[1:] != text[:-1])]))
+            for s, e in zip(by_key.tolist(), [*by_key[1:].tolist(), len(p)]):
+                a, b = int(lo[s]), int(hi[s])
+                cut = np.flatnonzero(np.concatenate([[True], self.item[a + 1 : b] != self.item[a : b - 1]])).tolist()
+                for x, y in zip(cut, [*cut[1:], b - a]):
+                    found.setdefault((int(text[s]), int(self.item[a + x])), []).append(_differences(p[s:e], self.pos[a + x : a + y]))
         out = []
-        for t, i, d in diagonals:
+        for (t, i), parts in found.items():
             item = self.hash[self.at[i] : self.at[i + 1]]
-            lo, hi = max(d, int(first[t])), min(d + len(item), int(first[t + 1]))
-            equal = h[lo:hi] == item[lo - d : hi - d]
-            differ = np.concatenate([[0], np.cumsum(~equal)])
-            if len(item) < WINDOW:
-                if hi - lo == len(item) and not differ[-1]:
-                    out.append((t, i, lo, hi))
-                continue
-            good = np.flatnonzero(differ[WINDOW:] - differ[:-WINDOW] <= SUBSTITUTIONS)
-            if len(good):
-                for g in np.split(good, np.flatnonzero(np.diff(good) > WINDOW) + 1):
-                    at = np.flatnonzero(equal[g[0] : g[-1] + WINDOW]) + g[0]  # without what differs at either end
-                    out.append((t, i, lo + int(at[0]), lo + int(at[-1]) + 1))
+            spans = [x for d in np.unique(np.concatenate(parts)).tolist() for x in _spans(h, item, d, int(first[t]), int(first[t + 1]))]
+            out += [(t, i, s, e) for s, e in _union(spans)]
         return sorted(out)
 
+    def _hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
+        """Per mask: the tokens where a seed of the benchmark starts, where that lies in the table, and the text; ordered by seed."""
+        for salt, m in self.masks:
+            k = seeds(h, m, salt)
+            at = np.flatnonzero(self.bloom[(k >> np.uint64(64 - _BLOOM)).astype(np.int64)])
+            lo, hi = np.searchsorted(self.key, k[at], "left"), np.searchsorted(self.key, k[at], "right")
+            text = np.searchsorted(first, at, side="right") - 1
+            ok = (hi > lo) & (at + m[-1] < first[text + 1])
+            at, lo, hi, text = at[ok], lo[ok], hi[ok], text[ok]
+            if len(at):
+                order = np.lexsort((at, lo, text))
+                yield at[order], lo[order], hi[order], text[order]
+
+
+def _differences(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The distinct values of ``p[i] - q[j]``; of long lists by a convolution of their marks, not pair by pair."""
+    low, high = int(p[0]) - int(q[-1]), int(p[-1]) - int(q[0])
+    if len(p) * len(q) <= max(1 << 16, 4 * (high - low)):
+        return np.unique(p[:, None] - q[None, :])
+    a, b = np.zeros(int(p[-1] - p[0]) + 1), np.zeros(int(q[-1] - q[0]) + 1)
+    a[p - p[0]] = 1
+    b[q[-1] - q] = 1
+    n = 1 << (high - low + 1).bit_length()
+    return low + np.flatnonzero(np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n)[: high - low + 1] > 0.5)
+
+
+def _spans(h: np.ndarray, item: np.ndarray, d: int, start: int, stop: int) -> list[tuple[int, int]]:
+    """The overlaps of a text (tokens ``start`` to ``stop``) with an item that is laid at token ``d``."""
+    lo, hi = max(d, start), min(d + len(item), stop)
+    equal = h[lo:hi] == item[lo - d : hi - d]
+    if len(item) < WINDOW:
+        return [(lo, hi)] if hi - lo == len(item) and equal.all() else []
+    differ = np.concatenate([[0], np.cumsum(~equal)])
+    good = np.flatnonzero(differ[WINDOW:] - differ[:-WINDOW] <= SUBSTITUTIONS)
+    if not len(good):
+        return []
+    out = []
+    for g in np.split(good, np.flatnonzero(np.diff(good) > WINDOW) + 1):
+        at = np.flatnonzero(equal[g[0] : g[-1] + WINDOW]) + g[0]  # without what differs at either end
+        out.append((lo + int(at[0]), lo + int(at[-1]) + 1))
+    return out
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+_SPAN = "struct<item:long,start:long,end:long>"
+SCHEMA = f"doc_id long, text_key long, items array<long>, spans array<{_SPAN}>, n_tokens long"
+
+
+def find_overlaps(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
+    """Per document: ``doc_id, text_key, items`` (ids of the items found, sorted), ``spans`` (token ranges) and ``n_tokens``.
+
+    Spans count the document's tokens, and those of an item neither overlap nor touch; ``n_tokens`` is how many tokens all
+    spans cover together.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(f"`{text_col}`").alias("text_key"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("item")).distinct()
+    size = items.agg(F.sum(F.length("item") / 2 + 1)).first()[0] or 0
+    if size <= block_tokens:
+        got = items.collect()  # bounded by the line above
+        return _looked_up(rows, docs.sparkSession.sparkContext.broadcast(Block([r[0] for r in got], [r[1] for r in got], shortest)))
+    return _joined(rows, items, shortest)
+
+
+def _result(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``SCHEMA`` for a batch that starts with ``doc_id, text_key``; ``found`` is (row, item id, start, end)."""
+    items: list[list] = [[] for _ in range(len(batch))]
+    spans: list[list] = [[] for _ in range(len(batch))]
+    for k, i, s, e in found:
+        items[k].append(i)
+        spans[k].append({"item": i, "start": s, "end": e})
+    items = [sorted(set(x), key=lambda v: (v is not None, v)) if x else x for x in items]
+    n = [sum(e - s for s, e in _union([(y["start"], y["end"]) for y in x])) for x in spans]
+    spans = [sorted(x, key=lambda y: (y["item"] is not None, y["item"], y["start"])) if len(x) > 1 else x for x in spans]
+    kind = pa.list_(pa.struct([("item", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, pa.list_(pa.int64())), pa.array(spans, kind), pa.array(n, pa.int64())], names=["doc_id", "text_key", "items", "spans", "n_tokens"])
+
+
+def _looked_up(rows: DataFrame, shared) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for batch in batches:
+            found = []
+            for part in chunks(batch.column(2), 4_000_000):
+                h, _, _, first = tokens(batch.column(2)[part.start : part.stop])
+                found += [(part.start + t, block.ids[i], s - int(first[t]), e - int(first[t])) for t, i, s, e in block.overlaps(h, first)]
+            yield _result(batch, found)
 
-SCHEMA = "doc_id long, text string, items array<long>, spans array<struct<item:long,start:long,end:long>>, n_tokens long"
+    return rows.mapInArrow(run, SCHEMA)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:
-    ids, texts, n = [], [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("long"), F.lower(F.coalesce(F.col(text_col), F.lit("")))).orderBy(item_col).toLocalIterator():
-        ids.append(item)
-        texts.append(text)
-        n += len(text) // 2 + 1
-        if n >= BLOCK_TOKENS:
-            yield Block(ids, texts)
-            ids, texts, n = [], [], 0
-    if ids:
-        yield Block(ids, texts)
+def _joined(rows: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
+    """The same for a benchmark of any size, by a join of seeds."""
+    items = materialize(items.withColumn("item_key", F.xxhash64("item", "item_id")), "items")
 
+    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch.column(1), 1_000_000):
+                block = Block([None] * len(part), batch.column(1)[part.start : part.stop].to_pylist(), shortest)
+                who = batch.column(0).take(pa.array(block.item.astype(np.int64) + part.start))
+                yield pa.RecordBatch.from_arrays([who, pa.array(block.key.view(np.int64))], names=["item_key", "seed"])
+
+    table = materialize(items.select("item_key", "item").mapInArrow(item_seeds, "item_key long, seed long").distinct(), "seeds")
+    cells = table.select(F.shiftrightunsigned("seed", 64 - _BLOOM).alias("cell")).distinct().collect()  # 2 ** _BLOOM rows at most
+    bloom = np.zeros(1 << _BLOOM, dtype=bool)
+    bloom[[r[0] for r in cells]] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            for part in chunks(batch.column(2), 1_000_000):
+                h, _, _, first = tokens(batch.column(2)[part.start : part.stop])
+                for salt, m in all_masks(shortest):
+                    k = seeds(h, m, salt)
+                    at = np.flatnonzero(bloom[(k >> np.uint64(64 - _BLOOM)).astype(np.int64)])
+                    text = np.searchsorted(first, at, side="right") - 1
+                    ok = at + m[-1] < first[text + 1]
+                    who = pa.array(text[ok] + part.start)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(who), batch.column(1).take(who), pa.array(k[at[ok]].view(np.int64))], names=["doc_id", "text_key", "seed"])
+
+    hits = rows.mapInArrow(doc_seeds, "doc_id long, text_key long, seed long").distinct().join(table, "seed")
+    pairs = materialize(hits.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "item_key").distinct(), "pairs")
+    met = rows.join(side_of(pairs), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(["_id", "_key", "item_key"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(len(batch)):
+                block = Block([batch.column(3)[k].as_py()], [batch.column(4)[k].as_py()], shortest)
+                h, _, _, first = tokens(batch.column(2)[k : k + 1])
+                found += [(k, block.ids[i], s, e) for _, i, s, e in block.overlaps(h, first)]
+            yield _result(batch, found)
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: ``doc_id, items`` (ids of the items found, sorted), ``spans`` (token ranges) and ``n_tokens``.
+    each = met.join(items, "item_key").select("doc_id", "text_key", "text", "item_id", "item").mapInArrow(verify, SCHEMA)
 
-    Spans count the document's tokens; ``n_tokens`` is how many tokens all spans cover together.
-    """
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"), F.array().cast("array<long>").alias("items"), F.array().cast("array<struct<item:long,start:long,end:long>>").alias("spans"), F.lit(0).cast("long").alias("n_tokens"))
-    blocks = _blocks(benchmark, item_col, item_text)
-    block = next(blocks, None)
-    while block:
-        following = next(blocks, None)
-        out = out.mapInArrow(_pass(sc.broadcast(block), following is not None), SCHEMA)
-        block = following
-    return out.select("doc_id", "items", "spans", "n_tokens")
-
-
-def _pass(shared, again: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items, spans = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for part in chunks(batch.column(1), 4_000_000):
-                h, _, _, first = tokens(batch.column(1)[part.start : part.stop])
-                for t, i, s, e in block.overlaps(h, first):
-                    items[part.start + t].append(block.ids[i])
-                    spans[part.start + t].append({"item": block.ids[i], "start": s - int(first[t]), "end": e - int(first[t])})
-            n = []
-            for k, s in enumerate(spans):
-                items[k] = sorted(set(items[k]), key=lambda x: (x is not None, x))
-                n.append(len({p for x in s for p in range(x["start"], x["end"])}) if s else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1) if again else pa.nulls(len(items), pa.string()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, batch.schema.field(3).type), pa.array(n, pa.int64())], names=["doc_id", "text", "items", "spans", "n_tokens"])
-
-    return run
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item (ids decide, so repeated ids go together)."""
-    found = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **columns)
-    return without_ids(docs, found.where(F.size("items") > 0).select("doc_id"), id_col)
+            yield _result(batch, [(k, y["item"], y["start"], y["end"]) for k, x in enumerate(batch.column(2).to_pylist()) for y in x])
+
+    found = each.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")).mapInArrow(gather, SCHEMA)
+    found = materialize(found.where("n_tokens > 0"), "overlaps").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "items", "spans", "n_tokens")
+    out = rows.select("doc_id", "text_key").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    nothing = lambda kind: F.array().cast(kind)
+    return out.select("doc_id", "text_key", F.coalesce("items", nothing("array<long>")).alias("items"), F.coalesce("spans", nothing(f"array<{_SPAN}>")).alias("spans"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item; each row's own text decides, whatever ids it shares."""
+    found = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    return without_rows(docs, found.where(F.size("items") > 0), id_col, text_col)

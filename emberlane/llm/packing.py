@@ -3,9 +3,10 @@
 Method. Every input partition packs its own documents, so no row is shuffled. A document's ids (and one
 end id) are cut into full windows and a rest; the rest goes to the fill level that makes the sum of the
 squared counts of partly filled windows smallest, found in an array that counts the windows at each
-level. When a partition ends, or ``max_open`` windows stand open, the open windows are poured together:
-pieces are cut so that all but one window are full. The last window of a partition is cut into windows
-whose lengths are powers of two, which need no padding.
+level. When a partition ends the open windows are poured together: pieces are cut
+so that all but one window are full. (So they are if they hold more than ``max_held`` ids, which guards
+memory: 128 MB by default, more than the ids of a whole input partition of Spark's usual size.) The last
+window of a partition is cut into windows whose lengths are powers of two, which need no padding.
 
 Tokens. Each worker encodes a piece of text once (:mod:`emberlane.llm.tokens`).
 
@@ -33,11 +34,11 @@ _ENCODERS: dict[int, PieceEncoder] = {}
 class Packer:
     """Sum-of-squares state of one partition; finished pieces gather in ``rows``."""
 
-    def __init__(self, capacity: int, first_sequence: int, max_open: int):
-        self.capacity, self.next, self.max_open = capacity, first_sequence, max_open
+    def __init__(self, capacity: int, first_sequence: int, max_held: int):
+        self.capacity, self.next, self.max_held = capacity, first_sequence, max_held
         self.level = np.zeros(capacity + 1, dtype=np.int64)
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
+        self.n_open = self.held = 0
         self.rows: list[tuple] = []
 
     def close(self, pieces: list) -> None:
@@ -55,8 +56,9 @@ class Packer:
         if full < total:
             self.place((doc, full, ids[full:], total))
 
-    def place(self, piece: tuple) -> None:
-        c, s, n = self.capacity, len(piece[2]), self.level
+    def best(self, s: int) -> int:
+        """The fill level to which a piece of ``s`` ids goes; 0 opens a window."""
+        c, n = self.capacity, self.level
         # change of the sum of squares if a window at level h goes to h + s; h = 0 opens a window
         after = 2 * n[s : c + 1] + 1
         after[-1] = 0  # a full window is no longer counted
@@ -64,13 +66,18 @@ class Packer:
         before[0] = 0
         cost = np.where(n[: c - s + 1] > 0, after - before, np.iinfo(np.int64).max)
         cost[0] = after[0]
-        h = c - s - int(np.argmin(cost[::-1]))  # of equal levels the fullest
+        return c - s - int(np.argmin(cost[::-1]))  # of equal levels the fullest
+
+    def place(self, piece: tuple) -> None:
+        c, s, n = self.capacity, len(piece[2]), self.level
+        h = self.best(s)
         window = []
         if h:
             stack = self.open[h]
             window = stack.pop()
             n[h] -= 1
             self.n_open -= 1
+            self.held -= h
         window.append(piece)
         if h + s == c:
             self.close(window)
@@ -78,13 +85,14 @@ class Packer:
         self.open.setdefault(h + s, []).append(window)
         n[h + s] += 1
         self.n_open += 1
-        if self.n_open > self.max_open:
+        self.held += h + s
+        if self.held > self.max_held:
             self.pour(False)
 
     def pour(self, last: bool) -> None:
         """Cut the pieces of all open windows into full ones; what is left stays open, or ends in powers of two."""
         windows = [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, self.n_open = {}, 0
+        self.open, self.n_open, self.held = {}, 0, 0
         self.level[:] = 0
         left = sum(len(p[2]) for w in windows for p in w)
         room = self._room(left, last)
@@ -99,14 +107,14 @@ class Packer:
                     now, room = [], self._room(left, last)
         if now:
             fill = sum(len(p[2]) for p in now)
-            self.open, self.n_open = {fill: [now]}, 1
+            self.open, self.n_open, self.held = {fill: [now]}, 1, fill
             self.level[fill] = 1
 
     def _room(self, left: int, last: bool) -> int:
         return self.capacity if left >= self.capacity or not last else 1 << max(0, left.bit_length() - 1)
 
 
-def pack_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, max_open: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2, max_held: int = 1 << 25) -> DataFrame:
     """Pieces of all documents and the windows (``sequence_id``, ``offset``) that hold them.
 
     ``tokenizer_json`` is the tokenizer's definition; it is broadcast, as executors need not have the file.
@@ -119,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_i
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value)
         encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, PieceEncoder(shared.value))
-        packer = Packer(capacity, TaskContext.get().partitionId() << 40, max_open)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40, max_held)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for part in chunks(texts):

@@ -22,17 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlane.llm.scratch import BROADCAST_IDS, materialize, where_once
+from emberlane.llm.scratch import materialize, side_of, where_once
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-_POS_BITS = 24
-_MASK = (1 << _POS_BITS) - 1
-
-
-def _empty_longs() -> Column:
-    return F.array().cast("array<bigint>")
 
 
 def _upto(n: Column) -> Column:
@@ -53,24 +47,13 @@ def with_base_signals(df: DataFrame) -> DataFrame:
     """Add the fixed rules' signals to a frame that has passed :func:`with_ngrams`."""
     df = df.withColumn("_w4", F.transform(_upto(F.col("_n") - 3), lambda i: F.xxhash64(F.get("_w2", i), F.get("_w2", i + 2))))
     df = df.withColumn("_w8", F.transform(_upto(F.col("_n") - (WINDOW - 1)), lambda i: F.xxhash64(F.get("_w4", i), F.get("_w4", i + 4))))
-    # Only texts with a repeated window pay for the sort: hash prefix and position share one long.
+    # Only texts with a repeated window pay for the sort, by whole hash and then position.
     df = df.withColumn("_dup", F.size(F.array_distinct("_w8")) < F.size("_w8"))
-    df = df.withColumn(
-        "_sorted",
-        F.when(
-            F.col("_dup"),
-            F.sort_array(F.transform(_upto(F.size("_w8")), lambda i: F.get("_w8", i).bitwiseAND(F.lit(~_MASK)).bitwiseOR(i.cast("bigint")))),
-        ).otherwise(_empty_longs()),
-    )
-
-    def window(j: Column) -> Column:
-        return F.get("_w8", F.get("_sorted", j).bitwiseAND(F.lit(_MASK)).cast("int"))
-
-    repeated = F.filter(
-        _upto(F.size("_sorted")),
-        lambda j: ((j > 0) & window(j).eqNullSafe(window(j - 1))) | window(j).eqNullSafe(window(j + 1)),
-    )
-    df = df.withColumn("_at", F.sort_array(F.transform(repeated, lambda j: F.get("_sorted", j).bitwiseAND(F.lit(_MASK)))))
+    pairs = F.transform("_w8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn("_sorted", F.when(F.col("_dup"), F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    hash_at = lambda j: F.get("_sorted", j)["h"]
+    repeated = F.filter("_sorted", lambda x, j: ((j > 0) & x["h"].eqNullSafe(hash_at(j - 1))) | x["h"].eqNullSafe(hash_at(j + 1)))
+    df = df.withColumn("_at", F.sort_array(F.transform(repeated, lambda x: x["i"])))
     covered = F.aggregate(
         _upto(F.size("_at")),
         F.lit(0).cast("bigint"),
@@ -97,8 +80,7 @@ def _trusted(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
         .agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("_target"))
         .where(F.col("_target") == 1)
     )
-    if good.count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
+    good = side_of(materialize(good, "good"))
     return docs.join(good, F.col("_id") == F.col("_lid"), "left").drop("_lid")
 
 
@@ -139,8 +121,7 @@ def toxic_words(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     toxic, good = F.coalesce("toxic", F.lit(0)) == 1, F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
     kind = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.max(toxic.cast("int")).alias("_toxic"), F.min(good.cast("int")).alias("_good"))
     kind = kind.where("_toxic + _good = 1")
-    if kind.count() <= BROADCAST_IDS:
-        kind = F.broadcast(kind)
+    kind = side_of(materialize(kind, "kinds"))
     slim = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(kind, F.col("_id") == F.col("_lid"))
     counted = slim.select("_toxic", "_good", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), _plain_words("_text"))).alias("word"))
     counted = materialize(counted.groupBy("word").agg(F.sum("_toxic").alias("bad"), F.sum("_good").alias("good")).where("bad > 0"), "toxic")

@@ -23,14 +23,14 @@ def tokenizer_json() -> str:
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2p (chosen) and 2p + 1 (rejected) are pair p; every turn of the table is used."""
-    conv = _table(spark, sf_dir, "conversations")
-    return chat.digests(chat.format_preferences(conv, F.expr("conv_id div 2"), F.col("conv_id") % 2 == 1))
+    """Every conversation against its neighbour's answer, see :func:`chat.format_swapped`; every turn of the table is used."""
+    return chat.digests(chat.format_swapped(_table(spark, sf_dir, "conversations")))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: r["lines"])), F.lit(0)).cast("bigint")
+    return out.select("row.doc_id", "n_lines", "n_removed", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("longest_run"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def held_out() -> Column:
@@ -81,22 +81,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _RENDER = "array_to_string(list_transform({0}, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '')"
 _MASK = "array_to_string(list_transform({0}, lambda t: '0:' || length('<|im_start|>' || t.role || chr(10)) || CASE WHEN t.role = 'assistant' THEN ' 1:' ELSE ' 0:' END || length(t.text || '<|im_end|>') || ' 0:1'), ' ')"
+_RANKED = sorted(urls.PATTERNS, key=lambda r: (-r.rank, r.name))
+_GENERAL = "CASE " + " ".join(f"WHEN regexp_matches(lower(host || path), '^{v}') THEN '{k}'" for k, v in ((k, "(?:" + "|".join(r.pattern for r in _RANKED if r.verdict == k) + ")") for k in ("allow", "block"))) + " ELSE 'allow' END"
+_LAST = "coalesce(list_max(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i].role = 'assistant' THEN i END), lambda i: i IS NOT NULL)) - 1, len({0}))"
 _WORDED = r"regexp_matches(line, '[^\x20\x09-\x0D]')"
 
 #: SQL for the queries that it can express at this size; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_preference_format": f"""
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS r, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
-s AS (SELECT pair_id, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (NOT r), []) AS c, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (r), []) AS d FROM t GROUP BY pair_id),
+WITH t AS (SELECT conv_id // 2 AS g, conv_id % 2 = 1 AS r, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+h AS (SELECT g, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (NOT r), []) AS a, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (r), []) AS b FROM t GROUP BY g),
+e AS (SELECT 2 * g AS pair_id, a, b FROM h UNION ALL SELECT 2 * g + 1, b, a FROM h),
+l AS (SELECT *, {_LAST.format('a')} AS m, {_LAST.format('b')} AS n FROM e WHERE len(a) > 0),
+s AS (SELECT pair_id, a AS c, list_concat(a[1:m], b[n+1:]) AS d FROM l),
 k AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, greatest(len(c), len(d)) + 1), lambda i: c[i] IS NOT DISTINCT FROM d[i]), false), 0) - 1, len(c)) AS k FROM s)
 SELECT pair_id, CASE WHEN len(c) = 0 OR len(d) = 0 THEN 'unpaired' WHEN k = len(c) AND k = len(d) THEN 'identical' ELSE 'pair' END AS status, k AS n_prefix_turns,
  {_RENDER.format('c[1:k]')} AS prompt, {_RENDER.format('c[k+1:]')} AS chosen, {_MASK.format('c[k+1:]')} AS chosen_mask, {_RENDER.format('d[k+1:]')} AS rejected, {_MASK.format('d[k+1:]')} AS rejected_mask FROM k""",
     "op2_line_dedup": rf"""
 WITH e AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM e WHERE {_WORDED}),
-f AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) > 1 AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 8 AS a, nxt IS NOT NULL AND row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, p) > 1 AS b FROM w),
-g AS (SELECT doc_id, i, a OR b OR coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY p), false) AS gone FROM f)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256 FROM e LEFT JOIN g USING (doc_id, i) GROUP BY doc_id""",
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, list(line) OVER near AS ls, list(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER near AS ws FROM e WHERE {_WORDED}
+ WINDOW near AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+n AS (SELECT doc_id, p, ls, unnest(list_filter(range(1, len(ws) + 1), lambda k: list_sum(ws[1:k]) >= 8 AND (coalesce(list_sum(ws[1:k-1]), 0) < 8 OR coalesce(list_sum(ws[2:k]), 0) < 8))) AS need FROM w),
+f AS (SELECT doc_id, p, need, row_number() OVER (PARTITION BY need, md5(array_to_string(ls[1:need], chr(10))) ORDER BY doc_id, p) > 1 AS later FROM n),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + need)) AS p FROM f WHERE later),
+g AS (SELECT doc_id, i, p FROM c JOIN w USING (doc_id, p)),
+r AS (SELECT doc_id, count(*) AS n_runs, max(m) AS longest_run FROM (SELECT doc_id, count(*) AS m FROM (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n_lines, count(p) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (p IS NULL), '')) AS kept_sha256 FROM e LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, n_lines, n_removed, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, kept_sha256 FROM k LEFT JOIN r USING (doc_id)""",
     "op5_word_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 n AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
@@ -104,10 +115,10 @@ c AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT doc_id, i, unnest(range(13
 x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 k AS (SELECT doc_id, count(c.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL) AS kept FROM x LEFT JOIN c USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
-    "op6_url_filter": r"""
+    "op6_url_filter": rf"""
 WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 r AS (SELECT * FROM (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')) v(rule, verdict, h, s)),
 b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(casino-win|cheap-pills|free-bets|spam-farm)([.:-]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM q LEFT JOIN b USING (page_id)""",
+SELECT page_id, host, path, rule, coalesce(verdict, {_GENERAL}) AS verdict FROM q LEFT JOIN b USING (page_id)""",
 }

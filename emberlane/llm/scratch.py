@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -14,8 +14,8 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
 
-    Where that is unset, a local master gets a temporary folder, and a cluster the
-    warehouse, which its executors share as well.
+    Where that is unset, a local master gets a temporary folder. A cluster must name one: neither a
+    temporary folder nor the default warehouse need be shared by its executors.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         app = spark.sparkContext.applicationId
         return _LOCAL.setdefault(app, tempfile.mkdtemp(prefix="emberlane-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_emberlane"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,14 +57,43 @@ def release(spark: SparkSession) -> None:
 
 
 #: Ids are broadcast up to this many (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id (null included) is not in the one-column table ``ids``."""
-    gone = materialize(ids.toDF("_gone").distinct(), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs[id_col].eqNullSafe(side["_gone"]), "left_anti")
+def side_of(table: DataFrame) -> DataFrame:
+    """A written table as a join's side: broadcast only if its rows have been counted and are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def text_key(text_col: str) -> Column:
+    """What stands for a whole text beside a row's id: rows with equal ids need not be equal."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id (null included) and text are not in ``gone`` (``doc_id, text_key``)."""
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct(), "gone")
+    side = side_of(gone)
+    return docs.join(side, docs[id_col].cast("long").eqNullSafe(side["_gone"]) & (text_key(f"`{text_col}`") == side["_key"]), "left_anti")
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each group of ``rows`` (``doc_id, text_key, grp``, one row per row of ``docs``).
+
+    The row with the smallest id stays (a null id is the largest), of equal ids that with the smallest text key, and of
+    rows that are equal in both any one. Only rows that are repeated themselves are shuffled.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("nothing"), "doc_id", "text_key")
+    known = materialize(rows.groupBy("doc_id", "text_key").agg(F.any_value("grp").alias("grp"), F.count(F.lit(1)).alias("n")), "known")
+    first = known.groupBy(F.col("grp").alias("_grp")).agg(F.min(order).alias("_first"))
+    judged = known.join(first, F.col("grp") == F.col("_grp")).withColumn("_stays", order.eqNullSafe(F.col("_first")))
+    judged = materialize(judged.where("not _stays or n > 1").select("doc_id", "text_key", "_stays"), "judged")
+    out = without_rows(docs, judged, id_col, text_col)
+    again = judged.where("_stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    if again.isEmpty():
+        return out
+    found = docs.join(side_of(again), docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (text_key(f"`{text_col}`") == F.col("_key")))
+    return out.unionByName(found.dropDuplicates(["_id", "_key"]).drop("_id", "_key"))
 
 
 def where_once(df: DataFrame, condition) -> DataFrame:

@@ -6,7 +6,8 @@ fetch the candidates, and only those run their expression. Of the fitting rules
 without one, the general patterns (filed in the same way) decide, and else the url is allowed.
 
 Edge cases. A null url or one without ``://`` has an empty host and path and fits no rule. Repeated rows
-each get a row; null page ids stay null. An empty table gives no rows. Other columns are not read. The
+each get a row; null page ids stay null. Very long urls are judged whole; of patterns that fit, an exception
+and then the longest counts, and then the name. An empty table gives no rows. Other columns are not read. The
 rules are a driver-side list, so what is sent to the workers is that list alone.
 """
 
@@ -46,15 +47,52 @@ def host_rule(name: str, verdict: str) -> Rule:
     return Rule(name, verdict, rf"(?:[^/]*\.)?{re.escape(host + slash + path)}", tuple(TOKEN.findall(host) + [x for x in whole if x]), len(name))
 
 
-def word_rule(word: str, verdict: str = "block") -> Rule:
-    """A general pattern: ``word`` (tokens joined by hyphens) as a whole label part of the host."""
-    return Rule(word, verdict, rf"(?:[^/]*[.\-])?{re.escape(word)}(?=[.\-/:]|$)", tuple(TOKEN.findall(word)), 0)
+_EDGE = r"(?:[^a-z0-9_.%\-]|$)"
+
+
+def pattern_rule(line: str) -> Rule:
+    """A rule of a filter list: ``||host`` starts at a label of the host, ``|`` is an end, ``*`` anything, ``^`` a separator.
+
+    ``@@`` in front makes it an exception. Anything else is literal and may lie anywhere in host + path, in lower case. A token
+    is a literal to file the rule under if it cannot be part of a longer one: something other than ``*`` is on both sides.
+    """
+    body = line.removeprefix("@@")
+    label, start = body.startswith("||"), body.startswith("|")
+    stop = body.endswith("|") and len(body) > 2
+    body = body.lstrip("|")[: -1 if stop else None]
+    pattern = "".join(".*" if c == "*" else _EDGE if c == "^" else re.escape(c) for c in body)
+    head = r"(?:[^/]*[.])?" if label else "" if start else ".*"
+    whole = []
+    for m in TOKEN.finditer(body):
+        left = body[m.start() - 1] != "*" if m.start() else start
+        right = body[m.end()] != "*" if m.end() < len(body) else stop
+        if left and right:
+            whole.append(m.group())
+    return Rule(line, "allow" if line.startswith("@@") else "block", f"(?s:{head}{pattern}{'$' if stop else ''})", tuple(whole), len(line) + 1000 * line.startswith("@@"))
+
+
+def word_rule(word: str) -> Rule:
+    """``word`` (tokens joined by hyphens) between dots or hyphens of the host."""
+    return Rule(word, "block", rf"(?:[^/]*[.\-])?{re.escape(word)}(?:[.\-/:]|$)", tuple(TOKEN.findall(word)), 0)
 
 
 #: The rules of the query, longest first where they overlap.
 RULES = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"), host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
-#: What decides where no rule fits: host words of pill, casino and link-farm sites.
-PATTERNS = tuple(word_rule(w) for w in ("casino-win", "cheap-pills", "free-bets", "spam-farm"))
+#: What decides where no rule fits. Words of hosts: gambling, pharmacies, adult sites, trackers, link farms.
+HOST_WORDS = (
+    "casino", "casinos", "poker", "bet", "bets", "betting", "sportsbook", "slots", "jackpot", "roulette", "lottery",
+    "pills", "viagra", "cialis", "pharmacy", "steroids",
+    "porn", "xxx", "sex", "adult", "escort", "escorts", "camgirls", "nude",
+    "ads", "adserver", "adservice", "adclick", "popads", "popunder", "tracker", "tracking", "clicktrack", "telemetry", "affiliates",
+    "spam", "linkfarm", "link-farm", "seo-links", "backlinks", "doorway", "parked", "domain-parking", "free-download", "warez", "keygen", "torrents", "replica-watches", "payday-loans",
+)
+#: And patterns of hosts and paths.
+PATTERN_LINES = (
+    "||doubleclick.^", "||googlesyndication.^", "||adnxs.^", "||taboola.^", "||outbrain.^", "||*.click/|", "||*.loan^", "||*.gq^",
+    "/adserver/", "/adclick/", "/ads/banner^", "/banners/ad^", "/popunder/", "/track/pixel^", "/pixel.gif|", "/affiliate/*/click^", "/out/*/redirect^", "/go/casino^", "/wp-login.php^", "/xmlrpc.php^",
+    "/cgi-bin/*/redirect^", "/tag/page/*/feed^", "/search/label/*/max-results^", "/porn/", "/xxx/", "/viagra^", "/online-casino^", "/buy-cheap-", "/payday-loan^", "@@/ads/policy^", "@@||ads.gov^",
+)
+PATTERNS = tuple(word_rule(w) for w in HOST_WORDS) + tuple(pattern_rule(x) for x in PATTERN_LINES)
 
 
 class RuleIndex:
@@ -97,7 +135,8 @@ def filter_urls(pages: DataFrame, *, rules: tuple[Rule, ...] = RULES, patterns:
                 target = host + path
                 tokens = set(TOKEN.findall(target))
                 rule = index.best(target, tokens)
-                pattern = None if rule else general.best(target, tokens)
+                low = target.lower()
+                pattern = None if rule else general.best(low, tokens if low == target else set(TOKEN.findall(low)))
                 names.append(rule and rule.name)
                 why.append(pattern and pattern.name)
                 verdicts.append((rule or pattern).verdict if rule or pattern else "allow")

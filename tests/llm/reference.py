@@ -75,20 +75,48 @@ def quality(text):
 
 
 def dedup_lines(rows, min_words=8):
-    """Kept text of each (id, text) row; equal rows are one document."""
-    one, two, out = set(), set(), {}
+    """Kept text, number of removed lines and their runs of each (id, text) row; equal rows are one document.
+
+    A line goes if it lies in a run of at least ``min_words`` words that starts earlier, too.
+    """
+    seen, out = set(), {}
     for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42) - (1 << 64) * (xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42) >> 63))):
         raw = (key[1] or "").split("\n")
         at = [k for k, x in enumerate(raw) if WORD.search(x)]
+        size = [len(WORD.findall(raw[k])) for k in at]
         gone = set()
-        for p, k in enumerate(at):
-            if raw[k] in one and len(WORD.findall(raw[k])) >= min_words:
-                gone.add(k)
-            one.add(raw[k])
-            if p + 1 < len(at):
-                pair = (raw[k], raw[at[p + 1]])
-                if pair in two:
-                    gone |= {k, at[p + 1]}
-                two.add(pair)
-        out[key] = (key[1] if not gone else "\n".join(x for k, x in enumerate(raw) if k not in gone), len(gone))
+        for p in range(len(at)):
+            runs = [tuple(raw[k] for k in at[p:e]) for e in range(p + 1, len(at) + 1)]
+            for r in runs:
+                if r in seen and sum(size[p : p + len(r)]) >= min_words:
+                    gone |= set(range(p, p + len(r)))
+            seen.update(runs)
+        starts = sorted(p for p in gone if p - 1 not in gone)
+        runs = [(p, next(n for n in range(1, len(at) + 2) if p + n not in gone)) for p in starts]
+        lines = {at[p] for p in gone}
+        out[key] = (key[1] if not gone else "\n".join(x for k, x in enumerate(raw) if k not in lines), len(gone), runs)
     return [out[r] for r in rows]
+
+
+def overlaps(text, item, window=13, substitutions=3, shortest=8):
+    """Token positions of ``text`` that an overlap with ``item`` covers, both as lists of tokens: all alignments."""
+    out = set()
+    if len(item) < window:
+        if len(item) >= shortest:
+            for d in range(len(text) - len(item) + 1):
+                if text[d : d + len(item)] == item:
+                    out |= set(range(d, d + len(item)))
+        return out
+    for d in range(1 - len(item), len(text)):
+        lo, hi = max(0, d), min(len(text), d + len(item))
+        same = [text[p] == item[p - d] for p in range(lo, hi)]
+        covered = set()
+        for k in range(len(same) - window + 1):
+            if window - sum(same[k : k + window]) <= substitutions:
+                covered |= set(range(k, k + window))
+        for p in sorted(covered):  # each stretch from its first to its last equal token
+            if p - 1 not in covered:
+                stretch = [q for q in range(p, len(same) + 1) if set(range(p, q + 1)) <= covered]
+                equal = [q for q in stretch if same[q]]
+                out |= set(range(lo + equal[0], lo + equal[-1] + 1))
+    return out

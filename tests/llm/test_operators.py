@@ -82,13 +82,24 @@ def test_words_match_brute_force(docs, rows):
 
 def test_lines_match_brute_force(docs, rows):
     got = linededup.dedup_lines(docs).select("row.doc_id", "kept_text", "n_removed").collect()
-    same(got, [(i, t, n) for (i, _), (t, n) in zip(rows, ref.dedup_lines(rows))])
+    same(got, [(i, t, n) for (i, _), (t, n, _) in zip(rows, ref.dedup_lines(rows))])
 
 
 def test_line_runs_of_any_depth(spark):
     run = "\n".join(f"line {k}" for k in range(21))
     out = linededup.dedup_lines(spark.createDataFrame([(1, run), (2, "head\n" + run + "\ntail"), (3, "other")], "doc_id long, text string")).orderBy("row.doc_id").collect()
-    assert [r.kept_text for r in out] == [run, "head\ntail", "other"] and [r.longest_run for r in out] == [0, 16, 0]
+    assert [r.kept_text for r in out] == [run, "head\ntail", "other"] and [[tuple(x) for x in r.runs] for r in out] == [[], [(1, 21)], []]
+
+
+@pytest.mark.parametrize("min_words", [5, 8, 13])
+def test_short_lines_need_deep_rounds(spark, min_words):
+    r = random.Random(min_words)
+    phrases = [[" ".join(r.choices("abcdefg", k=r.choice((1, 1, 1, 2, 3)))) for _ in range(r.randint(2, 12))] for _ in range(12)]
+    rows = [(k, "\n".join(x for p in r.choices(phrases, k=4) for x in (*p[: r.randint(1, len(p))], *r.choices(["q%d" % k, "", " "], k=1)))) for k in range(60)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=min_words).select("row.doc_id", "kept_text", "n_removed", "runs").collect()
+    want = ref.dedup_lines(rows, min_words)
+    assert max(n for w in want for _, n in w[2]) > 4  # shallow rounds alone would leave these
+    same([(r.doc_id, r.kept_text, r.n_removed, [tuple(x) for x in r.runs]) for r in got], [(i, t, n, x) for (i, _), (t, n, x) in zip(rows, want)])
 
 
 def test_simhash_matches_brute_force(docs, rows):
@@ -98,15 +109,46 @@ def test_simhash_matches_brute_force(docs, rows):
     same([(r[0], r[1] % (1 << 64), r[2]) for r in got], [(i, p, c) for (i, _), p, c in zip(rows, prints, comp)])
 
 
-def test_pigeonring_links_all_within_three_bits(spark):
+@pytest.mark.parametrize("most", [4096, 2])
+def test_pigeonring_links_all_within_three_bits(spark, most):
+    """With ``most`` = 2 nearly every key is hot and goes through the finer ones."""
     r = random.Random(3)
     centre = [r.getrandbits(64) for _ in range(20)]
     prints = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centre for _ in range(40)})
-    signed = [(p - (1 << 64) if p >> 63 else p, k) for k, p in enumerate(prints)]
-    found = connected_components(simhash.near_links(spark.createDataFrame(signed, "fp long, node long"))).collect()
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    found = connected_components(simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), most=most)).collect()
     want = ref.components(list(range(len(prints))), prints)
     got = {n: c for n, c in found}
-    assert [got.get(k, k) for k in range(len(prints))] == want
+    label = [got.get(p, p) for p in signed]
+    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
+def test_null_ids_link(spark, monkeypatch):
+    prints = [(0, 1, 10), (7, None, 11), (63, 3, 12), (1 << 40, None, 13), (3 << 40, None, 14)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, **_: spark.createDataFrame([(i, t, f) for f, i, t in prints], "doc_id long, text_key long, fp long"))
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(None).collect()}
+    assert got == {(1, 0): 1, (None, 7): 1, (3, 63): 1, (None, 1 << 40): None, (None, 3 << 40): None} or got[(None, 1 << 40)] == 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    rows = [(5, a), (5, a), (7, a), (None, a), (9, b), (9, b), (None, None), (None, ""), (4, b + " x"), (4, prose(3, 50))]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, fp string").repartition(3)
+    got = [tuple(x) for x in simhash.drop_near_duplicates(df).select("doc_id", "text").collect()]
+    same(sorted(got, key=str), sorted([(5, a), (4, prose(3, 50)), (None, ""), *([(4, b + " x")] if (4, b + " x") in got and (9, b) not in got else [(9, b), (4, b + " x")])], key=str) if (None, "") in got else sorted([(5, a), (4, prose(3, 50)), (None, None), *([(4, b + " x")] if (9, b) not in got else [(9, b), (4, b + " x")])], key=str))
+
+
+def test_fingerprints_of_very_long_texts(monkeypatch):
+    monkeypatch.setattr(simhash, "_PART", 100)
+    monkeypatch.setattr(simhash, "_HASHES", 50)
+    texts = [prose(1, 500), "x" * 1000, "a " + "y" * 500 + " b", " " * 400, " \n".join("abc" * 300)]
+    for n in (1, 3, 5):
+        whole = [simhash._fingerprints([t.encode()], n)[0] for t in texts]
+        monkeypatch.setattr(simhash, "_PART", 1 << 20)
+        assert whole == [simhash._fingerprints([t.encode()], n)[0] for t in texts]
+        monkeypatch.setattr(simhash, "_PART", 100)
+    monkeypatch.setattr(simhash, "_PART", 100)
+    assert [int(x) for x in simhash._fingerprints([t.encode() for t in texts], 3)] == [ref.fingerprint(t) for t in texts]
 
 
 def test_components_of_a_long_chain(spark):
@@ -171,11 +213,26 @@ def test_packing_round_trip(docs, rows):
         assert at <= 256 and at & (at - 1) == 0  # full, or a power of two: nothing is padded
 
 
-def test_sum_of_squares_choice():
-    p = packing.Packer(16, 0, 1000)
-    for k, n in enumerate((5, 5, 5, 9, 11, 3, 7)):
+def test_each_piece_goes_where_the_sum_of_squares_is_least():
+    r = random.Random(4)
+    p = packing.Packer(16, 0, 1 << 20)
+    for k in range(400):
+        n = r.randint(1, 15)
+        before = {h: len(v) for h, v in p.open.items() if v}
+
+        def squares(h, n=n, before=before):
+            now = dict(before)
+            if h:
+                now[h] -= 1
+            if h + n < 16:
+                now[h + n] = now.get(h + n, 0) + 1
+            return sum(v * v for v in now.values())
+
+        choices = {h: squares(h) for h in (0, *before) if h + n <= 16}
+        chosen = p.best(n)
+        assert choices[chosen] == min(choices.values()) and chosen == max(h for h, v in choices.items() if v == min(choices.values()))
         p.place((k, 0, np.zeros(n, "<u4"), n))
-    assert p.level[1:16].sum() == p.n_open and all(len(v) == p.level[h] for h, v in p.open.items())
+        assert p.level[1:16].sum() == p.n_open == sum(len(v) for v in p.open.values()) and p.held == sum(h * len(v) for h, v in p.open.items())
 
 
 def test_pieces_equal_the_tokenizer():
@@ -201,7 +258,7 @@ def test_decontamination(spark, docs, none):
     near[3], near[9] = "other", "words"
     far = [w if k % 3 else "no" for k, w in enumerate(items[5:25])]
     more = [(501, "pre, " + " ".join(near).upper() + "! post"), (502, " ".join(far)), (503, " ".join(items[:8]) + " " + items[8] + "z"), (504, " ".join(items[22:35]))]
-    got = {r.doc_id: r for r in decontaminate.find_overlaps(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), bench).collect()}
+    got = {r.doc_id: r for r in decontaminate.find_overlaps(docs.select("doc_id", "text", F.lit(1).alias("items"), F.lit("x").alias("item_id"), F.lit(2).alias("text_key")).union(spark.createDataFrame([(*m, 1, "x", 2) for m in more], "doc_id long, text string, items int, item_id string, text_key int")), bench).collect()}
     assert got[501]["items"] == [1] and got[501].n_tokens == 20 and got[501].spans[0].start == 1
     assert got[502]["items"] == [] and got[503]["items"] == [2] and got[504]["items"] == [None, 1]
     assert not any(r["items"] for i, r in got.items() if i is None or i < 500)
@@ -209,6 +266,78 @@ def test_decontamination(spark, docs, none):
     assert all(not r["items"] for r in decontaminate.find_overlaps(docs, bench.where("false")).collect())
 
 
+@pytest.mark.parametrize("shortest", [8, 1])
+@pytest.mark.parametrize("block_tokens", [decontaminate.BLOCK_TOKENS, 0])
+def test_overlaps_match_brute_force(spark, block_tokens, shortest):
+    """Looked up in one block, and joined as a benchmark of any size is."""
+    r = random.Random(8)
+    word = lambda n: "w%d" % r.randint(0, n)
+    items = [[word(400) for _ in range(n)] for n in (40, 25, 13, 14, 9, 8, 5, 1)] + [["w1"] * 20, ["w1", "w2"] * 9]
+    texts = []
+    for k in range(40):
+        t = [word(400) for _ in range(r.randint(0, 30))]
+        if k % 2:
+            item = r.choice(items)
+            s = r.randint(0, len(item) // 2)
+            part = list(item[s : s + r.randint(5, 40)])
+            for _ in range(r.randint(0, 5)):
+                part[r.randrange(len(part))] = word(400)
+            t += part + [word(400) for _ in range(r.randint(0, 9))]
+        texts.append(t)
+    texts += [["w1"] * 60, ["w2", "w1"] * 30, []]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(None, " ".join(items[0])), (3, " ".join(texts[3])), (3, " ".join(items[1])), (77, None)]
+    df = spark.createDataFrame([(*x, "l") for x in rows], "doc_id long, text string, item string").repartition(3)
+    bench = spark.createDataFrame([*((k, " ".join(t)) for k, t in enumerate(items)), (0, " ".join(items[0])), (None, " ".join(items[2])), (50, None)], "item_id long, text string")
+    got = decontaminate.find_overlaps(df, bench, shortest=shortest, block_tokens=block_tokens).collect()
+    want = []
+    for i, t in rows:
+        found = {k: ref.overlaps((t or "").split(), x, shortest=shortest) for k, x in [*enumerate(items), (None, items[2])]}
+        names = sorted((k for k, v in found.items() if v), key=lambda k: (k is not None, k))
+        want.append((i, names, len(set().union(*found.values()))))
+    same([(x.doc_id, x["items"], x.n_tokens) for x in got], want)
+    assert sum(bool(w[1]) for w in want) > 10
+    kept = decontaminate.drop_contaminated(df, bench, shortest=shortest, block_tokens=block_tokens).select("doc_id", "text").collect()
+    same(kept, [x for x, w in zip(rows, want) if not w[1]])
+
+
+def test_repetitive_texts_do_not_multiply():
+    import time
+
+    block = decontaminate.Block([1], [" ".join(["same"] * 2000)], 8)
+    h, _, _, first = decontaminate.tokens(pa.array([" ".join(["same"] * 20000)]))
+    began = time.time()
+    assert block.overlaps(h, first) == [(0, 0, 0, 20000)] and time.time() - began < 10
+
+
+def test_language_model_equals_the_dense_computation():
+    r = random.Random(6)
+    parts = {"aa": "tion the and of ing", "bb": "über ein ich sch keit", "cc": "que les eau ment été"}
+    texts, langs = zip(*((" ".join("".join(r.choices(parts[x].split(), k=2)) for _ in range(8)), x) for x in sorted(parts) for _ in range(12)))
+    texts = [*texts, "12"]
+    langs = [*langs, "cc"]
+
+    def grams(t):
+        b = t.encode().lower()
+        return {b[k : k + n] for n in (1, 2, 3) for k in range(len(b) - n + 1)}
+
+    known = set().union(*map(grams, texts))
+    kernel = lambda a, b: len(grams(a) & grams(b) & known) / np.sqrt(len(grams(a) & known) * len(grams(b) & known))
+    marks = [t for x in sorted(parts) for t in [t for t, y in zip(texts, langs) if y == x][:5]]
+    k = np.array([[kernel(a, b) for b in marks] for a in texts])
+    value, vector = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    keep = value > 1e-6 * value[-1]
+    root = vector[:, keep] / np.sqrt(value[keep])
+    phi = k @ root
+    target = np.array([[1.0 if y == x else -1.0 for x in sorted(parts)] for y in langs])
+    weight = np.diag([1 / langs.count(y) for y in langs])
+    w = np.linalg.solve(phi.T @ weight @ phi + 1e-2 * np.eye(phi.shape[1]), phi.T @ weight @ target)
+    new = ["the andtion x", "über q", texts[3]]
+    want = np.array([[kernel(a, b) for b in marks] for a in new]) @ root @ w
+    model = langid.fit(texts, langs, 5, 1e-2)
+    best, score = model.score(pa.array(new), model.column())
+    assert best.tolist() == want.argmax(axis=1).tolist() and np.allclose(score, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-3)
+
+
 def test_language_id(spark, docs, none):
     words = {"aa": "tion the and of ing", "bb": "über ein ich sch keit", "cc": "que les eau ment été"}
     rows = []

@@ -30,7 +30,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     two = materialize(stages["line dedup"](spark, one, folder), "t2")
     assert two.columns == columns
     rows = sorted(kept.items())
-    want = {i: t for (i, _), (t, _) in zip(rows, ref.dedup_lines(rows)) if ref.WORD.search(t)}
+    want = {i: t for (i, _), (t, _, _) in zip(rows, ref.dedup_lines(rows)) if ref.WORD.search(t)}
     assert {x.doc_id: x.text for x in two.collect()} == want and all(x.n_chars == len(x.text) for x in two.collect())
 
     three = materialize(stages["near dedup"](spark, two, folder), "t3")

@@ -8,15 +8,20 @@ whether the same window starts in a document with a smaller id.
 2. Of each window the ``seed`` symbols with the smallest hash are its anchor (winnowing). Equal windows
    have equal anchors at equal distance, so only windows with equal anchors are ever compared. A seed
    covers a run of windows; that run is an item.
-3. Blocks exchange the anchors' hashes alone, as compressed sorted runs, and learn which of them occur
-   elsewhere too.
+3. Blocks exchange the anchors' hashes alone, as compressed sorted runs with the number of different items
+   behind each, and learn which of them occur elsewhere too, and which of those are hot (more than
+   ``hot_items`` different items in all blocks).
 4. Of those, blocks exchange the items' symbols (equal items of a block once, with the smallest id; that
    is what keeps hot passages small). The receiver of an anchor extends its items both ways, symbol by
    symbol, into classes of equal windows, and answers which windows have an equal in a smaller document.
+   Items of a hot anchor go window by window instead, by 128 bits of hash, to receivers chosen by the
+   window: a block sends each different window once, so a passage in every document is a row a block.
 5. Each block marks the symbols that such windows cover.
 
-Nothing is sampled away: winnowing assigns every window to an anchor. All exchanged pieces are bounded by
-the block, and no group of equal passages is ever expanded into pairs.
+Nothing is sampled away: winnowing assigns every window to an anchor. The range of hashes that a receiver
+gets holds about ``target_bytes`` of text, however many receivers that makes, and no anchor has more than
+``hot_items`` items there; no group of equal passages is ever expanded into pairs. Items of a block are
+compared by 64 bits of hash, windows of an anchor by their bytes to the right and 64 bits to the left.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -102,7 +108,8 @@ def to_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
     path = f"{shared_dir(spark)}/{name}"
     made.write.bucketBy(_partitions(spark), "block").option("path", path).option("compression", "none").saveAsTable(name)
     out = spark.table(name)
-    out._emberlane_path = path
+    out.schema  # resolved: the catalog's entry has done its service, the files stay
+    spark.sql(f"DROP TABLE {name}")
     return out
 
 
@@ -190,23 +197,40 @@ def _local(items: Items, ids: np.ndarray) -> np.ndarray:
     return items.hash[order[cut[many]]]
 
 
+def _item_counts(items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a block's anchors, sorted, and how many different items each has (65,535 at most)."""
+    order = np.lexsort((items.content, items.hash))
+    h, c = items.hash[order], items.content[order]
+    if not len(h):
+        return h, np.zeros(0, np.uint16)
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    new = first.copy()
+    new[1:] |= c[1:] != c[:-1]
+    cut = np.flatnonzero(first)
+    return h[cut], np.minimum(np.add.reduceat(new.astype(np.int64), cut), 65_535).astype(np.uint16)
+
+
 @dataclass
 class Shared:
-    """What a block's surviving items are: all of them, and each distinct content once."""
+    """What a block's surviving items are: all of them, and each distinct content once; and which of those are hot."""
 
     items: Items
     of: np.ndarray  # per item its distinct content
     first: np.ndarray  # per distinct content an item with the smallest document id
     smallest: np.ndarray  # per distinct content that id
+    hot: np.ndarray  # whether a distinct content belongs to a hot anchor
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in a sorted list."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def survivors(items: Items, ids: np.ndarray, elsewhere: np.ndarray) -> Shared:
+def survivors(items: Items, ids: np.ndarray, elsewhere: np.ndarray, hot: np.ndarray) -> Shared:
     known = np.union1d(_local(items, ids), elsewhere)
-    if len(known):
-        k = np.minimum(np.searchsorted(known, items.hash), len(known) - 1)
-        items = items.take(known[k] == items.hash)
-    else:
-        items = items.take(np.zeros(len(items.hash), dtype=bool))
+    items = items.take(_among(items.hash, known))
     order, cut = _groups(items.content)
     size = np.diff(np.append(cut, len(order)))
     group = np.repeat(np.arange(len(cut)), size)
@@ -217,7 +241,51 @@ def survivors(items: Items, ids: np.ndarray, elsewhere: np.ndarray) -> Shared:
     first[group[lead][::-1]] = order[lead][::-1]
     of = np.zeros(len(order), dtype=np.int64)
     of[order] = group
-    return Shared(items, of, first, smallest)
+    return Shared(items, of, first, smallest, _among(items.hash[first], hot))
+
+
+@dataclass
+class Windows:
+    """The windows of a block's hot contents: which content, where it starts in the content's first item, and its class."""
+
+    content: np.ndarray
+    start: np.ndarray
+    of: np.ndarray
+    left: np.ndarray  # per class its hash, as two numbers, sorted
+    right: np.ndarray
+    smallest: np.ndarray  # per class the smallest document id
+
+
+def hot_windows(s: Shared, symbols: np.ndarray, width: int) -> Windows:
+    content = np.flatnonzero(s.hot)
+    lead = s.first[content]
+    low, n = s.items.low[lead], s.items.high[lead] - s.items.low[lead] + 1
+    owner = np.repeat(np.arange(len(content)), n)
+    start = low[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    raw = b"".join(xxhash.xxh128_digest(symbols[w : w + width].tobytes()) for w in start.tolist())
+    both = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+    order = np.lexsort((both[:, 1], both[:, 0]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (both[order[1:]] != both[order[:-1]]).any(axis=1)
+    of = np.zeros(len(order), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    cut = np.flatnonzero(new)
+    who = s.smallest[content[owner]][order]
+    smallest = np.minimum.reduceat(who, cut) if len(cut) else np.zeros(0, np.int64)
+    return Windows(content[owner], start, of, both[order[cut], 0], both[order[cut], 1], smallest)
+
+
+def _hot_starts(s: Shared, w: Windows, taken: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where the windows of hot items start that have an equal in a smaller document, here or elsewhere."""
+    begin = np.zeros(len(s.first) + 1, dtype=np.int64)
+    np.cumsum(np.bincount(w.content, minlength=len(s.first)), out=begin[1:])  # windows lie by content, in order
+    item = np.flatnonzero(s.hot[s.of])
+    n = (s.items.high - s.items.low + 1)[item]
+    owner = np.repeat(item, n)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    kind = w.of[begin[s.of[owner]] + step]
+    hit = taken[kind] | (ids[s.items.doc[owner]] > w.smallest[kind])
+    return s.items.low[owner[hit]] + step[hit]
 
 
 @dataclass
@@ -237,72 +305,104 @@ class Codec:
     answer: Callable
 
 
-def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: str, *, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: str, *, id_col: str, text_col: str, block_bytes: int, target_bytes: int, hot_items: int) -> DataFrame:
     """``finish(text, parts, covered)`` of every block, where ``covered`` marks the symbols to remove."""
     spark = docs.sparkSession
     blocks = to_blocks(docs, id_col, text_col, block_bytes)
     raw = blocks.agg(F.sum("raw")).first()[0] or 0
-    targets = max(1, min(_partitions(spark), raw >> 19))
+    targets = max(1, raw // target_bytes)
     width, seed = codec.width, codec.seed
 
-    def target_cuts(hashes: np.ndarray) -> np.ndarray:
-        bound = (np.arange(1, targets, dtype=np.float64) * (float(1 << HASH_BITS) / targets)).astype(np.uint64)
+    def target_cuts(hashes: np.ndarray, bits: int = HASH_BITS) -> np.ndarray:
+        bound = (np.arange(1, targets, dtype=np.float64) * (float(1 << bits) / targets)).astype(np.uint64)
         return np.concatenate([[0], np.searchsorted(hashes, bound), [len(hashes)]])
 
-    def load(batch: pa.RecordBatch, k: int) -> tuple[Text, Items, object]:
+    def load(batch: pa.RecordBatch, k: int) -> tuple[Text, np.ndarray, np.ndarray, Items, object]:
         text = read_block(batch.column("ids")[k].as_py(), batch.column("sizes")[k].as_py(), batch.column("data")[k].as_py())
         symbols, at, parts = codec.symbols(text)
-        return text, find_items(symbols, at, width, seed), parts
+        return text, symbols, at, find_items(symbols, at, width, seed), parts
 
     def announce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                _, items, _ = load(batch, k)
-                hashes = np.unique(items.hash)
+                _, _, _, items, _ = load(batch, k)
+                hashes, counts = _item_counts(items)
                 cut = target_cuts(hashes)
                 full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), batch.column("block")[k].as_py())), pa.array([pack_sorted(hashes[cut[t] : cut[t + 1]]) for t in full], pa.binary())], names=["target", "block", "hashes"])
+                each = [(pack_sorted(hashes[cut[t] : cut[t + 1]]), squeeze(counts[cut[t] : cut[t + 1]].tobytes())) for t in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), batch.column("block")[k].as_py())), pa.array([x for x, _ in each], pa.binary()), pa.array([x for _, x in each], pa.binary())], names=["target", "block", "hashes", "counts"])
 
     def meet(table: pa.Table) -> pa.Table:
         runs = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(expand(x), dtype=np.uint16) for x in table.column("counts").to_pylist()]).astype(np.int64)
         order, cut = _groups(np.concatenate(runs))
         size = np.diff(np.append(cut, len(order)))
-        twice = np.zeros(len(order), dtype=bool)
+        twice, many = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=bool)
         twice[order] = np.repeat(size > 1, size)
+        many[order] = np.repeat((size > 1) & (np.add.reduceat(counts[order], cut) > hot_items), size)
         base = np.concatenate([[0], np.cumsum([len(r) for r in runs])])
-        found = [r[twice[s:e]] for r, s, e in zip(runs, base[:-1], base[1:])]
-        keep = [i for i, r in enumerate(found) if len(r)]
-        return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())).combine_chunks(), "hashes": pa.array([pack_sorted(found[i]) for i in keep], pa.binary())})
+        found = [(r[twice[s:e]], r[many[s:e]]) for r, s, e in zip(runs, base[:-1], base[1:])]
+        keep = [i for i, (r, _) in enumerate(found) if len(r)]
+        column = lambda j: pa.array([pack_sorted(found[i][j]) for i in keep], pa.binary())
+        return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())).combine_chunks(), "hashes": column(0), "hot": column(1)})
 
-    announced = blocks.select("block", "ids", "sizes", "data").mapInArrow(announce, "target int, block long, hashes binary")
-    shared_hashes = announced.groupBy("target").applyInArrow(meet, "block long, hashes binary").groupBy("block").agg(F.collect_list("hashes").alias("hashes"))
-    shared_hashes = materialize(shared_hashes, "shared")
+    announced = blocks.select("block", "ids", "sizes", "data").mapInArrow(announce, "target int, block long, hashes binary, counts binary")
+    met = announced.groupBy("target").applyInArrow(meet, "block long, hashes binary, hot binary")
+    shared_hashes = materialize(met.groupBy("block").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("hot").alias("hot")), "shared")
 
-    def surviving(batch: pa.RecordBatch, k: int) -> tuple[Text, object, Shared]:
-        text, items, parts = load(batch, k)
-        runs = [unpack_sorted(x) for x in batch.column("hashes")[k].as_py() or ()]
-        return text, parts, survivors(items, text.ids, np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64))
+    def surviving(batch: pa.RecordBatch, k: int) -> tuple[Text, np.ndarray, np.ndarray, object, Shared]:
+        text, symbols, at, items, parts = load(batch, k)
+        known, hot = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x) for x in batch.column(c)[k].as_py() or ())])) for c in ("hashes", "hot"))
+        return text, symbols, at, parts, survivors(items, text.ids, known, hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                text, parts, s = surviving(batch, k)
-                order = np.argsort(s.items.hash[s.first], kind="stable")
+                text, symbols, _, parts, s = surviving(batch, k)
+                block = batch.column("block")[k].as_py()
+
+                def piece(t: int, which: np.ndarray, docs: np.ndarray, body: bytes, block: int = block) -> pa.RecordBatch:
+                    cols = [pa.array([t], pa.int32()), pa.array([block]), pa.array([squeeze(which.astype("<u4").tobytes())], pa.binary()), pa.array([squeeze(docs.astype("<i8").tobytes())], pa.binary()), pa.array([body], pa.binary())]
+                    return pa.RecordBatch.from_arrays(cols, names=["target", "block", "which", "docs", "body"])
+
+                cold = np.flatnonzero(~s.hot)
+                order = cold[np.argsort(s.items.hash[s.first[cold]], kind="stable")]
                 cut = target_cuts(s.items.hash[s.first[order]])
                 for t in np.flatnonzero(np.diff(cut)):
-                    which = order[cut[t] : cut[t + 1]]
-                    which, body = codec.encode(text, parts, s.items, s.first, which)
-                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([batch.column("block")[k].as_py()]), pa.array([squeeze(which.astype("<u4").tobytes())], pa.binary()), pa.array([squeeze(s.smallest[which].astype("<i8").tobytes())], pa.binary()), pa.array([body], pa.binary())], names=["target", "block", "which", "docs", "body"])
+                    which, body = codec.encode(text, parts, s.items, s.first, order[cut[t] : cut[t + 1]])
+                    yield piece(t, which, s.smallest[which], body)
+                if s.hot.any():
+                    w = hot_windows(s, symbols, width)
+                    cut = target_cuts(w.left, 64)
+                    for t in np.flatnonzero(np.diff(cut)):
+                        which = np.arange(cut[t], cut[t + 1])
+                        yield piece(targets + t, which, w.smallest[which], np.concatenate([w.left[which], w.right[which]]).tobytes())
+
+    def classes(bodies: list[bytes], docs: list[np.ndarray]) -> list[np.ndarray]:
+        """Of each block's windows those whose class has a smaller document elsewhere (1, else 0)."""
+        both = [np.frombuffer(x, dtype="<u8").reshape(2, -1) for x in bodies]
+        left, right, who = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]), np.concatenate(docs)
+        order = np.lexsort((right, left))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (left[order[1:]] != left[order[:-1]]) | (right[order[1:]] != right[order[:-1]])
+        cut = np.flatnonzero(new)
+        least = np.repeat(np.minimum.reduceat(who[order], cut), np.diff(np.append(cut, len(order))))
+        out = np.zeros(len(order), dtype=np.uint64)
+        out[order[who[order] > least]] = 1
+        base = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        return [out[s:e] for s, e in zip(base[:-1], base[1:])]
 
     def resolve(table: pa.Table) -> pa.Table:
         docs = [np.frombuffer(expand(x), dtype="<i8") for x in table.column("docs").to_pylist()]
-        masks = codec.answer(list(zip(table.column("body").to_pylist(), docs)))
+        hot = table.column("target")[0].as_py() >= targets
+        bodies = table.column("body").to_pylist()
+        masks = classes(bodies, docs) if hot else codec.answer(list(zip(bodies, docs)))
         keep, body = [], []
         for i, (which, mask) in enumerate(zip(table.column("which").to_pylist(), masks)):
             hit = mask > 0
             if hit.any():
                 keep.append(i)
-                body.append(squeeze(np.frombuffer(expand(which), dtype="<u4")[hit].tobytes() + mask[hit].astype("<u8").tobytes()))
+                body.append((b"w" if hot else b"i") + squeeze(np.frombuffer(expand(which), dtype="<u4")[hit].tobytes() + mask[hit].astype("<u8").tobytes()))
         return pa.table({"block": table.column("block").take(pa.array(keep, pa.int64())).combine_chunks(), "masks": pa.array(body, pa.binary())})
 
     def known(*more: DataFrame) -> DataFrame:
@@ -311,24 +411,30 @@ def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: st
             out = out.join(table.withColumnRenamed("block", "_block"), F.col("block") == F.col("_block"), "left").drop("_block")
         return out
 
-    sent = known(shared_hashes).select("block", "ids", "sizes", "data", "hashes").mapInArrow(send, "target int, block long, which binary, docs binary, body binary")
+    sent = known(shared_hashes).select("block", "ids", "sizes", "data", "hashes", "hot").mapInArrow(send, "target int, block long, which binary, docs binary, body binary")
     masks = sent.groupBy("target").applyInArrow(resolve, "block long, masks binary").groupBy("block").agg(F.collect_list("masks").alias("masks"))
     masks = materialize(masks, "masks")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                text, parts, s = surviving(batch, k)
-                _, at, _ = codec.symbols(text)
+                text, symbols, at, parts, s = surviving(batch, k)
                 starts = [np.zeros(0, np.int64)]
                 later = text.ids[s.items.doc] != s.smallest[s.of]  # an equal item of this block has a smaller id
                 length = (s.items.high - s.items.low + 1)[later]
                 starts.append(np.repeat(s.items.low[later], length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)))
-                mask = np.zeros(len(s.first), dtype=np.uint64)
+                w = hot_windows(s, symbols, width) if s.hot.any() else None
+                mask, taken = np.zeros(len(s.first), dtype=np.uint64), np.zeros(len(w.left) if w else 0, dtype=bool)
                 for body in batch.column("masks")[k].as_py() or ():
-                    body = expand(body)
+                    kind, body = body[:1], expand(body[1:])
                     n = len(body) // 12
-                    mask[np.frombuffer(body, dtype="<u4", count=n)] = np.frombuffer(body, dtype="<u8", offset=4 * n)
+                    which = np.frombuffer(body, dtype="<u4", count=n)
+                    if kind == b"w":
+                        taken[which] = True
+                    else:
+                        mask[which] = np.frombuffer(body, dtype="<u8", offset=4 * n)
+                if w:  # windows of hot contents, in every item that has them
+                    starts.append(_hot_starts(s, w, taken, text.ids))
                 own = np.flatnonzero(~later & (mask[s.of] > 0))
                 for d in range(width - seed + 1):
                     hit = own[(mask[s.of[own]] >> np.uint64(d)) & np.uint64(1) > 0]
@@ -340,5 +446,5 @@ def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: st
                 null = np.frombuffer(batch.column("nulls")[k].as_py(), dtype=bool)
                 yield finish(text, parts, at, covered, null)
 
-    out = known(shared_hashes, masks).select("block", "ids", "nulls", "sizes", "data", "hashes", "masks")
+    out = known(shared_hashes, masks).select("block", "ids", "nulls", "sizes", "data", "hashes", "hot", "masks")
     return out.mapInArrow(close, schema)

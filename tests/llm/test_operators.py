@@ -65,18 +65,20 @@ def same(got, want):
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, want), key=key)
 
 
-def test_bytes_match_brute_force(docs, rows):
+@pytest.mark.parametrize("hot_items", [1 << 16, 2, 0])
+def test_bytes_match_brute_force(docs, rows, hot_items):
     raw = [(t or "").encode() for _, t in rows]
     flags = ref.covered(raw, ref.ids_of(rows), 50)
-    got = bytededup.dedup_bytes(docs, block_bytes=3000).select("doc_id", "n_bytes", F.md5("kept"), F.size("spans")).collect()
+    got = bytededup.dedup_bytes(docs, block_bytes=3000, target_bytes=4000, hot_items=hot_items).select("doc_id", "n_bytes", F.md5("kept"), F.size("spans")).collect()
     spans = [sum(1 for k, c in enumerate(f) if c and (k == 0 or not f[k - 1])) for f in flags]
     same(got, [(i, len(b), hashlib.md5(bytes(x for x, c in zip(b, f) if not c)).hexdigest(), n) for (i, _), b, f, n in zip(rows, raw, flags, spans)])
 
 
-def test_words_match_brute_force(docs, rows):
+@pytest.mark.parametrize("hot_items", [1 << 16, 2, 0])
+def test_words_match_brute_force(docs, rows, hot_items):
     raw = [ref.WORD.findall(t or "") for _, t in rows]
     flags = ref.covered(raw, ref.ids_of(rows), 13)
-    got = worddedup.dedup_words(docs, block_bytes=3000).select("doc_id", "n_words", "n_removed", "kept").collect()
+    got = worddedup.dedup_words(docs, block_bytes=3000, target_bytes=4000, hot_items=hot_items).select("doc_id", "n_words", "n_removed", "kept").collect()
     same(got, [(i, len(w), sum(f), " ".join(x for x, c in zip(w, f) if not c)) for (i, _), w, f in zip(rows, raw, flags)])
 
 

@@ -113,13 +113,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     df = df.withColumn("d", F.col("row")[id_col].cast("long")).withColumn("t", F.xxhash64(F.coalesce(text, F.lit(""))))
     lines = line_table(docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("t"), F.col(f"`{text_col}`").alias("_x")), F.col("_x"), min_words)
+    lines = materialize(lines, "lines")
     copies, levels = later_copies(lines, min_words)
     if not levels:
         return df.select("row", text.alias("kept_text"), _count(text), *_summary(F.array().cast("array<int>")))
     hits = reduce(DataFrame.unionAll, copies).select("d", "t", F.sequence("p", F.col("p") + F.col("n") - 1).alias("at"))
     gone = hits.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     gone = materialize(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "at"), "deleted")
-    discard(*levels)
+    discard(lines, *levels)
     # what is to be deleted grows with the texts and has no bound of its own, so it is never broadcast
     out = df.join(gone.hint("merge"), F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left")
     out = out.withColumn("raw", _lines(text))

@@ -211,6 +211,8 @@ def near_links(prints: DataFrame, *, most: int = 4096) -> DataFrame:
         if held:
             yield _pairs(held)
 
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.repartition(n, "fp")  # a small table, of which each row becomes many
     found = None
     for part in _spread(_keyed(prints), prints.count() * SEGMENTS * WIDTH, most):
         sorted_ = part.select("fp", "key").repartition(F.col("key")).sortWithinPartitions("key")

@@ -8,7 +8,7 @@ texts labelled toxic are found as well (:func:`toxic_words`). A document is kept
 score reaches ``threshold`` and it has fewer than ``max_toxic_words`` of those. Nothing is random, so every document gets the same verdict in every run.
 
 Edge cases. Null text counts as empty: no word, score 0, ``base_failed``. A null document id is never
-trusted but is scored. Repeated rows each get a row. An empty table gives no rows. Without any trusted
+trusted but is scored. Texts of any length are read whole. Repeated rows each get a row. An empty table gives no rows. Without any trusted
 document nothing is expected in the target, all ratios are zero, and the fixed rules decide; without any
 that is labelled toxic, or with too few to tell, no word counts as toxic. Other columns,
 whatever their names, are carried in a struct and never clash.
@@ -27,6 +27,7 @@ from emberlane.llm.scratch import materialize, side_of, where_once
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WINDOW = 8
+_POSITION = (1 << 24) - 1
 
 
 def _upto(n: Column) -> Column:
@@ -47,13 +48,22 @@ def with_base_signals(df: DataFrame) -> DataFrame:
     """Add the fixed rules' signals to a frame that has passed :func:`with_ngrams`."""
     df = df.withColumn("_w4", F.transform(_upto(F.col("_n") - 3), lambda i: F.xxhash64(F.get("_w2", i), F.get("_w2", i + 2))))
     df = df.withColumn("_w8", F.transform(_upto(F.col("_n") - (WINDOW - 1)), lambda i: F.xxhash64(F.get("_w4", i), F.get("_w4", i + 4))))
-    # Only texts with a repeated window pay for the sort, by whole hash and then position.
+    # Only texts with a repeated window pay for a sort. It is one of longs, which hold the head of a hash and a position; where
+    # positions need more bits, or hashes with equal heads differ, whole hashes are sorted with their positions beside them.
     df = df.withColumn("_dup", F.size(F.array_distinct("_w8")) < F.size("_w8"))
-    pairs = F.transform("_w8", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("_sorted", F.when(F.col("_dup"), F.array_sort(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    head = lambda x: x.bitwiseAND(F.lit(~_POSITION))
+    packed = F.sort_array(F.transform("_w8", lambda h, i: head(h).bitwiseOR(i.cast("bigint"))))
+    df = df.withColumn("_packed", F.when(F.col("_dup") & (F.size("_w8") <= _POSITION), packed).otherwise(F.array().cast("array<bigint>")))
+    hash_of = lambda x: F.get("_w8", x.bitwiseAND(F.lit(_POSITION)).cast("int"))
+    beside = lambda j: F.get("_packed", j)
+    mixed = F.filter("_packed", lambda x, j: (j > 0) & (head(x) == head(beside(j - 1))) & (hash_of(x) != hash_of(beside(j - 1))))
+    df = df.withColumn("_whole", F.col("_dup") & ((F.size("_w8") > _POSITION) | (F.size(mixed) > 0)))
+    df = df.withColumn("_sorted", F.when(F.col("_whole"), F.array_sort(F.transform("_w8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     hash_at = lambda j: F.get("_sorted", j)["h"]
-    repeated = F.filter("_sorted", lambda x, j: ((j > 0) & x["h"].eqNullSafe(hash_at(j - 1))) | x["h"].eqNullSafe(hash_at(j + 1)))
-    df = df.withColumn("_at", F.sort_array(F.transform(repeated, lambda x: x["i"])))
+    whole = F.filter("_sorted", lambda x, j: ((j > 0) & x["h"].eqNullSafe(hash_at(j - 1))) | x["h"].eqNullSafe(hash_at(j + 1)))
+    short = F.filter("_packed", lambda x, j: ((j > 0) & hash_of(x).eqNullSafe(hash_of(beside(j - 1)))) | hash_of(x).eqNullSafe(hash_of(beside(j + 1))))
+    at = F.when(F.col("_whole"), F.transform(whole, lambda x: x["i"].cast("bigint"))).otherwise(F.transform(short, lambda x: x.bitwiseAND(F.lit(_POSITION))))
+    df = df.withColumn("_at", F.sort_array(at))
     covered = F.aggregate(
         _upto(F.size("_at")),
         F.lit(0).cast("bigint"),

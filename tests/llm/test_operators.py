@@ -167,6 +167,18 @@ def test_quality_signals_match_brute_force(spark, docs, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {i for i, t in rows if not ref.quality(t)[5]}
 
 
+@pytest.mark.parametrize("position", [3, 1 << 62 | 63, (1 << 62) - 1 + (1 << 62)])
+def test_windows_are_told_apart_whatever_fits_a_long(spark, monkeypatch, position):
+    """Few bits for positions: whole hashes are sorted. Few for hashes: different ones have equal heads and lie between equal ones."""
+    monkeypatch.setattr(quality, "_POSITION", position)
+    r = random.Random(2)
+    part = [" ".join(f"w{r.randint(0, 50)}" for _ in range(9)) for _ in range(6)]
+    texts = [" ".join(r.choices(part, k=6)) for _ in range(30)] + ["a " * 30, part[0], ""]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels, buckets=64).select("row.doc_id", "n_repeat_words").collect()
+    same(got, [(k, ref.quality(t)[4]) for k, t in enumerate(texts)])
+
+
 def test_quality_score_is_the_mean_log_ratio(spark):
     texts = [(1, "good words here"), (2, "bad words there now"), (3, "x")]
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")

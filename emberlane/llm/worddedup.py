@@ -105,6 +105,6 @@ def _finish(text: Text, parts: tuple, at: np.ndarray, covered: np.ndarray, null:
 CODEC = Codec(WIDTH, SEED, _symbols, _encode, _answer)
 
 
-def dedup_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, target_bytes: int = 8 << 20, hot_items: int = 1 << 16) -> DataFrame:
+def dedup_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, target_bytes: int = 2 << 20, hot_items: int = 1 << 16) -> DataFrame:
     """``doc_id, n_words, n_removed, spans`` (removed word ranges, maximal) and ``kept`` of every row."""
     return seedextend.repeated_windows(docs, CODEC, _finish, SCHEMA, id_col=id_col, text_col=text_col, block_bytes=block_bytes, target_bytes=target_bytes, hot_items=hot_items)

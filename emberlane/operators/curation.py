@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.operators.ordered import by_hash, row_numbers
+
 
 def draw(*cols: str) -> Column:
     """A reproducible order: the md5 of the key (other engines agree on it)."""
@@ -38,6 +40,21 @@ def cross_dataset_overlap(df: DataFrame, text: str, source: str) -> DataFrame:
     return out.select("left", "right", "shared", F.round(F.col("shared") / F.least("n_left", "n_right"), 8).alias("overlap"))
 
 
+def drop_cross_dataset(df: DataFrame, text: str, source: str, share: float = 0.2) -> DataFrame:
+    """Without the texts (lower case, trimmed) that a source has in common with another, where that is over ``share`` of either one.
+
+    They go from the smaller source, of equal ones from the second by name; what earlier pairs removed still counts.
+    """
+    rows = df.withColumn("_h", F.md5(F.lower(F.trim(text))))
+    key = rows.select(F.col(source).alias("s"), F.col("_h").alias("h")).distinct()
+    sizes = key.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    shared = key.alias("a").join(key.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.s") < F.col("b.s"))).select(F.col("a.s").alias("l"), F.col("b.s").alias("r"), F.col("a.h").alias("h"))
+    pairs = shared.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes.toDF("l", "nl")), "l").join(F.broadcast(sizes.toDF("r", "nr")), "r")
+    pairs = pairs.where(F.col("n") > share * F.least("nl", "nr")).select("l", "r", F.when(F.col("nl") < F.col("nr"), F.col("l")).otherwise(F.col("r")).alias("_s"))
+    gone = shared.join(F.broadcast(pairs), ["l", "r"]).select("_s", F.col("h").alias("_g")).distinct()  # a row per pair of sources is broadcast
+    return rows.join(gone, (F.col(source) == F.col("_s")) & (F.col("_h") == F.col("_g")), "left_anti").drop("_h")
+
+
 def resolve_conflicts(df: DataFrame, text: str, label: str, priority: str) -> DataFrame:
     """Per text the label of the highest priority; texts whose top priority disagrees go."""
     top = df.groupBy(text).agg(F.max(priority).alias("_p"))
@@ -45,13 +62,16 @@ def resolve_conflicts(df: DataFrame, text: str, label: str, priority: str) -> Da
     return best.groupBy(text).agg(F.min(label).alias(label), F.max(label).alias("_m")).where(F.col(label) == F.col("_m")).drop("_m")
 
 
-def rank_within(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def rank_within(df: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """Numbers the rows of each group in the drawn order, however large the group is."""
+    drawn = df.withColumn("_draw", draw(*key))
+    return row_numbers(by_hash(drawn, F.col("_draw")), by, [F.col("_draw"), *[F.col(k) for k in key]], "rn").drop("_draw")
 
 
 def sample_per_group(df: DataFrame, by: list[str], key: list[str], n: int) -> DataFrame:
     """At most ``n`` rows of each group; Spark limits each partition before the shuffle."""
-    return rank_within(df, by, [draw(*key), *[F.col(k) for k in key]]).where(F.col("rn") <= n).drop("rn")
+    order = Window.partitionBy(*by).orderBy(draw(*key), *key)
+    return df.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).drop("rn")
 
 
 def sample_n(df: DataFrame, key: list[str], n: int) -> DataFrame:
@@ -74,12 +94,12 @@ def stratified_sample(df: DataFrame, by: str, key: list[str], total: int) -> Dat
     """A proportional share of each group, one row at least."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     shares = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).select(by, F.greatest(F.lit(1), F.floor(total * F.col("_n") / F.col("_all"))).alias("_k"))
-    return rank_within(df, [by], [draw(*key), *[F.col(k) for k in key]]).join(F.broadcast(shares), by).where(F.col("rn") <= F.col("_k")).drop("rn", "_k")
+    return rank_within(df, [by], key).join(F.broadcast(shares), by).where(F.col("rn") <= F.col("_k")).drop("rn", "_k")
 
 
 def kfold(df: DataFrame, label: str, key: list[str], k: int = 5) -> DataFrame:
     """Stratified folds: the rows of a label are dealt in the drawn order."""
-    return rank_within(df, [label], [draw(*key), *[F.col(c) for c in key]]).withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k))).drop("rn")
+    return rank_within(df, [label], key).withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k))).drop("rn")
 
 
 def group_split(df: DataFrame, group: str, train_percent: int = 85) -> DataFrame:
@@ -97,3 +117,25 @@ def validate(df: DataFrame) -> DataFrame:
     )
     gaps = df.groupBy("session_id").agg((F.max("step") - F.min("step") + 1 - F.countDistinct("step")).alias("g")).agg(F.count_if(F.col("g") > 0).alias("gap_sessions"))
     return bad.crossJoin(F.broadcast(gaps))
+
+
+def whole_sessions(df: DataFrame, which: Column) -> DataFrame:
+    """All rows of the sessions of which a row meets ``which``: sessions are kept whole, whatever that does to the balance."""
+    return df.join(df.where(which).select("session_id").distinct(), "session_id", "left_semi")
+
+
+def containment(df: DataFrame, held_out: DataFrame, key: str, text: str, other: str, words: int = 8) -> DataFrame:
+    """``key, shared, grams``: of the distinct word n-grams of each text how many a held-out table has, too, and how many there are.
+
+    Only hashes of n-grams meet; texts that share none are not in the result.
+    """
+
+    def grams(d: DataFrame, column: str) -> DataFrame:
+        w = F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
+        d = d.withColumn("_w", w).where(F.size("_w") >= words)
+        each = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(words)), " ")))
+        return d.withColumn("_g", F.array_distinct(each))
+
+    known = grams(held_out, other).select(F.explode("_g").alias("_k")).distinct()
+    mine = grams(df, text).select(key, F.size("_g").alias("grams"), F.explode("_g").alias("_h"))
+    return mine.join(known, F.col("_h") == F.col("_k")).groupBy(key, "grams").agg(F.count(F.lit(1)).alias("shared")).select(key, "shared", F.col("grams").cast("bigint").alias("grams"))

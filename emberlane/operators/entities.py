@@ -98,3 +98,12 @@ class Registry:
 def render(template: Column, **values: Column) -> Column:
     """``{name}`` replaced by the value of that name, in the order given."""
     return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), kv[1]), values.items(), template)
+
+
+def tag_positions(df: DataFrame, column: str, pattern: str = r"(?s)<INFORMATION>.*?</INFORMATION>") -> DataFrame:
+    """A row for each match in a text: ``n``, where it starts and ends, and the text's ``length``; texts without one have none."""
+    found = F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1))
+    df = df.withColumn("_found", found).where(F.size("_found") > 0).withColumn("_between", F.split(column, pattern)).withColumn("length", F.length(column))
+    total = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+    each = df.select("*", F.posexplode("_found").alias("n", "_match")).withColumn("start", total("_between", F.col("n") + 1) + total("_found", F.col("n")))
+    return each.withColumn("end", F.col("start") + F.length("_match")).drop("_found", "_between", "_match")

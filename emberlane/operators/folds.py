@@ -1,90 +1,182 @@
-"""Sequential controllers: state that each decision changes, folded per key over Arrow batches."""
+"""Controllers whose state each decision changes, and near-duplicates that are kept first come.
+
+What a controller sees (how many decisions, the rate of the last ones) comes from running sums; only the moves of a threshold, one
+in twenty decisions at most, are folded.
+"""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.operators.ordered import by_quantile, running
+
 # --- fixed values -----------------------------------------------------------------------------------
-START, LOW, HIGH = 0.72, 0.55, 0.95
-UP, DOWN, WINDOW, EVERY, WARM_UP, PATIENCE = 0.06, 0.03, 100, 10, 30, 2
-TARGET_LOW, TARGET_HIGH = 0.05, 0.15
-STAGES = (("source", r"(?i)\b(?:password|secret|token|/etc/passwd)\b"), ("transform", r"(?i)\b(?:base64|encode|compress|zip)\b"), ("sink", r"(?i)\b(?:send|forward|curl|upload)\b"), ("cover", r"(?i)\b(?:history\s+-c|shred|rm\s+-rf)\b"), ("override", r"(?i)\bignore\b"))
-ALERTS = ((("source", "transform", "sink"), 96), (("source", "sink"), 90), (("sink", "cover"), 88), (("override", "sink"), 80))
+START, LOW, HIGH = 0.72, 0.58, 0.95
+UP, DOWN, WINDOW, EVERY, WARM_UP = 0.06, 0.03, 100, 10, 30
+TARGET, TIGHTEN_ABOVE, LOOSEN_BELOW = 0.10, 1.2, 0.5
+EMA_START, EMA_ALPHA, EMA_DOWN, EMA_WARM_UP, EMA_SESSIONS = 0.70, 0.02, 0.02, 200, 30
+BUDGET_START, BUDGET_TARGET, BUDGET_HIGH = 0.70, 0.05, 0.92
 # ----------------------------------------------------------------------------------------------------
 
 
+def _side(rate: Column, target: float) -> Column:
+    return F.when(rate > TIGHTEN_ABOVE * target, 1).when(rate < LOOSEN_BELOW * target, -1).otherwise(0)
+
+
+def _walk(moves: DataFrame, key: str, start: float, up: float, down: float, low: float, high: float) -> DataFrame:
+    """``key, at, threshold`` after each move (``at``, ``side``): steps up and down that stay within bounds, the one true fold."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        t, out = start, []
+        for side in rows["side"]:
+            t = min(high, t + up) if side > 0 else max(low, t - down)
+            out.append(t)
+        return pd.DataFrame({key: rows[key], "at": rows["at"], "threshold": out})
+
+    return moves.select(key, "at", "side").groupBy(key).applyInPandas(run, f"{key} {dict(moves.dtypes)[key]}, at long, threshold double")
+
+
+def _latest(numbered: DataFrame, walked: DataFrame, key: str, order: str, start: float) -> DataFrame:
+    """Each decision with the threshold after it: that of the last check that moved it."""
+    checks = walked.select(F.col(key).alias("_k"), F.col("at").alias("_from"), F.lead("at").over(Window.partitionBy(key).orderBy("at")).alias("_until"), "threshold")
+    # decisions between two moves; a move's interval is expanded to its checks, so this is an equi-join of tens of rows each
+    tens = checks.withColumn("_ten", F.explode(F.sequence(F.col("_from"), F.coalesce(F.col("_until") - EVERY, F.col("_from")), F.lit(EVERY))))
+    last = checks.where("_until IS NULL").select(F.col("_k").alias("_lk"), F.col("_from").alias("_lf"), F.col("threshold").alias("_lt"))
+    n = F.col("seen") - F.pmod(F.col("seen"), F.lit(EVERY))
+    out = numbered.withColumn("_n", n).join(tens.select("_k", "_ten", "threshold"), (F.col(key) == F.col("_k")) & (F.col("_n") == F.col("_ten")), "left")
+    out = out.join(F.broadcast(last), F.col(key) == F.col("_lk"), "left")  # a row per key
+    value = F.when(F.col("_n") >= F.col("_lf"), F.col("_lt")).otherwise(F.coalesce("threshold", F.lit(start)))
+    return out.select(key, order, F.round(value, 6).alias("threshold"))
+
+
+def _numbered(df: DataFrame, key: str, order: str, flags: dict[str, Column]) -> DataFrame:
+    order_by = [F.col(order), *[F.col(c) for c in df.columns if c not in (key, order)]]
+    return running(by_quantile(df, order), [key], order_by, {"seen": F.lit(1), **flags})
+
+
 def adaptive_threshold(df: DataFrame, key: str, order: str, blocked: str) -> DataFrame:
-    """The threshold after each decision of a key: the block rate of the last decisions, two checks in a row, moves it."""
+    """``key, order, threshold`` after each decision of a key.
+
+    Every ten decisions the block rate of the last hundred is checked; the second check in a row on the same side moves the threshold.
+    """
+    numbered = _numbered(df.select(key, order, blocked), key, order, {"hits": F.col(blocked).cast("int")})
+    checks = numbered.where((F.col("seen") >= WARM_UP) & (F.col("seen") % EVERY == 0)).select(F.col(key).alias("_k"), F.col("seen").alias("at"), F.col("hits").alias("_now"))
+    earlier = numbered.select(F.col(key).alias("_ek"), (F.col("seen") + WINDOW).alias("_eat"), F.col("hits").alias("_then"))
+    checks = checks.join(earlier, (F.col("_k") == F.col("_ek")) & (F.col("at") == F.col("_eat")), "left")
+    rate = (F.col("_now") - F.coalesce("_then", F.lit(0))) / F.least(F.col("at"), F.lit(WINDOW))
+    checks = checks.select(F.col("_k").alias(key), "at", _side(rate, TARGET).alias("side"))
+    # runs of checks on the same side: every second one of a run moves
+    w = Window.partitionBy(key).orderBy("at")
+    runs = checks.withColumn("_run", F.sum((F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(0))).cast("int")).over(w))
+    turn = F.row_number().over(Window.partitionBy(key, "_run").orderBy("at"))
+    moves = runs.withColumn("_turn", turn).where("side <> 0 AND _turn % 2 = 0")
+    return _latest(numbered, _walk(moves, key, START, UP, DOWN, LOW, HIGH), key, order, START)
+
+
+def fpr_budget(df: DataFrame, key: str, order: str, blocked: str, truth: str) -> DataFrame:
+    """``key, order, threshold`` of a controller that knows the truth: every ten decisions the false positive rate so far is checked."""
+    benign = F.col(truth) == 0
+    numbered = _numbered(df.select(key, order, blocked, truth), key, order, {"fp": (benign & F.col(blocked)).cast("int"), "clean": benign.cast("int")})
+    rate = F.when(F.col("clean") > 0, F.col("fp") / F.col("clean")).otherwise(F.lit(0.0))
+    side = _side(rate, BUDGET_TARGET)
+    checks = numbered.where(F.col("seen") % EVERY == 0).select(key, F.col("seen").alias("at"), F.when((side < 0) & (F.col("seen") < WARM_UP), 0).otherwise(side).alias("side"))
+    return _latest(numbered, _walk(checks.where("side <> 0"), key, BUDGET_START, UP, DOWN, LOW, BUDGET_HIGH), key, order, BUDGET_START)
+
+
+def adaptive_threshold_ema(df: DataFrame, key: str, order: str, blocked: str, session: str) -> DataFrame:
+    """``key, order, threshold`` by the exponential mean of decisions, checked every ten after 200 decisions and 30 sessions.
+
+    Decisions of ten are one block: a block's mean is a weighted sum, so the fold over blocks sees a tenth of the rows.
+    """
+    a = EMA_ALPHA
+    first = F.row_number().over(Window.partitionBy(key, session).orderBy(order)) == 1
+    marked = df.select(key, order, blocked, first.cast("int").alias("_first"))
+    numbered = _numbered(marked, key, order, {"sessions": F.col("_first")})
+    block = F.ceil(F.col("seen") / EVERY).cast("long")
+    weight = F.lit(a) * F.pow(F.lit(1 - a), F.pmod(-F.col("seen"), F.lit(EVERY)))
+    blocks = numbered.groupBy(key, (block * EVERY).alias("at")).agg(F.sum(weight * F.col(blocked).cast("int")).alias("gain"), F.max("sessions").alias("sessions"), F.count(F.lit(1)).alias("n")).where(F.col("n") == EVERY)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        flags, t, seen, streak, out = rows[blocked].astype(int).tolist(), START, 0, 0, []
-        for k in range(len(flags)):
-            seen += 1
-            if seen >= WARM_UP and seen % EVERY == 0:
-                rate = sum(flags[max(0, k + 1 - WINDOW) : k + 1]) / min(WINDOW, k + 1)
-                side = 1 if rate > TARGET_HIGH else -1 if rate < TARGET_LOW else 0
-                streak = streak + side if side and streak * side >= 0 else side
-                if abs(streak) >= PATIENCE:
-                    t, streak = min(HIGH, max(LOW, t + (UP if streak > 0 else -DOWN))), 0
-            out.append(round(t, 6))
-        return pd.DataFrame({key: rows[key], order: rows[order], "threshold": out})
-
-    kinds = dict(df.dtypes)
-    return df.select(key, order, blocked).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, threshold double")
-
-
-def multi_step_memory(df: DataFrame) -> DataFrame:
-    """Per step the first alert whose stages the session's distinct actions have gathered; again only when the stages grew."""
-    stages = F.array_compact(F.array(*[F.when(F.col("action").rlike(p), F.lit(n)) for n, p in STAGES]))
-    rows = df.select("session_id", "step", F.md5("action").alias("k"), stages.alias("stages"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        have, seen, alerted, out = frozenset(), set(), {}, []
-        for r in part.sort_values("step").itertuples():
-            if not len(r.stages):
-                continue
-            if r.k not in seen:
-                seen.add(r.k)
-                have |= frozenset(r.stages)
-            for n, (need, severity) in enumerate(ALERTS):
-                if have.issuperset(need) and alerted.get(n) != have:
-                    alerted[n] = have
-                    out.append((r.session_id, r.step, severity))
-                    break
-        return pd.DataFrame(out, columns=["session_id", "step", "severity"])
-
-    return rows.groupBy("session_id").applyInPandas(run, "session_id long, step long, severity int")
-
-
-def global_threat(df: DataFrame, rows: int = 200) -> DataFrame:
-    """First step at which a user's last events, over two sessions or more, hold both a source and a sink."""
-    from pyspark.sql import Window
-
-    last = Window.partitionBy("user_id").orderBy("ts", "session_id", "step").rowsBetween(1 - rows, 0)
-    have = lambda p: F.max(F.col("action").rlike(p)).over(last)
-    w = df.select("user_id", "session_id", "step", "ts", F.size(F.collect_set("session_id").over(last)).alias("n"), (have(STAGES[0][1]) & have(STAGES[2][1])).alias("hit"))
-    return w.where("hit AND n >= 2").groupBy("user_id").agg(F.min_by(F.struct("session_id", "step"), F.struct("ts", "session_id", "step")).alias("f")).select("user_id", "f.session_id", "f.step")
-
-
-def minhash_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
-    """Keeps a row unless an earlier one shares so much of its word set.
-
-    Candidates come from a prefix join, which misses none: sets within the threshold share one of their
-    rarest words, so only those are joined on. Ids alone meet; sets are compared after.
+        rows = rows.sort_values("at")
+        mean, t, at, out = TARGET, EMA_START, [], []
+        for r in rows.itertuples():
+            mean = mean * (1 - a) ** EVERY + r.gain
+            if r.at >= EMA_WARM_UP and r.sessions >= EMA_SESSIONS:
+                if mean > TIGHTEN_ABOVE * TARGET:
+                    t = min(HIGH, t + UP)
+                elif mean < LOOSEN_BELOW * TARGET:
+                    t = max(LOW, t - EMA_DOWN)
+                else:
+                    continue
+                at.append(r.at)
+                out.append(t)
+        return pd.DataFrame({key: rows[key].iloc[:1].repeat(len(at)).to_numpy(), "at": at, "threshold": out})
+
+    walked = blocks.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, at long, threshold double")
+    return _latest(numbered, walked, key, order, EMA_START)
+
+
+def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``first < id`` of similar word sets (``id, w``), found by rare words.
+
+    Sets as similar as that share one of the rarest words of either, so only those words are joined on; a word that no second set has
+    among its rarest is left out before the join, and so is one whose sets differ too much in size.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
-    sets = df.select(F.col(key).alias("id"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("w")).where(F.size("w") > 0)
-    grouped = sets.groupBy("w").agg(F.min("id").alias("id"))  # equal sets are one
     n = F.size("w")
-    freq = grouped.select(F.explode("w").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("f"))
-    ranked = grouped.select("id", n.alias("n"), F.explode("w").alias("x")).join(freq, "x").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda s: s["x"]).alias("w"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("w", F.lit(1), F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1)).alias("x"))
+    words = sets.select("id", n.alias("n"), F.explode("w").alias("x"))
+    freq = words.groupBy("x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = words.join(freq, "x").withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("f", "x")))
+    alone = words.groupBy("id").agg(F.count(F.lit(1)).alias("_all")).join(ranked.groupBy("id").agg(F.count(F.lit(1)).alias("_shared")), "id").select("id", (F.col("_all") - F.col("_shared")).alias("_alone"))
+    # words that occur in one set only are its rarest; they use up places of the prefix and join nothing
+    prefix = ranked.join(alone, "id").where(F.col("_r") + F.col("_alone") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "x")
     a, b = prefix.alias("a"), prefix.alias("b")
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n"))).select(F.col("a.id").alias("first"), F.col("b.id").alias("id")).distinct()
-    full = pairs.join(grouped.select(F.col("id").alias("first"), F.col("w").alias("wa")), "first").join(grouped.select("id", F.col("w").alias("wb")), "id")
+    near = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n")
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("first"), F.col("b.id").alias("id")).distinct()
+    full = pairs.join(sets.select(F.col("id").alias("first"), F.col("w").alias("wa")), "first").join(sets.select("id", F.col("w").alias("wb")), "id")
     shared = F.size(F.array_intersect("wa", "wb"))
-    gone = full.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared)).select("id").distinct()
-    return grouped.select("id").join(gone, "id", "left_anti")
+    return full.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared)).select("first", "id")
+
+
+def nearest_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
+    """``id, nearest, similarity``: the earlier row whose word set is most like this one's, if it is so like; of equals the first."""
+    from emberlane.sources.tables import written
+
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
+    sets = df.select(F.col(key).alias("id"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
+    grouped = written(sets.groupBy("w").agg(F.min("id").alias("id")), "sets")
+    pairs = _candidates(grouped.where(F.size("w") > 0), threshold)
+    w = grouped.select("id", "w")
+    both = pairs.join(w, "id").join(w.withColumnsRenamed({"id": "first", "w": "other"}), "first")
+    shared = F.size(F.array_intersect("w", "other"))
+    both = both.withColumn("similarity", F.round(shared / (F.size("w") + F.size("other") - shared), 8))
+    near = both.groupBy("id").agg(F.min_by(F.struct(F.col("first").alias("nearest"), "similarity"), F.struct(-F.col("similarity"), "first")).alias("n")).select("id", "n.*")
+    same = sets.join(grouped.withColumnRenamed("id", "nearest"), "w").where("id <> nearest").select("id", "nearest", F.lit(1.0).alias("similarity"))
+    return near.unionByName(same)
+
+
+def minhash_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.85, folder: str | None = None) -> DataFrame:
+    """The ids that stay: a row goes if an earlier one that stays shares so much of its word set (without words: is empty, too).
+
+    Whether an earlier row stays is settled round by round: a row with no undecided earlier neighbour stays if none of them stays. Equal
+    sets are one entry. Each round's rows are written to ``folder`` (the folder of checkpoints by default).
+    """
+    from emberlane.sources.tables import written
+
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
+    sets = df.select(F.col(key).alias("id"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
+    grouped = written(sets.groupBy("w").agg(F.min("id").alias("id")), "sets", folder)
+    pairs = written(_candidates(grouped.where(F.size("w") > 0), threshold), "pairs", folder)
+    open_ = written(pairs.select("id").distinct(), "open", folder)
+    gone = None
+    while not open_.isEmpty():
+        waiting = pairs.join(open_.withColumnRenamed("id", "first"), "first", "left_semi").select("id").distinct()
+        ready = written(open_.join(waiting, "id", "left_anti"), "ready", folder)
+        decided = pairs.join(ready, "id", "left_semi")
+        kept_first = decided if gone is None else decided.join(gone.withColumnRenamed("id", "first"), "first", "left_anti")
+        dropped = kept_first.select("id").distinct()
+        gone = written(dropped if gone is None else gone.unionAll(dropped), "gone", folder)
+        open_ = written(open_.join(ready, "id", "left_anti"), "open", folder)
+    return grouped.select("id") if gone is None else grouped.select("id").join(gone, "id", "left_anti")

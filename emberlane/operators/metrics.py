@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.operators.ordered import by_quantile, running
+
 Z95 = 1.959964
 
 
@@ -48,10 +50,17 @@ def steady_state_fpr(df: DataFrame, warm_up: int = 30) -> DataFrame:
 
 
 def latency_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Mean, deviation and percentiles as the element at ``floor(p * (n - 1))`` of the sorted values."""
-    at = lambda p: F.get(F.col("v"), F.floor(F.lit(p) * (F.size("v") - 1)).cast("int"))
-    out = df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("stdev"), F.sort_array(F.collect_list(value)).alias("v"))
-    return out.select(*by, "mean", "stdev", at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    """Mean, deviation and percentiles as the element at ``floor(p * (n - 1))`` of the sorted values.
+
+    Equal values are counted before anything is ordered, so windows see distinct values with their counts.
+    """
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = running(by_quantile(counts.where("_x IS NOT NULL"), "_x"), by, [F.col("_x")], {"_upto": F.col("_n")})
+    size = df.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("stdev"), F.count(value).alias("_all"))
+    on = [ranked[c].eqNullSafe(size[c]) for c in by]
+    joined = size.join(ranked, on, "left").select(*[size[c] for c in by], "mean", "stdev", "_all", "_x", "_upto")
+    at = lambda p, n: F.min(F.when(F.col("_upto") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col("_x"))).alias(n)
+    return joined.groupBy(*by, "mean", "stdev").agg(at(0.5, "p50"), at(0.9, "p90"), at(0.99, "p99"))
 
 
 def proportion_ci(df: DataFrame, flag: str, by: list[str]) -> DataFrame:
@@ -69,15 +78,17 @@ def wilson_ci(df: DataFrame, flag: str, by: list[str]) -> DataFrame:
     return out.select(*by, "n", F.round(mid - half, 8).alias("low"), F.round(mid + half, 8).alias("high"))
 
 
-def score_counts(df: DataFrame) -> DataFrame:
-    """Per distinct score, how many rows of either truth score at least that much.
+def score_counts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per distinct score (within a group), how many rows of either truth score at least that much.
 
-    Rows are summed by score before the running sums, so the window sees distinct scores only.
+    Rows are summed by score before the running sums, which are taken bucket by bucket.
     """
-    by_score = df.groupBy("score").agg(F.count_if(F.col("truth") == 1).alias("p"), F.count_if(F.col("truth") == 0).alias("n"))
-    up = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return by_score.select("score", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"))
+    by = by or []
+    by_score = df.groupBy(*by, "score").agg(F.count_if(F.col("truth") == 1).alias("p"), F.count_if(F.col("truth") == 0).alias("n"))
+    up = running(by_quantile(by_score, "score", descending=True), by, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
+    whole = by_score.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    joined = up.join(whole, [up[c].eqNullSafe(whole[c]) for c in by]) if by else up.crossJoin(F.broadcast(whole))  # one row
+    return joined.select(*[up[c] for c in by], "score", "tp", "fp", "pos", "neg")
 
 
 def threshold_sweep(df: DataFrame, fpr_budget: float = 0.05, fnr_budget: float = 0.05) -> DataFrame:
@@ -90,15 +101,37 @@ def threshold_sweep(df: DataFrame, fpr_budget: float = 0.05, fnr_budget: float =
     return out.select("block", F.when(F.col("review") < F.col("block"), F.col("review")).otherwise(F.greatest(F.lit(0.2), F.round(F.col("block") - 0.2, 10))).alias("review"))
 
 
+def calibrate_thresholds(df: DataFrame, by: str, key: str, fpr_budget: float = 0.01, fnr_budget: float = 0.05, least: int = 10) -> DataFrame:
+    """``by, block, review`` from about seven tenths of each group's labelled rows, chosen by a hash of the key.
+
+    Block is the score with the fewest misses within the false positive budget (of equals the lowest; 1.0 if none is), review the
+    highest with few misses (else 0.35); the larger of the two blocks, the smaller reviews, from 0.20 on. Groups with under
+    ``least`` rows of either truth have no row.
+    """
+    enough = df.groupBy(by).agg(F.count_if(F.col("truth") == 0).alias("_b"), F.count_if(F.col("truth") == 1).alias("_m")).where((F.col("_b") >= least) & (F.col("_m") >= least)).select(F.col(by).alias("_by"))
+    part = df.where(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(10)) < 7)
+    rates = score_counts(part, [by]).withColumn("fpr", F.col("fp") / F.greatest("neg", F.lit(1))).withColumn("fnr", (F.col("pos") - F.col("tp")) / F.greatest("pos", F.lit(1)))
+    out = rates.groupBy(by).agg(
+        F.coalesce(F.min_by("score", F.when((F.col("fpr") <= fpr_budget) & (F.col("fnr") < 1), F.struct("fnr", "score"))), F.lit(1.0)).alias("a"),
+        F.coalesce(F.max(F.when(F.col("fnr") <= fnr_budget, F.col("score"))), F.lit(0.35)).alias("b"),
+    )
+    out = out.join(enough, F.col(by) == F.col("_by"), "left_semi")
+    return out.select(by, F.round(F.greatest("a", "b"), 4).alias("block"), F.round(F.greatest(F.lit(0.2), F.least("a", "b")), 4).alias("review"))
+
+
 def f1_sweep(df: DataFrame) -> DataFrame:
     counts = score_counts(df).withColumn("f1", 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos")))
     return counts.agg(F.max_by("score", F.struct("f1", "score")).alias("threshold"), F.round(F.max("f1"), 10).alias("f1"))
 
 
 def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no row of greater or equal ``x`` beats in ``y``: running maxima from the right."""
-    before = Window.orderBy(F.desc(x), F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_best", F.max(y).over(before)).where(F.col("_best").isNull() | (F.col(y) > F.col("_best"))).drop("_best")
+    """Rows that no row of greater or equal ``x`` beats in ``y``: running maxima from the right, bucket by bucket."""
+    cut = by_quantile(df, x, descending=True)
+    tops = cut.groupBy("_b").agg(F.max(y).alias("_top"))
+    before = tops.select(F.col("_b").alias("_k"), F.max("_top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_above"))  # a row per bucket
+    inside = Window.partitionBy("_b").orderBy(F.desc(x), F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(before), F.col("_b") == F.col("_k")).withColumn("_best", F.greatest(F.max(y).over(inside), F.col("_above")))
+    return out.where(F.col("_best").isNull() | (F.col(y) > F.col("_best"))).select(*df.columns)
 
 
 def family_vote(signals: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,16 +32,43 @@ def ml_score(df: DataFrame, model: PipelineModel, forest_weight: float = 0.4) ->
     return out.select(*df.columns, "ml_score")
 
 
-def plug_in(df: DataFrame, text: str, score: Callable[[list[str]], list[float]], fallback: float = 0.0) -> DataFrame:
-    """Adds ``plugin_score`` from any batch scorer; a batch that fails gets the fallback."""
+def plug_in(df: DataFrame, text: str, score: Callable[[list[str]], list[float]], fallback: float | None = None) -> DataFrame:
+    """Adds ``plugin_score`` and ``plugin_error`` from any batch scorer.
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Where a fallback is given, a batch that fails gets it, and says why; without one the failure is raised.
+    """
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             try:
-                yield pd.Series(score(s.fillna("").tolist()), dtype=float)
-            except Exception:
-                yield pd.Series([fallback] * len(s), dtype=float)
+                values, error = score(s.fillna("").tolist()), None
+            except Exception as e:
+                if fallback is None:
+                    raise
+                values, error = [fallback] * len(s), f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"score": pd.Series(values, dtype=float), "error": pd.Series([error] * len(s), dtype="string")})
+
+    scored = F.pandas_udf(run, "score double, error string", F.PandasUDFType.SCALAR_ITER)(F.col(text))
+    return df.withColumn("_p", scored).select(*df.columns, F.col("_p.score").alias("plugin_score"), F.col("_p.error").alias("plugin_error"))
+
+
+FEATURES = ("iat", "payload", "risk", "depth", "fanout", "distinct_tools", "resource_freq")
 
-    from pyspark.sql.types import DoubleType
 
-    return df.withColumn("plugin_score", F.pandas_udf(run, DoubleType(), F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+def sequence_score(features: DataFrame, score: Callable[[list[list[list[float]]]], list[float]] | None = None, rows: int = 10, decay: float = 0.9) -> DataFrame:
+    """Adds ``n_rows``, ``probability`` and ``available`` from a model of the last rows of features, whose risks fade with distance.
+
+    Without a model (its weights are not part of this library) nothing is blocked: probability 0 and not available.
+    """
+    near = Window.partitionBy("session_id").orderBy("step").rowsBetween(1 - rows, 0)
+    df = features.withColumn("_seq", F.collect_list(F.array(*[F.col(c).cast("double") for c in FEATURES])).over(near))
+    faded = F.transform("_seq", lambda r, i: F.transform(r, lambda v, k: F.when(k == 2, v * F.pow(F.lit(decay), F.size("_seq") - 1 - i)).otherwise(v)))
+    df = df.withColumn("n_rows", F.size("_seq"))
+    if score is None:
+        return df.withColumn("probability", F.lit(0.0)).withColumn("available", F.lit(False)).drop("_seq")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(score([[list(r) for r in x] for x in s]), dtype=float)
+
+    return df.withColumn("probability", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(faded)).withColumn("available", F.lit(True)).drop("_seq")

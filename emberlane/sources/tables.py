@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_LOCAL: dict[str, str] = {}
 ACTION_SCHEMA = T.StructType(
     [T.StructField(n, t) for n, t in (("action", T.StringType()), ("label", T.StringType()), ("session_id", T.StringType()), ("attack_type", T.StringType()), ("step_index", T.IntegerType()), ("source_dataset", T.StringType()), ("augmented", T.BooleanType()))]
 )
@@ -15,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written once and read again, in ``folder`` or the one in ``spark.checkpoint.dir`` (a temporary one for a local master).
+
+    Rounds that read each other's rows stay short this way, and a lost executor costs no earlier round.
+    """
+    spark = df.sparkSession
+    path = f"{(folder or shared_folder(spark)).rstrip('/')}/emberlane-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one for a local master, and an error on a cluster."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local-") or not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="emberlane-"))
+
+
 def parse_json_lines(lines: DataFrame, schema: T.StructType = ACTION_SCHEMA) -> DataFrame:
     """Records of a table of lines (``value``); blank and broken lines are skipped."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
@@ -65,3 +90,10 @@ def scan_traces(spark: SparkSession, path: str) -> DataFrame:
 def upgrade_traces(df: DataFrame) -> DataFrame:
     block = lambda m: F.struct(m["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), m["content"].alias("content"))).alias("content"))
     return df.withColumn("messages", F.transform("messages", block))
+
+
+def scan_suite(traces: DataFrame, suite: str, attacks_on_all: tuple[str, ...] = ("dos",)) -> DataFrame:
+    """The traces of a suite; of an attack that is the same for every injection only the first injection task counts."""
+    rows = traces.where(F.col("suite_name") == suite)
+    same = F.col("attack_type").isin(*attacks_on_all)
+    return rows.where(~same | (F.col("injection_task_id") == "injection_task_0"))

@@ -68,6 +68,6 @@ def feedback_sink(decisions: DataFrame, path: str, checkpoint: str):
     """Appends each micro-batch's redacted decisions as JSON lines."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.withColumn("action", rules.redact(F.col("action"))).write.mode("append").json(path)
+        rules.redact(batch, "action", "action").write.mode("append").json(path)
 
     return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

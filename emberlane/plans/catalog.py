@@ -68,11 +68,21 @@ _AZ = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _AZ)
 _ROT = _AZ[13:26] + _AZ[:13] + _AZ[39:] + _AZ[26:39]
 _LOSSY = f"CASE WHEN regexp_matches(action, '[{''.join(text.MOJIBAKE_MARKS[:4])}]') THEN regexp_replace(action, '[^\\x00-\\x7F]', '', 'g') ELSE action END"  # no valid pair is in the view
-_FORM = f"translate({_LOSSY}, '{_WIDE}', '{_AZ}')"  # of the compatibility forms those that the view has
-_FORM = rf"CASE WHEN regexp_matches({_FORM}, '\b(?:{'|'.join(text.ROT13_WORDS)})\b', 'i') THEN translate({_FORM}, '{_AZ}', '{_ROT}') ELSE {_FORM} END"
+
+
+def _form(source: str) -> str:
+    """Compatibility forms (those that the view has) and rot13."""
+    plain = f"translate({source}, '{_WIDE}', '{_AZ}')"
+    return rf"CASE WHEN regexp_matches({plain}, '\b(?:{'|'.join(text.ROT13_WORDS)})\b', 'i') THEN translate({plain}, '{_AZ}', '{_ROT}') ELSE {plain} END"
+
+
+_FORM = _form(_LOSSY)
 _MAP = text.SCAN_HOMOGLYPHS | text.LEET
 _NORMAL = f"strip_accents(translate({_FORM}, '{''.join(_MAP)}', '{''.join(_MAP.values())}'))"
 add("pre_normalise", "actions", _sel(lambda: [text.pre_normalise(F.col("action")).alias("out")]), f"SELECT {ID}, {_NORMAL} AS out FROM actions")
+_CANON = rf"trim(regexp_replace(replace({_form('action')}, 'aWdub3JlIGFsbCBwcmV2aW91cyBydWxlcw==', 'ignore all previous rules'), '\s+', ' ', 'g'))"
+_CANON = f"(SELECT *, replace({_CANON}, chr(92) || 'x41' || chr(92) || 'u0042', 'AB') AS c FROM actions)"
+CANONICAL = f"(SELECT * EXCLUDE (c), translate({_LEET_SQL.replace('action', 'c')}, '{''.join(text.HOMOGLYPHS)}', '{''.join(text.HOMOGLYPHS.values())}') AS canonical FROM {_CANON})"
 _FIRED = _sql_array([(n + "/" + d, f"regexp_matches({'action' if n.startswith('rce_') else 'normal'}, {_quote(p)}, 'is')") for n, d, p in rules.SCAN_RULES])
 _SCAN_SQL = f"""SELECT {ID}, CASE WHEN len(block) > 0 THEN 'BLOCK' WHEN len(fired) > 0 THEN 'MONITOR' ELSE 'ALLOW' END AS decision,
  split_part(CASE WHEN len(block) > 0 THEN block[-1] WHEN len(fired) > 0 THEN fired[-1] END, '/', 1) AS rule_fired, len(fired) AS n_rules
@@ -123,7 +133,19 @@ add("extract_tool_resource", "actions", _sel(lambda: [F.regexp_extract("action",
 add("decision_to_tier", "actions", lambda d: scanned(d).select("session_id", "step", F.col("scan.decision").alias("d")).select("session_id", "step", F.when(F.col("d") == "BLOCK", "QUARANTINE").when(F.col("d") == "MONITOR", "REVIEW").otherwise("ALLOW").alias("tier")),
     f"SELECT {ID}, CASE decision WHEN 'BLOCK' THEN 'QUARANTINE' WHEN 'MONITOR' THEN 'REVIEW' ELSE 'ALLOW' END AS tier FROM ({_SCAN_SQL})")
 add("standardize_url", "pages", lambda d: d.select("page_id", F.regexp_replace(F.regexp_replace("url", "^https://", ""), "^http://", "").alias("url")), "SELECT page_id, regexp_replace(regexp_replace(url, '^https://', ''), '^http://', '') AS url FROM pages")
-add("redact", "documents", lambda d: rules.redact(d, "text", "t").select("doc_id", F.md5("t").alias("redacted"), F.regexp_count("t", F.lit(r"\[REDACTED_")).alias("n")))
+_DIG = "regexp_replace(c, '[^0-9]', '', 'g')"
+_LUHN = f"length({_DIG}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIG}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({_DIG})[i]::INT WHEN reverse({_DIG})[i]::INT * 2 > 9 THEN reverse({_DIG})[i]::INT * 2 - 9 ELSE reverse({_DIG})[i]::INT * 2 END)) % 10 = 0"
+_PEMS = "|".join(f"-----BEGIN {k}PRIVATE KEY-----.*?-----END (?:{k})?PRIVATE KEY-----" for k in ("RSA ", "OPENSSH ", "EC ", ""))  # without a back reference
+_RED = f"regexp_replace(text, '(?s)(?:{_PEMS})', '[REDACTED_PRIVATE_KEY]', 'g')"
+for _p, _m in ((rules.SECRET_PAIR, "\\1\\2[REDACTED_GENERIC_SECRET]"), (rules.API_KEY, "[REDACTED_API_KEY]")):
+    _RED = f"regexp_replace({_RED}, {_quote(_p)}, '{_m}', 'g')"
+_RED = f"(SELECT doc_id, {_RED} AS t FROM documents)"
+_RED = f"(SELECT doc_id, list_reduce(list_concat([t], list_sort(list_distinct(list_filter(regexp_extract_all(t, {_quote('(' + rules.CARD + ')')}, 1), lambda c: {_LUHN})), 'DESC')), lambda a, c: replace(a, c, '[REDACTED_CREDIT_CARD]')) AS t FROM {_RED})"
+_END = "t"
+for _p, _m in ((rules.PLAIN_EMAIL, "[REDACTED_EMAIL]"), (rules.PHONE, "[REDACTED_PHONE]"), (rules.SENSITIVE_PAIR, "\\1\\2[REDACTED_SENSITIVE_DATA]")):
+    _END = f"regexp_replace({_END}, {_quote(_p)}, '{_m}', 'g')"
+_REDACT_SQL = f"SELECT doc_id, md5(t) AS redacted, len(regexp_extract_all(t, '\\[REDACTED_'))::INT AS n FROM (SELECT doc_id, {_END} AS t FROM {_RED})"
+add("redact", "documents", lambda d: rules.redact(d, "text", "t").select("doc_id", F.md5("t").alias("redacted"), F.regexp_count("t", F.lit(r"\[REDACTED_")).alias("n")), _REDACT_SQL)
 add("redact_email", "documents", lambda d: d.select("doc_id", F.md5(F.regexp_replace("text", rules.PLAIN_EMAIL, "[REDACTED_EMAIL]")).alias("h")), f"SELECT doc_id, md5(regexp_replace(text, {_quote(rules.PLAIN_EMAIL)}, '[REDACTED_EMAIL]', 'g')) AS h FROM documents WHERE true")
 add("shannon_entropy", "actions", _sel(lambda: [F.round(text.shannon_entropy(F.col("action")), 6).alias("entropy")]), f"SELECT session_id, step, round(-sum(c / n * log2(c / n)), 6) AS entropy FROM (SELECT session_id, step, ch, count(*)::DOUBLE AS c, any_value(n) AS n FROM (SELECT session_id, step, unnest(string_split(action, '')) AS ch, length(action) AS n FROM actions) GROUP BY ALL) GROUP BY ALL")
 add("char_trigrams", "actions", _sel(lambda: [F.size(text.trigrams(F.col("action"))).cast("bigint").alias("n")]), f"SELECT {ID}, len(list_distinct(list_transform(range(1, greatest(length(action) - 1, 1)), lambda i: substr(lower(action), i, 3)))) AS n FROM actions")

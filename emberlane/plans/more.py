@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from emberlane.functions import parsing, rules, text
+from emberlane.functions import parsing, rules
+from emberlane.functions.obfuscate import pick
 from emberlane.operators import entities, folds, sessions
 from emberlane.plans.catalog import add
 
@@ -18,9 +19,6 @@ def _sel(cols):
 
 
 # ---- parsing and decoding (no SQL form) --------------------------------------------------------------
-add("canonicalize", "actions", _sel(lambda: [F.md5(parsing.canonicalize(F.col("action"))).alias("out")]))
-add("decode_obfuscation_only", "actions", _sel(lambda: [F.md5(parsing.decode_obfuscation_only(F.col("action"))).alias("out")]))
-add("boundary_nodes", "actions", lambda d: d.select("session_id", "step", F.explode(parsing.boundary_nodes(F.col("action"))).alias("n")).groupBy("n.kind").agg(F.count(F.lit(1)).alias("n")))
 add("boundary_detect", "actions", lambda d: parsing.boundary_detect(d, ["session_id", "step"], "action"))
 add("html_info_tags", "actions", _sel(lambda: [F.size(F.regexp_extract_all("action", F.lit("(</?INFORMATION>)"), F.lit(1))).cast("bigint").alias("n"), F.instr("action", "</INFORMATION>").cast("bigint").alias("at")]), f"SELECT {ID}, len(regexp_extract_all(action, '(</?INFORMATION>)')) AS n, instr(action, '</INFORMATION>') AS at FROM actions")
 add("tool_call_format", "memberships", lambda d: d.select("user_id", "channel", F.concat(F.lit("add("), F.array_join(F.transform(F.map_entries(F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("channel"), F.col("channel"))), lambda e: F.concat(e["key"], F.lit("='"), e["value"], F.lit("'"))), ", "), F.lit(")")).alias("call")), "SELECT user_id, channel, 'add(user=''' || user_id || ''', channel=''' || channel || ''')' AS call FROM memberships")
@@ -28,11 +26,9 @@ add("infer_columns", "documents", lambda d: d.select(F.col(next(c for c in d.col
 add("feedback_payload", "predictions", lambda d: d.select("doc_id", F.coalesce("layer", F.lit("none")).alias("layer"), F.coalesce("score", F.lit(0.0)).alias("ml_score"), F.coalesce("blocked", F.lit(False)).alias("was_blocked")), "SELECT doc_id, coalesce(layer, 'none') AS layer, coalesce(score, 0.0) AS ml_score, coalesce(blocked, false) AS was_blocked FROM predictions")
 
 # ---- folds and sequences -----------------------------------------------------------------------------
-add("ts_flag_ttl", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(F.col("action"))), 2, 20).groupBy("session_id").agg(F.max(F.size("active_flags")).alias("most")))
 add("ts_chain_window", "actions", lambda d: sessions.action_chain(d, rules.matches(F.col("action"), r"\brm\b"), rules.matches(F.col("action"), r"\bhistory\b|\bdelete\b"), 60, "destroy_cover"), r"SELECT a.session_id, 'destroy_cover' AS rule, a.step AS pre_step, arg_min(b.step, b.ts) AS post_step FROM actions a JOIN actions b ON a.session_id = b.session_id AND b.ts > a.ts AND b.ts <= a.ts + 60 WHERE regexp_matches(a.action, '\brm\b', 'i') AND regexp_matches(b.action, '\bhistory\b|\bdelete\b', 'i') GROUP BY a.session_id, a.step")
 add("ts_trusted", "actions", lambda d: d.select("session_id", "step", F.regexp_extract("action", r"^([A-Za-z_]\w*)\(", 1).isin(*rules.TRUSTED_TOOLS).alias("trusted")), rf"SELECT {ID}, regexp_extract(action, '^([A-Za-z_]\w*)\(', 1) IN ({', '.join(repr(t) for t in rules.TRUSTED_TOOLS)}) AS trusted FROM actions")
 add("dedup_minhash", "documents", lambda d: folds.minhash_dedup(d, "doc_id", "text"))
-add("bootstrap", "predictions", lambda d: d.select("blocked", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"), "doc_id").withColumn("w", F.pmod(F.xxhash64("doc_id", "b"), F.lit(3))).groupBy("b").agg(F.round(F.sum(F.col("w") * F.col("blocked").cast("int")) / F.sum("w"), 8).alias("rate")))
 
 # ---- entity changes: new snapshots -------------------------------------------------------------------
 add("email_send", "emails", lambda d: entities.append(d, [{"sender": "me@mail.example", "subject": "hi", "body": "b", "status": "sent"}]).groupBy("status").agg(F.count(F.lit(1)).alias("n")), "SELECT status, count(*) AS n FROM (SELECT status FROM emails UNION ALL SELECT 'sent') GROUP BY status")
@@ -87,4 +83,7 @@ def _scored(d):
 
 add("ml_score", "actions", _scored)
 add("error_report", "predictions", lambda d: d.where("blocked AND truth = 0").groupBy("layer", "model").agg(F.count(F.lit(1)).alias("false_positives")), "SELECT layer, model, count(*) AS false_positives FROM predictions WHERE blocked AND truth = 0 GROUP BY ALL")
-add("top_features", "actions", lambda d: d.select("label", F.explode(F.array_distinct(F.split(F.lower("action"), r"\W+"))).alias("w")).where("w <> ''").groupBy("w").agg((F.count_if(F.col("label") == "malicious") - F.count_if(F.col("label") == "benign")).alias("weight")).orderBy(F.desc("weight"), "w").limit(20))
+add("top_features", "actions", lambda d: d.select("label", F.explode(F.array_distinct(F.split(F.lower("action"), r"\W+"))).alias("w")).where("w <> ''").groupBy("w").agg((F.count_if(F.col("label") == "malicious") - F.count_if(F.col("label") == "benign")).alias("weight")).orderBy(F.desc("weight"), "w").limit(20),
+    r"SELECT w, count(*) FILTER (label = 'malicious') - count(*) FILTER (label = 'benign') AS weight FROM (SELECT label, unnest(list_distinct(regexp_split_to_array(lower(action), '\W+'))) AS w FROM actions) WHERE w <> '' GROUP BY w ORDER BY weight DESC, w LIMIT 20")
+add("bootstrap", "predictions", lambda d: d.select("blocked", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"), "doc_id").withColumn("w", pick(3, F.col("doc_id"), F.col("b"))).groupBy("b").agg(F.round(F.sum(F.col("w") * F.col("blocked").cast("int")) / F.sum("w"), 8).alias("rate")),
+    "SELECT b, round(sum(w * blocked::INT) / sum(w), 8) AS rate FROM (SELECT blocked, b, ('0x' || substr(md5(doc_id || '|' || b), 1, 8))::BIGINT % 3 AS w FROM predictions, (SELECT unnest(range(20))::INT AS b)) GROUP BY b")

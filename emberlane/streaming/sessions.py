@@ -9,21 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from emberlane.functions import rules
+from emberlane.functions import parsing, rules, text
 
 OUTPUT = "session_id long, step long, active string, risk double, combo string, triggers int, decision string"
-STATE = "flags string, goal string, counts string"
+STATE = "seen string, counts string, goal string, trusted string"
 
 
-def _combo(active: set[str], new: set[str]) -> tuple | None:
-    hits = [(risk, -i, text, need) for i, (flags, risk, text, need) in enumerate(rules.COMBOS) if active.issuperset(flags) and new & set(flags)]
-    return max(hits) if hits else None
+def riskiest(active: set[str], new: set[str]) -> tuple[float, int, str, int] | None:
+    """The riskiest combination of active flags that a new one belongs to (of equal ones the first): risk, order, name, threshold."""
+    hits = [(risk, -i, name, need) for i, (flags, risk, name, need) in enumerate(rules.COMBOS) if active.issuperset(flags) and not new.isdisjoint(flags)]
+    return max(hits, default=None)
 
 
 def scan_sessions(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Streaming input with ``session_id, step, ts, action, event_time``; one row per step as it arrives.
+    """Streaming input with ``session_id, step, ts, action, action_type, event_time``; one row per step as it arrives, as the batch scan has it.
 
-    State expires by event time once no step can bring it back; rows later than the watermark are dropped.
+    Flags and addresses are found by the engine; only what a step changes in its session is kept as state: when each flag was last
+    seen, how often each combination fired, the user's goal, and what trusted tools have given. State expires by event time once no
+    step can bring it back; rows later than the watermark are dropped.
     """
     import json
 
@@ -31,34 +34,48 @@ def scan_sessions(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        seen, counts = ({}, {})
-        if state.exists:
-            f, _, c = state.get
-            seen, counts = json.loads(f), json.loads(c)
+        seen, counts, goal, trusted = (json.loads(x) for x in state.get) if state.exists else ({}, {}, None, [])
+        trusted = set(trusted)
         rows = pd.concat(list(batches)).sort_values("step")
         out = []
         for r in rows.itertuples():
-            for f, (step, ts) in list(seen.items()):
-                if r.step - step > rules.FLAG_STEPS or r.ts - ts > rules.FLAG_SECONDS:
-                    del seen[f]
-                    counts = {k: n for k, n in counts.items() if f not in next(fl for fl, _, t, _ in rules.COMBOS if t == k)}
+            if goal is None and r.action_type == "prompt":
+                goal = r.action
+            gone = {f for f, (step, ts) in seen.items() if r.step - step > rules.FLAG_STEPS or r.ts - ts > rules.FLAG_SECONDS}
+            seen = {f: at for f, at in seen.items() if f not in gone}
+            counts = {c: n for c, n in counts.items() if gone.isdisjoint(FLAGS_OF[c])}
             new = set(r.flags)
+            target = next((t for t in r.targets if t not in (goal or "")), None)
+            if target is not None and target not in trusted:
+                new.add("suspicious_target")
+            if r.trusted:
+                trusted.update(r.tokens)
             seen.update({f: (int(r.step), int(r.ts)) for f in new})
-            hit = _combo(set(seen), new)
-            n = 0
+            hit, n, risk = riskiest(set(seen), new), 0, 0.0
             if hit:
                 n = counts[hit[2]] = counts.get(hit[2], 0) + 1
-            decision = "ALLOW" if not hit else "BLOCK" if n >= hit[3] else "MONITOR"
-            out.append((key[0], r.step, ",".join(sorted(seen)), hit[0] if hit else 0.0, hit[2] if hit else None, n, decision))
-        state.update((json.dumps(seen), "", json.dumps(counts)))
+                risk = 0.85 if hit[0] < 0.85 and n >= hit[3] else hit[0]
+            decision = "ALLOW" if not hit else "BLOCK" if risk >= 0.85 else "MONITOR"
+            out.append((key[0], r.step, ",".join(sorted(seen)), risk, hit[2] if hit else None, n, decision))
+        state.update(tuple(json.dumps(x) for x in (seen, counts, goal, sorted(trusted))))
         last = int(rows["ts"].max() + rules.FLAG_SECONDS) * 1000
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
 
-    flagged = events.withWatermark("event_time", watermark).select("session_id", "step", "ts", "event_time", rules.extract_flags(F.col("action")).alias("flags"))
+    found = F.concat(F.regexp_extract_all("action", F.lit(f"({rules.EMAIL})"), F.lit(1)), F.regexp_extract_all("action", F.lit(f"({rules.URL})"), F.lit(1)))
+    exempt = F.lower("action").rlike("|".join(rules.COLLABORATION_TOOLS)) & ~F.lower("action").rlike(rules.SENSITIVE_OR_HIJACK)
+    tool = F.regexp_extract("action", r"^([A-Za-z_]\w*)\(", 1)
+    flagged = events.withWatermark("event_time", watermark).withColumn("_form", text.pre_normalise(parsing.envelope(F.col("action")))).withColumn("tokens", found)
+    flagged = flagged.select(
+        "session_id", "step", "ts", "event_time", "action", "action_type", "tokens", rules.extract_flags(F.col("_form")).alias("flags"),
+        F.when(exempt, F.array().cast("array<string>")).otherwise(F.col("tokens")).alias("targets"), tool.isin(*rules.TRUSTED_TOOLS).alias("trusted"),
+    )
     return flagged.groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+FLAGS_OF = {name: set(flags) for flags, _, name, _ in rules.COMBOS}
+
+
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts per event type with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n")).select("window.start", "event_type", "n")

@@ -89,11 +89,12 @@ def one_of_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) ->
     judged = known.join(first, F.col("grp") == F.col("_grp")).withColumn("_stays", order.eqNullSafe(F.col("_first")))
     judged = materialize(judged.where("not _stays or n > 1").select("doc_id", "text_key", "_stays"), "judged")
     out = without_rows(docs, judged, id_col, text_col)
-    again = judged.where("_stays").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    again = judged.where("_stays").select("doc_id", "text_key")
     if again.isEmpty():
         return out
-    found = docs.join(side_of(again), docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (text_key(f"`{text_col}`") == F.col("_key")))
-    return out.unionByName(found.dropDuplicates(["_id", "_key"]).drop("_id", "_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("one_id"), text_key(f"`{text_col}`").alias("one_key"))
+    found = packed.join(side_of(again), F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_key") == F.col("text_key")))
+    return out.unionByName(found.dropDuplicates(["one_id", "one_key"]).select("row.*"))
 
 
 def where_once(df: DataFrame, condition) -> DataFrame:

@@ -126,18 +126,18 @@ def test_pigeonring_links_all_within_three_bits(spark, most):
 
 
 def test_null_ids_link(spark, monkeypatch):
-    prints = [(0, 1, 10), (7, None, 11), (63, 3, 12), (1 << 40, None, 13), (3 << 40, None, 14)]
+    prints = [(0, 1, 10), (7, None, 11), (63, 3, 12), (0x0FFF << 20, None, 13), (0x1FFF << 20, None, 14)]
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, **_: spark.createDataFrame([(i, t, f) for f, i, t in prints], "doc_id long, text_key long, fp long"))
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(None).collect()}
-    assert got == {(1, 0): 1, (None, 7): 1, (3, 63): 1, (None, 1 << 40): None, (None, 3 << 40): None} or got[(None, 1 << 40)] == 1
+    assert got == {(1, 0): 1, (None, 7): 1, (3, 63): 1, (None, 0x0FFF << 20): None, (None, 0x1FFF << 20): None}
 
 
 def test_one_row_of_each_group_stays(spark):
     a, b = prose(1, 80), prose(2, 80)
-    rows = [(5, a), (5, a), (7, a), (None, a), (9, b), (9, b), (None, None), (None, ""), (4, b + " x"), (4, prose(3, 50))]
-    df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, fp string").repartition(3)
-    got = [tuple(x) for x in simhash.drop_near_duplicates(df).select("doc_id", "text").collect()]
-    same(sorted(got, key=str), sorted([(5, a), (4, prose(3, 50)), (None, ""), *([(4, b + " x")] if (4, b + " x") in got and (9, b) not in got else [(9, b), (4, b + " x")])], key=str) if (None, "") in got else sorted([(5, a), (4, prose(3, 50)), (None, None), *([(4, b + " x")] if (9, b) not in got else [(9, b), (4, b + " x")])], key=str))
+    rows = [(5, a), (5, a), (7, a), (None, a), (9, b), (9, b), (None, None), (None, ""), (4, prose(3, 50))]
+    df = spark.createDataFrame([(*r, "z", "y") for r in rows], "doc_id long, text string, fp string, text_key string").repartition(3)
+    got = [(x.doc_id, x.text or "") for x in simhash.drop_near_duplicates(df).select("doc_id", "text").collect()]
+    same(got, [(5, a), (9, b), (None, ""), (4, prose(3, 50))])
 
 
 def test_fingerprints_of_very_long_texts(monkeypatch):

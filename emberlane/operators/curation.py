@@ -127,15 +127,27 @@ def whole_sessions(df: DataFrame, which: Column) -> DataFrame:
 def containment(df: DataFrame, held_out: DataFrame, key: str, text: str, other: str, words: int = 8) -> DataFrame:
     """``key, shared, grams``: of the distinct word n-grams of each text how many a held-out table has, too, and how many there are.
 
-    Only hashes of n-grams meet; texts that share none are not in the result.
+    ``words`` is a power of two: hashes of n-grams are made of those of half their length. Only hashes meet; texts that share none are
+    not in the result.
     """
+    if words & (words - 1):
+        raise ValueError("words must be a power of two")
+
+    def doubled(half: str, n: int) -> Column:
+        size = F.size(half) - n
+        starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.get(half, i), F.get(half, i + n)))
 
     def grams(d: DataFrame, column: str) -> DataFrame:
         w = F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
-        d = d.withColumn("_w", w).where(F.size("_w") >= words)
-        each = F.transform(F.sequence(F.lit(1), F.size("_w") - words + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(words)), " ")))
-        return d.withColumn("_g", F.array_distinct(each))
-
-    known = grams(held_out, other).select(F.explode("_g").alias("_k")).distinct()
-    mine = grams(df, text).select(key, F.size("_g").alias("grams"), F.explode("_g").alias("_h"))
+        d = d.withColumn("_g1", F.transform(w, lambda x: F.xxhash64(x)))
+        n = 1
+        while n < words:
+            d = d.withColumn(f"_g{2 * n}", doubled(f"_g{n}", n))
+            n *= 2
+        return d.withColumn("_g", F.array_distinct(f"_g{words}"))
+
+    # outer, as a plain explode would have the optimiser test the array, with all that makes it, once more below
+    known = grams(held_out, other).select(F.explode_outer("_g").alias("_k")).where("_k IS NOT NULL").distinct()
+    mine = grams(df, text).select(key, F.size("_g").alias("grams"), F.explode_outer("_g").alias("_h")).where("_h IS NOT NULL")
     return mine.join(known, F.col("_h") == F.col("_k")).groupBy(key, "grams").agg(F.count(F.lit(1)).alias("shared")).select(key, "shared", F.col("grams").cast("bigint").alias("grams"))

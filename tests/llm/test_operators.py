@@ -260,6 +260,17 @@ def test_pieces_equal_the_tokenizer():
         assert one.tolist() == ids[s:e].tolist()
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+
+    assert tokens.PieceEncoder(tokenizer_json()).exact
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = tokens.PieceEncoder(f.read())
+    texts = ["Mixed CASE  text", "it's é 12", "", "x" * 50]
+    ids, sizes = encoder.encode(pa.array(texts))
+    assert not encoder.exact and ids.tolist() == [i for t in texts for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
+
+
 def test_masks_hit_every_tolerated_window():
     for gone in itertools.combinations(range(decontaminate.WINDOW), decontaminate.SUBSTITUTIONS):
         assert any(all(m[i] == "0" or s + i not in gone for i in range(len(m))) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - len(m) + 1))

@@ -9,7 +9,6 @@ from emberlane.functions import obfuscate
 from emberlane.operators import curation, folds, generate, metrics
 from emberlane.plans.catalog import ORACLES, QUERIES, _quote, _sel, add
 from emberlane.sources import config, hub, tables
-from emberlane.sources.views import view, with_views
 from emberlane.streaming import sessions as streaming
 
 ID = "session_id, step"

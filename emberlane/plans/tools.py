@@ -159,6 +159,7 @@ _SUITE = "SELECT 'mail' AS suite, user_task, utility, true AS security FROM (VAL
 add("suite_without_injection", "emails", _run_suite, _SUITE)
 add("task_utility", "emails", lambda d: _run_suite(d).select("user_task", "utility"), f"SELECT user_task, utility FROM ({_SUITE})")
 add("task_combine", "emails", lambda d: _run_suite(d).where("user_task = 'both'").select("user_task", "utility"), "SELECT 'both' AS user_task, false AS utility")
+add("task_security", "emails", lambda d: _run_suite(d).select("user_task", "security"), f"SELECT user_task, security FROM ({_SUITE})")
 add("run_without_injection", "emails", lambda d: _run_suite(d).where("user_task = 'drop'").select("user_task", "utility", "security"), "SELECT 'drop' AS user_task, true AS utility, true AS security")
 
 

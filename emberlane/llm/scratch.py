@@ -48,14 +48,6 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps whose plans are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 #: Ids are broadcast up to this many (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 

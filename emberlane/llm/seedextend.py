@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from emberlane.llm import wordhash
 from emberlane.llm.packing import chunks
-from emberlane.llm.scratch import discard, materialize, shared_dir
+from emberlane.llm.scratch import materialize, shared_dir
 
 _CHUNK = 1 << 15
 _BITS = np.uint64(15 + 1)

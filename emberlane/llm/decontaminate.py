@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from emberlane.llm.packing import chunks
 from emberlane.llm.scratch import materialize, side_of, text_key, without_rows
-from emberlane.llm.wordhash import buffers, hash_spans, mix, words
+from emberlane.llm.wordhash import buffers, hash_spans, mix, trim, words
 
 WINDOW, SUBSTITUTIONS, SHORTEST = 13, 3, 8
 BLOCK_TOKENS = 1_000_000
@@ -224,6 +224,7 @@ def _looked_up(rows: DataFrame, shared) -> DataFrame:
                 h, _, _, first = tokens(batch.column(2)[part.start : part.stop])
                 found += [(part.start + t, block.ids[i], s - int(first[t]), e - int(first[t])) for t, i, s, e in block.overlaps(h, first)]
             yield _result(batch, found)
+        trim()
 
     return rows.mapInArrow(run, SCHEMA)
 

@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from emberlane.llm.tokens import PieceEncoder
+from emberlane.llm.wordhash import trim
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict[int, PieceEncoder] = {}
@@ -130,15 +131,18 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, *, id_col: str = "doc_i
         packer = Packer(capacity, TaskContext.get().partitionId() << 40, max_held)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for part in chunks(texts):
+            for part in chunks(texts, 1_000_000):
                 tokens, sizes = encoder.encode(texts[part.start : part.stop])
                 upto = np.concatenate([[0], np.cumsum(sizes)]).tolist()
                 for doc, s, e in zip(ids[part.start : part.stop], upto[:-1], upto[1:]):
                     packer.add(doc, np.concatenate([tokens[s:e], tail]))
-                if len(packer.rows) > 20_000:
+                if len(packer.rows) > 5_000:
                     yield _rows(packer)
+            trim()
         packer.pour(True)
         yield _rows(packer)
+        del packer
+        trim()
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(pack, SCHEMA)
 

@@ -24,9 +24,9 @@ PROBES = (
     "éa1é,b'c ''x'' 's 't're don''t ..'.. ,,, !!! ??? 1!2?3 a!b?c é!é?é İstanbul ΣΑΣ straße ﬁne Ⅳ ½",
     "",
 )
-_SLOTS = 1 << 22
-_LIMIT = 2_000_000  # pieces kept; beyond it the table starts anew
-_FLAT_LIMIT = 16_000_000
+_SLOTS = 1 << 21
+_LIMIT = 1_000_000  # pieces kept; beyond it the table starts anew
+_FLAT_LIMIT = 8_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

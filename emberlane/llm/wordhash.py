@@ -7,6 +7,8 @@ alone and equal words hash alike in every text and on every machine.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -37,6 +39,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between stages, and share an executor's bound."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array and where each text starts (one more entry for the end)."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlane.llm import bytededup, chat, decontaminate, divergence, langid, linededup, packing, quality, simhash, urls, worddedup
+from emberlane.llm import bytededup, chat, decontaminate, divergence, langid, linededup, lm, packing, quality, simhash, trie, urls, worddedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,13 +74,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(trie.rebuilt(trie.ordered_turns(_table(spark, sf_dir, "conversations"))))
+    return nodes.drop("preorder", "subtree_end")
+
+
+def lm_held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+
+
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"), lm_held_out())
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_preference_format, op2_line_dedup, op3_language_id, op4_byte_dedup, op5_word_dedup, op6_url_filter, op7_simhash, op8_decontaminate, op9_quality_rules, op10_packing, op13_source_divergence)
+    for f in (op1_preference_format, op2_line_dedup, op3_language_id, op4_byte_dedup, op5_word_dedup, op6_url_filter, op7_simhash, op8_decontaminate, op9_quality_rules, op10_packing, op11_prefix_trie, op12_lm_score, op13_source_divergence)
 }
 
 _RENDER = "array_to_string(list_transform({0}, lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), '')"
@@ -90,6 +103,9 @@ _GENERAL = "CASE " + " ".join(f"WHEN regexp_matches(lower(host || path), '^{v}')
 _LAST = "coalesce(list_max(list_filter(list_transform(range(1, len({0}) + 1), lambda i: CASE WHEN {0}[i].role = 'assistant' THEN i END), lambda i: i IS NOT NULL)) - 1, len({0}))"
 _WORDED = r"regexp_matches(line, '[^\x20\x09-\x0D]')"
 
+#: CRC-32 of a decimal number: its digits' bytes, and eight steps after each.
+_CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(({0})::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+
 #: SQL for the queries that it can express at this size; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_preference_format": f"""
@@ -134,6 +150,16 @@ q AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGH
 r AS (SELECT * FROM (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')) v(rule, verdict, h, s)),
 b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM q JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, {_GENERAL}) AS verdict FROM q LEFT JOIN b USING (page_id)""",
+    "op11_prefix_trie": rf"""
+WITH t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS c FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, {_CRC.format('conv_id')} % 4 AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.c, [])[1:h.h], h.c[h.h+1:]) AS c FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, d, len(c) AS n, md5(coalesce(c[1:d], [])::VARCHAR) AS id, md5(coalesce(c[1:d-1], [])::VARCHAR) AS up, CASE WHEN d > 0 THEN len(regexp_extract_all(c[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM (SELECT conv_id, c, unnest(range(0, len(c) + 1)) AS d FROM r)),
+n AS (SELECT id, d, any_value(CASE WHEN d > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM m GROUP BY id, d),
+k AS (SELECT up AS id, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (id, d)),
+s AS (SELECT m.id, m.d, sum(CASE WHEN a.n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((a.n_convs - 1) * a.w)::BIGINT AS saved_tokens FROM a JOIN m ON m.conv_id = a.conv_id AND m.d <= a.d GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.n_leaves, s.saved_tokens, a.ends_sha256 FROM a JOIN s USING (id, d) LEFT JOIN n p ON p.id = a.up AND p.d = a.d - 1""",
     "op13_source_divergence": r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms, row_number() OVER () AS doc FROM documents),
 c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM (SELECT lang, source, doc, unnest(terms) AS term FROM d) GROUP BY ALL),

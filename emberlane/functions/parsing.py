@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructType
 
+from emberlane.functions import prefilter
 from emberlane.functions import text as T
 
 # --- fixed values -----------------------------------------------------------------------------------
@@ -51,9 +52,13 @@ def _decoded(token: str) -> str:
     return out if out.isprintable() else token
 
 
+def _decode_tokens(x: str) -> str:
+    return re.sub(BASE64_TOKEN, lambda m: _decoded(m.group()), x)
+
+
 @F.pandas_udf(StringType())
 def _base64_inline(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: re.sub(BASE64_TOKEN, lambda m: _decoded(m.group()), x), na_action="ignore")
+    return s.map(_decode_tokens, na_action="ignore")
 
 
 def decode_base64_inline(text: Column) -> Column:
@@ -62,9 +67,13 @@ def decode_base64_inline(text: Column) -> Column:
     return F.when(found, _base64_inline(F.when(found, text))).otherwise(text)
 
 
+def _unescape(x: str) -> str:
+    return re.sub(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1) or m.group(2), 16)), x)
+
+
 @F.pandas_udf(StringType())
 def _escapes(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: re.sub(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})", lambda m: chr(int(m.group(1) or m.group(2), 16)), x), na_action="ignore")
+    return s.map(_unescape, na_action="ignore")
 
 
 def resolve_escapes(text: Column) -> Column:
@@ -72,17 +81,30 @@ def resolve_escapes(text: Column) -> Column:
     return F.when(found, _escapes(F.when(found, text))).otherwise(text)
 
 
+#: White space as Java's ``(?U)\\s`` has it.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 @F.pandas_udf(StringType())
-def _forms(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: T.unrot(unicodedata.normalize("NFKC", x)), na_action="ignore")
+def _resolved(s: pd.Series) -> pd.Series:
+    """Forms, rot13, zero width, base64, white space and escapes, in this order."""
+
+    def run(x: str) -> str:
+        x = re.sub(T.ZERO_WIDTH, "", T.unrot(unicodedata.normalize("NFKC", x)))
+        return _unescape(_BLANKS.sub(" ", _decode_tokens(x)).strip(" "))
+
+    return s.map(run, na_action="ignore")
 
 
-def canonicalize(text: Column) -> Column:
-    """The full chain: forms, rot13, zero width, base64, white space, escapes, leet, homoglyphs."""
-    plain = T.plain_ascii(text)
-    text = F.when(plain, text).otherwise(_forms(F.when(~plain, text)))
-    text = T.normalize_whitespace(decode_base64_inline(T.remove_zero_width(text)))
-    return T.normalize_homoglyphs(T.normalize_leet(resolve_escapes(text)))
+def canonicalize(df: DataFrame, column: str, into: str) -> DataFrame:
+    """Adds the full chain: forms, rot13, zero width, base64, white space, escapes, leet, homoglyphs.
+
+    A plain ASCII text without a base64 token or an escape stays in the JVM, any other is sent to Python once.
+    """
+    text = F.col(column)
+    easy = T.plain_ascii(text) & ~text.rlike(r"[A-Za-z0-9+/]{20,}|\\[xu][0-9a-fA-F]{2}")
+    df = df.withColumn(into, F.when(easy, T.normalize_whitespace(text)).otherwise(_resolved(F.when(~easy, text))))
+    return df.withColumn(into, T.normalize_leet(F.col(into))).withColumn(into, T.normalize_homoglyphs(F.col(into)))
 
 
 def decode_obfuscation_only(text: Column) -> Column:
@@ -283,20 +305,40 @@ def boundary_detect(df, key: list[str], column: str):
     return found.groupBy(*key).agg(F.count(F.lit(1)).alias("violations"), F.max("r.confidence").alias("confidence"), best.alias("b")).select(*key, "violations", "confidence", "b.kind", "b.snippet", "b.ratio")
 
 
-def sanitize_strip(text: Column) -> tuple[Column, Column]:
-    """The text with injected spans replaced, and the families found, each looked for in what the ones before left."""
-    found = []
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _strip_family(state: Column, family: str, pattern: str) -> Column:
+    def replaced(s: Column, n: Column) -> Column:
+        new = F.regexp_replace(s["text"], pattern, f"[REMOVED_UNTRUSTED_INSTRUCTION_SPAN: {family}]")
+        return F.struct(new.alias("text"), F.concat(s["found"], F.array(F.struct(F.lit(family).alias("family"), n.alias("count")))).alias("found"))
+
+    def counted(x: Column) -> Column:
+        n = F.when(prefilter.may_match(x["low"], pattern), F.regexp_count(x["s"]["text"], F.lit(pattern))).otherwise(0)
+        return _let(n, lambda n: F.when(n > 0, replaced(x["s"], n)).otherwise(x["s"]))
+
+    return _let(_let(state, lambda s: F.struct(s.alias("s"), F.lower(s["text"]).alias("low"))), counted)
+
+
+def sanitize_strip(text: Column) -> Column:
+    """``struct<text, found>``: the text with injected spans replaced, and the families found, each looked for in what the ones before left.
+
+    Each family's step takes the state of the one before, so its pattern counts and replaces once, and only in a text that holds
+    what the pattern requires.
+    """
+    state = F.struct(text.alias("text"), F.expr("CAST(array() AS array<struct<family: string, count: int>>)").alias("found"))
     for family, pattern in SANITIZER_FAMILIES:
-        n = F.regexp_count(text, F.lit(pattern))
-        found.append(F.when(n > 0, F.struct(F.lit(family).alias("family"), n.alias("count"))))
-        text = F.regexp_replace(text, pattern, f"[REMOVED_UNTRUSTED_INSTRUCTION_SPAN: {family}]")
-    return text, F.array_compact(F.array(*found))
+        state = _strip_family(state, family, pattern)
+    return F.when(text.isNotNull(), state)
 
 
 def sanitize(df, raw: str, canonical: str, score: Column):
     """Decision and wrapped output: the graver of the score's band and the patterns; what only the canonical form shows is quarantined."""
-    clean, spans = sanitize_strip(F.col(raw))
-    df = df.withColumn("_clean", clean).withColumn("_raw", F.transform(spans, lambda s: s["family"])).withColumn("_canon", F.transform(sanitize_strip(F.col(canonical))[1], lambda s: s["family"]))
+    families = lambda c: F.transform(F.col(c)["found"], lambda s: s["family"])
+    df = df.withColumns({"_of_raw": sanitize_strip(F.col(raw)), "_of_canon": sanitize_strip(F.col(canonical))})
+    df = df.withColumns({"_clean": F.col("_of_raw.text"), "_raw": families("_of_raw"), "_canon": families("_of_canon")}).drop("_of_raw", "_of_canon")
     band = F.when(score < SANITIZER_BANDS[0][1], 0).when(score < SANITIZER_BANDS[1][1], 1).when(score < SANITIZER_BANDS[2][1], 2).otherwise(3)
     rank = F.when(F.size(F.array_except("_canon", "_raw")) > 0, 3).otherwise(F.greatest(band, F.when(F.size("_raw") > 0, 2).otherwise(0)))
     df = df.withColumn("_rank", rank)

@@ -46,7 +46,13 @@ def session_flags(df: DataFrame, blocked: Column | None = None) -> DataFrame:
     df = user_goal(df).withColumn("target", rules.exfil_target(F.col("action"), F.col("goal")))
     known = trusted_values(df)
     df = df.join(known, (F.col("session_id") == F.col("_ts")) & (F.col("target") == F.col("_tv")) & (F.col("step") > F.col("_first")), "left")
-    df = df.withColumn("_form", text.pre_normalise(parsing.envelope(F.col("action")))).withColumn("flags", rules.extract_flags(F.col("_form")))
+    df = df.withColumn("_envelope", parsing.envelope(F.col("action")))
+    if "normal" in df.columns:  # the action's own form is known
+        other = F.when(~F.col("_envelope").eqNullSafe(F.col("action")), F.col("_envelope"))
+        df = df.withColumn("_form", F.when(other.isNull(), F.col("normal")).otherwise(text.pre_normalise(other)))
+    else:
+        df = df.withColumn("_form", text.pre_normalise(F.col("_envelope")))
+    df = df.withColumn("flags", rules.extract_flags(F.col("_form"))).drop("_envelope")
     suspicious = F.col("target").isNotNull() & F.col("_tv").isNull()
     df = df.withColumn("flags", F.when(suspicious, F.array_append("flags", F.lit("suspicious_target"))).otherwise(F.col("flags"))).drop("_ts", "_tv", "_first", "_form")
     return df if blocked is None else df.withColumn("flags", F.when(blocked, F.array().cast("array<string>")).otherwise(F.col("flags")))

@@ -1,16 +1,17 @@
 """Controllers whose state each decision changes, and near-duplicates that are kept first come.
 
-What a controller sees (how many decisions, the rate of the last ones) comes from running sums; only the moves of a threshold, one
-in twenty decisions at most, are folded.
+What a controller sees (how many decisions, the rate of the last ones) and what it does (steps of a threshold within bounds, an
+exponential mean, a small state machine) compose, so each is a parallel prefix over the order of decisions (:mod:`emberlane.operators.prefix`):
+no task holds a controller's decisions, however few controllers there are.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlane.operators.ordered import by_quantile, running
+from emberlane.operators.prefix import AFFINE, CLAMPED, machine, prefix, sums
+from emberlane.sources.tables import written
 
 # --- fixed values -----------------------------------------------------------------------------------
 START, LOW, HIGH = 0.72, 0.58, 0.95
@@ -25,98 +26,92 @@ def _side(rate: Column, target: float) -> Column:
     return F.when(rate > TIGHTEN_ABOVE * target, 1).when(rate < LOOSEN_BELOW * target, -1).otherwise(0)
 
 
-def _walk(moves: DataFrame, key: str, start: float, up: float, down: float, low: float, high: float) -> DataFrame:
-    """``key, at, threshold`` after each move (``at``, ``side``): steps up and down that stay within bounds, the one true fold."""
+def _numbered(df: DataFrame, key: str, order: str, flags: dict[str, Column]) -> DataFrame:
+    """Decisions with ``seen``, their number within the key, and running counts of the flags; equal places are ordered by the other columns."""
+    order_by = [F.col(order), *[F.col(c) for c in df.columns if c not in (key, order)]]
+    counted = df.withColumns({"seen": F.lit(1), **{n: F.coalesce(c.cast("int"), F.lit(0)) for n, c in flags.items()}})
+    out = prefix(counted, [key], order_by, sums("seen", *flags), "decisions")
+    return written(out.withColumns({n: F.col(n).cast("long") for n in ("seen", *flags)}), "numbered")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        t, out = start, []
-        for side in rows["side"]:
-            t = min(high, t + up) if side > 0 else max(low, t - down)
-            out.append(t)
-        return pd.DataFrame({key: rows[key], "at": rows["at"], "threshold": out})
 
-    return moves.select(key, "at", "side").groupBy(key).applyInPandas(run, f"{key} {dict(moves.dtypes)[key]}, at long, threshold double")
+def _step(side: Column, up: float, down: float, low: float, high: float) -> dict[str, Column]:
+    """A move up or down that stays within bounds, as a step of a clamped value."""
+    inf = F.lit(float("inf"))
+    return {
+        "a": F.when(side > 0, up).when(side < 0, -down).otherwise(0.0),
+        "lo": F.when(side < 0, low).otherwise(-inf),
+        "hi": F.when(side > 0, high).otherwise(inf),
+    }
 
 
-def _latest(numbered: DataFrame, walked: DataFrame, key: str, order: str, start: float) -> DataFrame:
-    """Each decision with the threshold after it: that of the last check that moved it."""
-    checks = walked.select(F.col(key).alias("_k"), F.col("at").alias("_from"), F.lead("at").over(Window.partitionBy(key).orderBy("at")).alias("_until"), "threshold")
-    # decisions between two moves; a move's interval is expanded to its checks, so this is an equi-join of tens of rows each
-    tens = checks.withColumn("_ten", F.explode(F.sequence(F.col("_from"), F.coalesce(F.col("_until") - EVERY, F.col("_from")), F.lit(EVERY))))
-    last = checks.where("_until IS NULL").select(F.col("_k").alias("_lk"), F.col("_from").alias("_lf"), F.col("threshold").alias("_lt"))
-    n = F.col("seen") - F.pmod(F.col("seen"), F.lit(EVERY))
-    out = numbered.withColumn("_n", n).join(tens.select("_k", "_ten", "threshold"), (F.col(key) == F.col("_k")) & (F.col("_n") == F.col("_ten")), "left")
-    out = out.join(F.broadcast(last), F.col(key) == F.col("_lk"), "left")  # a row per key
-    value = F.when(F.col("_n") >= F.col("_lf"), F.col("_lt")).otherwise(F.coalesce("threshold", F.lit(start)))
-    return out.select(key, order, F.round(value, 6).alias("threshold"))
+def _moved(start: float, a: Column, lo: Column, hi: Column) -> Column:
+    return F.least(F.greatest(F.lit(start) + a, lo), hi)
 
 
-def _numbered(df: DataFrame, key: str, order: str, flags: dict[str, Column]) -> DataFrame:
-    order_by = [F.col(order), *[F.col(c) for c in df.columns if c not in (key, order)]]
-    return running(by_quantile(df, order), [key], order_by, {"seen": F.lit(1), **flags})
+def _latest(numbered: DataFrame, checks: DataFrame, key: str, order: str, start: float) -> DataFrame:
+    """Each decision with the threshold after it: that of the last check (``at``), of which each stands for ten decisions."""
+    at = F.col("seen") - F.pmod(F.col("seen"), F.lit(EVERY))
+    known = checks.select(F.col(key).alias("_k"), F.col("at").alias("_at"), "threshold")
+    out = numbered.withColumn("_n", at).join(known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_n") == F.col("_at")), "left")
+    return out.select(key, order, F.round(F.coalesce("threshold", F.lit(start)), 6).alias("threshold"))
 
 
 def adaptive_threshold(df: DataFrame, key: str, order: str, blocked: str) -> DataFrame:
     """``key, order, threshold`` after each decision of a key.
 
-    Every ten decisions the block rate of the last hundred is checked; the second check in a row on the same side moves the threshold.
+    Every ten decisions the block rate of the last hundred is checked; the second check in a row on the same side moves the
+    threshold and starts the count anew. Three states (nothing yet, one above, one below) and a clamped value make up the machine.
     """
-    numbered = _numbered(df.select(key, order, blocked), key, order, {"hits": F.col(blocked).cast("int")})
-    checks = numbered.where((F.col("seen") >= WARM_UP) & (F.col("seen") % EVERY == 0)).select(F.col(key).alias("_k"), F.col("seen").alias("at"), F.col("hits").alias("_now"))
-    earlier = numbered.select(F.col(key).alias("_ek"), (F.col("seen") + WINDOW).alias("_eat"), F.col("hits").alias("_then"))
-    checks = checks.join(earlier, (F.col("_k") == F.col("_ek")) & (F.col("at") == F.col("_eat")), "left")
+    numbered = _numbered(df.select(key, order, blocked), key, order, {"hits": F.col(blocked)})
+    tens = numbered.where(F.col("seen") % EVERY == 0).select(F.col(key).alias("_k"), F.col("seen").alias("at"), F.col("hits").alias("_now"))
+    earlier = tens.select(F.col("_k").alias("_ek"), (F.col("at") + WINDOW).alias("_eat"), F.col("_now").alias("_then"))
+    checks = tens.join(earlier, F.col("_k").eqNullSafe(F.col("_ek")) & (F.col("at") == F.col("_eat")), "left")
     rate = (F.col("_now") - F.coalesce("_then", F.lit(0))) / F.least(F.col("at"), F.lit(WINDOW))
-    checks = checks.select(F.col("_k").alias(key), "at", _side(rate, TARGET).alias("side"))
-    # runs of checks on the same side: every second one of a run moves
-    w = Window.partitionBy(key).orderBy("at")
-    runs = checks.withColumn("_run", F.sum((F.col("side") != F.coalesce(F.lag("side").over(w), F.lit(0))).cast("int")).over(w))
-    turn = F.row_number().over(Window.partitionBy(key, "_run").orderBy("at"))
-    moves = runs.withColumn("_turn", turn).where("side <> 0 AND _turn % 2 = 0")
-    return _latest(numbered, _walk(moves, key, START, UP, DOWN, LOW, HIGH), key, order, START)
+    side = F.when(F.col("at") < WARM_UP, None).otherwise(_side(rate, TARGET))
+    checks = checks.select(F.col("_k").alias(key), "at", side.alias("side"))
+    # states: 0 nothing, 1 one check above, 2 one check below; before the warm-up nothing is checked
+    step = _step(F.col("side"), UP, DOWN, LOW, HIGH)
+    still = {"a": F.lit(0.0), "lo": F.lit(-float("inf")), "hi": F.lit(float("inf"))}
+    columns = {}
+    for state, turns in ((0, 0), (1, 1), (2, -1)):
+        moves = F.coalesce(F.col("side") == turns, F.lit(False)) if turns else F.lit(False)
+        follows = F.when(F.col("side").isNull(), state).when(moves | (F.col("side") == 0), 0).when(F.col("side") > 0, 1).otherwise(2)
+        columns |= {f"to_{state}": follows.cast("double")} | {f"{k}_{state}": F.when(moves, step[k]).otherwise(still[k]) for k in still}
+    walked = prefix(checks.withColumns(columns), [key], [F.col("at")], machine(3), "checks")
+    return _latest(numbered, walked.withColumn("threshold", _moved(START, F.col("a_0"), F.col("lo_0"), F.col("hi_0"))), key, order, START)
+
+
+def _walked(checks: DataFrame, key: str, start: float, *bounds: float) -> DataFrame:
+    """Checks (``at, side``) with the threshold after each."""
+    walked = prefix(checks.withColumns(_step(F.col("side"), *bounds)), [key], [F.col("at")], CLAMPED, "checks")
+    return walked.withColumn("threshold", _moved(start, F.col("a"), F.col("lo"), F.col("hi")))
 
 
 def fpr_budget(df: DataFrame, key: str, order: str, blocked: str, truth: str) -> DataFrame:
     """``key, order, threshold`` of a controller that knows the truth: every ten decisions the false positive rate so far is checked."""
     benign = F.col(truth) == 0
-    numbered = _numbered(df.select(key, order, blocked, truth), key, order, {"fp": (benign & F.col(blocked)).cast("int"), "clean": benign.cast("int")})
+    numbered = _numbered(df.select(key, order, blocked, truth), key, order, {"fp": benign & F.col(blocked), "clean": benign})
     rate = F.when(F.col("clean") > 0, F.col("fp") / F.col("clean")).otherwise(F.lit(0.0))
     side = _side(rate, BUDGET_TARGET)
     checks = numbered.where(F.col("seen") % EVERY == 0).select(key, F.col("seen").alias("at"), F.when((side < 0) & (F.col("seen") < WARM_UP), 0).otherwise(side).alias("side"))
-    return _latest(numbered, _walk(checks.where("side <> 0"), key, BUDGET_START, UP, DOWN, LOW, BUDGET_HIGH), key, order, BUDGET_START)
+    return _latest(numbered, _walked(checks, key, BUDGET_START, UP, DOWN, LOW, BUDGET_HIGH), key, order, BUDGET_START)
 
 
 def adaptive_threshold_ema(df: DataFrame, key: str, order: str, blocked: str, session: str) -> DataFrame:
     """``key, order, threshold`` by the exponential mean of decisions, checked every ten after 200 decisions and 30 sessions.
 
-    Decisions of ten are one block: a block's mean is a weighted sum, so the fold over blocks sees a tenth of the rows.
+    A mean's step is affine in the mean before it; ten decisions are one step, so the prefix over steps sees a tenth of the rows.
     """
     a = EMA_ALPHA
     first = F.row_number().over(Window.partitionBy(key, session).orderBy(order)) == 1
-    marked = df.select(key, order, blocked, first.cast("int").alias("_first"))
-    numbered = _numbered(marked, key, order, {"sessions": F.col("_first")})
+    numbered = _numbered(df.select(key, order, blocked, first.cast("int").alias("_new")), key, order, {"sessions": F.col("_new")})
     block = F.ceil(F.col("seen") / EVERY).cast("long")
     weight = F.lit(a) * F.pow(F.lit(1 - a), F.pmod(-F.col("seen"), F.lit(EVERY)))
-    blocks = numbered.groupBy(key, (block * EVERY).alias("at")).agg(F.sum(weight * F.col(blocked).cast("int")).alias("gain"), F.max("sessions").alias("sessions"), F.count(F.lit(1)).alias("n")).where(F.col("n") == EVERY)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        mean, t, at, out = TARGET, EMA_START, [], []
-        for r in rows.itertuples():
-            mean = mean * (1 - a) ** EVERY + r.gain
-            if r.at >= EMA_WARM_UP and r.sessions >= EMA_SESSIONS:
-                if mean > TIGHTEN_ABOVE * TARGET:
-                    t = min(HIGH, t + UP)
-                elif mean < LOOSEN_BELOW * TARGET:
-                    t = max(LOW, t - EMA_DOWN)
-                else:
-                    continue
-                at.append(r.at)
-                out.append(t)
-        return pd.DataFrame({key: rows[key].iloc[:1].repeat(len(at)).to_numpy(), "at": at, "threshold": out})
-
-    walked = blocks.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, at long, threshold double")
-    return _latest(numbered, walked, key, order, EMA_START)
+    blocks = numbered.groupBy(key, (block * EVERY).alias("at")).agg(F.sum(weight * F.col(blocked).cast("int")).alias("c"), F.max("sessions").alias("sessions"), F.count(F.lit(1)).alias("n")).where(F.col("n") == EVERY)
+    means = prefix(blocks.withColumn("m", F.lit((1 - a) ** EVERY)), [key], [F.col("at")], AFFINE, "means")
+    mean = F.col("m") * TARGET + F.col("c")
+    side = F.when((F.col("at") >= EMA_WARM_UP) & (F.col("sessions") >= EMA_SESSIONS), _side(mean, TARGET)).otherwise(0)
+    return _latest(numbered, _walked(means.select(key, "at", side.alias("side")), key, EMA_START, UP, EMA_DOWN, LOW, HIGH), key, order, EMA_START)
 
 
 def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
@@ -142,8 +137,6 @@ def _candidates(sets: DataFrame, threshold: float) -> DataFrame:
 
 def nearest_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.85) -> DataFrame:
     """``id, nearest, similarity``: the earlier row whose word set is most like this one's, if it is so like; of equals the first."""
-    from emberlane.sources.tables import written
-
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
     sets = df.select(F.col(key).alias("id"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
     grouped = written(sets.groupBy("w").agg(F.min("id").alias("id")), "sets")
@@ -163,8 +156,6 @@ def minhash_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.85, f
     Whether an earlier row stays is settled round by round: a row with no undecided earlier neighbour stays if none of them stays. Equal
     sets are one entry. Each round's rows are written to ``folder`` (the folder of checkpoints by default).
     """
-    from emberlane.sources.tables import written
-
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
     sets = df.select(F.col(key).alias("id"), F.array_sort(F.transform(words, lambda w: F.xxhash64(w))).alias("w"))
     grouped = written(sets.groupBy("w").agg(F.min("id").alias("id")), "sets", folder)

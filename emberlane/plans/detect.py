@@ -246,6 +246,33 @@ add("router_decide", "predictions", _routed,
     f"""SELECT doc_id, CASE WHEN slow THEN {_JUDGED.format('BLOCK')} ELSE f END AS decision, CASE WHEN f = 'QUARANTINE' THEN 'Tier0.5' WHEN slow THEN 'slow-path-llm' ELSE 'fast-path-ml' END AS path, coalesce(why, '') AS reason FROM (SELECT *, f = 'REVIEW' OR why IS NOT NULL AS slow FROM (SELECT *, CASE WHEN f = 'ALLOW' THEN CASE step WHEN 4 THEN 'SEMANTIC_ESCALATED' WHEN 3 THEN 'FORCED_BY_CONSEQUENCE_GATE' END END AS why FROM (
  SELECT *, CASE WHEN doc_id % 4 = 2 THEN 'QUARANTINE' WHEN score >= 0.72 THEN 'BLOCK' WHEN score >= CASE WHEN doc_id % 4 = 1 THEN greatest(0.35::DOUBLE - 0.8::DOUBLE * 0.2::DOUBLE, 0.1) ELSE 0.35 END THEN 'REVIEW' ELSE 'ALLOW' END AS f FROM predictions)))""")
 add("gray_zone_route", "predictions", lambda d: d.select("doc_id", routing.gray_zone(F.when(F.col("step") == 2, "REVIEW").otherwise("ALLOW"), F.col("score") * 100, F.lit(72.0), F.col("step").cast("double"), F.lit(8.0)).alias("slow")), "SELECT doc_id, step = 2 OR abs(score * 100 - 72) <= 8 OR step / 8.0 >= 0.75 AS slow FROM predictions")
-add("adaptive_threshold", "predictions", lambda d: folds.adaptive_threshold(d, "model", "doc_id", "blocked"))
-add("adaptive_threshold_ema", "predictions", lambda d: folds.adaptive_threshold_ema(d, "model", "doc_id", "blocked", "session_id"))
-add("fpr_budget", "predictions", lambda d: folds.fpr_budget(d, "model", "doc_id", "blocked", "truth"))
+def _controller(columns: str, state: dict[str, tuple[str, str]]) -> str:
+    """A fold over each model's decisions: of each part of the state its start and its next value, which read ``r`` (the row) and ``w`` (the state)."""
+    return f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY doc_id, blocked) AS k FROM predictions), r AS (SELECT *, {columns} FROM n),
+w AS (SELECT model, 0::BIGINT AS k, 0::BIGINT AS doc_id, {', '.join(f'{a} AS {s}' for s, (a, _) in state.items())} FROM (SELECT DISTINCT model FROM n)
+ UNION ALL SELECT r.model, r.k, r.doc_id, {', '.join(b for _, b in state.values())} FROM w JOIN r ON r.model = w.model AND r.k = w.k + 1)
+SELECT model, doc_id, round(t, 6) AS threshold FROM w WHERE k > 0"""
+
+
+_HIGH = f"rate > {folds.TIGHTEN_ABOVE}::DOUBLE * {folds.TARGET}::DOUBLE"
+_SIDE = f"CASE WHEN {_HIGH} THEN 1 WHEN rate < {folds.LOOSEN_BELOW}::DOUBLE * {folds.TARGET}::DOUBLE THEN -1 ELSE 0 END"
+_MOVE = "CASE WHEN side > 0 THEN least(t + {up}::DOUBLE, {high}::DOUBLE) WHEN side < 0 THEN greatest(t - {down}::DOUBLE, {low}::DOUBLE) ELSE t END"
+_CHECK = f"r.k >= {folds.WARM_UP} AND r.k % {folds.EVERY} = 0"
+add("adaptive_threshold", "predictions", lambda d: folds.adaptive_threshold(d, "model", "doc_id", "blocked"),
+    _controller(f"{_SIDE.replace('rate', f'(sum(blocked::INT) OVER (PARTITION BY model ORDER BY k ROWS BETWEEN {folds.WINDOW - 1} PRECEDING AND CURRENT ROW) / least(k, {folds.WINDOW}))')} AS side", {
+        "t": (f"{folds.START}::DOUBLE", f"CASE WHEN {_CHECK} AND side = streak THEN {_MOVE.format(up=folds.UP, down=folds.DOWN, low=folds.LOW, high=folds.HIGH)} ELSE t END"),
+        "streak": ("0", f"CASE WHEN NOT ({_CHECK}) THEN streak WHEN side = streak THEN 0 ELSE side END"),
+    }))
+_SESSIONS = "sum((first = k)::INT) OVER (PARTITION BY model ORDER BY k)"
+_EMA_CHECK = f"r.k >= {folds.EMA_WARM_UP} AND r.k % {folds.EVERY} = 0 AND sessions >= {folds.EMA_SESSIONS}"
+_MEAN = f"({folds.EMA_ALPHA}::DOUBLE * blocked::INT + {1 - folds.EMA_ALPHA}::DOUBLE * mean)"
+_EMA_SIDE = _SIDE.replace("rate", _MEAN)
+add("adaptive_threshold_ema", "predictions", lambda d: folds.adaptive_threshold_ema(d, "model", "doc_id", "blocked", "session_id"),
+    _controller("1 AS one", {
+        "t": (f"{folds.EMA_START}::DOUBLE", f"CASE WHEN {_EMA_CHECK} THEN {_MOVE.format(up=folds.UP, down=folds.EMA_DOWN, low=folds.LOW, high=folds.HIGH).replace('side', f'({_EMA_SIDE})')} ELSE t END"),
+        "mean": (f"{folds.TARGET}::DOUBLE", _MEAN),
+    }).replace("r AS (SELECT *, 1 AS one FROM n)", f"r AS (SELECT *, {_SESSIONS} AS sessions FROM (SELECT *, min(k) OVER (PARTITION BY model, session_id) AS first FROM n))"))
+_BUDGET = f"CASE WHEN rate > {folds.TIGHTEN_ABOVE}::DOUBLE * {folds.BUDGET_TARGET}::DOUBLE THEN 1 WHEN rate < {folds.LOOSEN_BELOW}::DOUBLE * {folds.BUDGET_TARGET}::DOUBLE AND k >= {folds.WARM_UP} THEN -1 ELSE 0 END"
+_FALSE = "coalesce(sum((truth = 0 AND blocked)::INT) OVER ({w}) / nullif(sum((truth = 0)::INT) OVER ({w}), 0), 0)".format(w="PARTITION BY model ORDER BY k")
+add("fpr_budget", "predictions", lambda d: folds.fpr_budget(d, "model", "doc_id", "blocked", "truth"),
+    _controller(f"{_BUDGET.replace('rate', _FALSE)} AS side", {"t": (f"{folds.BUDGET_START}::DOUBLE", f"CASE WHEN r.k % {folds.EVERY} = 0 THEN {_MOVE.format(up=folds.UP, down=folds.DOWN, low=folds.LOW, high=folds.BUDGET_HIGH)} ELSE t END")}))

@@ -86,4 +86,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str, *names: str) -> str:
     """The query for another engine, with the views that it needs in front."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in names) + " " + sql
+    head = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in names)
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(start):
+            return f"{start}{head}, {sql.lstrip()[len(start):]}"
+    return f"WITH {head} {sql}"

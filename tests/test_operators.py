@@ -43,7 +43,7 @@ def test_decoding(spark):
     assert one(spark, r"\x41Bc", parsing.resolve_escapes) == "ABc"
     assert one(spark, "68656c6c6f20776f726c64", parsing.try_decode) == "hello world"
     assert one(spark, "a%20b", parsing.try_decode) == "a b" and one(spark, "plain", parsing.try_decode) is None
-    assert one(spark, None, parsing.canonicalize) is None
+    assert parsing.canonicalize(spark.createDataFrame([(None,)], "x string"), "x", "y").first().y is None
 
 
 def test_parse_action(spark):

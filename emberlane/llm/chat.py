@@ -87,11 +87,11 @@ def format_preferences(turns: DataFrame, pair: Column, rejected: Column) -> Data
 def format_swapped(conversations: DataFrame) -> DataFrame:
     """A pair for each conversation (``conv_id``, ``turn``, ``role``, ``text``) of a table that has no rejected sides.
 
-    Conversations 2p and 2p + 1 are neighbours. Chosen is a conversation as it is; rejected is the same up to its last
+    Conversations 2p and 2p + 1 are neighbours, below zero as above. Chosen is a conversation as it is; rejected is the same up to its last
     assistant turn (all of it, if there is none), and then what its neighbour says from its own last assistant turn on.
     Neighbours meet once, in one aggregation. ``pair_id`` is the conversation's id; the format is that of :func:`format_preferences`.
     """
-    sides = _sides(conversations, F.expr("conv_id div 2"), F.col("conv_id") % 2 != 0)
+    sides = _sides(conversations, F.shiftright(F.col("conv_id").cast("long"), 1), F.col("conv_id") % 2 != 0)
 
     def answer(turns: str) -> Column:
         at = F.array_max(F.transform(turns, lambda t, i: F.when(t["role"] == "assistant", i)))

@@ -109,7 +109,7 @@ _CRC = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_
 #: SQL for the queries that it can express at this size; the others are tested against brute force.
 ORACLES: dict[str, str] = {
     "op1_preference_format": f"""
-WITH t AS (SELECT conv_id // 2 AS g, conv_id % 2 = 1 AS r, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+WITH t AS (SELECT conv_id >> 1 AS g, conv_id & 1 = 1 AS r, turn, replace(coalesce(role, 'user'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 h AS (SELECT g, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (NOT r), []) AS a, coalesce(list({{'role': role, 'text': text}} ORDER BY turn, role, text) FILTER (r), []) AS b FROM t GROUP BY g),
 e AS (SELECT 2 * g AS pair_id, a, b FROM h UNION ALL SELECT 2 * g + 1, b, a FROM h),
 l AS (SELECT *, {_LAST.format('a')} AS m, {_LAST.format('b')} AS n FROM e WHERE len(a) > 0),

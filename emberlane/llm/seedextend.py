@@ -305,6 +305,13 @@ class Codec:
     answer: Callable
 
 
+def target_runs(hashes: np.ndarray, targets: int, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The targets of sorted hashes (even ranges of their values), and where each one's run starts, with the end: the work is that of the hashes, however many targets there are."""
+    number = ((hashes >> np.uint64(bits - 32)) * np.uint64(targets)) >> np.uint64(32)
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(number)), dtype=bool), number[1:] != number[:-1]]))
+    return number[start].astype(np.int64), np.append(start, len(hashes))
+
+
 def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: str, *, id_col: str, text_col: str, block_bytes: int, target_bytes: int, hot_items: int) -> DataFrame:
     """``finish(text, parts, covered)`` of every block, where ``covered`` marks the symbols to remove."""
     spark = docs.sparkSession
@@ -313,10 +320,6 @@ def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: st
     targets = max(1, raw // target_bytes)
     width, seed = codec.width, codec.seed
 
-    def target_cuts(hashes: np.ndarray, bits: int = HASH_BITS) -> np.ndarray:
-        bound = (np.arange(1, targets, dtype=np.float64) * (float(1 << bits) / targets)).astype(np.uint64)
-        return np.concatenate([[0], np.searchsorted(hashes, bound), [len(hashes)]])
-
     def load(batch: pa.RecordBatch, k: int) -> tuple[Text, np.ndarray, np.ndarray, Items, object]:
         text = read_block(batch.column("ids")[k].as_py(), batch.column("sizes")[k].as_py(), batch.column("data")[k].as_py())
         symbols, at, parts = codec.symbols(text)
@@ -327,9 +330,8 @@ def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: st
             for k in range(len(batch)):
                 _, _, _, items, _ = load(batch, k)
                 hashes, counts = _item_counts(items)
-                cut = target_cuts(hashes)
-                full = np.flatnonzero(np.diff(cut))
-                each = [(pack_sorted(hashes[cut[t] : cut[t + 1]]), squeeze(counts[cut[t] : cut[t + 1]].tobytes())) for t in full]
+                full, cut = target_runs(hashes, targets)
+                each = [(pack_sorted(hashes[s:e]), squeeze(counts[s:e].tobytes())) for s, e in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), batch.column("block")[k].as_py())), pa.array([x for x, _ in each], pa.binary()), pa.array([x for _, x in each], pa.binary())], names=["target", "block", "hashes", "counts"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -367,15 +369,15 @@ def repeated_windows(docs: DataFrame, codec: Codec, finish: Callable, schema: st
 
                 cold = np.flatnonzero(~s.hot)
                 order = cold[np.argsort(s.items.hash[s.first[cold]], kind="stable")]
-                cut = target_cuts(s.items.hash[s.first[order]])
-                for t in np.flatnonzero(np.diff(cut)):
-                    which, body = codec.encode(text, parts, s.items, s.first, order[cut[t] : cut[t + 1]])
+                full, cut = target_runs(s.items.hash[s.first[order]], targets)
+                for t, a, b in zip(full, cut[:-1], cut[1:]):
+                    which, body = codec.encode(text, parts, s.items, s.first, order[a:b])
                     yield piece(t, which, s.smallest[which], body)
                 if s.hot.any():
                     w = hot_windows(s, symbols, width)
-                    cut = target_cuts(w.left, 64)
-                    for t in np.flatnonzero(np.diff(cut)):
-                        which = np.arange(cut[t], cut[t + 1])
+                    full, cut = target_runs(w.left, targets, 64)
+                    for t, a, b in zip(full, cut[:-1], cut[1:]):
+                        which = np.arange(a, b)
                         yield piece(targets + t, which, w.smallest[which], np.concatenate([w.left[which], w.right[which]]).tobytes())
 
     def classes(bodies: list[bytes], docs: list[np.ndarray]) -> list[np.ndarray]:

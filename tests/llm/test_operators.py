@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from emberlane.llm import bytededup, chat, decontaminate, langid, linededup, packing, quality, simhash, tokens, urls, worddedup
+from emberlane.llm import bytededup, chat, decontaminate, langid, linededup, packing, quality, seedextend, simhash, tokens, urls, worddedup
 from emberlane.llm.components import connected_components
 from emberlane.llm.queries import held_out, tokenizer_json
 from tests.llm import reference as ref
@@ -419,3 +419,46 @@ def test_empty_tables(spark, none):
         chat.digests(chat.format_preferences(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), F.col("conv_id"), F.lit(False))),
     ):
         assert out.count() == 0
+
+
+def test_targets_are_even_ranges_of_hashes():
+    r = np.random.default_rng(4)
+    for bits, targets in ((48, 1), (48, 7), (64, 1000), (48, 10_000_000)):
+        h = np.sort(r.integers(0, 1 << bits, 5000, dtype=np.uint64))
+        names, cut = seedextend.target_runs(h, targets, bits)
+        assert cut[0] == 0 and cut[-1] == len(h) and (np.diff(names) > 0).all() and names[-1] < targets
+        for t, s, e in zip(names.tolist(), cut[:-1], cut[1:]):
+            assert all(t == ((int(x) >> (bits - 32)) * targets) >> 32 for x in h[s:e])
+    assert [len(x) for x in seedextend.target_runs(np.zeros(0, np.uint64), 5)] == [0, 1]
+
+
+def swapped(rows):
+    """format_swapped by the definition: (pair_id, chosen, rejected) turns of (conv_id, turn, role, text) rows."""
+    convs = {}
+    for c, t, role, text in rows:
+        convs.setdefault(c, []).append((t is not None, t or 0, role or "user", text or ""))
+    convs = {c: [x[2:] for x in sorted(v)] for c, v in convs.items()}
+
+    def answer(turns):
+        return max((k for k, t in enumerate(turns) if t[0] == "assistant"), default=len(turns))
+
+    out = {}
+    for c, mine in convs.items():
+        other = convs.get(c + 1 if c % 2 == 0 else c - 1, [])
+        out[c] = (mine, mine[: answer(mine)] + other[answer(other) :])
+    return out
+
+
+def test_swapped_pairs(spark):
+    r = random.Random(8)
+    rows = [(c, t, r.choice(("user", "assistant", None)), r.choice(("hi", "yo", None, "", "a b"))) for c in (*range(-6, 7), 40, 43) for t in range(r.randint(1, 5))]
+    rows += [(-1, 90, "assistant", "neg"), (1, 90, "assistant", "one"), (50, 1, "user", "long " * 60_000), (51, 1, "user", "tie"), (51, 1, "user", "tie")]
+    df = spark.createDataFrame([(*x, 1, "r", True) for x in rows], "conv_id long, turn long, role string, text string, pair_id int, prompt string, rejected boolean").repartition(3)
+    got = {x["pair_id"]: x for x in chat.format_swapped(df).collect()}
+    want = swapped(rows)
+    assert set(got) == set(want) and {-1, 0, 1} <= set(got)
+    text = lambda turns: "".join(f"<|im_start|>{a}\n{b}<|im_end|>\n" for a, b in turns)
+    for c, (chosen, rejected) in want.items():
+        k = next((k for k, (a, b) in enumerate(itertools.zip_longest(chosen, rejected)) if a != b), len(chosen))
+        x = got[c]
+        assert x["prompt"] == text(chosen[:k]) and "".join(s["text"] for s in x["chosen"]) == text(chosen[k:]) and "".join(s["text"] for s in x["rejected"]) == text(rejected[k:])

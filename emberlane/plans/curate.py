@@ -9,6 +9,7 @@ from emberlane.functions import obfuscate
 from emberlane.operators import curation, folds, generate, metrics
 from emberlane.plans.catalog import ORACLES, QUERIES, _quote, _sel, add
 from emberlane.sources import config, hub, tables
+from emberlane.sources.dataset import read_dataset
 from emberlane.streaming import sessions as streaming
 
 ID = "session_id, step"
@@ -153,7 +154,22 @@ add("load_neuralchemy", "documents", lambda d: _loaded(hub.load(_staged(d), hub.
 add("load_prodnull", "documents", lambda d: _loaded(hub.load(_staged(d), hub.PRODNULL, "doc_id")), _load_sql("documents", "text", "coalesce(lang = 'en', false)", "prod", "doc_id", "prodnull"))
 _mails = lambda d: d.select(F.col("id"), "body", F.col("status").alias("scenario"), F.col("sender").alias("team_id"))
 add("load_llmail", "emails", lambda d: _loaded(hub.load(_mails(d), hub.LLMAIL, "id")), _load_sql("(SELECT *, row_number() OVER (PARTITION BY status, sender ORDER BY md5(id::VARCHAR), id) AS rn FROM emails)", "body", "true", "llmail", "id", "llmail-inject", "rn <= 10"))
-add("load_bipia", "emails", lambda d: _loaded(hub.load(d.select("id", F.col("subject").alias("Attack")), hub.BIPIA_ATTACK, "id").unionByName(hub.load(d.select("id", F.col("body").alias("context")), hub.BIPIA_BENIGN, "id"))), _load_sql("emails", "subject", "true", "bipia-mal", "id", "bipia") + " UNION ALL " + _load_sql("emails", "body", "false", "bipia-ben", "id", "bipia"))
+
+
+def _bipia(spark, sf_dir: str) -> DataFrame:
+    """The sources in their order, of which the third is staged here as the turns of conversations; columns are found by parts of their names."""
+    copies = dict(zip(hub.BIPIA_SOURCES, ("no_such_table", "nor_this_one", "conversations", "benchmark")))
+    turns = read_dataset(spark, [f"{sf_dir}/{copies[s]}.parquet" for s in hub.BIPIA_SOURCES], ["conv_id", "turn", "role", "text"])
+    named = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("role") == "assistant", F.col("text")).alias("injected_text"), F.when(F.col("role") != "assistant", F.col("text")).alias("context"), F.col("role").alias("task"))
+    return _loaded(hub.load_bipia(named, "id"))
+
+
+QUERIES["load_bipia"] = _bipia
+ORACLES["load_bipia"] = """WITH c AS (SELECT conv_id * 1000 + turn AS id, role, text FROM conversations),
+a AS (SELECT * FROM c WHERE role = 'assistant' AND lower(trim(text)) NOT IN ('', 'nan')),
+b AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS rn FROM c WHERE role <> 'assistant' AND text IS NOT NULL)
+SELECT md5(text) AS action, 'malicious' AS label, 'bipia-' || role || '-' || id AS session_id, 'malicious_single' AS attack_type, 'bipia' AS source_dataset FROM a
+UNION ALL SELECT md5(text), 'benign', 'bipia-benign-' || id, 'benign', 'bipia' FROM b WHERE rn <= (SELECT count(*) // 2 FROM a) AND lower(trim(text)) NOT IN ('', 'nan')"""
 add("load_synthetic", "region", lambda d: generate.attack_chains(d.sparkSession, 40).select("session_id", "label").unionByName(generate.obfuscated_chains(d.sparkSession, 10).select("session_id", "label")).groupBy(F.substring("session_id", 1, 11).alias("kind"), "label").agg(F.countDistinct("session_id").alias("sessions")).where("label = 'malicious'").groupBy("label").agg(F.sum("sessions").alias("sessions")), "SELECT 'malicious' AS label, 50 AS sessions")
 
 

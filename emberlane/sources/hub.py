@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlane.operators.curation import rank_within
+from emberlane.sources.dataset import read_dataset
 from emberlane.sources.tables import infer_column
 
 
@@ -28,20 +30,44 @@ class Spec:
 NEURALCHEMY = Spec("neuralchemy", "neural")
 PRODNULL = Spec("prodnull", "prod")
 LLMAIL = Spec("llmail-inject", "llmail", text=("body",), always="malicious", per_group=(("scenario", "team_id"), 10))
-BIPIA_ATTACK = Spec("bipia", "bipia-mal", text=("attack", "attack_str", "attack_prompt", "poisoned"), always="malicious")
-BIPIA_BENIGN = Spec("bipia", "bipia-ben", text=("context", "user_intent", "benign", "email"), always="benign")
+#: Where the benchmark of indirect injections is staged, in the order in which copies are tried.
+BIPIA_SOURCES = ("microsoft/BIPIA", "MAlmasabi/Indirect-Prompt-Injection-BIPIA-GPT", "wu981526092/BIPIA", "rubend18/ChatGPT-Jailbreak-Prompts")
+BIPIA_ATTACK = ("attack", "injection", "injected")
+BIPIA_CONTEXT = ("context", "document", "content")
+BIPIA_TASK = ("task", "domain", "type")
 # ----------------------------------------------------------------------------------------------------
 
 
 def staged(spark: SparkSession, paths: tuple[str, ...], spec: Spec) -> DataFrame:
-    """The first of the paths that can be read, else the rows the dataset falls back on."""
-    for path in paths:
-        try:
-            return spark.read.parquet(path)
-        except Exception as e:  # only what says that there is no such table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-    return spark.createDataFrame(list(spec.fallback), "text string, label string")
+    """The first of the paths that is there, else the rows the dataset falls back on."""
+    return read_dataset(spark, paths, fallback=[{"text": t, "label": b} for t, b in spec.fallback])
+
+
+def _holding(df: DataFrame, parts: tuple[str, ...]) -> str | None:
+    """The first column whose name holds one of the parts."""
+    return next((c for c in df.columns if any(p in c.lower() for p in parts)), None)
+
+
+def load_bipia(df: DataFrame, order: str) -> DataFrame:
+    """Action records of a staged copy: every attack is malicious, and contexts are benign, half as many as the attacks (the first in drawn order).
+
+    A copy without a column of attacks gives its first text column. Sessions are named by the task, if it has one, and ``order``.
+    """
+    attack, context, task = (_holding(df, parts) for parts in (BIPIA_ATTACK, BIPIA_CONTEXT, BIPIA_TASK))
+    attack = attack or next(c for c, kind in df.dtypes if kind == "string")
+    place = F.col(order).cast("string")
+    filled = lambda c: F.coalesce(~F.lower(F.trim(F.col(f"`{c}`"))).isin("", "nan"), F.lit(False))
+
+    def records(rows: DataFrame, column: str, label: str, kind: str, session: F.Column) -> DataFrame:
+        return rows.select(F.col(f"`{column}`").alias("action"), F.lit(label).alias("label"), session.alias("session_id"), F.lit(kind).alias("attack_type"), F.lit(0).alias("step_index"), F.lit("bipia").alias("source_dataset"), F.lit(False).alias("augmented"))
+
+    named = F.concat_ws("-", F.lit("bipia"), F.coalesce(F.col(f"`{task}`").cast("string"), F.lit("unknown")), place) if task else F.concat(F.lit("bipia-"), place)
+    bad = records(df.where(filled(attack)), attack, "malicious", "malicious_single", named)
+    if not context or context == attack:
+        return bad
+    half = bad.count() // 2
+    drawn = rank_within(df.where(F.col(f"`{context}`").isNotNull()).withColumn("_all", F.lit(0)), ["_all"], [order]).where(F.col("rn") <= half)
+    return bad.unionByName(records(drawn.where(filled(context)), context, "benign", "benign", F.concat(F.lit("bipia-benign-"), place)))
 
 
 def load(df: DataFrame, spec: Spec, order: str) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from emberlane.functions import obfuscate
 from emberlane.operators import curation, folds, generate, metrics
-from emberlane.plans.catalog import ORACLES, QUERIES, _quote, _sel, add
+from emberlane.plans.catalog import _REDACT_SQL, ORACLES, QUERIES, _quote, _sel, add
 from emberlane.sources import config, hub, tables
 from emberlane.sources.dataset import read_dataset
-from emberlane.streaming import sessions as streaming
+from emberlane.streaming import caches, sinks
 
 ID = "session_id, step"
 
@@ -98,16 +98,16 @@ add("suite_scan", "actions", lambda d: tables.scan_suite(_traced(d), "src0").sel
 
 
 def _feedback(d: DataFrame) -> DataFrame:
-    """Decisions as a stream of what is in a folder, redacted and appended as JSON lines."""
+    """Decisions as a stream of what arrives in a folder, one day's sessions after another, redacted and kept as JSON lines."""
     path = _folder(d)
-    d.select("session_id", "step", F.concat(F.lit("mail me at joe@x.org, "), F.col("role")).alias("action")).write.parquet(f"{path}/in")
-    schema = d.sparkSession.read.parquet(f"{path}/in").schema
-    stream = d.sparkSession.readStream.schema(schema).parquet(f"{path}/in")
-    streaming.feedback_sink(stream, f"{path}/out", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return d.sparkSession.read.schema(schema).json(f"{path}/out")
+    rows = d.select("session_id", "step", "action", F.expr("ts div 1000000").alias("arrival"))
+    sinks.replay(rows, "arrival", lambda stream: sinks.feedback_sink(stream, f"{path}/out", f"{path}/checkpoint"), path)
+    kept = sinks.written_batches(d.sparkSession, f"{path}/out/kept", rows.drop("arrival").schema, "json")
+    return kept.select("session_id", "step", F.md5("action").alias("redacted"))
 
 
-add("feedback_sink", "actions", _feedback, f"SELECT {ID}, 'mail me at [REDACTED_EMAIL], ' || role AS action FROM actions")
+_REDACTED = _REDACT_SQL.replace("doc_id", "session_id, step").replace("(text, ", "(action, ").replace("FROM documents", "FROM actions")
+add("feedback_sink", "actions", _feedback, f"SELECT {ID}, redacted FROM ({_REDACTED})")
 _values = lambda spark, pairs: spark.createDataFrame(sorted(pairs), "name string, value string")
 _rows = lambda pairs: "SELECT name, value FROM (VALUES " + ", ".join(f"({_quote(k)}, {_quote(v)})" for k, v in sorted(pairs)) + ") v(name, value)"
 _FLAT = "# settings\nmode: 'STRICT'  # comment\nlog_path: /tmp/x.log\nthreshold: 0.7\n"
@@ -264,4 +264,49 @@ _PART = "(SELECT * FROM predictions WHERE ('0x' || substr(md5(doc_id::VARCHAR),
 _RATES = f"(SELECT attack_kind, score, fp / greatest(neg, 1) AS fpr, (pos - tp) / greatest(pos, 1) AS fnr FROM (SELECT attack_kind, score, sum(p) OVER up AS tp, sum(n) OVER up AS fp, sum(p) OVER (PARTITION BY attack_kind) AS pos, sum(n) OVER (PARTITION BY attack_kind) AS neg FROM (SELECT attack_kind, score, count(*) FILTER (truth = 1) AS p, count(*) FILTER (truth = 0) AS n FROM {_PART} GROUP BY ALL) WINDOW up AS (PARTITION BY attack_kind ORDER BY score DESC)))"
 add("calibrate_thresholds", "predictions", lambda d: metrics.calibrate_thresholds(d, "attack_kind", "doc_id"),
     f"SELECT attack_kind, round(greatest(a, b), 4) AS block, round(greatest(0.2, least(a, b)), 4) AS review FROM (SELECT attack_kind, coalesce(arg_min(score, (fnr, score)) FILTER (fpr <= 0.01 AND fnr < 1), 1.0) AS a, coalesce(max(score) FILTER (fnr <= 0.05), 0.35) AS b FROM {_RATES} GROUP BY attack_kind) WHERE attack_kind IN (SELECT attack_kind FROM predictions GROUP BY attack_kind HAVING count(*) FILTER (truth = 0) >= 10 AND count(*) FILTER (truth = 1) >= 10)")
-add("ts_embedding_cache", "embeddings", lambda d: d.select("vec_id", F.xxhash64("embedding").alias("k")).groupBy("k").agg(F.min("vec_id").alias("vec_id")).select("vec_id"), "SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY embedding")
+
+
+def _cached(d: DataFrame) -> DataFrame:
+    """Every event as one use of its user's cache of texts."""
+    path, spark = _folder(d), d.sparkSession
+    rows = d.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.concat_ws(" ", "event_type", F.expr("get_json_object(props, '$.k') % 4")).alias("text"), F.lit(0).alias("arrival"))
+
+    def run(stream: DataFrame):
+        used = caches.session_caches(stream, "user_id", "event_id", "text", "ts", lifetime=_CACHE_LIFE)
+        return used.writeStream.foreachBatch(sinks.batch_writer(f"{path}/used")).option("checkpointLocation", f"{path}/checkpoint")
+
+    with caches.state_with_timers(spark):
+        sinks.replay(rows, "arrival", run, path)
+    return sinks.written_batches(spark, f"{path}/used", _USED)
+
+
+#: Five days: users come back after some hours, so that texts are held, expire, and whole sessions lapse.
+_CACHE_LIFE = 5 * 86400
+_USED = caches.OUTPUT
+_USES = f"""n AS (SELECT user_id, concat_ws(' ', event_type, json_extract_string(props, '$.k')::INT % 4) AS text, event_id, epoch_us(ts) / 1e6 AS tm FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, text ORDER BY tm, event_id) AS k, coalesce(tm - lag(tm) OVER (PARTITION BY user_id ORDER BY tm, event_id) > {_CACHE_LIFE}, true) AS fresh FROM n),
+w AS (SELECT user_id, text, event_id, k, tm AS since, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.text, o.event_id, o.k, CASE WHEN o.tm - w.since < {_CACHE_LIFE} THEN w.since ELSE o.tm END, o.tm - w.since < {_CACHE_LIFE} FROM w JOIN o ON o.user_id = w.user_id AND o.text = w.text AND o.k = w.k + 1)"""
+add("ts_embedding_cache", "events", lambda d: _cached(d).select("session", "event", "hit"), f"WITH RECURSIVE {_USES} SELECT user_id::VARCHAR AS session, event_id AS event, hit FROM w")
+add("ts_session_lru", "events", lambda d: _cached(d).groupBy("session").agg(F.count_if("fresh").alias("lives"), F.max("held").alias("most_held")),
+    f"WITH RECURSIVE {_USES}, l AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS life FROM o) SELECT user_id::VARCHAR AS session, max(life)::BIGINT AS lives, max(held)::INT AS most_held FROM (SELECT user_id, life, count(DISTINCT text) AS held FROM l GROUP BY user_id, life) GROUP BY user_id")
+_ARRIVAL = "CAST(floor((timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) + CAST(get_json_object(props, '$.k') AS INT) * 3600) / 432000) AS BIGINT)"
+
+
+def _kept_in_time(d: DataFrame) -> DataFrame:
+    """Events that arrive up to four days after they happened, under a watermark of a day: what is kept and what is dropped of each type."""
+    path, spark = _folder(d), d.sparkSession
+    rows = d.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.expr(_ARRIVAL).alias("arrival"))
+
+    def run(stream: DataFrame):
+        return sinks.within_watermark(stream, "ts", ["event_id"], "1 day").writeStream.foreachBatch(sinks.batch_writer(f"{path}/kept")).option("checkpointLocation", f"{path}/checkpoint")
+
+    sinks.replay(rows, "arrival", run, path)
+    kept = sinks.written_batches(spark, f"{path}/kept", rows.drop("arrival").schema)
+    marked = rows.join(kept.select("event_id", F.lit(True).alias("kept")), "event_id", "left")
+    return marked.groupBy("event_type").agg(F.count_if(F.col("kept").isNull()).alias("late"), F.count_if("kept").alias("in_time"))
+
+
+add("ts_late_data", "events", _kept_in_time,
+    """WITH b AS (SELECT *, epoch_us(ts) AS us, floor((epoch(ts)::BIGINT + json_extract_string(props, '$.k')::INT * 3600) / 432000) AS arrival FROM events),
+w AS (SELECT arrival, max(us) AS top FROM b GROUP BY arrival), m AS (SELECT arrival, (max(top) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) // 1000 - 86400000) * 1000 AS mark FROM w)
+SELECT event_type, count(*) FILTER (us <= mark) AS late, count(*) FILTER (coalesce(us > mark, true)) AS in_time FROM b JOIN m USING (arrival) GROUP BY event_type""")

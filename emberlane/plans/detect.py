@@ -195,16 +195,6 @@ add("session_reset", "actions", lambda d: _full_scan(d.where("session_id % 2 = 1
 _SHORT = _sql_array([(f, f"step - {_LAST.format(f)} <= 2 AND ts - {_LAST_TS.format(f)} <= 20") for f in rules.FLAGS])
 add("ts_flag_ttl", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(F.col("action"))), 2, 20).groupBy("session_id").agg(F.max(F.size("active_flags")).alias("most")),
     f"SELECT session_id, max(n)::INT AS most FROM (SELECT session_id, len({_SHORT}) AS n FROM (SELECT *, {_FLAGS_SQL} AS flags FROM actions)) GROUP BY session_id")
-add("ts_session_lru", "actions", lambda d: d.groupBy("session_id").agg(F.max("ts").alias("last")).where(F.col("last") >= 1704067200 + 40 * 4000 - rules.FLAG_SECONDS).select("session_id"), "SELECT session_id FROM actions GROUP BY session_id HAVING max(ts) >= 1704067200 + 40 * 4000 - 3600")
-add("ts_late_data", "events", lambda d: _late(d), "SELECT event_type, count(*) FILTER (late) AS late, count(*) FILTER (NOT late) AS in_time FROM (SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '1 hour', false) AS late FROM events) GROUP BY event_type")
-
-
-def _late(d: DataFrame) -> DataFrame:
-    """Events that come an hour or more after a later one of the same user: what a watermark drops, counted."""
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    late = F.coalesce(F.col("ts") < F.max("ts").over(before) - F.expr("INTERVAL 1 HOUR"), F.lit(False))
-    return d.withColumn("late", late).groupBy("event_type").agg(F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("in_time"))
-
 
 # ---- sequence features and guards --------------------------------------------------------------------
 _RISK = "least(1.0, len(regexp_extract_all(action, 'e')) / 100.0)::DOUBLE"

@@ -79,12 +79,3 @@ FLAGS_OF = {name: set(flags) for flags, _, name, _ in rules.COMBOS}
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling counts per event type with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n")).select("window.start", "event_type", "n")
-
-
-def feedback_sink(decisions: DataFrame, path: str, checkpoint: str):
-    """Appends each micro-batch's redacted decisions as JSON lines."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        rules.redact(batch, "action", "action").write.mode("append").json(path)
-
-    return decisions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

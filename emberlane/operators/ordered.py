@@ -1,7 +1,7 @@
 """Running sums over a whole order without a window in one task.
 
-The order is cut into buckets that do not grow with a group: by quantiles of a number, or by the first digits of a hash.
-Sums of the buckets before come from a small table, those within a bucket from a window over that bucket alone.
+The order is cut into ranges, as many as the session shuffles into, so a task's share does not grow with the table or with a group. Sums of the
+ranges before come from a small table, those within a range from a window over that range alone.
 """
 
 from __future__ import annotations
@@ -9,20 +9,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from emberlane.sources.tables import written
+
+
+def in_ranges(df: DataFrame, order: list[Column], name: str = "ranges") -> DataFrame:
+    """Adds ``_b``, the range of each row in the given order; the table is written, so that ranges stay as they are."""
+    return written(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()), name)
 
 
 def by_quantile(df: DataFrame, order: str, descending: bool = False) -> DataFrame:
-    """Adds ``_b``, the bucket of a numeric column in its order; nulls come first (last, if descending)."""
-    cuts = sorted(set(df.approxQuantile(order, [k / BUCKETS for k in range(1, BUCKETS)], 1 / (4 * BUCKETS))))  # a bounded list
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
-    bucket = F.when(F.col(order).isNull(), -1).otherwise(above)
-    return df.withColumn("_b", -bucket if descending else bucket)
+    """Ranges of a column's values, of which equal ones are together; nulls come first (last, if descending)."""
+    return in_ranges(df, [F.desc_nulls_last(order) if descending else F.asc_nulls_first(order)])
 
 
 def by_hash(df: DataFrame, hexed: Column) -> DataFrame:
-    """Adds ``_b`` by the first two digits of a text of hexadecimal digits, which orders as the text does."""
-    return df.withColumn("_b", F.conv(F.substring(hexed, 1, 2), 16, 10).cast("int"))
+    """Ranges of a text of digits that orders rows as drawn."""
+    return in_ranges(df, [hexed])
 
 
 def running(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column], inclusive: bool = True) -> DataFrame:

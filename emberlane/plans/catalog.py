@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberlane.functions import rules, text
 from emberlane.operators import curation, metrics, sessions
+from emberlane.operators.asof import asof_join
 from emberlane.sources.tables import table
 from emberlane.sources.views import VIEWS, view, with_views
 
@@ -183,8 +184,29 @@ for _key, _how, _word in (("anti_join", "left_anti", "NOT EXISTS"), ("semi_join"
 add("action_chain", "actions", lambda d: sessions.action_chain(d, rules.matches(F.col("action"), r"\bwhoami\b"), rules.matches(F.col("action"), r"\bsend"), 180, "recon_exfil"),
     r"SELECT a.session_id, 'recon_exfil' AS rule, a.step AS pre_step, arg_min(b.step, b.ts) AS post_step FROM actions a JOIN actions b ON a.session_id = b.session_id AND b.ts > a.ts AND b.ts <= a.ts + 180 WHERE regexp_matches(a.action, '\bwhoami\b', 'i') AND regexp_matches(b.action, '\bsend', 'i') GROUP BY a.session_id, a.step")
 add("rule_broadcast_join", "predictions", lambda d: d.join(F.broadcast(d.sparkSession.createDataFrame([("Tier0", 3), ("Tier0.5", 2), ("V61", 1)], "layer string, weight int")), "layer", "left").select("doc_id", "layer", "weight"), "SELECT doc_id, layer, weight FROM predictions LEFT JOIN (VALUES ('Tier0', 3), ('Tier0.5', 2), ('V61', 1)) v(layer, weight) USING (layer)")
-add("version_asof", "orders", lambda d: d.where("o_orderdate <= timestamp'1996-01-01'").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest")), "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01' GROUP BY o_custkey")
-add("latest_before", "orders", lambda d: d.where("o_orderdate < timestamp'1996-01-01'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest")), "SELECT o_custkey, max(o_orderdate) AS latest FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey")
+
+
+def _version_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To each event, moved to the years of the orders, its user's latest order not after it."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.expr("ts - INTERVAL 26 YEARS").alias("at"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_orderkey")
+    return asof_join(events, orders, ["user_id"], "at", "o_orderdate", ["o_orderdate", "o_orderkey"]).select("event_id", "o_orderdate", "o_orderkey")
+
+
+QUERIES["version_asof"] = _version_asof
+ORACLES["version_asof"] = """SELECT event_id, o_orderdate, o_orderkey FROM (SELECT event_id, user_id, ts - INTERVAL 26 YEAR AS moved FROM events) e
+ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderdate) o ON e.user_id = o.o_custkey AND e.moved >= o.o_orderdate"""
+
+
+def _latest_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To each order the customer's latest order on an earlier day."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    earlier = orders.select("o_custkey", F.col("o_orderdate").alias("latest"), F.col("o_orderkey").alias("latest_key"))
+    return asof_join(orders, earlier, ["o_custkey"], "o_orderdate", "latest", ["latest", "latest_key"], strict=True).select("o_orderkey", "latest", "latest_key")
+
+
+QUERIES["latest_before"] = _latest_before
+ORACLES["latest_before"] = """SELECT o.o_orderkey, latest, latest_key FROM orders o ASOF LEFT JOIN (SELECT o_custkey, o_orderdate AS latest, max(o_orderkey) AS latest_key FROM orders GROUP BY o_custkey, o_orderdate) e ON o.o_custkey = e.o_custkey AND o.o_orderdate > e.latest"""
 
 # ---- aggregations ------------------------------------------------------------------------------------
 _PCT = "round(CASE WHEN {1} > 0 THEN 100.0 * {0} / {1} ELSE 0 END, 2)::DOUBLE"

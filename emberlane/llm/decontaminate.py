@@ -3,17 +3,18 @@
 Method. Tokens are lower-case runs of letters and digits. A seed is the hash of the tokens that a fixed
 mask selects in a stretch of text; what the mask leaves out may differ. Seeds of the benchmark and of a
 document are joined by their hash, and around each hit the document and the item are laid side by side
-without gaps. An overlap is a stretch of ``WINDOW`` tokens (or the whole item, if it is shorter but has
-``SHORTEST`` tokens) of which at most ``SUBSTITUTIONS`` differ. The masks together hit every such
-stretch, whichever tokens differ, so none is missed; items shorter than that are compared whole and
-exactly by a seed of their own length.
+without gaps. An overlap is a stretch of ``WINDOW`` tokens of which at most ``SUBSTITUTIONS`` differ, or a whole
+item that is shorter, of which as many differ in proportion (:func:`tolerance`). The masks together hit every such
+stretch, whichever tokens differ, so none is missed; an item shorter than a window has masks of its own length, which
+leave out parts of it.
 
 A benchmark of at most ``BLOCK_TOKENS`` tokens is broadcast, and the join is a lookup where the documents
 are, in one stage without a shuffle. A larger one stays a table: its seeds are joined with those seeds of the
-documents that a bitmap of fixed size lets through, and only documents with a hit meet the items hit.
+documents that a bitmap lets through (some 16 cells a seed, up to 2**30 cells; it is put together by the executors), and
+only documents with a hit meet the items hit. Both ways find the same.
 
-Edge cases. Null texts have no tokens and overlap nothing. Items under ``shortest`` tokens (by default
-``SHORTEST``, as fewer can't tell a copy from chance) overlap nothing; ``shortest=1`` compares every item.
+Edge cases. Null texts have no tokens and overlap nothing. Items under ``shortest`` tokens overlap nothing: by default every
+item is compared; to drop documents, items under ``SHORTEST`` tokens are no evidence (:func:`drop_contaminated`).
 Very long texts are read whole. Equal hits on an item are one span, whatever their order. Null ids stay null.
 Repeated rows each get a row; repeated items are all named. Empty tables on either side work. Other columns
 are not read.
@@ -21,6 +22,7 @@ are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ BLOCK_TOKENS = 1_000_000
 #: Fixed masks, 1 = compared. Every 13 tokens with 3 differing hold a stretch that one of them passes.
 MASKS = ("11101011", "1100100111", "111111", "1011000111", "1110001011", "1110111", "11101101")
 
+#: Cells of the bitmap for a seed, and the most bits of their number.
+_CELLS, _MOST_BITS, _SEGMENT = 16, 30, 20
 _COEF = np.random.default_rng(31).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOOM = 22
 
@@ -77,10 +81,26 @@ def seeds(h: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix(out)
 
 
-def all_masks(shortest: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The masks with their salts: those of windows, and one for each length of an item that is compared whole."""
-    out = [(salt, tuple(i for i, c in enumerate(m) if c == "1")) for salt, m in enumerate(MASKS)]
-    return out + [(100 + n, tuple(range(n))) for n in range(max(1, shortest), WINDOW)]
+def tolerance(n: int) -> int:
+    """How many tokens of a window, or of an item of ``n`` tokens, may differ."""
+    return SUBSTITUTIONS * min(n, WINDOW) // WINDOW
+
+
+Mask = tuple[int, tuple[int, ...], int]
+
+
+def all_masks(shortest: int) -> list[Mask]:
+    """The masks with their salts, and the length of the items that they are for (0: those that hold a window).
+
+    A short item of which k tokens may differ is cut into k + 2 parts; its masks leave out k of them, in all ways.
+    """
+    out = [(salt, tuple(i for i, c in enumerate(m) if c == "1"), 0) for salt, m in enumerate(MASKS)]
+    for n in range(max(1, shortest), WINDOW):
+        k = tolerance(n)
+        parts = np.array_split(np.arange(n), k + 2 if k else 1)
+        for j, kept in enumerate(itertools.combinations(parts, len(parts) - k)):
+            out.append((100 + 16 * n + j, tuple(np.concatenate(kept).tolist()), n))
+    return out
 
 
 class Block:
@@ -92,21 +112,21 @@ class Block:
         n = np.diff(self.at)
         item = np.repeat(np.arange(len(ids)), n)
         pos = np.arange(len(self.hash)) - np.repeat(self.at[:-1], n)
-        lengths = set(n.tolist())
-        self.masks = [m for m in all_masks(shortest) if m[0] < len(MASKS) or len(m[1]) in lengths]
-        keys, at, items = [], [], []
-        for salt, m in self.masks:
+        lengths = {0, *n.tolist()}
+        self.masks = [m for m in all_masks(shortest) if m[2] in lengths]
+        keys, at, items, salts = [], [], [], []
+        for salt, m, length in self.masks:
             k = seeds(self.hash, m, salt)
             i = np.arange(len(k))
-            ok = (item[i] == item[i + m[-1]]) & (n[item[i]] >= WINDOW)
-            if salt >= len(MASKS):
-                ok = (item[i] == item[i + m[-1]]) & (n[item[i]] == len(m))
+            own = (n[item[i]] == length) & (pos[i] == 0) if length else n[item[i]] >= WINDOW
+            ok = (item[i] == item[i + m[-1]]) & own
             keys.append(k[ok])
             at.append(pos[i[ok]].astype(np.int32))
             items.append(item[i[ok]].astype(np.int32))
-        self.key, self.pos, self.item = (np.concatenate(x) for x in (keys, at, items))
+            salts.append(np.full(len(keys[-1]), salt, dtype=np.int32))
+        self.key, self.pos, self.item, self.salt = (np.concatenate(x) for x in (keys, at, items, salts))
         order = np.argsort(self.key, kind="stable")
-        self.key, self.pos, self.item = self.key[order], self.pos[order], self.item[order]
+        self.key, self.pos, self.item, self.salt = self.key[order], self.pos[order], self.item[order], self.salt[order]
         self.bloom = np.zeros(1 << _BLOOM, dtype=bool)
         self.bloom[(self.key >> np.uint64(64 - _BLOOM)).astype(np.int64)] = True
 
@@ -129,7 +149,7 @@ class Block:
 
     def _hits(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple]:
         """Per mask: the tokens where a seed of the benchmark starts, where that lies in the table, and the text; ordered by seed."""
-        for salt, m in self.masks:
+        for salt, m, _ in self.masks:
             k = seeds(h, m, salt)
             at = np.flatnonzero(self.bloom[(k >> np.uint64(64 - _BLOOM)).astype(np.int64)])
             lo, hi = np.searchsorted(self.key, k[at], "left"), np.searchsorted(self.key, k[at], "right")
@@ -158,7 +178,8 @@ def _spans(h: np.ndarray, item: np.ndarray, d: int, start: int, stop: int) -> li
     lo, hi = max(d, start), min(d + len(item), stop)
     equal = h[lo:hi] == item[lo - d : hi - d]
     if len(item) < WINDOW:
-        return [(lo, hi)] if hi - lo == len(item) and equal.all() else []
+        at = np.flatnonzero(equal)  # without what differs at either end
+        return [(lo + int(at[0]), lo + int(at[-1]) + 1)] if hi - lo == len(item) and len(item) - len(at) <= tolerance(len(item)) else []
     differ = np.concatenate([[0], np.cumsum(~equal)])
     good = np.flatnonzero(differ[WINDOW:] - differ[:-WINDOW] <= SUBSTITUTIONS)
     if not len(good):
@@ -185,7 +206,7 @@ SCHEMA = f"doc_id long, text_key long, items array<long>, spans array<{_SPAN}>,
 
 
 def find_overlaps(
-    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = SHORTEST, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = 1, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
     """Per document: ``doc_id, text_key, items`` (ids of the items found, sorted), ``spans`` (token ranges) and ``n_tokens``.
 
@@ -229,6 +250,25 @@ def _looked_up(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _bitmap(table: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each value of the leading ``bits`` of a seed that occurs; executors mark segments of 2**20 cells, which come as bytes."""
+    width = min(bits, _SEGMENT)
+
+    def mark(part: pa.Table) -> pa.Table:
+        cell = part["cell"].to_numpy()
+        marks = np.zeros(1 << width, dtype=np.uint8)
+        marks[cell & ((1 << width) - 1)] = 1
+        return pa.table({"segment": pa.array([int(cell[0]) >> width], pa.int64()), "marks": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    cells = table.select(F.shiftrightunsigned("seed", 64 - bits).alias("cell")).distinct()
+    found = cells.groupBy(F.shiftright("cell", width).alias("segment")).applyInArrow(mark, "segment long, marks binary").collect()  # 2**10 at most
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8)
+    size = (1 << width) // 8
+    for r in found:
+        out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["marks"], dtype=np.uint8)
+    return out
+
+
 def _joined(rows: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
     """The same for a benchmark of any size, by a join of seeds."""
     items = materialize(items.withColumn("item_key", F.xxhash64("item", "item_id")), "items")
@@ -238,22 +278,23 @@ def _joined(rows: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
             for part in chunks(batch.column(1), 1_000_000):
                 block = Block([None] * len(part), batch.column(1)[part.start : part.stop].to_pylist(), shortest)
                 who = batch.column(0).take(pa.array(block.item.astype(np.int64) + part.start))
-                yield pa.RecordBatch.from_arrays([who, pa.array(block.key.view(np.int64))], names=["item_key", "seed"])
+                yield pa.RecordBatch.from_arrays([who, pa.array(block.key.view(np.int64)), pa.array(block.salt)], names=["item_key", "seed", "salt"])
 
-    table = materialize(items.select("item_key", "item").mapInArrow(item_seeds, "item_key long, seed long").distinct(), "seeds")
-    cells = table.select(F.shiftrightunsigned("seed", 64 - _BLOOM).alias("cell")).distinct().collect()  # 2 ** _BLOOM rows at most
-    bloom = np.zeros(1 << _BLOOM, dtype=bool)
-    bloom[[r[0] for r in cells]] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+    table = materialize(items.select("item_key", "item").mapInArrow(item_seeds, "item_key long, seed long, salt int").distinct(), "seeds")
+    used = {r[0] for r in table.select("salt").distinct().collect()}  # one of some fifty masks each
+    masks = [m for m in all_masks(shortest) if m[0] in used]
+    bits = min(_MOST_BITS, max(16, (_CELLS * table.count()).bit_length()))
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(table, bits))
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = np.unpackbits(shared.value).view(bool)
+        marks = shared.value
         for batch in batches:
             for part in chunks(batch.column(2), 1_000_000):
                 h, _, _, first = tokens(batch.column(2)[part.start : part.stop])
-                for salt, m in all_masks(shortest):
+                for salt, m, _ in masks:
                     k = seeds(h, m, salt)
-                    at = np.flatnonzero(bloom[(k >> np.uint64(64 - _BLOOM)).astype(np.int64)])
+                    cell = (k >> np.uint64(64 - bits)).astype(np.int64)
+                    at = np.flatnonzero(marks[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
                     text = np.searchsorted(first, at, side="right") - 1
                     ok = at + m[-1] < first[text + 1]
                     who = pa.array(text[ok] + part.start)
@@ -285,7 +326,7 @@ def _joined(rows: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
     return out.select("doc_id", "text_key", F.coalesce("items", nothing("array<long>")).alias("items"), F.coalesce("spans", nothing(f"array<{_SPAN}>")).alias("spans"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item; each row's own text decides, whatever ids it shares."""
-    found = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, **options) -> DataFrame:
+    """The rows of ``docs`` that overlap no benchmark item of at least ``shortest`` tokens; each row's own text decides, whatever ids it shares."""
+    found = find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, shortest=shortest, **options)
     return without_rows(docs, found.where(F.size("items") > 0), id_col, text_col)

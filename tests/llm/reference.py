@@ -104,8 +104,9 @@ def overlaps(text, item, window=13, substitutions=3, shortest=8):
     if len(item) < window:
         if len(item) >= shortest:
             for d in range(len(text) - len(item) + 1):
-                if text[d : d + len(item)] == item:
-                    out |= set(range(d, d + len(item)))
+                equal = [d + q for q in range(len(item)) if text[d + q] == item[q]]
+                if len(item) - len(equal) <= substitutions * len(item) // window:
+                    out |= set(range(equal[0], equal[-1] + 1))
         return out
     for d in range(1 - len(item), len(text)):
         lo, hi = max(0, d), min(len(text), d + len(item))

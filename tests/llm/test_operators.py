@@ -276,6 +276,24 @@ def test_masks_hit_every_tolerated_window():
         assert any(all(m[i] == "0" or s + i not in gone for i in range(len(m))) for m in decontaminate.MASKS for s in range(decontaminate.WINDOW - len(m) + 1))
 
 
+def test_masks_of_short_items_hit_them_whatever_differs():
+    for n in range(1, decontaminate.WINDOW):
+        masks = [set(m) for _, m, length in decontaminate.all_masks(1) if length == n]
+        k = decontaminate.tolerance(n)
+        assert all(any(m.isdisjoint(gone) for m in masks) for gone in itertools.combinations(range(n), k)) and all(masks)
+    assert [decontaminate.tolerance(n) for n in (1, 4, 5, 8, 9, 12, 13, 99)] == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert len({salt for salt, _, _ in decontaminate.all_masks(1)}) == len(decontaminate.all_masks(1))
+
+
+@pytest.mark.parametrize("bits", [16, 20, 23])
+def test_bitmap_marks_what_occurs(spark, bits):
+    r = random.Random(bits)
+    found = {r.getrandbits(64) for _ in range(3000)}
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in found], "seed long")
+    marks = np.unpackbits(decontaminate._bitmap(df, bits), bitorder="little")
+    assert len(marks) == 1 << bits and set(np.flatnonzero(marks).tolist()) == {x >> (64 - bits) for x in found}
+
+
 def test_decontamination(spark, docs, none):
     items = [f"{a}q" for a in prose(5, 40).split()]
     bench = spark.createDataFrame([(1, " ".join(items)), (2, " ".join(items[:9]) + "z"), (3, "too short"), (4, None), (None, " ".join(items[20:35]))], "item_id long, text string")
@@ -297,7 +315,7 @@ def test_overlaps_match_brute_force(spark, block_tokens, shortest):
     """Looked up in one block, and joined as a benchmark of any size is."""
     r = random.Random(8)
     word = lambda n: "w%d" % r.randint(0, n)
-    items = [[word(400) for _ in range(n)] for n in (40, 25, 13, 14, 9, 8, 5, 1)] + [["w1"] * 20, ["w1", "w2"] * 9]
+    items = [[word(400) for _ in range(n)] for n in (40, 25, 13, 14, 9, 8, 12, 5, 1)] + [["w1"] * 20, ["w1", "w2"] * 9]
     texts = []
     for k in range(40):
         t = [word(400) for _ in range(r.randint(0, 30))]
@@ -309,6 +327,11 @@ def test_overlaps_match_brute_force(spark, block_tokens, shortest):
                 part[r.randrange(len(part))] = word(400)
             t += part + [word(400) for _ in range(r.randint(0, 9))]
         texts.append(t)
+    for item in items[2:8] * 4:  # short items with some tokens replaced
+        part = list(item)
+        for _ in range(r.randint(0, 3)):
+            part[r.randrange(len(part))] = word(400)
+        texts.append([word(400) for _ in range(r.randint(0, 3))] + part + [word(400) for _ in range(r.randint(0, 3))])
     texts += [["w1"] * 60, ["w2", "w1"] * 30, []]
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(None, " ".join(items[0])), (3, " ".join(texts[3])), (3, " ".join(items[1])), (77, None)]
     df = spark.createDataFrame([(*x, "l") for x in rows], "doc_id long, text string, item string").repartition(3)

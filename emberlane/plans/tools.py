@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlane.operators import entities, suites
+from emberlane.operators.aggregates import Moments, aggregate
 from emberlane.plans.catalog import _BYM, _BYM_SQL, QUERIES, ORACLES, add
 from emberlane.sources.views import view, with_views
 
@@ -224,7 +225,12 @@ def _detected(d: DataFrame) -> DataFrame:
     return plug_in(d, "action", lambda texts: [min(1.0, x.count("!") / 2) for x in texts], 0.0).select("session_id", "step", F.round("plugin_score", 6).alias("score"), F.col("plugin_error").alias("error"))
 
 
-add("udaf", "signals", lambda d: d.groupBy("family").agg(F.round(F.aggregate(F.collect_list(F.col("severity") * F.col("confidence")), F.lit(0.0), lambda a, x: F.greatest(a, x)), 6).alias("worst")), "SELECT family, round(max(severity * confidence), 6) AS worst FROM signals GROUP BY family")
+def _moments(d: DataFrame) -> DataFrame:
+    out = aggregate(d.withColumn("weighed", F.col("severity") * F.col("confidence")), ["family"], "weighed", Moments())
+    return out.select("family", "n", F.round("mean", 6).alias("mean"), F.round("variance", 5).alias("variance"))
+
+
+add("udaf", "signals", _moments, "SELECT family, count(*) AS n, round(avg(severity * confidence), 6) AS mean, round(var_samp(severity * confidence), 5) AS variance FROM signals GROUP BY family")
 
 
 def _udtf(d: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlane.operators import recurrent
+
 
 def fit_text_classifier(df: DataFrame, text: str, label: str, features: int = 4096, trees: int = 20) -> PipelineModel:
     """TF-IDF with a random forest and a logistic regression."""
@@ -55,20 +57,24 @@ def plug_in(df: DataFrame, text: str, score: Callable[[list[str]], list[float]],
 FEATURES = ("iat", "payload", "risk", "depth", "fanout", "distinct_tools", "resource_freq")
 
 
-def sequence_score(features: DataFrame, score: Callable[[list[list[list[float]]]], list[float]] | None = None, rows: int = 10, decay: float = 0.9) -> DataFrame:
-    """Adds ``n_rows``, ``probability`` and ``available`` from a model of the last rows of features, whose risks fade with distance.
-
-    Without a model (its weights are not part of this library) nothing is blocked: probability 0 and not available.
-    """
+def sequence_windows(features: DataFrame, rows: int = 10, decay: float = 0.9) -> DataFrame:
+    """Adds ``sequence``, the last rows of features up to each step, whose risks fade with distance, and ``n_rows``."""
     near = Window.partitionBy("session_id").orderBy("step").rowsBetween(1 - rows, 0)
     df = features.withColumn("_seq", F.collect_list(F.array(*[F.col(c).cast("double") for c in FEATURES])).over(near))
     faded = F.transform("_seq", lambda r, i: F.transform(r, lambda v, k: F.when(k == 2, v * F.pow(F.lit(decay), F.size("_seq") - 1 - i)).otherwise(v)))
-    df = df.withColumn("n_rows", F.size("_seq"))
-    if score is None:
-        return df.withColumn("probability", F.lit(0.0)).withColumn("available", F.lit(False)).drop("_seq")
+    return df.withColumn("n_rows", F.size("_seq")).withColumn("sequence", faded).drop("_seq")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(score([[list(r) for r in x] for x in s]), dtype=float)
 
-    return df.withColumn("probability", F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(faded)).withColumn("available", F.lit(True)).drop("_seq")
+BLOCK_AT = 0.98
+
+
+def sequence_score(features: DataFrame, weights: recurrent.Weights | None = None, rows: int = 10, decay: float = 0.9) -> DataFrame:
+    """Adds ``n_rows``, ``probability``, ``available`` and ``blocked`` of the recurrent model over the last rows of features.
+
+    Without weights nothing is blocked: probability 0 and not available.
+    """
+    df = sequence_windows(features, rows, decay)
+    if weights is None:
+        return df.drop("sequence").withColumn("probability", F.lit(0.0)).withColumn("available", F.lit(False)).withColumn("blocked", F.lit(False))
+    out = recurrent.score(df, "sequence", weights)
+    return out.withColumn("available", F.lit(True)).withColumn("blocked", F.col("probability") >= BLOCK_AT)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlane.functions import parsing, rules, stages, text
-from emberlane.operators import folds, memory, routing, scoring, sessions
+from emberlane.operators import folds, memory, recurrent, routing, scoring, sessions
 from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, add, scanned, without_lookaround
 
 ID = "session_id, step"
@@ -218,7 +218,18 @@ def _guarded(d: DataFrame) -> DataFrame:
 
 _GW = "(PARTITION BY session_id ORDER BY step, doc_id)"
 add("invariance_guard", "predictions", _guarded, f"SELECT doc_id, (score >= 0.8 OR jump >= 0.65) AND NOT (jump < 0.05 AND worst < 0.2) AS blocked FROM (SELECT *, coalesce(abs(score - lag(score) OVER {_GW}), 0) AS jump, max(score) OVER (PARTITION BY session_id ORDER BY step, doc_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS worst FROM predictions)")
-add("lstm_score", "actions", lambda d: scoring.sequence_score(sessions.sequence_features(d, _risk())).select("session_id", "step", "n_rows", "probability", "available"), f"SELECT {ID}, least(row_number() OVER {_W}, 10)::INT AS n_rows, 0.0::DOUBLE AS probability, false AS available FROM actions")
+
+
+def _sequence_scored(d: DataFrame) -> DataFrame:
+    """Every step's risk by a model that is fitted to the labels of half the sessions."""
+    features = sessions.sequence_features(d, _risk())
+    labels = d.select("session_id", "step", (F.col("label") == "malicious").cast("int").alias("y"))
+    known = scoring.sequence_windows(features).join(labels, ["session_id", "step"]).where("session_id % 2 = 0")
+    weights = recurrent.fit(known, "sequence", "y", ["session_id", "step"], passes=10)
+    return scoring.sequence_score(features, weights).select("session_id", "step", "n_rows", "probability", "available", "blocked")
+
+
+add("lstm_score", "actions", _sequence_scored)
 
 # ---- routing -----------------------------------------------------------------------------------------
 _ANSWER = lambda: F.element_at(F.array(F.lit(None).cast("string"), F.lit("VERDICT: ALLOW\nREASON: fine"), F.lit("I think so. c4n4ry"), F.lit("VERDICT: BLOCK\nREASON: exfiltration \nCANARY: c4n4ry"), F.lit("VERDICT: ALLOW\nCANARY: c4n4ry")), (F.pmod(F.col("doc_id"), F.lit(5)) + 1).cast("int"))

@@ -170,7 +170,6 @@ a AS (SELECT * FROM c WHERE role = 'assistant' AND lower(trim(text)) NOT IN ('',
 b AS (SELECT *, row_number() OVER (ORDER BY md5(id::VARCHAR), id) AS rn FROM c WHERE role <> 'assistant' AND text IS NOT NULL)
 SELECT md5(text) AS action, 'malicious' AS label, 'bipia-' || role || '-' || id AS session_id, 'malicious_single' AS attack_type, 'bipia' AS source_dataset FROM a
 UNION ALL SELECT md5(text), 'benign', 'bipia-benign-' || id, 'benign', 'bipia' FROM b WHERE rn <= (SELECT count(*) // 2 FROM a) AND lower(trim(text)) NOT IN ('', 'nan')"""
-add("load_synthetic", "region", lambda d: generate.attack_chains(d.sparkSession, 40).select("session_id", "label").unionByName(generate.obfuscated_chains(d.sparkSession, 10).select("session_id", "label")).groupBy(F.substring("session_id", 1, 11).alias("kind"), "label").agg(F.countDistinct("session_id").alias("sessions")).where("label = 'malicious'").groupBy("label").agg(F.sum("sessions").alias("sessions")), "SELECT 'malicious' AS label, 50 AS sessions")
 
 
 def _hub(spark, sf_dir: str) -> DataFrame:
@@ -198,13 +197,30 @@ def _tool_calls(d: DataFrame) -> DataFrame:
 add("extract_tool_calls", "actions", _tool_calls, "SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY step) - 1)::INT AS step_index, CASE WHEN role = 'assistant' THEN 'send(' || step || ')' ELSE 'system' END AS action FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM actions WHERE role IN ('assistant', 'system')) WHERE n >= 2")
 
 # ---- made rows ---------------------------------------------------------------------------------------
-add("generate_chains", "region", lambda d: generate.attack_chains(d.sparkSession, 200).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "malicious").alias("bad")).groupBy(F.col("n").between(4, 6).alias("fits"), "bad").agg(F.count(F.lit(1)).alias("sessions")), "SELECT true AS fits, 1 AS bad, 200 AS sessions")
-add("build_attack_chain", "region", lambda d: generate.attack_chains(d.sparkSession, 50).where("step_index = 0").select("session_id", "action"),
-    "SELECT 'synthetic-' || lpad(n::VARCHAR, 4, '0') AS session_id, [" + ", ".join(map(_quote, generate.SOURCES)) + f"][(('0x' || substr(md5('source|' || n), 1, 8))::BIGINT % {len(generate.SOURCES)}) + 1] AS action FROM range(50) r(n)")
+def _pick(n: int, name: str) -> str:
+    return f"(('0x' || substr(md5('{name}|' || n), 1, 8))::BIGINT % {n})"
+
+
+def _tuple(values) -> str:
+    return "[" + ", ".join(map(_quote, values)) + "]"
+
+
+_DRAWN = f"""SELECT *, 4 + {_pick(3, 'size')} AS size, {_pick(len(generate.SOURCES), 'source')} AS a, {_pick(len(generate.TRANSFORMS), 'transform')} AS t FROM (SELECT doc_id AS n FROM documents)"""
+_DRAWN = f"SELECT *, size > 4 AND {_pick(100, 'second')} < 35 AS second FROM ({_DRAWN})"
+_DRAWN = f"SELECT *, size - 2 - second::INT AS room, size - 2 - second::INT >= 2 AND {_pick(2, 'two')} = 1 AS two FROM ({_DRAWN})"
+_STEPS = f"""list_filter([{_tuple(generate.SOURCES)}[a + 1], CASE WHEN second THEN {_tuple(generate.SOURCES)}[(a + 1 + {_pick(len(generate.SOURCES) - 1, 'other')}) % {len(generate.SOURCES)} + 1] END,
+ {_tuple(generate.TRANSFORMS)}[t + 1], CASE WHEN two THEN {_tuple(generate.TRANSFORMS)}[(t + 1 + {_pick(len(generate.TRANSFORMS) - 1, 'transform2')}) % {len(generate.TRANSFORMS)} + 1] END,
+ {_tuple(generate.SINKS)}[{_pick(len(generate.SINKS), 'sink')} + 1], CASE WHEN room - 1 - two::INT > 0 THEN {_tuple(generate.COVERS)}[{_pick(len(generate.COVERS), 'cover')} + 1] END], lambda x: x IS NOT NULL)"""
+_CHAINS = f"""SELECT n, 'synthetic-' || n AS session_id, (i - 1)::INT AS step_index, steps[i] AS action, CASE WHEN i = len(steps) THEN 'malicious' ELSE 'benign' END AS label FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS i FROM (SELECT n, {_STEPS} AS steps FROM ({_DRAWN})))"""
+add("generate_chains", "documents", lambda d: generate.attack_chains(d, "doc_id").drop("attack_type"), f"SELECT session_id, step_index, action, label FROM ({_CHAINS})")
+add("build_attack_chain", "documents", lambda d: generate.attack_chains(d, "doc_id").groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("action", "step_index").alias("source"), F.max_by("action", "step_index").alias("last")),
+    f"SELECT session_id, count(*) AS n, arg_min(action, step_index) AS source, arg_max(action, step_index) AS last FROM ({_CHAINS}) GROUP BY session_id")
+add("load_synthetic", "documents", lambda d: generate.synthetic(d, "doc_id").groupBy("attack_type", "label").agg(F.count(F.lit(1)).alias("steps"), F.countDistinct("session_id").alias("sessions")),
+    f"SELECT 'malicious_multistep' AS attack_type, label, count(*) AS steps, count(DISTINCT session_id) AS sessions FROM ({_CHAINS}) WHERE {_pick(28, 'kind')} NOT IN (20, 21, 22) GROUP BY label UNION ALL SELECT 'benign', 'benign', 4 * count(*), count(*) FROM (SELECT doc_id AS n FROM documents) WHERE {_pick(28, 'kind')} IN (20, 21, 22) HAVING count(*) > 0")
 _FILL = "t"
 for _name, _vals in generate.FILLS.items():
-    _FILL = f"replace({_FILL}, '{{{_name}}}', [{', '.join(map(_quote, _vals))}][(('0x' || substr(md5('{_name}|' || n), 1, 8))::BIGINT % {len(_vals)}) + 1])"
-add("augment_benign", "region", lambda d: generate.benign_commands(d.sparkSession, 500).select("n", "action"), f"SELECT n, {_FILL} AS action FROM (SELECT n, [{', '.join(map(_quote, generate.COMMANDS))}][(('0x' || substr(md5('command|' || n), 1, 8))::BIGINT % {len(generate.COMMANDS)}) + 1] AS t FROM range(500) r(n))")
+    _FILL = f"replace({_FILL}, '{{{_name}}}', {_tuple(_vals)}[{_pick(len(_vals), _name)} + 1])"
+add("augment_benign", "documents", lambda d: generate.benign_commands(d, "doc_id").select("n", "action"), f"SELECT n, {_FILL} AS action FROM (SELECT n, {_tuple(generate.COMMANDS)}[{_pick(len(generate.COMMANDS), 'command')} + 1] AS t FROM (SELECT doc_id AS n FROM documents))")
 add("template_cross", "benchmark", lambda d: generate.from_templates(d, "item_id", "text").select("item_id", "template_id", F.md5("prompt").alias("prompt")), "SELECT item_id, i AS template_id, md5(replace(t, '{goal}', text)) AS prompt FROM benchmark, (VALUES " + ", ".join(f"({i}, {_quote(t)})" for i, t in enumerate(generate.PROMPTS)) + ") v(i, t)")
 add("obf_base64", "actions", _sel(lambda: [F.md5(obfuscate.encoded(F.col("action"))).alias("out")]),
     rf"""SELECT {ID}, md5(CASE WHEN q = '' THEN action ELSE substr(action, 1, instr(action, q) - 1) || 'b64decode(' || q[1] || base64(encode(substr(q, 2, length(q) - 2))) || q[1] || ')' || substr(action, instr(action, q) + length(q)) END) AS out FROM (SELECT *, regexp_extract(action, {_quote(obfuscate.QUOTED)}) AS q FROM actions)""")

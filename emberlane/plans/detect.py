@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlane.functions import parsing, rules, stages, text
-from emberlane.operators import folds, memory, recurrent, routing, scoring, sessions
-from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, add, scanned, without_lookaround
+from emberlane.operators import folds, memory, recurrent, routing, scoring, sessions, vectors
+from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, QUERIES, add, scanned, without_lookaround
+from emberlane.sources.tables import table
+from emberlane.sources.views import view
 
 ID = "session_id, step"
 _UPTO = "(PARTITION BY session_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -129,13 +131,23 @@ add("intent_flow", "actions", lambda d: stages.intent_flow(d, "action").select("
 
 
 def _anchored(d: DataFrame) -> DataFrame:
-    """The best cosine to the anchors, which are nine vectors of the table; they travel as literals."""
-    anchors = [r[0] for r in d.where("vec_id < 9").orderBy("vec_id").select("embedding").collect()]
-    best = F.greatest(*[F.round(text.cosine(F.col("embedding"), F.array(*[F.lit(float(v)) for v in a])), 6) for a in anchors]) if len(anchors) > 1 else F.lit(0.0)
-    return d.select("vec_id", best.alias("sim"), (best >= stages.SEMANTIC_THRESHOLD).alias("camouflaged"))
+    """The best cosine of every vector to the anchors, every fiftieth vector of the table; all lists are visited, so it is exact."""
+    found = vectors.nearest(d, d.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "anchor"), "vec_id", "anchor", "embedding", probes=1 << 30)
+    return found.select("vec_id", F.round("similarity", 4).alias("sim"), (F.col("similarity") >= stages.SEMANTIC_THRESHOLD).alias("camouflaged"))
 
 
-add("semantic_anchor", "embeddings", _anchored, f"SELECT v.vec_id, max(round(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6)) AS sim, max(round(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]), 6)) >= {stages.SEMANTIC_THRESHOLD} AS camouflaged FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id < 9) a GROUP BY v.vec_id")
+def _camouflaged(spark, sf_dir: str) -> DataFrame:
+    """Every action's nearest passage of the benchmark, as texts: an encoder fitted to both, and an index over the passages."""
+    anchors = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    actions = view(spark, sf_dir, "actions").select((F.col("session_id") * 1000 + F.col("step")).alias("id"), F.col("action").alias("text"))
+    encoder = vectors.fit_encoder(anchors.select("text").unionAll(actions.select("text")), "text")
+    found = vectors.nearest(vectors.encode(actions, "text", encoder), vectors.encode(anchors, "text", encoder), "id", "item_id", "vector")
+    return found.withColumn("camouflaged", F.col("similarity") >= stages.SEMANTIC_THRESHOLD)
+
+
+QUERIES["semantic_anchor_text"] = _camouflaged
+_COSINE = "max(list_cosine_similarity(v.embedding::DOUBLE[], a.embedding::DOUBLE[]))"
+add("semantic_anchor", "embeddings", _anchored, f"SELECT v.vec_id, round({_COSINE}, 4) AS sim, {_COSINE} >= {stages.SEMANTIC_THRESHOLD} AS camouflaged FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id % 50 = 0) a GROUP BY v.vec_id")
 
 # ---- sessions: memory, context, threats, taint -------------------------------------------------------
 

@@ -85,12 +85,13 @@ _CANON = rf"trim(regexp_replace(replace({_form('action')}, 'aWdub3JlIGFsbCBwcmV2
 _CANON = f"(SELECT *, replace({_CANON}, chr(92) || 'x41' || chr(92) || 'u0042', 'AB') AS c FROM actions)"
 CANONICAL = f"(SELECT * EXCLUDE (c), translate({_LEET_SQL.replace('action', 'c')}, '{''.join(text.HOMOGLYPHS)}', '{''.join(text.HOMOGLYPHS.values())}') AS canonical FROM {_CANON})"
 _FIRED = _sql_array([(n + "/" + d, f"regexp_matches({'action' if n.startswith('rce_') else 'normal'}, {_quote(p)}, 'is')") for n, d, p in rules.SCAN_RULES])
+#: Each action with the rules that fired, as ``name/decision``.
+FIRED_SQL = f"""SELECT *, CASE WHEN (contains(lower(action), 'curl ') OR contains(lower(action), 'wget ')) AND (contains(lower(action), '| bash') OR contains(lower(action), '| sh')) THEN ['rce_fetch_pipe_shell/BLOCK']
+  WHEN list_contains(f, 'override_instructions/BLOCK') THEN list_filter(f, lambda x: x <> 'override_instructions_fuzzy/BLOCK') ELSE f END AS fired FROM (
+ SELECT *, list_concat(CASE WHEN regexp_matches(action, {_quote(rules.LEET_RULE)}, 'is') THEN ['override_instructions_obfuscated/BLOCK'] ELSE [] END, {_FIRED}) AS f FROM (SELECT *, {_NORMAL} AS normal FROM actions))"""
 _SCAN_SQL = f"""SELECT {ID}, CASE WHEN len(block) > 0 THEN 'BLOCK' WHEN len(fired) > 0 THEN 'MONITOR' ELSE 'ALLOW' END AS decision,
  split_part(CASE WHEN len(block) > 0 THEN block[-1] WHEN len(fired) > 0 THEN fired[-1] END, '/', 1) AS rule_fired, len(fired) AS n_rules
-FROM (SELECT *, list_filter(fired, lambda x: x LIKE '%/BLOCK') AS block FROM (
- SELECT *, CASE WHEN (contains(lower(action), 'curl ') OR contains(lower(action), 'wget ')) AND (contains(lower(action), '| bash') OR contains(lower(action), '| sh')) THEN ['rce_fetch_pipe_shell/BLOCK']
-  WHEN list_contains(f, 'override_instructions/BLOCK') THEN list_filter(f, lambda x: x <> 'override_instructions_fuzzy/BLOCK') ELSE f END AS fired FROM (
- SELECT *, list_concat(CASE WHEN regexp_matches(action, {_quote(rules.LEET_RULE)}, 'is') THEN ['override_instructions_obfuscated/BLOCK'] ELSE [] END, {_FIRED}) AS f FROM (SELECT *, {_NORMAL} AS normal FROM actions))))"""
+FROM (SELECT *, list_filter(fired, lambda x: x LIKE '%/BLOCK') AS block FROM ({FIRED_SQL}))"""
 
 
 def scanned(d: DataFrame) -> DataFrame:

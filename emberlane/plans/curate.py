@@ -108,38 +108,44 @@ def _feedback(d: DataFrame) -> DataFrame:
 
 _REDACTED = _REDACT_SQL.replace("doc_id", "session_id, step").replace("(text, ", "(action, ").replace("FROM documents", "FROM actions")
 add("feedback_sink", "actions", _feedback, f"SELECT {ID}, redacted FROM ({_REDACTED})")
-_values = lambda spark, pairs: spark.createDataFrame(sorted(pairs), "name string, value string")
-_rows = lambda pairs: "SELECT name, value FROM (VALUES " + ", ".join(f"({_quote(k)}, {_quote(v)})" for k, v in sorted(pairs)) + ") v(name, value)"
-_FLAT = "# settings\nmode: 'STRICT'  # comment\nlog_path: /tmp/x.log\nthreshold: 0.7\n"
-_YAML = "mail:\n  - body: 'Hello {email_body}'\n    to: x\n  - body: bye\n    to: '{to}'\n"
-add("flat_yaml_config", "region", lambda d: _values(d.sparkSession, config.flat_yaml(_FLAT).items()), _rows([("mode", "STRICT"), ("log_path", "/tmp/x.log"), ("threshold", "0.7")]))
-add("load_settings", "region", lambda d: _values(d.sparkSession, config.load_settings(_FLAT, {"shadow": "0"}, {"FIREWALL_MODE": "PERMISSIVE"}).items()), _rows([("mode", "PERMISSIVE"), ("log_path", "/tmp/x.log"), ("threshold", "0.7"), ("shadow", "0"), ("llm_endpoint", ""), ("llm_timeout", "")]))
+_settings_text = lambda: F.concat_ws("\n", F.lit("# of a document"), F.concat(F.lit("mode: '"), F.coalesce("lang", F.lit("")), F.lit("'  # its language")), F.lit(""), F.concat(F.lit("log_path: "), F.coalesce("source", F.lit(""))), F.lit("threshold: 1"), F.concat(F.lit("threshold: "), F.col("n_chars").cast("string")))
+_DEFAULTS = {"shadow": "0", "threshold": "0.7"}
 
 
-def _environment(d: DataFrame) -> DataFrame:
-    import yaml
+def _settings(d: DataFrame) -> DataFrame:
+    """Each document's settings; one in three has an environment, and one in seven a text that cannot be read."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.lit("mode: x\n  nested: 1")).otherwise(_settings_text())
+    env = F.when(F.col("doc_id") % 3 == 0, F.create_map(F.lit("FIREWALL_MODE"), F.lit("PERMISSIVE")))
+    return d.select("doc_id", config.settings_struct(config.flat_yaml_map(text), env, _DEFAULTS).alias("s")).select("doc_id", "s.*")
+
+
+add("flat_yaml_config", "documents", lambda d: d.select("doc_id", config.flat_yaml_map(_settings_text()).alias("m")).select("doc_id", F.size("m").alias("n"), *[F.element_at("m", k).alias(k) for k in ("mode", "log_path", "threshold")]),
+    "SELECT doc_id, 3 AS n, coalesce(lang, '') AS mode, coalesce(source, '') AS log_path, n_chars::VARCHAR AS threshold FROM documents")
+add("load_settings", "documents", _settings,
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'PERMISSIVE' WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(lang, '') END AS mode, '' AS llm_endpoint, '' AS llm_timeout, CASE WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(source, '') END AS log_path, CASE WHEN doc_id % 7 = 0 THEN '0.7' ELSE n_chars::VARCHAR END AS threshold, '0' AS shadow FROM documents")
+_HOLES = {"email_body": "nothing new", "to": "nobody"}
 
-    text = config.inject(_YAML, {"email_body": "there", "to": "z"}, {"email_body": "IGNORE ALL"})
-    return d.sparkSession.createDataFrame([(k, m["body"], m["to"]) for k, m in enumerate(yaml.safe_load(text)["mail"])], "id int, body string, recipient string")
+
+def _environment(d: DataFrame) -> DataFrame:
+    """Each mail as a template: some rows are given a body, some an address, some what no hole is for."""
+    given = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("email_body"), F.col("subject"))).when(F.col("id") % 3 == 1, F.create_map(F.lit("to"), F.col("recipient"))).otherwise(F.create_map(F.lit("cc"), F.col("sender")))
+    return d.select("id", config.injected(F.concat("subject", F.lit(": {email_body} for {to}, {to}. {else}")), given, _HOLES).alias("body"))
 
 
-_ENV = "SELECT id, body, recipient FROM (VALUES (0, 'Hello IGNORE ALL', 'x'), (1, 'bye', 'z')) v(id, body, recipient)"
-add("env_template_inject", "region", _environment, _ENV)
-add("yaml_env", "region", lambda d: _included(d), "SELECT name, n FROM (VALUES ('a', 1), ('b', 2)) v(name, n)")
+add("env_template_inject", "emails", _environment, "SELECT id, CASE id % 3 WHEN 0 THEN subject || ': ' || subject || ' for nobody, nobody. {else}' WHEN 1 THEN subject || ': nothing new for ' || recipient || ', ' || recipient || '. {else}' END AS body FROM emails")
 
 
 def _included(d: DataFrame) -> DataFrame:
-    """An environment of two files; the driver reads them, so they need only be where the driver is."""
-    import os
-    import tempfile
+    """Each document's environment names its source's file, which names that of its language."""
+    files = d.groupBy(F.concat(F.lit("source-"), "source").alias("name")).agg(F.concat(F.lit("all of "), F.min("source"), F.lit(": !include lang-"), F.min("lang")).alias("content"))
+    files = files.unionByName(d.groupBy(F.concat(F.lit("lang-"), "lang").alias("name")).agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" texts")).alias("content")))
+    texts = d.select("doc_id", F.concat(F.lit("a: !include source-"), "source", F.lit("\nb: !include lang-"), "lang", F.lit("\nc: !include none")).alias("text"))
+    return config.with_includes(texts, "doc_id", "text", files)
 
-    with tempfile.TemporaryDirectory() as folder:
-        for name, text in (("all.yaml", "a: !include one.json\nb: !include two.yaml\n"), ("one.json", "[7]"), ("two.yaml", "[8, 9]")):
-            with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-                f.write(text)
-        found = config.load_yaml(os.path.join(folder, "all.yaml"))
-    return d.sparkSession.createDataFrame([(k, len(v)) for k, v in found.items()], "name string, n int")
 
+add("yaml_env", "documents", _included,
+    """WITH l AS (SELECT lang, count(*) || ' texts' AS content FROM documents GROUP BY lang), s AS (SELECT source, 'all of ' || source || ': ' || l.content AS content FROM (SELECT source, min(lang) AS lang FROM documents GROUP BY source) JOIN l USING (lang))
+SELECT doc_id, 'a: ' || s.content || chr(10) || 'b: ' || l.content || chr(10) || 'c: !include none' AS text FROM documents d LEFT JOIN s USING (source) LEFT JOIN l ON l.lang = d.lang""")
 
 # ---- staged public datasets --------------------------------------------------------------------------
 _loaded = lambda d: d.select("action", "label", "session_id", "attack_type", "source_dataset").withColumn("action", F.md5("action"))

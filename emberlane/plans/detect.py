@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlane.functions import parsing, rules, stages, text
 from emberlane.operators import folds, memory, recurrent, routing, scoring, sessions, vectors
-from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, QUERIES, add, scanned, without_lookaround
+from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _REDACT_SQL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, QUERIES, add, scanned, without_lookaround
 from emberlane.sources.tables import table
 from emberlane.sources.views import view
 
@@ -108,8 +108,9 @@ def _quoted(d: DataFrame) -> DataFrame:
 _LINES = "string_split(trim(action, ' ' || chr(9) || chr(10) || chr(13)), chr(10))"
 add("quoted_tool_result", "actions", _quoted,
     rf"SELECT {ID}, (len(l) >= 2 AND len(list_filter(l, lambda x: regexp_matches(x, {_quote(NUMBERED)}))) * 10 > len(l) * 3) OR (NOT (n > 0 AND (regexp_matches(action, {_quote('(?i)^' + chr(92) + 's*' + COMMAND)}) OR (len(l) <= 3 AND regexp_matches(action, '^\s*[\w./-]+\s')) OR n >= 3)) AND len(l) = 1 AND regexp_matches(l[1], '[/\\]')) AS quoted FROM (SELECT *, {_LINES} AS l, len(regexp_extract_all(action, {_quote('(?i)' + COMMAND + '|[|;&]{1,2}|https?://')})) AS n FROM actions)")
-add("redact_nested", "conversations", lambda d: rules.redact_nested(d.select("conv_id", "turn", F.struct(F.array(F.concat(F.lit("mail me: a.b@c.org or +1 555-123-4567, id "), F.col("role"))).alias("notes"), F.create_map(F.lit("k"), F.lit("password=hunter2")).alias("m")).alias("body")), ["body"]).select("conv_id", "turn", F.get("body.notes", F.lit(0)).alias("note"), F.element_at("body.m", "k").alias("secret")),
-    "SELECT conv_id, turn, 'mail me: [REDACTED_EMAIL] or +[REDACTED_PHONE], id ' || role AS note, 'password=[REDACTED_GENERIC_SECRET]' AS secret FROM conversations")
+_NESTED = _REDACT_SQL.replace("doc_id", "conv_id, turn").replace("FROM documents", "FROM conversations")
+add("redact_nested", "conversations", lambda d: rules.redact_nested(d.select("conv_id", "turn", F.struct(F.array(F.struct(F.col("text").alias("note"))).alias("notes"), F.create_map(F.lit("k"), F.col("text")).alias("m")).alias("body")), ["body"]).select("conv_id", "turn", F.md5(F.get("body.notes", F.lit(0))["note"]).alias("note"), F.md5(F.element_at("body.m", "k")).alias("value")),
+    f"SELECT conv_id, turn, redacted AS note, redacted AS value FROM ({_NESTED})")
 _DIGITS = "regexp_replace(card, '[^0-9]', '', 'g')"
 add("luhn", "documents", lambda d: d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({rules.CARD})"), F.lit(1))).alias("card")).select("doc_id", "card", rules.is_card(F.col("card")).alias("valid")),
     f"SELECT doc_id, card, length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT WHEN reverse({_DIGITS})[i]::INT * 2 > 9 THEN reverse({_DIGITS})[i]::INT * 2 - 9 ELSE reverse({_DIGITS})[i]::INT * 2 END)) % 10 = 0 AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, {_quote('(' + rules.CARD + ')')}, 1)) AS card FROM documents)")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlane.functions import obfuscate, rules, text
-from emberlane.plans.catalog import _quote, add
+from emberlane.plans.catalog import _FLAGS_SQL, FIRED_SQL, _quote, add, scanned
 
 add("scalar_string", "customer", lambda d: d.select("c_custkey", F.upper(F.trim("c_name")).alias("up"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("part"), F.replace("c_mktsegment", F.lit("I"), F.lit("1")).alias("rep"), F.translate("c_mktsegment", "AEIOU", "aeiou").alias("tr"), F.initcap(F.lower("c_mktsegment")).alias("title"), F.locate("U", "c_mktsegment").alias("at"), F.substring("c_name", 3, 4).alias("slice"), F.format_string("%05d|%s", "c_custkey", "c_mktsegment").alias("fmt"), F.concat_ws("-", "c_name", "c_mktsegment").alias("joined")),
     "SELECT c_custkey, upper(trim(c_name)) AS up, split_part(c_name, '#', 2) AS part, replace(c_mktsegment, 'I', '1') AS rep, translate(c_mktsegment, 'AEIOU', 'aeiou') AS tr, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, instr(c_mktsegment, 'U')::INT AS \"at\", substr(c_name, 3, 4) AS slice, lpad(c_custkey::VARCHAR, 5, '0') || '|' || c_mktsegment AS fmt, c_name || '-' || c_mktsegment AS joined FROM customer")
@@ -31,11 +31,23 @@ add("scalar_nulls", "results", lambda d: d.select("model", F.coalesce("defense",
     "SELECT coalesce(defense, 'none') AS defense, injection_task IS NULL AS clean, count(*) AS n, sum(coalesce(injection_task, -1))::BIGINT AS tasks FROM results WHERE model IS NOT NULL GROUP BY ALL")
 
 
-def _table(rows: list[tuple], schema: str):
-    return lambda d: d.sparkSession.createDataFrame(rows, schema)
+def _library(d: DataFrame) -> DataFrame:
+    """The rule table, with how many actions each rule fires on."""
+    known = d.sparkSession.createDataFrame([(n, dec, sum(x[0] == n for x in rules.SCAN_RULES)) for n, dec in dict.fromkeys((n, dec) for n, dec, _ in rules.SCAN_RULES)], "rule string, decision string, patterns int")
+    fired = scanned(d).select(F.explode(F.array_distinct("scan.rules")).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("actions"))
+    return known.join(fired, "rule", "left").select("rule", "decision", "patterns", F.coalesce("actions", F.lit(0)).alias("actions"))
 
 
-_RULES = [(k, n, d) for k, (n, d, _) in enumerate(rules.SCAN_RULES)]
-add("rule_library", "region", _table(_RULES, "ord int, rule string, decision string"), "SELECT ord, rule, decision FROM (VALUES " + ", ".join(f"({k}, {_quote(n)}, '{d}')" for k, n, d in _RULES) + ") v(ord, rule, decision)")
-_FLAGS = [(f, len(p)) for f, p in rules.FLAGS.items()]
-add("flag_patterns", "region", _table(_FLAGS, "flag string, patterns int"), "SELECT flag, patterns FROM (VALUES " + ", ".join(f"('{f}', {n})" for f, n in _FLAGS) + ") v(flag, patterns)")
+_KNOWN = list(dict.fromkeys((n, d) for n, d, _ in rules.SCAN_RULES))
+add("rule_library", "actions", _library, "SELECT rule, decision, patterns, coalesce(actions, 0) AS actions FROM (VALUES " + ", ".join(f"({_quote(n)}, '{d}', {sum(x[0] == n for x in rules.SCAN_RULES)})" for n, d in _KNOWN) + f""") v(rule, decision, patterns)
+ LEFT JOIN (SELECT f AS rule, count(*) AS actions FROM (SELECT unnest(list_distinct(list_transform(fired, lambda x: split_part(x, '/', 1)))) AS f FROM ({FIRED_SQL})) GROUP BY f) USING (rule)""")
+
+
+def _flag_table(d: DataFrame) -> DataFrame:
+    """The flag table, with how many actions show each flag."""
+    known = d.sparkSession.createDataFrame([(f, len(p)) for f, p in rules.FLAGS.items()], "flag string, patterns int")
+    shown = d.select(F.explode(rules.extract_flags(F.col("action"))).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("actions"))
+    return known.join(shown, "flag", "left").select("flag", "patterns", F.coalesce("actions", F.lit(0)).alias("actions"))
+
+
+add("flag_patterns", "actions", _flag_table, "SELECT flag, patterns, coalesce(actions, 0) AS actions FROM (VALUES " + ", ".join(f"('{f}', {len(p)})" for f, p in rules.FLAGS.items()) + f") v(flag, patterns) LEFT JOIN (SELECT f AS flag, count(*) AS actions FROM (SELECT unnest({_FLAGS_SQL}) AS f FROM actions) GROUP BY f) USING (flag)")

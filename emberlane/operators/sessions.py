@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,13 @@ def user_goal(df: DataFrame) -> DataFrame:
     return df.withColumn("goal", first.over(by_session().rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def with_resets(df: DataFrame, reset: Column, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``scan`` of sessions whose state is dropped before each step that meets ``reset``; adds ``life``, the number of resets so far."""
+    life = F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(by_session().rowsBetween(Window.unboundedPreceding, 0))
+    lives = df.withColumn("life", life).withColumn("_session", F.col("session_id")).withColumn("session_id", F.concat_ws("#", "session_id", "life"))
+    return scan(lives).withColumn("session_id", F.col("_session")).drop("_session")
+
+
 def flag_state(df: DataFrame, ttl_steps: int = rules.FLAG_STEPS, ttl_seconds: int = rules.FLAG_SECONDS) -> DataFrame:
     """Adds ``active_flags``, seen at most so many steps and seconds ago, and ``expired_flags``, seen before but not within that.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlane.functions import parsing, rules, stages, text
 from emberlane.operators import folds, memory, recurrent, routing, scoring, sessions, vectors
-from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _REDACT_SQL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, QUERIES, add, scanned, without_lookaround
+from emberlane.plans.catalog import _FLAGS_SQL, _GOAL, _STATE_SQL, _REDACT_SQL, _LAST, _LAST_TS, CANONICAL, _quote, _rx, _sel, _sql_array, QUERIES, add, scanned, without_lookaround
 from emberlane.sources.tables import table
 from emberlane.sources.views import view
 
@@ -204,7 +204,17 @@ add("session_report", "actions", lambda d: _full_scan(d).groupBy("session_id").a
 _funnel = lambda d: _full_scan(d).groupBy("session_id").agg(F.max(F.size("flags") > 0).alias("any_flag"), F.max(F.col("combo").isNotNull()).alias("any_combo"), F.max("triggers").alias("most"), F.max(F.col("decision") == "BLOCK").alias("blocked"))
 add("scan_session_report", "actions", _funnel)
 add("tier05_funnel", "actions", lambda d: _funnel(d).agg(F.count_if("any_flag").alias("any_flag"), F.count_if("any_combo").alias("any_combo"), F.count_if("blocked").alias("blocked")))
-add("session_reset", "actions", lambda d: _full_scan(d.where("session_id % 2 = 1")).agg(F.countDistinct("session_id").alias("sessions")), "SELECT count(DISTINCT session_id) AS sessions FROM actions WHERE session_id % 2 = 1")
+
+
+def _after_resets(d: DataFrame) -> DataFrame:
+    """Active flags of sessions that are reset at some of their user's later prompts."""
+    reset = (F.col("action_type") == "prompt") & (F.col("step") > 1) & (F.pmod(F.col("session_id") + F.col("step"), F.lit(3)) == 0)
+    return sessions.with_resets(d.withColumn("flags", rules.extract_flags(F.col("action"))), reset, sessions.flag_state).select("session_id", "step", "life", F.array_join("active_flags", ",").alias("active"))
+
+
+_LIVES = "(SELECT *, sum((action_type = 'prompt' AND step > 1 AND (session_id + step) % 3 = 0)::INT) OVER (PARTITION BY session_id ORDER BY step) AS life FROM actions)"
+_RESET = _STATE_SQL.replace("FROM actions", f"FROM {_LIVES}").replace("PARTITION BY session_id ORDER BY step ROWS", "PARTITION BY session_id, life ORDER BY step ROWS").replace("SELECT session_id, step, flags,", "SELECT session_id, step, life, flags,")
+add("session_reset", "actions", _after_resets, f"SELECT session_id, step, life::BIGINT AS life, array_to_string(active, ',') AS active FROM ({_RESET})")
 _SHORT = _sql_array([(f, f"step - {_LAST.format(f)} <= 2 AND ts - {_LAST_TS.format(f)} <= 20") for f in rules.FLAGS])
 add("ts_flag_ttl", "actions", lambda d: sessions.flag_state(d.withColumn("flags", rules.extract_flags(F.col("action"))), 2, 20).groupBy("session_id").agg(F.max(F.size("active_flags")).alias("most")),
     f"SELECT session_id, max(n)::INT AS most FROM (SELECT session_id, len({_SHORT}) AS n FROM (SELECT *, {_FLAGS_SQL} AS flags FROM actions)) GROUP BY session_id")

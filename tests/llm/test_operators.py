@@ -485,3 +485,24 @@ def test_swapped_pairs(spark):
         k = next((k for k, (a, b) in enumerate(itertools.zip_longest(chosen, rejected)) if a != b), len(chosen))
         x = got[c]
         assert x["prompt"] == text(chosen[:k]) and "".join(s["text"] for s in x["chosen"]) == text(chosen[k:]) and "".join(s["text"] for s in x["rejected"]) == text(rejected[k:])
+
+
+def test_very_long_texts_and_ties_of_languages(spark):
+    rows = [(k, f"{w} words of one kind {k % 7}", lang) for k, (w, lang) in enumerate(itertools.product(("alpha beta", "gamma delta"), ("bb", "aa", "bb", "aa")))]
+    rows = [(k, t.split(" words")[0] + " same text", lang) for k, t, lang in rows]  # both languages learn from equal texts
+    rows += [(100, "alpha beta same text " * 20_000, None), (101, "alpha beta same text", None), (101, "alpha beta same text", None), (102, "1 2 3 " * 50_000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {}
+    for x in langid.identify_languages(df, F.col("doc_id") >= 100).collect():
+        got.setdefault(x.doc_id, []).append((x.lang_pred, round(x.score, 6)))
+    assert {p for k, v in got.items() if k != 102 for p, _ in v} == {"aa"}  # of equals the first by name
+    assert len(got[101]) == 2 and got[101][0] == got[101][1] and got[102] == [("und", 0.0)]
+
+
+def test_very_long_and_repeated_urls(spark):
+    long = "https://a.example.net/en/" + "x" * 300_000 + "?q=" + "y" * 100_000
+    rows = [(1, long), (2, "http://" + "sub." * 20_000 + "net/" + "p" * 10), (3, "https://example.com/de/a"), (3, "https://example.com/de/a"), (4, "https://EXAMPLE.com/de"), (5, "x" * 200_000)]
+    df = spark.createDataFrame([(*x, "h") for x in rows], "page_id long, url string, host string").repartition(2)
+    got = sorted((x.page_id, x.rule, x.verdict, len(x.path)) for x in urls.filter_urls(df).collect())
+    assert got[0] == (1, "example.net/en/", "allow", 300_004) and got[1][:3] == (2, "net/", "block")
+    assert got[2] == got[3] == (3, "example.com/de/", "block", 5) and got[4][1] is None and got[5] == (5, None, got[5][2], 0)

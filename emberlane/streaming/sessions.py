@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from emberlane.functions import parsing, rules, text
+from emberlane.functions import parsing, prefilter, rules, text
 
 OUTPUT = "session_id long, step long, active string, risk double, combo string, triggers int, decision string"
 STATE = "seen string, counts string, goal string, trusted string"
@@ -62,8 +62,8 @@ def scan_sessions(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
 
-    found = F.concat(F.regexp_extract_all("action", F.lit(f"({rules.EMAIL})"), F.lit(1)), F.regexp_extract_all("action", F.lit(f"({rules.URL})"), F.lit(1)))
-    exempt = F.lower("action").rlike("|".join(rules.COLLABORATION_TOOLS)) & ~F.lower("action").rlike(rules.SENSITIVE_OR_HIJACK)
+    found = F.concat(F.regexp_extract_all("action", F.lit(prefilter.bounds(f"({rules.EMAIL})")), F.lit(1)), F.regexp_extract_all("action", F.lit(f"({rules.URL})"), F.lit(1)))
+    exempt = F.lower("action").rlike("|".join(rules.COLLABORATION_TOOLS)) & ~F.lower("action").rlike(prefilter.bounds(rules.SENSITIVE_OR_HIJACK))
     tool = F.regexp_extract("action", r"^([A-Za-z_]\w*)\(", 1)
     flagged = events.withWatermark("event_time", watermark).withColumn("_form", text.pre_normalise(parsing.envelope(F.col("action")))).withColumn("tokens", found)
     flagged = flagged.select(

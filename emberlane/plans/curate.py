@@ -311,20 +311,21 @@ w AS (SELECT user_id, text, event_id, k, tm AS since, false AS hit FROM o WHERE
 add("ts_embedding_cache", "events", lambda d: _cached(d).select("session", "event", "hit"), f"WITH RECURSIVE {_USES} SELECT user_id::VARCHAR AS session, event_id AS event, hit FROM w")
 add("ts_session_lru", "events", lambda d: _cached(d).groupBy("session").agg(F.count_if("fresh").alias("lives"), F.max("held").alias("most_held")),
     f"WITH RECURSIVE {_USES}, l AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY tm, event_id) AS life FROM o) SELECT user_id::VARCHAR AS session, max(life)::BIGINT AS lives, max(held)::INT AS most_held FROM (SELECT user_id, life, count(DISTINCT text) AS held FROM l GROUP BY user_id, life) GROUP BY user_id")
-_ARRIVAL = "CAST(floor((timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) + CAST(get_json_object(props, '$.k') AS INT) * 3600) / 432000) AS BIGINT)"
+_ARRIVAL = "CAST(floor((CAST(rint(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1e6D) AS BIGINT) + CAST(get_json_object(props, '$.k') AS INT) * 3600) / 432000) AS BIGINT)"
 
 
 def _kept_in_time(d: DataFrame) -> DataFrame:
     """Events that arrive up to four days after they happened, under a watermark of a day: what is kept and what is dropped of each type."""
     path, spark = _folder(d), d.sparkSession
-    rows = d.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", F.expr(_ARRIVAL).alias("arrival"))
+    rows = d.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.expr(_ARRIVAL).alias("arrival")).where("arrival IS NOT NULL")
+    rows = tables.written(rows.withColumn("row", F.monotonically_increasing_id()), "arrivals")  # ids may repeat, rows do not
 
     def run(stream: DataFrame):
-        return sinks.within_watermark(stream, "ts", ["event_id"], "1 day").writeStream.foreachBatch(sinks.batch_writer(f"{path}/kept")).option("checkpointLocation", f"{path}/checkpoint")
+        return sinks.within_watermark(stream, "ts", ["row"], "1 day").writeStream.foreachBatch(sinks.batch_writer(f"{path}/kept")).option("checkpointLocation", f"{path}/checkpoint")
 
     sinks.replay(rows, "arrival", run, path)
     kept = sinks.written_batches(spark, f"{path}/kept", rows.drop("arrival").schema)
-    marked = rows.join(kept.select("event_id", F.lit(True).alias("kept")), "event_id", "left")
+    marked = rows.join(kept.select("row", F.lit(True).alias("kept")), "row", "left")
     return marked.groupBy("event_type").agg(F.count_if(F.col("kept").isNull()).alias("late"), F.count_if("kept").alias("in_time"))
 
 

@@ -97,10 +97,19 @@ add("trace_upgrade", "actions", lambda d: _first(_traced(d, old=True)), _TRACE)
 add("suite_scan", "actions", lambda d: tables.scan_suite(_traced(d), "src0").select("user_task_id", "injection_task_id"), "SELECT 'user_task_' || session_id AS user_task_id, CASE WHEN session_id % 2 = 0 THEN 'injection_task_' || session_id % 4 ELSE 'none' END AS injection_task_id FROM actions GROUP BY session_id HAVING max(source_dataset) = 'src0'")
 
 
+#: How many batches a table of decisions arrives in.
+_ARRIVALS = 4
+
+
 def _feedback(d: DataFrame) -> DataFrame:
-    """Decisions as a stream of what arrives in a folder, one day's sessions after another, redacted and kept as JSON lines."""
+    """Decisions as a stream of what arrives in a folder, one part of the time after another, redacted and kept as JSON lines.
+
+    The time that the table covers is cut into ``_ARRIVALS`` parts, so that more sessions make larger batches, not more restarts.
+    """
     path = _folder(d)
-    rows = d.select("session_id", "step", "action", F.expr("ts div 1000000").alias("arrival"))
+    first, last = d.agg(F.min("ts"), F.max("ts")).first()
+    width = -(-((last or 0) - (first or 0) + 1) // _ARRIVALS)
+    rows = d.select("session_id", "step", "action", F.coalesce(F.floor((F.col("ts") - (first or 0)) / width), F.lit(0)).alias("arrival"))
     sinks.replay(rows, "arrival", lambda stream: sinks.feedback_sink(stream, f"{path}/out", f"{path}/checkpoint"), path)
     kept = sinks.written_batches(d.sparkSession, f"{path}/out/kept", rows.drop("arrival").schema, "json")
     return kept.select("session_id", "step", F.md5("action").alias("redacted"))

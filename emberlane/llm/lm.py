@@ -7,9 +7,9 @@ Method. A gated recurrent network (:mod:`emberlane.llm.gru`) reads a document fr
 window to window, so nothing is cut. The output softmax is factored by classes: the ``words`` commonest tokens fall into classes of
 ``width`` by frequency and are told apart within their class by the network; all others fall into 32 classes by their last two bytes, within which
 a token has the probability (c + 0.5) / (sum of c + 0.5 * (types + 1)), an unknown one as if it were there with c = 0. The network starts as the unigram model and is
-trained by truncated backpropagation: each of ``passes`` rounds trains a copy on each group of about ``group_tokens`` sampled tokens, and the
-copies are averaged, ``fan`` at a time. The sample is a share of all tokens that may be learned from (1 / ``sample_every``, at least
-``least_tokens`` tokens), by segments of ``segment`` tokens; where there are fewer than that, a round reads them several times, at most eight.
+trained by truncated backpropagation: each of ``passes`` rounds trains a copy on each group of about ``group_tokens`` tokens, and the
+copies are averaged, ``fan`` at a time. All tokens that may be learned from are read, by segments of ``segment`` tokens, unless ``sample_every`` asks
+for a share of them (1 / ``sample_every``, at least ``least_tokens`` tokens); fewer tokens than ``least_tokens`` are read several times a round, at most eight.
 
 Size. Tokens are combined per task before they are counted by a shuffle. The ``known`` commonest tokens' counts (at most ``known``) go to the
 workers; what a document holds beyond those is joined with the counts by a shuffle, once per different text, so no
@@ -222,7 +222,7 @@ def score_documents(
     width: int = 64,
     hidden: int = 16,
     known: int = 1 << 19,
-    sample_every: int = 32,
+    sample_every: int = 1,
     least_tokens: int = 1_500_000,
     segment: int = 512,
     group_tokens: int = 500_000,

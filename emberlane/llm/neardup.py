@@ -1,12 +1,14 @@
-"""Near-dedup by the Jaccard similarity of word shingles: the pipeline's third stage.
+"""Near-dedup by SimHash and the Jaccard similarity of word shingles: the pipeline's third stage.
 
 Method. A text is the set of its runs of five words (lower-cased, hashed to 64 bits). Two texts are linked
-if their sets' similarity is 0.8 or more. Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima
+if their sets' similarity is 0.8 or more. Candidates are those of the SimHash operator: fingerprints of the sets
+within three bits, found by the pigeonring (:func:`emberlane.llm.simhash.near_links`). At 0.8 some ten bits differ, and a radius
+of 16 or more would make the pigeonring's first segment too short a key for a large table, so more candidates come
+from MinHash: ``BANDS`` keys of ``ROWS`` minima
 each; a pair of similarity s shares a key with probability 1 - (1 - s^6)^40, above 0.99999 at 0.8, and
-one of 0.3 with 0.03. A 64-bit SimHash cannot give them: at 0.8 some ten bits differ, so its radius would
-have to be 16 or more, and the pigeonring's first segment would be too short a key for a large table. Texts
-with a common key are first joined to the smallest of them, and the components of these joins are groups
-of candidates; in a group every pair with a common key is compared by its whole sets, unless both texts
+one of 0.3 with 0.03. Texts
+with a common key are first joined to the smallest of them, and the components of these joins and of the SimHash links are groups
+of candidates; in a group every pair with a common key or near fingerprints is compared by its whole sets, unless both texts
 are in the same component already. Equal sets are one entry, so copies cost nothing. A group of more than
 ``most`` sets is no single task's: sets are compared with the one that leads most of their keys, and what is
 still apart then block by block (:func:`_large`), so that no link is lost.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from emberlane.llm.components import connected_components
 from emberlane.llm.packing import chunks
 from emberlane.llm.scratch import materialize, one_of_each, side_of, text_key
+from emberlane.llm.simhash import RADIUS, near_links
 from emberlane.llm.wordhash import trim
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
@@ -70,6 +73,14 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
     return (key ^ (key >> np.uint64(29))).view(np.int64)
 
 
+def _fingerprint(hashes: np.ndarray) -> np.uint64:
+    """The SimHash of a set: a bit is one if over half the hashes have it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def _print(hashes: np.ndarray) -> int:
     """One signed number for a set: equal sets have the same."""
     n = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
@@ -86,22 +97,25 @@ def _sets(column: pa.Array) -> Iterator[tuple[range, list[np.ndarray]]]:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text_key, fp, keys`` of every row, made where the rows are."""
+    """``doc_id, text_key, fp, sim, keys`` of every row, made where the rows are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p, sets in _sets(batch.column(1)):
                 fp = pa.array([_print(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[p.start : p.stop] for k in (0, 2)), fp, _lists(_keys(sets))], names=["doc_id", "text_key", "fp", "keys"])
+                sim = pa.array(np.array([_fingerprint(s) for s in sets], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[p.start : p.stop] for k in (0, 2)), fp, sim, _lists(_keys(sets))], names=["doc_id", "text_key", "fp", "sim", "keys"])
         trim()
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), text_key(f"`{text_col}`").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long, sim long, keys array<long>")
 
 
 def _joined(sets: list[np.ndarray], keys: np.ndarray, similarity: float) -> np.ndarray:
-    """For each set the first one (by position) of its component: all pairs with a common key count."""
+    """For each set the first one (by position) of its component: all pairs with a common key or near fingerprints count."""
     n, part = len(sets), np.full(len(sets), -1)
+    sims = np.array([_fingerprint(s) for s in sets], np.uint64)
+    left = np.arange(n)  # those not yet reached
     size = np.array([len(s) for s in sets])
     _, flat = np.unique(keys.ravel(), return_inverse=True)
     order = np.argsort(flat, kind="stable")
@@ -118,6 +132,8 @@ def _joined(sets: list[np.ndarray], keys: np.ndarray, similarity: float) -> np.n
             for k in flat[i]:
                 members[k] = members[k][part[members[k]] < 0]  # those reached leave every list
                 near.append(members[k])
+            left = left[part[left] < 0]
+            near.append(left[np.bitwise_count(sims[left] ^ sims[i]) <= RADIUS])
             near = np.unique(np.concatenate(near))
             near = near[np.minimum(size[near], size[i]) >= similarity * np.maximum(size[near], size[i]) - 1e-6]
             for j in near:
@@ -238,14 +254,23 @@ def _large(hashed: DataFrame, stars: DataFrame, similarity: float, most: int) ->
     return ids.select("node").join(found, F.col("node") == F.col("_n"), "left").select(F.col("node").alias("fp"), F.coalesce("component", "node").alias("component"))
 
 
+def _sim_links(nodes: DataFrame) -> DataFrame:
+    """Links ``fp, b`` that join all nodes (``fp, sim``) whose fingerprints are within three bits, to the least of a fingerprint."""
+    least = materialize(nodes.groupBy("sim").agg(F.min("fp").alias("b"), F.max("fp").alias("a")), "sims")
+    equal = nodes.select("fp", "sim").join(least.where("a <> b").select("sim", "b"), "sim").where("fp <> b").select("fp", "b")
+    near = near_links(least.select(F.col("sim").alias("fp")))
+    ends = near.join(least.select(F.col("sim").alias("a"), F.col("b").alias("fp")), "a").join(least.select(F.col("sim").alias("_b"), F.col("b").alias("to")), F.col("b") == F.col("_b"))
+    return equal.unionAll(ends.select(F.greatest("fp", "to").alias("fp"), F.least("fp", "to").alias("b")))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, most: int) -> tuple[DataFrame, DataFrame]:
     """The written sets' numbers of all rows, and of each distinct one the least of its component (``_fp, grp``)."""
     prints = materialize(_prints(docs, id_col, text_col), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nothing"), "doc_id", "text_key")).alias("first")
-    nodes = materialize(prints.groupBy("fp").agg(first, F.any_value("keys").alias("keys")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(first, F.any_value("sim").alias("sim"), F.any_value("keys").alias("keys")), "nodes")
     keyed = nodes.select("fp", F.explode("keys").alias("key"))
     low = keyed.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("a")).where("a <> b")
-    stars = keyed.join(low.select("key", "b"), "key").select("fp", "b")
+    stars = materialize(keyed.join(low.select("key", "b"), "key").select("fp", "b").unionAll(_sim_links(nodes)), "stars")
     found = connected_components(stars.select(F.col("fp").alias("a"), "b"))
     # a component's smallest node has no row of its own
     clusters = found.select("node", F.col("component").alias("cluster")).union(found.select("component", "component")).distinct()

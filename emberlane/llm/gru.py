@@ -8,6 +8,7 @@ Many texts run side by side, each in a lane, one step at a time; a lane's state
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -52,12 +53,10 @@ def start_weights(word_mass: np.ndarray, tail_mass: np.ndarray, width: int, hidd
     return Weights(x, f(hidden, 3 * hidden, by=0.5 / np.sqrt(hidden)), f(hidden, len(total), by=0.05), np.log(total / total.sum()).astype(np.float32), f(classes, hidden, width, by=0.05), bw.reshape(classes, width).astype(np.float32))
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    a *= 0.5
-    np.tanh(a, out=a)
-    a += 1
-    a *= 0.5
-    return a
+#: Rows that are taken at once, so that their products stay in a core's cache.
+_ROWS = 1024
+#: Words of one class that are multiplied by its weights at once.
+_BLOCK = 8
 
 
 def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +68,28 @@ def log_probability(p: Weights, h: np.ndarray, y: np.ndarray, words: int) -> np.
     """Natural log of the probability of symbols ``y`` after states ``h`` (of a tail's class, not of its word)."""
     classes, _, width = p.w.shape
     kind = np.where(y < words, y // width, y - words + classes).astype(np.uint16)
-    a = h @ p.c
-    a += p.bc
-    rows = np.arange(len(y))
-    out = a[rows, kind].astype(np.float64)
-    np.exp(a, out=a)
-    out -= np.log(a @ np.ones(a.shape[1], dtype=a.dtype))  # a product adds faster than a sum
     order, cut = _by_class(kind, classes)
-    for k in np.flatnonzero(np.diff(cut)):
-        own = order[cut[k] : cut[k + 1]]
-        a = h[own] @ p.w[k]
-        a += p.bw[k]
-        out[own] += a[rows[: len(own)], y[own] - k * width]
+    order = order[: cut[-1]]
+    rows = np.arange(_ROWS)
+    out, own, more = np.empty(len(y)), h.take(order, axis=0), np.empty(len(order))
+    at = y.take(order).astype(np.int64) - kind.take(order).astype(np.int64) * width
+
+    def take(h: np.ndarray, w: np.ndarray, bias: np.ndarray, mass: np.ndarray, y: np.ndarray) -> np.ndarray:
+        a = h @ w
+        got = a[rows[: len(a)], y] + bias.take(y)
         np.exp(a, out=a)
-        out[own] -= np.log(a @ np.ones(width, dtype=a.dtype))
+        return got - np.log(a @ mass)  # biases weigh the sum, and so are not added to each score
+
+    mass = np.exp(p.bc)
+    for s in range(0, len(y), _ROWS):
+        part = slice(s, s + _ROWS)
+        out[part] = take(h[part], p.c, p.bc, mass, kind[part])
+    mass = np.exp(p.bw)
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        for s in range(int(cut[k]), int(cut[k + 1]), _ROWS):
+            part = slice(s, min(s + _ROWS, int(cut[k + 1])))
+            more[part] = take(own[part], p.w[k], p.bw[k], mass[k], at[part])
+    out[order] += more
     return out
 
 
@@ -126,6 +133,47 @@ class Lanes:
             yield b, np.where(ok, self.at[None, :b] + here, 0), ok
 
 
+def _forward(half: np.ndarray, gate: Iterable[np.ndarray], h: np.ndarray, kept: np.ndarray, fresh: list[bool], before: np.ndarray | None, states: np.ndarray, gn: np.ndarray | None) -> np.ndarray:
+    """States of a window, and the last; ``gate`` (of each step, gates x lanes) becomes update, reset and new state.
+
+    A feature's lanes lie side by side, so that a gate of all lanes is one run of memory. ``half`` has, as ``gate``, half of what the
+    logistic gates sum up, which makes them a hyperbolic tangent; texts begin where ``kept`` is 0.
+    """
+    hidden = len(h)
+    both = 2 * hidden
+    for t, at in enumerate(gate):
+        if fresh[t]:
+            h = h * kept[t]
+        if before is not None:
+            before[t] = h
+        g = np.dot(half, h)
+        a, m, back = at[:both], at[both:], g[both:]
+        a += g[:both]
+        np.tanh(a, out=a)
+        a += 1
+        a *= 0.5
+        if gn is not None:
+            gn[t] = back
+        back *= a[hidden:]
+        m += back
+        np.tanh(m, out=m)
+        h = np.subtract(h, m, out=states[t])
+        h *= a[:hidden]
+        h += m
+    return h
+
+
+def _halved(v: np.ndarray, both: int) -> np.ndarray:
+    v = v.copy()
+    v[:, :both] *= 0.5
+    return v
+
+
+def _by_lane(v: np.ndarray) -> np.ndarray:
+    """steps x lanes x features from steps x features x lanes, or back."""
+    return np.ascontiguousarray(v.transpose(0, 2, 1))
+
+
 def score(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int = 512, steps: int = 32) -> np.ndarray:
     """Sum of :func:`log_probability` over each whole text; texts are ``ids[first[k]:first[k + 1]]``."""
     hidden = len(p.u)
@@ -133,37 +181,70 @@ def score(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int
     if not len(ids):
         return out
     run = Lanes(ids, first, lanes, len(p.x) - 1)
-    h = np.zeros((len(run.length), hidden), dtype=np.float32)
-    states = np.empty((steps, len(h), hidden), dtype=np.float32)
+    from_symbol, half = _halved(p.x, 2 * hidden), np.ascontiguousarray(_halved(p.u, 2 * hidden).T)
+    h = np.zeros((hidden, len(run.length)), dtype=np.float32)
     for b, where, ok in run.windows(steps):
-        h = h[:b]
-        x, new = run.x[where], run.new[where]
-        fresh = new.any(axis=1)
-        for t in range(len(where)):
-            if fresh[t]:
-                h[new[t]] = 0
-            a = p.x[x[t]]
-            g = h @ p.u
-            a[:, : 2 * hidden] += g[:, : 2 * hidden]
-            zr = _sigmoid(a[:, : 2 * hidden])
-            n = a[:, 2 * hidden :]
-            g = g[:, 2 * hidden :]
-            g *= zr[:, hidden:]
-            n += g
-            np.tanh(n, out=n)
-            h -= n
-            h *= zr[:, :hidden]
-            h += n
-            states[t, :b] = h
+        x, new = run.x.take(where), run.new.take(where)
+        states = np.empty((len(where), hidden, b), dtype=np.float32)
+        gate = (np.ascontiguousarray(from_symbol.take(at, axis=0).T) for at in x)
+        h = _forward(half, gate, h[:, :b], (~new).astype(np.float32), new.any(axis=1).tolist(), None, states, None)
         seen = where[ok]
-        out += np.bincount(run.doc[seen], weights=log_probability(p, states[: len(where), :b][ok], run.y[seen], words), minlength=len(out))
+        out += np.bincount(run.doc[seen], weights=log_probability(p, _by_lane(states)[ok], run.y[seen], words), minlength=len(out))
     return out
 
 
+def _sums(rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different symbols, and the sum of each one's rows; neighbours are added as the parts of complex numbers, in half as many loops."""
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols.take(order)
+    heads = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+    rows = rows.take(order, axis=0)
+    if rows.shape[1] % 2 == 0:
+        rows = rows.view(np.complex64)
+    return symbols.take(heads), np.add.reduceat(rows, heads, axis=0).view(np.float32)
+
+
+def _word_slopes(s: np.ndarray, w: np.ndarray, kind: np.ndarray, at: np.ndarray, share: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the loss of words by states ``s`` and by ``w``; ``kind``: each word's class, ``at``: its place there.
+
+    Words lie in blocks of ``_BLOCK`` of one class, filled up by zeros: first a block of each class, then what these do not hold.
+    """
+    classes, inputs, width = w.shape
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
+    n = np.bincount(kind, minlength=classes)
+    kind, s = kind.take(order), s.take(order, axis=0)
+    place = np.arange(len(kind)) - (np.cumsum(n) - n).take(kind)
+    further = np.maximum(-(-n // _BLOCK) - 1, 0)
+    begin = (classes + np.cumsum(further) - further) * _BLOCK
+    row = np.where(place < _BLOCK, kind * _BLOCK + place, begin.take(kind) + place - _BLOCK)
+    total = classes + int(further.sum())
+    blocks, a = np.zeros((total, _BLOCK, inputs), dtype=np.float32), np.empty((total, _BLOCK, width), dtype=np.float32)
+    rows, flat = blocks.reshape(-1, inputs), a.reshape(-1, width)
+    rows[row] = s
+    w_further = w.take(np.repeat(np.arange(classes), further), axis=0)
+    np.matmul(blocks[:classes], w, out=a[:classes])
+    np.matmul(blocks[classes:], w_further, out=a[classes:])
+    np.exp(a, out=a)
+    mass = (flat @ np.ones(width, dtype=np.float32)).take(row)
+    flat[row, at.take(order)] -= mass
+    by = (share / mass)[:, None]
+    back = np.empty_like(blocks)
+    np.matmul(a[:classes], w.transpose(0, 2, 1), out=back[:classes])
+    np.matmul(a[classes:], w_further.transpose(0, 2, 1), out=back[classes:])
+    out = np.empty_like(s)
+    out[order] = back.reshape(-1, inputs).take(row, axis=0) * by
+    rows[row] = s * by
+    gw = np.matmul(blocks[:classes].transpose(0, 2, 1), a[:classes])
+    for k in np.flatnonzero(further).tolist():
+        part = slice(int(begin[k]), int(begin[k] + further[k] * _BLOCK))
+        gw[k] += np.dot(rows[part].T, flat[part])
+    return out, gw
+
+
 def train(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int = 64, steps: int = 16, rate: float = 0.2) -> Weights:
     """One pass of truncated backpropagation through time with Adagrad steps, a step each window.
 
-    What does not wait for the step before is taken for a whole window at once; classes are told apart only by their products.
+    What does not wait for the step before is taken for a whole window at once, in arrays of steps x features x lanes.
     """
     hidden, (classes, _, width) = len(p.u), p.w.shape
     gates, both = 3 * hidden, 2 * hidden
@@ -174,106 +255,85 @@ def train(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int
     now = {"x": p.x, "u": p.u, "c": np.concatenate([p.c, p.bc[None]]), "w": np.concatenate([p.w, p.bw[:, None]], axis=1)}
     seen = {name: np.full_like(v, 1e-5) for name, v in now.items()}
 
-    def move(name: str, grad: np.ndarray, rows=slice(None)) -> None:
+    def move(name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
         s = grad * grad
-        s += seen[name][rows]
-        seen[name][rows] = s
-        np.sqrt(s, out=s)
+        if rows is None:
+            seen[name] += s
+            np.sqrt(seen[name], out=s)
+        else:
+            s += seen[name].take(rows, axis=0)
+            seen[name][rows] = s
+            np.sqrt(s, out=s)
         np.divide(grad, s, out=s)
         s *= rate
-        now[name][rows] -= s
+        if rows is None:
+            now[name] -= s
+        else:
+            now[name][rows] = now[name].take(rows, axis=0) - s
 
     run = Lanes(ids, first, lanes, len(p.x) - 1)
-    h = np.zeros((len(run.length), hidden), dtype=np.float32)
+    h = np.zeros((hidden, len(run.length)), dtype=np.float32)
+    one = np.ones(now["c"].shape[1], dtype=np.float32)
     for b, where, ok in run.windows(steps):
-        n_steps = len(where)
-        x, new, y = run.x[where], run.new[where], run.y[where]
-        fresh = new.any(axis=1).tolist()
-        gate = p.x[x]  # from the symbols; becomes update, reset and new state
-        zr, n = gate[:, :, :both], gate[:, :, both:]
-        before, states, gn = (np.empty((n_steps, b, hidden), dtype=np.float32) for _ in range(3))
-        zr *= 0.5  # a logistic function by tanh
-        half = p.u * np.float32(0.5)
-        half[:, both:] = p.u[:, both:]
-        h = h[:b]
-        for t in range(n_steps):
-            before[t] = h
-            if fresh[t]:
-                before[t][new[t]] = 0
-            g = before[t] @ half
-            a = zr[t]
-            a += g[:, :both]
-            np.tanh(a, out=a)
-            a += 1
-            a *= 0.5
-            gn[t] = g[:, both:]
-            g = g[:, both:]
-            g *= a[:, hidden:]
-            m = n[t]
-            m += g
-            np.tanh(m, out=m)
-            h = np.subtract(before[t], m, out=states[t])
-            h *= a[:, :hidden]
-            h += m
-        target = y[ok].astype(np.int64)
-        s = np.ones((len(target), hidden + 1), dtype=np.float32)
-        s[:, :hidden] = states[ok]
+        n_steps, full = len(where), bool(ok.all())
+        x, new, y = run.x.take(where), run.new.take(where), run.y.take(where)
+        fresh, kept = new.any(axis=1).tolist(), (~new).astype(np.float32)
+        gate = _by_lane(p.x.take(x, axis=0))  # from the symbols; becomes update, reset and new state
+        gate[:, :both] *= 0.5
+        before, states, gn = (np.empty((n_steps, hidden, b), dtype=np.float32) for _ in range(3))
+        h = _forward(np.ascontiguousarray(_halved(p.u, both).T), gate, h[:, :b], kept, fresh, before, states, gn)
+        picked = slice(None) if full else ok.ravel()
+        target = y.ravel()[picked].astype(np.int64)
+        s = np.ones((n_steps, b, hidden + 1), dtype=np.float32)
+        s[:, :, :hidden] = states.transpose(0, 2, 1)
+        s = s.reshape(-1, hidden + 1)[picked]
         share = np.float32(1 / len(target))
         is_word = target < words
         kind = np.where(is_word, target // width, target - words + classes)
         a = s @ now["c"]
         np.exp(a, out=a)
-        a *= (share / (a @ np.ones(a.shape[1], dtype=np.float32)))[:, None]
-        a[np.arange(len(s)), kind] -= share
+        mass = a @ one
+        a[np.arange(len(s)), kind] -= mass
+        by = (share / mass)[:, None]  # scales what is made of a, which is larger
         ds = a @ now["c"].T
-        move_later = [("c", s.T @ a, slice(None))]
-        order, cut = _by_class(kind.astype(np.uint16), classes)
-        order, own = order[: cut[-1]], np.flatnonzero(np.diff(cut))
-        if len(own):
-            at, of = cut.tolist(), kind[order]
-            s_own, w = s[order], now["w"]
-            a = np.empty((len(order), width), dtype=np.float32)
-            for k in own.tolist():
-                np.matmul(s_own[at[k] : at[k + 1]], w[k], out=a[at[k] : at[k + 1]])
-            np.exp(a, out=a)
-            a *= (share / (a @ np.ones(width, dtype=np.float32)))[:, None]
-            a[np.arange(len(a)), target[order] - of * width] -= share
-            back, gw = np.empty_like(s_own), np.empty((len(own), hidden + 1, width), dtype=np.float32)
-            for j, k in enumerate(own.tolist()):
-                rows = slice(at[k], at[k + 1])
-                np.matmul(a[rows], w[k].T, out=back[rows])
-                np.matmul(s_own[rows].T, a[rows], out=gw[j])
-            ds[order] += back
-            move_later.append(("w", gw, own if len(own) < classes else slice(None)))
-        dstate = np.zeros_like(states)
-        dstate[ok] = ds[:, :hidden]
-        z, r = zr[:, :, :hidden], zr[:, :, hidden:]
-        keep = np.where(new[:, :, None], np.float32(0), z) if any(fresh) else z
-        by_new = (1 - z) * (1 - n * n)
-        by_update = (before - n) * z * (1 - z)
-        by_reset = by_new * gn * r * (1 - r)
-        by_state = by_new * r
-        dg, dh = np.empty((n_steps, b, 3, hidden), dtype=np.float32), np.zeros((b, hidden), dtype=np.float32)
-        by = np.stack([by_update, by_reset, by_state], axis=2)
-        back_u = np.ascontiguousarray(p.u.T)
-        into = np.empty((n_steps, b, hidden), dtype=np.float32)  # what reaches each state
+        ds *= by
+        gc, gw = (s * by).T @ a, None
+        of = np.flatnonzero(is_word)
+        if len(of):
+            back, gw = _word_slopes(s.take(of, axis=0), now["w"], kind.take(of), target.take(of) % width, share)
+            ds[of] += back
+        if not full:
+            whole = np.zeros((n_steps * b, hidden + 1), dtype=np.float32)
+            whole[picked] = ds
+            ds = whole
+        dstate = _by_lane(ds.reshape(n_steps, b, hidden + 1)[:, :, :hidden])
+        z, r, n = gate[:, :hidden], gate[:, hidden:both], gate[:, both:]
+        by = np.empty((n_steps, gates, b), dtype=np.float32)  # of update, of reset, of state
+        rest = 1 - z
+        by_new = n * n
+        np.subtract(1, by_new, out=by_new)
+        by_new *= rest
+        rest *= z
+        np.multiply(before - n, rest, out=by[:, :hidden])
+        np.multiply(by_new, r, out=by[:, both:])
+        np.multiply(by[:, both:], gn, out=gn)
+        np.multiply(gn, 1 - r, out=by[:, hidden:both])
+        by = by.reshape(n_steps, 3, hidden, b)
+        dg, dh = np.empty((n_steps, 3, hidden, b), dtype=np.float32), np.zeros((hidden, b), dtype=np.float32)
+        into = dstate  # becomes what reaches each state
         for t in range(n_steps - 1, -1, -1):
-            dh += dstate[t]
-            into[t] = dh
-            np.multiply(by[t], dh[:, None, :], out=dg[t])
-            g = dg[t].reshape(b, gates) @ back_u
-            dh *= keep[t]
+            into[t] += dh
+            np.multiply(by[t], into[t], out=dg[t])
+            dh = np.dot(p.u, dg[t].reshape(gates, b))
+            dh += into[t] * z[t]
             if fresh[t]:
-                g[new[t]] = 0
-            dh += g
-        du = before.reshape(-1, hidden).T @ dg.reshape(-1, gates)
-        np.multiply(into, by_new, out=dg[:, :, 2])
-        symbols = x[ok]
-        order = np.argsort(symbols, kind="stable")
-        symbols = symbols[order]
-        heads = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
+                dh *= kept[t]
+        du = np.matmul(before, dg.reshape(n_steps, gates, b).transpose(0, 2, 1)).sum(axis=0)
+        np.multiply(into, by_new, out=dg[:, 2])
+        symbols, dx = _sums(_by_lane(dg.reshape(n_steps, gates, b)).reshape(-1, gates)[picked], x.ravel()[picked])
         move("u", np.clip(du, -0.1, 0.1))
-        move("x", np.add.reduceat(dg[ok].reshape(-1, gates)[order], heads, axis=0), symbols[heads])
-        for name, grad, of in move_later:
-            move(name, grad, of)
+        move("x", dx, symbols)
+        move("c", gc)
+        if gw is not None:
+            move("w", gw)
     return Weights(p.x, p.u, now["c"][:-1].copy(), now["c"][-1].copy(), now["w"][:, :-1].copy(), now["w"][:, -1].copy())

@@ -100,14 +100,33 @@ class Vocabulary:
     symbol: np.ndarray
     words: int
 
+    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each token stands among the keys, and whether it is there. Keys lie by their leading bits, which are a hash's, about one a slot."""
+        if not hasattr(self, "_slots"):
+            bits = min(24, max(1, len(self.keys).bit_length()))
+            self._shift = np.uint64(64 - bits)
+            self._ended = np.append(self.keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+            self._slots = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self._shift).astype(np.int32)
+        at = self._slots.take((h >> self._shift).view(np.int64)).astype(np.int64)
+        found = self._ended.take(at)
+        before = np.flatnonzero(found < h)
+        while len(before):
+            at[before] += 1
+            found[before] = self._ended.take(at.take(before))
+            before = before[found.take(before) < h.take(before)]
+        known = (found == h) & (at < len(self.keys))
+        return np.minimum(at, len(self.keys) - 1), known
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's symbol, whether it is known, and its count."""
+        """Each token's symbol, whether it is known, and its place among the keys."""
         if not len(self.keys):
             return (h & np.uint64(TAILS - 1)).astype(np.uint16), np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        known = self.keys[at] == h
-        symbol = np.where(known, self.symbol[at], self.words + (h & np.uint64(TAILS - 1))).astype(np.uint16)
-        return symbol, known, np.where(known, self.counts[at], 0)
+        at, known = self.place(h)
+        symbol = np.where(known, self.symbol.take(at), np.uint16(self.words) + (h & np.uint64(TAILS - 1)).astype(np.uint16))
+        return symbol, known, at
 
 
 def _vocabulary(counts: DataFrame, known: int, n_words: int, width: int) -> tuple[Vocabulary, np.ndarray, np.ndarray, int, int]:
@@ -275,11 +294,11 @@ def score_documents(
             rows = batch.select(["doc_id", "held_out", "k1", "k2"])
             for part in chunks(batch.column("text")):
                 h, first = tokens(batch.column("text")[part.start : part.stop])
-                symbol, is_known, count = vocab.look(h)
+                symbol, is_known, place = vocab.look(h)
                 doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
                 by_doc = lambda v, where=slice(None): np.bincount(doc[where], weights=v[where], minlength=len(part))  # noqa: B023, E731
                 log = np.full(len(h), math.log10(0.5))
-                log[is_known] = logs[np.searchsorted(vocab.keys, h[is_known])] if len(vocab.keys) else 0
+                log[is_known] = logs.take(place[is_known]) if len(vocab.keys) else 0
                 out = ~is_known if beyond else np.zeros(len(h), bool)
                 log[out] = 0  # their counts come later
                 in_tail = symbol >= n_words

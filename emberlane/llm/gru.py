@@ -8,8 +8,9 @@ Many texts run side by side, each in a lane, one step at a time; a lane's state
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
+from itertools import pairwise, repeat
 
 import numpy as np
 
@@ -133,39 +134,37 @@ class Lanes:
             yield b, np.where(ok, self.at[None, :b] + here, 0), ok
 
 
-def _forward(half: np.ndarray, gate: Iterable[np.ndarray], h: np.ndarray, kept: np.ndarray, fresh: list[bool], before: np.ndarray | None, states: np.ndarray, gn: np.ndarray | None) -> np.ndarray:
-    """States of a window, and the last; ``gate`` (of each step, gates x lanes) becomes update, reset and new state.
+def _forward(u: np.ndarray, gate: Iterable[np.ndarray], h: np.ndarray, kept: np.ndarray, fresh: list[bool], states: np.ndarray, product: np.ndarray) -> np.ndarray:
+    """States of a window, and the last; ``gate`` (of each step, gates x lanes) becomes update, reset and new state, ``product`` holds that of states and ``u``.
 
-    A feature's lanes lie side by side, so that a gate of all lanes is one run of memory. ``half`` has, as ``gate``, half of what the
-    logistic gates sum up, which makes them a hyperbolic tangent; texts begin where ``kept`` is 0.
+    A feature's lanes lie side by side, so that a gate of all lanes is one run of memory. Both have the logistic gates' sums with the
+    other sign, as the exponential takes them; texts begin where ``kept`` is 0.
     """
     hidden = len(h)
     both = 2 * hidden
-    for t, at in enumerate(gate):
-        if fresh[t]:
-            h = h * kept[t]
-        if before is not None:
-            before[t] = h
-        g = np.dot(half, h)
-        a, m, back = at[:both], at[both:], g[both:]
-        a += g[:both]
-        np.tanh(a, out=a)
-        a += 1
-        a *= 0.5
-        if gn is not None:
-            gn[t] = back
-        back *= a[hidden:]
-        m += back
-        np.tanh(m, out=m)
-        h = np.subtract(h, m, out=states[t])
-        h *= a[:hidden]
-        h += m
+    changed = np.empty_like(states[0])
+    with np.errstate(over="ignore"):  # a gate that is shut
+        for at, g, to, new, keep in zip(gate, product, states, fresh, kept):
+            if new:
+                h = h * keep
+            np.dot(u, h, out=g)
+            a, m = at[:both], at[both:]
+            a += g[:both]
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            np.multiply(g[both:], a[hidden:], out=changed)
+            m += changed
+            np.tanh(m, out=m)
+            h = np.subtract(h, m, out=to)
+            h *= a[:hidden]
+            h += m
     return h
 
 
-def _halved(v: np.ndarray, both: int) -> np.ndarray:
+def _signed(v: np.ndarray, both: int) -> np.ndarray:
     v = v.copy()
-    v[:, :both] *= 0.5
+    v[:, :both] *= -1
     return v
 
 
@@ -181,64 +180,196 @@ def score(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int
     if not len(ids):
         return out
     run = Lanes(ids, first, lanes, len(p.x) - 1)
-    from_symbol, half = _halved(p.x, 2 * hidden), np.ascontiguousarray(_halved(p.u, 2 * hidden).T)
+    from_symbol, u = _signed(p.x, 2 * hidden), np.ascontiguousarray(_signed(p.u, 2 * hidden).T)
     h = np.zeros((hidden, len(run.length)), dtype=np.float32)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def add() -> None:
+        if held:
+            seen = np.concatenate([x[0] for x in held])
+            states = np.concatenate([x[1] for x in held])
+            out[:] += np.bincount(run.doc[seen], weights=log_probability(p, states, run.y[seen], words), minlength=len(out))
+            held.clear()
+
     for b, where, ok in run.windows(steps):
         x, new = run.x.take(where), run.new.take(where)
         states = np.empty((len(where), hidden, b), dtype=np.float32)
         gate = (np.ascontiguousarray(from_symbol.take(at, axis=0).T) for at in x)
-        h = _forward(half, gate, h[:, :b], (~new).astype(np.float32), new.any(axis=1).tolist(), None, states, None)
-        seen = where[ok]
-        out += np.bincount(run.doc[seen], weights=log_probability(p, _by_lane(states)[ok], run.y[seen], words), minlength=len(out))
+        h = _forward(u, gate, h[:, :b], (~new).astype(np.float32), new.any(axis=1).tolist(), states, repeat(np.empty((3 * hidden, b), dtype=np.float32)))
+        held.append((where[ok], _by_lane(states)[ok]))
+        size += len(held[-1][0])
+        if size >= steps * lanes:
+            add()
+            size = 0
+    add()
     return out
 
 
-def _sums(rows: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different symbols, and the sum of each one's rows; neighbours are added as the parts of complex numbers, in half as many loops."""
-    order = np.argsort(symbols, kind="stable")
-    symbols = symbols.take(order)
-    heads = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
-    rows = rows.take(order, axis=0)
-    if rows.shape[1] % 2 == 0:
-        rows = rows.view(np.complex64)
-    return symbols.take(heads), np.add.reduceat(rows, heads, axis=0).view(np.float32)
+@dataclass
+class _Words:
+    """Where a window's words are multiplied: a block of ``_BLOCK`` rows of each class, then what these do not hold, class by class.
+
+    ``source``: of each row, the state it holds (or the one after the last, which is zero); ``row``: that of each word, by class; ``hit``: a word's place
+    among all scores; ``back``: of each symbol, its row (or the one after the last); ``further``: class, first and last row.
+    """
+
+    source: np.ndarray
+    row: np.ndarray
+    hit: np.ndarray
+    back: np.ndarray
+    further: list[tuple[int, int, int]]
+
+
+def _place_words(window: np.ndarray, begin: np.ndarray, kind: np.ndarray, at: np.ndarray, classes: int, width: int, most: int) -> list[_Words]:
+    """Of each window; ``window``: that of each symbol, ``begin``: the first of each and their number, ``kind``: its class (words: under ``classes``), ``at``: a word's place there; a window has ``most`` symbols at most."""
+    windows = len(begin) - 1
+    of = np.flatnonzero(kind < classes)
+    key = window.take(of) * classes + kind.take(of)
+    order = np.argsort(key.astype(np.uint16) if windows * classes <= 1 << 16 else key, kind="stable")
+    of, key = of.take(order), key.take(order)
+    n = np.bincount(key, minlength=windows * classes)
+    place = np.arange(len(of)) - (np.cumsum(n) - n).take(key)
+    more = np.maximum(n - _BLOCK, 0).reshape(windows, classes)
+    first = classes * _BLOCK + np.cumsum(more, axis=1) - more
+    row = np.where(place < _BLOCK, kind.take(of) * _BLOCK + place, first.ravel().take(key) + place - _BLOCK)
+    rows = np.concatenate([[0], np.cumsum(classes * _BLOCK + more.sum(axis=1))])
+    window = window.take(of)
+    source = np.full(rows[-1], most)
+    source[rows.take(window) + row] = of - begin.take(window)
+    back = np.full(len(kind), classes * _BLOCK + most)
+    back[of] = row
+    hit = row * width + at.take(of)
+    further: list[list[tuple[int, int, int]]] = [[] for _ in range(windows)]
+    w, k = np.nonzero(more)
+    for i, c, s, e in zip(w.tolist(), k.tolist(), first[w, k].tolist(), (first + more)[w, k].tolist()):
+        further[i].append((c, s, e))
+    cut = np.concatenate([[0], np.cumsum(n.reshape(windows, classes).sum(axis=1))]).tolist()
+    return [_Words(source[rows[i] : rows[i + 1]], row[cut[i] : cut[i + 1]], hit[cut[i] : cut[i + 1]], back[begin[i] : begin[i + 1]], further[i]) for i in range(windows)]
+
+
+class _WordSlopes:
+    """Slopes of the loss of words; holds the memory for windows of up to ``most`` symbols."""
+
+    def __init__(self, classes: int, inputs: int, width: int, most: int):
+        self.blocks = classes * _BLOCK
+        total = self.blocks + most
+        self.rows, self.a, self.back = (np.zeros((total + 1, n), dtype=np.float32) for n in (inputs, width, inputs))
+        self.one, self.gw = np.ones(width, dtype=np.float32), np.empty((classes, inputs, width), dtype=np.float32)
+
+    def __call__(self, s: np.ndarray, w: np.ndarray, p: _Words, share: np.float32) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes by states ``s``, whose last one is zero, of each symbol, and by ``w``; the next call takes their memory."""
+        classes, inputs, width = w.shape
+        n = len(p.source)
+        rows, a, back, gw = self.rows[:n], self.a[:n], self.back[:n], self.gw
+        blocks = lambda v: v[: self.blocks].reshape(classes, _BLOCK, v.shape[1])
+        s.take(p.source, axis=0, out=rows, mode="clip")
+        np.matmul(blocks(rows), w, out=blocks(a))
+        for k, i, j in p.further:
+            np.dot(rows[i:j], w[k], out=a[i:j])
+        np.exp(a, out=a)
+        mass = a @ self.one
+        flat = a.reshape(-1)
+        flat[p.hit] = flat.take(p.hit) - mass.take(p.row)
+        np.matmul(blocks(a), w.transpose(0, 2, 1), out=blocks(back))
+        by = np.divide(share, mass, out=mass)[:, None]
+        rows *= by
+        np.matmul(blocks(rows).transpose(0, 2, 1), blocks(a), out=gw)
+        for k, i, j in p.further:
+            np.dot(a[i:j], w[k].T, out=back[i:j])
+            gw[k] += np.dot(rows[i:j].T, a[i:j])
+        back *= by
+        return self.back.take(p.back, axis=0), gw
 
 
 def _word_slopes(s: np.ndarray, w: np.ndarray, kind: np.ndarray, at: np.ndarray, share: np.float32) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes of the loss of words by states ``s`` and by ``w``; ``kind``: each word's class, ``at``: its place there.
+    """Slopes of the loss of words by states ``s`` and by ``w``; ``kind``: each word's class, ``at``: its place there."""
+    n, (classes, inputs, width) = len(s), w.shape
+    (p,) = _place_words(np.zeros(n, dtype=np.int64), np.array([0, n]), kind, at, classes, width, n)
+    return _WordSlopes(classes, inputs, width, n)(np.concatenate([s, np.zeros((1, inputs), dtype=np.float32)]), w, p, share)
+
 
-    Words lie in blocks of ``_BLOCK`` of one class, filled up by zeros: first a block of each class, then what these do not hold.
+@dataclass
+class _Sums:
+    """How rows of the same symbol are added: laid side by side, filled up by zeros to a power of two, most first, and added in pairs.
+
+    ``source``: of each place, its row (or the one after the last, which is zero); ``on``: after each halving, the places that are not
+    yet one sum; ``symbols``: those of the sums.
     """
-    classes, inputs, width = w.shape
-    order = np.argsort(kind.astype(np.uint16), kind="stable")
-    n = np.bincount(kind, minlength=classes)
-    kind, s = kind.take(order), s.take(order, axis=0)
-    place = np.arange(len(kind)) - (np.cumsum(n) - n).take(kind)
-    further = np.maximum(-(-n // _BLOCK) - 1, 0)
-    begin = (classes + np.cumsum(further) - further) * _BLOCK
-    row = np.where(place < _BLOCK, kind * _BLOCK + place, begin.take(kind) + place - _BLOCK)
-    total = classes + int(further.sum())
-    blocks, a = np.zeros((total, _BLOCK, inputs), dtype=np.float32), np.empty((total, _BLOCK, width), dtype=np.float32)
-    rows, flat = blocks.reshape(-1, inputs), a.reshape(-1, width)
-    rows[row] = s
-    w_further = w.take(np.repeat(np.arange(classes), further), axis=0)
-    np.matmul(blocks[:classes], w, out=a[:classes])
-    np.matmul(blocks[classes:], w_further, out=a[classes:])
-    np.exp(a, out=a)
-    mass = (flat @ np.ones(width, dtype=np.float32)).take(row)
-    flat[row, at.take(order)] -= mass
-    by = (share / mass)[:, None]
-    back = np.empty_like(blocks)
-    np.matmul(a[:classes], w.transpose(0, 2, 1), out=back[:classes])
-    np.matmul(a[classes:], w_further.transpose(0, 2, 1), out=back[classes:])
-    out = np.empty_like(s)
-    out[order] = back.reshape(-1, inputs).take(row, axis=0) * by
-    rows[row] = s * by
-    gw = np.matmul(blocks[:classes].transpose(0, 2, 1), a[:classes])
-    for k in np.flatnonzero(further).tolist():
-        part = slice(int(begin[k]), int(begin[k] + further[k] * _BLOCK))
-        gw[k] += np.dot(rows[part].T, flat[part])
-    return out, gw
+
+    source: np.ndarray
+    on: list[int]
+    symbols: np.ndarray
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        a = rows.take(self.source, axis=0)
+        done = []
+        for k in self.on:
+            done.append(a[k:])
+            a = a[:k:2] + a[1:k:2]
+        return np.concatenate([*done, a])
+
+
+def _place_sums(window: np.ndarray, windows: int, symbol: np.ndarray, symbols: int, row: np.ndarray, most: int) -> list[_Sums]:
+    """Of each window; ``window``, ``symbol`` and ``row`` are those of each symbol; a window has ``most`` rows at most."""
+    key = window * symbols + symbol
+    order = np.argsort(key.astype(np.uint16) if windows * symbols <= 1 << 16 else key, kind="stable")
+    key, row = key.take(order), row.take(order)
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(heads, len(key)))
+    halvings = np.ceil(np.log2(n)).astype(np.int64)
+    key = key.take(heads)
+    window, deepest = key // symbols, int(halvings.max()) + 1
+    by_size = np.argsort(window * deepest - halvings, kind="stable")
+    places = (1 << halvings).take(by_size)
+    begin = np.empty(len(n), dtype=np.int64)
+    begin[by_size] = np.cumsum(places) - places
+    source = np.full(int(places.sum()), most)
+    source[np.repeat(begin - heads, n) + np.arange(len(row))] = row
+    count = np.bincount(window * deepest + halvings, minlength=windows * deepest).reshape(windows, deepest)
+    held = count << np.arange(deepest)
+    on = (np.cumsum(held[:, ::-1], axis=1)[:, ::-1] - held) >> np.arange(deepest)
+    ends, sums = np.cumsum(held.sum(axis=1)).tolist(), np.cumsum(count.sum(axis=1)).tolist()
+    out = (key % symbols).take(np.argsort(window * deepest + halvings, kind="stable"))
+    return [_Sums(source[s:e], [k for k in ks if k], out[a:b]) for s, e, ks, a, b in zip([0, *ends], ends, on.tolist(), [0, *sums], sums)]
+
+
+@dataclass
+class _Window:
+    """A window of training: inputs (steps x lanes), which texts go on, where symbols are (all: None), and the places that its sums and products need."""
+
+    x: np.ndarray
+    kept: np.ndarray
+    fresh: list[bool]
+    ok: np.ndarray | None
+    size: int
+    hit: np.ndarray
+    words: _Words
+    inputs: _Sums
+
+
+def _windows(run: Lanes, steps: int, lanes: int, symbols: int, words: int, classes: int, width: int, outputs: int) -> Iterator[_Window]:
+    """All windows; places are found for some windows at once, as many as 16 bits tell apart."""
+    together = max(1, min(16, (1 << 16) // symbols))
+    for b, where, ok in run.windows(steps * together):
+        x, new = run.x.take(where), run.new.take(where)
+        kept, fresh = (~new).astype(np.float32), new.any(axis=1).tolist()
+        there = np.flatnonzero(ok)
+        window = there // (b * steps)
+        n = np.bincount(window)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        row = np.arange(len(there)) - begin.take(window)
+        alive = ok[::steps].sum(axis=1)
+        grid = (there // b - window * steps) * alive.take(window) + there % b
+        y = run.y.take(where.ravel().take(there)).astype(np.int64)
+        kind = np.where(y < words, y // width, y - words + classes)
+        hit = row * outputs + kind
+        placed = _place_words(window, begin, kind, y % width, classes, width, steps * lanes)
+        summed = _place_sums(window, len(n), x.ravel().take(there).astype(np.int64), symbols, grid, steps * lanes)
+        for i, (s, e) in enumerate(pairwise(begin.tolist())):
+            t = slice(i * steps, (i + 1) * steps)
+            here = ok[t, : alive[i]]
+            yield _Window(x[t, : alive[i]], kept[t, : alive[i]], fresh[t], None if e - s == here.size else here.ravel(), e - s, hit[s:e], placed[i], summed[i])
 
 
 def train(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int = 64, steps: int = 16, rate: float = 0.2) -> Weights:
@@ -251,8 +382,8 @@ def train(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int
     p = p.like(p.flat())
     if not len(ids):
         return p
-    # an output's bias is the last row of its weights, which a state's last place, a one, picks
-    now = {"x": p.x, "u": p.u, "c": np.concatenate([p.c, p.bc[None]]), "w": np.concatenate([p.w, p.bw[:, None]], axis=1)}
+    # an output's bias is the last of its weights, which a state's last place, a one, picks; the logistic gates' sums have the other sign
+    now = {"x": _signed(p.x, both), "u": _signed(p.u, both), "c": np.concatenate([p.c.T, p.bc[:, None]], axis=1), "w": np.concatenate([p.w, p.bw[:, None]], axis=1)}
     seen = {name: np.full_like(v, 1e-5) for name, v in now.items()}
 
     def move(name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
@@ -272,68 +403,77 @@ def train(p: Weights, ids: np.ndarray, first: np.ndarray, words: int, lanes: int
             now[name][rows] = now[name].take(rows, axis=0) - s
 
     run = Lanes(ids, first, lanes, len(p.x) - 1)
-    h = np.zeros((hidden, len(run.length)), dtype=np.float32)
-    one = np.ones(now["c"].shape[1], dtype=np.float32)
-    for b, where, ok in run.windows(steps):
-        n_steps, full = len(where), bool(ok.all())
-        x, new, y = run.x.take(where), run.new.take(where), run.y.take(where)
-        fresh, kept = new.any(axis=1).tolist(), (~new).astype(np.float32)
-        gate = _by_lane(p.x.take(x, axis=0))  # from the symbols; becomes update, reset and new state
-        gate[:, :both] *= 0.5
-        before, states, gn = (np.empty((n_steps, hidden, b), dtype=np.float32) for _ in range(3))
-        h = _forward(np.ascontiguousarray(_halved(p.u, both).T), gate, h[:, :b], kept, fresh, before, states, gn)
-        picked = slice(None) if full else ok.ravel()
-        target = y.ravel()[picked].astype(np.int64)
-        s = np.ones((n_steps, b, hidden + 1), dtype=np.float32)
-        s[:, :, :hidden] = states.transpose(0, 2, 1)
-        s = s.reshape(-1, hidden + 1)[picked]
-        share = np.float32(1 / len(target))
-        is_word = target < words
-        kind = np.where(is_word, target // width, target - words + classes)
-        a = s @ now["c"]
+    lanes, outputs = len(run.length), len(now["c"])
+    h = np.zeros((hidden, lanes), dtype=np.float32)
+    one = np.ones(outputs, dtype=np.float32)
+    held = np.zeros((steps * lanes + 1, hidden + 1), dtype=np.float32)  # states and a one; at last zeros
+    held[:-1, hidden] = 1
+    scores, into_gates = np.empty((steps * lanes, outputs), dtype=np.float32), np.zeros((steps * lanes + 1, gates), dtype=np.float32)
+    word_slopes = _WordSlopes(classes, hidden + 1, width, steps * lanes)
+    through = np.concatenate([now["u"], np.eye(hidden, dtype=np.float32)], axis=1)
+    for v in _windows(run, steps, lanes, len(p.x), words, classes, width, outputs):
+        n_steps, b = v.x.shape
+        gate = _by_lane(now["x"].take(v.x, axis=0))  # from the symbols; becomes update, reset and new state
+        states, product = np.empty((n_steps + 1, hidden, b), dtype=np.float32), np.empty((n_steps, gates, b), dtype=np.float32)
+        states[0] = h[:, :b]
+        h = _forward(np.ascontiguousarray(now["u"].T), gate, states[0], v.kept, v.fresh, states[1:], product)
+        before = states[:-1] * v.kept[:, None]
+        by_lane = states[1:].transpose(0, 2, 1)
+        if v.ok is None:
+            held[: v.size, :hidden].reshape(n_steps, b, hidden)[:] = by_lane
+        else:
+            held[: v.size, :hidden] = by_lane.reshape(-1, hidden)[v.ok]
+        s, a = held[: v.size], scores[: v.size]
+        share = np.float32(1 / v.size)
+        np.dot(s, now["c"].T, out=a)
         np.exp(a, out=a)
         mass = a @ one
-        a[np.arange(len(s)), kind] -= mass
-        by = (share / mass)[:, None]  # scales what is made of a, which is larger
-        ds = a @ now["c"].T
+        flat = a.reshape(-1)
+        flat[v.hit] = flat.take(v.hit) - mass
+        by = np.divide(share, mass, out=mass)[:, None]  # scales what is made of a, which is larger
+        ds = a @ now["c"]
         ds *= by
-        gc, gw = (s * by).T @ a, None
-        of = np.flatnonzero(is_word)
-        if len(of):
-            back, gw = _word_slopes(s.take(of, axis=0), now["w"], kind.take(of), target.take(of) % width, share)
-            ds[of] += back
-        if not full:
+        gc = a.T @ (s * by)
+        gw = None
+        if len(v.words.row):
+            back, gw = word_slopes(held, now["w"], v.words, share)
+            ds += back
+        if v.ok is not None:
             whole = np.zeros((n_steps * b, hidden + 1), dtype=np.float32)
-            whole[picked] = ds
+            whole[v.ok] = ds
             ds = whole
-        dstate = _by_lane(ds.reshape(n_steps, b, hidden + 1)[:, :, :hidden])
+        into = _by_lane(ds.reshape(n_steps, b, hidden + 1)[:, :, :hidden])  # becomes what reaches each state
         z, r, n = gate[:, :hidden], gate[:, hidden:both], gate[:, both:]
-        by = np.empty((n_steps, gates, b), dtype=np.float32)  # of update, of reset, of state
+        by = np.empty((n_steps, 4, hidden, b), dtype=np.float32)  # of update, of reset, of state, and what goes by it
+        by[:, 3] = z
         rest = 1 - z
         by_new = n * n
         np.subtract(1, by_new, out=by_new)
         by_new *= rest
         rest *= z
-        np.multiply(before - n, rest, out=by[:, :hidden])
-        np.multiply(by_new, r, out=by[:, both:])
-        np.multiply(by[:, both:], gn, out=gn)
-        np.multiply(gn, 1 - r, out=by[:, hidden:both])
-        by = by.reshape(n_steps, 3, hidden, b)
-        dg, dh = np.empty((n_steps, 3, hidden, b), dtype=np.float32), np.zeros((hidden, b), dtype=np.float32)
-        into = dstate  # becomes what reaches each state
+        np.subtract(n, before, out=by[:, 0])
+        by[:, 0] *= rest
+        np.multiply(by_new, r, out=by[:, 2])
+        np.subtract(r, 1, out=rest)
+        rest *= product[:, both:]
+        np.multiply(by[:, 2], rest, out=by[:, 1])
+        dg, dh = np.empty((n_steps, 4, hidden, b), dtype=np.float32), np.zeros((hidden, b), dtype=np.float32)
+        through[:, :gates] = now["u"]
         for t in range(n_steps - 1, -1, -1):
-            into[t] += dh
-            np.multiply(by[t], into[t], out=dg[t])
-            dh = np.dot(p.u, dg[t].reshape(gates, b))
-            dh += into[t] * z[t]
-            if fresh[t]:
-                dh *= kept[t]
-        du = np.matmul(before, dg.reshape(n_steps, gates, b).transpose(0, 2, 1)).sum(axis=0)
-        np.multiply(into, by_new, out=dg[:, 2])
-        symbols, dx = _sums(_by_lane(dg.reshape(n_steps, gates, b)).reshape(-1, gates)[picked], x.ravel()[picked])
-        move("u", np.clip(du, -0.1, 0.1))
-        move("x", dx, symbols)
+            at = into[t]
+            at += dh
+            np.multiply(by[t], at, out=dg[t])
+            np.dot(through, dg[t].reshape(-1, b), out=dh)
+            if v.fresh[t]:
+                dh *= v.kept[t]
+        dg = dg.reshape(n_steps, -1, b)[:, :gates]
+        du = np.matmul(before, dg.transpose(0, 2, 1)).sum(axis=0)
+        np.multiply(into, by_new, out=dg[:, both:])
+        into_gates[: n_steps * b].reshape(n_steps, b, gates)[:] = dg.transpose(0, 2, 1)
+        move("u", np.minimum(np.maximum(du, -0.1), 0.1))
+        move("x", v.inputs(into_gates), v.inputs.symbols)
         move("c", gc)
         if gw is not None:
             move("w", gw)
-    return Weights(p.x, p.u, now["c"][:-1].copy(), now["c"][-1].copy(), now["w"][:, :-1].copy(), now["w"][:, -1].copy())
+    return Weights(_signed(now["x"], both), _signed(now["u"], both), now["c"][:, :-1].T.copy(), now["c"][:, -1].copy(), now["w"][:, :-1].copy(), now["w"][:, -1].copy())
+
